@@ -135,7 +135,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_items: int = GROU
     sequences = done[0]
     for more in done[1:]:
         sequences = sequences.unionByName(more)
-    return sequences.select(F.monotonically_increasing_id().alias("sequence_id"), F.explode("items").alias("of")).select("of.doc_id", "of.piece", "of.start", "of.length", "of.ids_crc32", "sequence_id", "of.offset")
+    sequences = sequences.select(F.monotonically_increasing_id().alias("sequence_id"), "items")
+    return sequences.select("sequence_id", F.explode("items").alias("of")).select("of.doc_id", "of.piece", "of.start", "of.length", "of.ids_crc32", "sequence_id", "of.offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
