@@ -1 +1,11 @@
-"""Spark-native activity and spatial analytics."""
+"""Queries of the engine's own operators over the given tables, with their SQL."""
+
+from driftline.plans import base, relational
+
+
+def queries():
+    return dict(base.QUERIES)
+
+
+def oracle_sql():
+    return dict(base.SQL)
