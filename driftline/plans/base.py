@@ -7,6 +7,7 @@ seconds in UTC.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,15 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) -> DataFrame under its own name, with its SQL if there is any."""
+    """Register a function (spark, sf_dir) -> DataFrame under its own name, with its SQL if there is any.
+
+    The time column ``at`` is a keyword in DuckDB and is quoted here.
+    """
 
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            SQL[f.__name__] = re.sub(r"\bat\b", '"at"', sql)
         return f
 
     return add
