@@ -106,7 +106,8 @@ def solar_influence(elevation_deg, radiation, cloud_pct, low: float = 50.0, high
     """Sunlight in [0, 1]: measured radiation, else clear sky, else half, times the sine of the elevation."""
     e = _col(elevation_deg)
     height = F.sin(F.radians(e))
-    measured = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (_col(radiation) - low) / (high - low)))
+    # least and greatest skip null, so an unknown radiation must be kept out of them.
+    measured = F.when(_col(radiation).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (_col(radiation) - low) / (high - low))))
     clear = 1 - _col(cloud_pct) / 100
     return F.when(e <= 0, F.lit(0.0)).otherwise(F.coalesce(measured, clear, F.lit(0.5)) * height)
 
