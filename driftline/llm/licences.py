@@ -89,6 +89,8 @@ RULES = (
 def _sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text in which line ends are the only breaks."""
     known = F.create_map(*[F.lit(x) for sid, sentence in SENTENCES.items() for x in (sentence, sid)])
+    # The colon of an SPDX line ends no sentence.
+    text = F.replace(text, F.lit("SPDX-License-Identifier:"), F.lit("SPDX-License-Identifier"))
     sentences = F.split(F.regexp_replace(text, r"[.;:!?](?:[ \t]|$|(?=\n))", "\n"), "\n")
     normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())

@@ -103,7 +103,7 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _op9_sql() -> str:
     """The rules one after another, each on what the rules before have left."""
     known = ", ".join(f"'{sentence}': '{sid}'" for sid, sentence in licences.SENTENCES.items())
-    ids = lambda text: rf"list_filter(list_transform(string_split(regexp_replace({text}, '[.;:!?]([ \t]|$|(\n))', '\n\2', 'g'), chr(10)), lambda s: k.known[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda s: s IS NOT NULL)".replace(r"'\n\2'", r"chr(10) || '\2'")
+    ids = lambda text: rf"list_filter(list_transform(string_split(regexp_replace(replace({text}, 'SPDX-License-Identifier:', 'SPDX-License-Identifier'), '[.;:!?]([ \t]|$|(\n))', '\n\2', 'g'), chr(10)), lambda s: k.known[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda s: s IS NOT NULL)".replace(r"'\n\2'", r"chr(10) || '\2'")
     parts = [
         f"k AS (SELECT MAP {{{known}}} AS known)",
         rf"both_cuts AS (SELECT doc_id, {ids(chr(34) + 'text' + chr(34))} AS by_line, {ids(chr(39) + chr(39) + ' || regexp_replace(' + chr(34) + 'text' + chr(34) + r", '[ \t]*\n[ \t]*', ' ', 'g')")} AS wrapped FROM (SELECT doc_id, coalesce(text, '') AS " + '"text"' + " FROM documents) d, k)",

@@ -2,7 +2,8 @@
 
 The pre-tokeniser of this vocabulary never joins characters on both sides of a
 lone space, so the ids of a text are the ids of its space-led chunks in order.
-Texts in which white space follows white space are encoded whole.
+Texts in which white space follows white space are encoded whole. Strings of
+special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from functools import lru_cache
 CACHE_CHUNKS = 250_000
 #: White space other than a space or a line end: such texts are encoded whole.
 _OTHER_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-_SPECIAL = "<|endoftext|>"
 
 
 def default_path() -> str:
@@ -45,6 +45,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
+        self._whole.encode_special_tokens = True  # a document can't write control tokens
         self._merge = _fast_encoder(path) or (lambda chunk: self._whole.encode(chunk, add_special_tokens=False).ids)
         self._first = _Chunks(lambda chunk: _packed(self._merge(chunk)))
         self._spaced = _Chunks(lambda chunk: _packed(self._merge(" " + chunk)))
@@ -53,7 +54,7 @@ class ByteBpe:
         """The ids of the whole text, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if text[0] == " " or "  " in text or "\n " in text or " \n" in text or _SPECIAL in text or _OTHER_SPACE.search(text):
+        if text[0] == " " or "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
             return _packed(self._whole.encode(text, add_special_tokens=False).ids)
         first, *spaced = text.split(" ")
         return self._first[first] + b"".join(map(self._spaced.__getitem__, spaced))
