@@ -242,13 +242,13 @@ def _outcome():
 @query(f"""WITH {_DECIDED}, windows AS (SELECT *, at AS opens, least(at + length_s, coalesce(min(CASE WHEN followed THEN at END) OVER (PARTITION BY session_id, dimension ORDER BY at, decision_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), at + length_s)) AS closes FROM decided),
 met AS (SELECT w.*, s.interaction_id, s.kind AS outcome, s.at AS signal_at, s.signal_id FROM windows w JOIN signals s ON w.session_id = s.session_id AND s.at BETWEEN opens AND closes WHERE s.kind <> 'BITE' OR s.interaction_id IS NOT NULL),
 best AS (SELECT *, (signal_at - opens) / length_s AS r FROM met QUALIFY row_number() OVER (PARTITION BY decision_id, dimension, interaction_id ORDER BY {_RANK} DESC, signal_at DESC, signal_id DESC) = 1)
-SELECT session_id, decision_id, dimension, followed, interaction_id, outcome, round(CASE WHEN r <= 1 THEN 1 - 0.7 * r WHEN r <= 2 THEN 0.3 * (2 - r) ELSE 0 END, 6) AS confidence FROM best
+SELECT session_id, decision_id, dimension, followed, interaction_id, outcome, round(CASE WHEN r <= 1 THEN 1 - 0.7 * r WHEN r <= 2 THEN 0.3 * (2 - r) ELSE 0 END, 9) AS confidence FROM best
 UNION ALL SELECT session_id, decision_id, dimension, followed, NULL, 'NO_BITE', 1.0 FROM windows WHERE followed AND decision_id NOT IN (SELECT decision_id FROM best WHERE {_SUCCESS})""")
 def alg_attribution(spark, d):
     p = points(spark, d)
     decided = p.filter("kind = 'view'").select("session_id", F.col("point_id").alias("decision_id"), _dimension().alias("dimension"), (F.col("value") > 30).alias("followed"), "at", F.lit(172_800).alias("length_s"))
     signals = p.filter("kind IN ('click', 'error', 'purchase')").select("session_id", F.col("point_id").alias("signal_id"), F.when(F.col("value") > 15, F.col("k")).alias("interaction_id"), _outcome().alias("kind"), "at")
-    return A.attribute(A.decision_windows(decided, "length_s"), signals, "length_s", 21_600).withColumn("confidence", F.round("confidence", 6))
+    return A.attribute(A.decision_windows(decided, "length_s"), signals, "length_s", 21_600).withColumn("confidence", F.round("confidence", 9))
 
 
 _OBSERVED = f"{POINTS}, observed AS (SELECT session_id, point_id AS id, session_id * 100 + k AS decision_id, {_DIMENSION} AS dimension, {_OUTCOME} AS outcome, value > 20 AS followed, value > 90 AS other, at, CASE WHEN value < 20 THEN 'REJECTED' WHEN value < 40 THEN 'PARTIALLY_FOLLOWED' WHEN value < 60 THEN 'ACKNOWLEDGED' ELSE 'ACCEPTED' END AS status FROM points)"
