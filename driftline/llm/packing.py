@@ -2,8 +2,8 @@
 
 Hierarchical residual packing. Pieces are dealt into groups of bounded size;
 each group packs its own pieces best-fit, largest first, and emits the bins
-that are nearly full. Bins with room left become items of the next, smaller
-round of groups, and so on until one group's worth is left.
+that are nearly full or cannot merge any more. The others become items of the
+next round, in which eight groups meet in one, and so on until one is left.
 
 A document's tokens are its ids and one end token. Only documents longer than
 a sequence are cut: the first piece takes the remainder, all others are full.
@@ -26,12 +26,19 @@ from driftline.llm.shared import materialise, slices, texts_of
 from driftline.llm.tokens import byte_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_BIN = "room long, items array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
+_BIN = "pack_group long, room long, open boolean, items array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 _ITEMS = pa.list_(pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())]))
 #: Items that one task packs at a time: about 100 bytes each.
 GROUP_ITEMS = 16_384
 #: A bin with this share of its tokens or fewer left is emitted at once.
 NEARLY_FULL = 1 / 256
+#: Groups of one round that meet in a group of the next.
+FAN_IN = 8
+#: Bins over half full that a group hands on, the roomiest first, beside its one bin that may be emptier.
+#: A merge needs a bin at most half full, of which each group has at most one, so each round uses at
+#: most ``FAN_IN`` of the others, and a roomier one always does as well: this many serve 16 rounds,
+#: which is 8**16 groups. A group after the first round so has at most 8 * 129 items.
+PARTNERS = 128
 
 
 def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
@@ -87,54 +94,50 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack_round(items: DataFrame, groups: int, capacity: int) -> DataFrame:
-    """Items (room, items) of each group best-fit into bins of the same form."""
+def _pack_round(items: DataFrame, capacity: int, slack: int, last: bool) -> DataFrame:
+    """Items (pack_group, room, items) of each group best-fit into bins of the same form.
+
+    ``open`` marks the bins that go on to the next round: the roomiest, unless
+    nearly full. ``pack_group`` is then the group that they go to.
+    """
 
     def pack(group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("room").to_pylist(), group.column("items").to_pylist()), key=lambda r: (r[0], [(x["doc_id"] is None, x["doc_id"] or 0, x["piece"], x["start"], x["ids_crc32"]) for x in r[1]]))
         packed = best_fit([capacity - room for room, _ in rows], capacity)
         merged = [[x for i in b for x in rows[i][1]] for b in packed]
-        room = []
+        rooms = []
         for b in merged:
             used = 0
             for x in b:
                 x["offset"], used = used, used + x["length"]
-            room.append(capacity - used)
-        return pa.table({"room": pa.array(room, pa.int64()), "items": pa.array(merged, _ITEMS)})
+            rooms.append(capacity - used)
+        roomiest = [] if last else sorted(range(len(rooms)), key=lambda i: -rooms[i])[: 1 + PARTNERS]
+        going = [False] * len(rooms)
+        for i in roomiest:
+            going[i] = rooms[i] > slack
+        parent = [group.column("pack_group")[0].as_py() // FAN_IN] * len(rooms)
+        return pa.table({"pack_group": pa.array(parent, pa.int64()), "room": pa.array(rooms, pa.int64()), "open": pa.array(going, pa.bool_()), "items": pa.array(merged, _ITEMS)})
 
-    first = F.col("items")[0]
-    group = F.pmod(F.xxhash64(first["doc_id"], first["piece"], first["start"], F.size("items"), first["ids_crc32"]), F.lit(groups)).cast("int")
-    return items.withColumn("pack_group", group).groupBy("pack_group").applyInArrow(lambda t: pack(t.drop_columns(["pack_group"])), _BIN)
+    return items.groupBy("pack_group").applyInArrow(pack, _BIN)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_items: int = GROUP_ITEMS, nearly_full: float = NEARLY_FULL) -> DataFrame:
     """Give each piece its ``sequence_id`` and ``offset``."""
     pieces = materialise(pieces)
+    groups = max(1, -(-pieces.count() // group_items))
     item = F.struct("doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))
-    bins = pieces.select((F.lit(capacity) - F.col("length")).alias("room"), F.array(item).alias("items"))
-    left, slack, done = pieces.count(), int(capacity * nearly_full), []
+    # The place of a row in the checkpoint deals equal rows to different groups, and is the same when read again.
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long")
+    bins = pieces.select(place.alias("pack_group"), (F.lit(capacity) - F.col("length")).alias("room"), F.array(item).alias("items"))
+    slack, sequences = int(capacity * nearly_full), None
     while True:
-        groups = max(1, -(-left // group_items))
-        packed = materialise(_pack_round(bins, groups, capacity))
-        underfull = packed.filter(F.col("room") > slack)
+        packed = materialise(_pack_round(bins, capacity, slack, last=groups == 1))
+        final = packed.filter(~F.col("open")).select("items")
+        sequences = final if sequences is None else sequences.unionByName(final)
         if groups == 1:
-            done.append(packed)
-            break
-        # Only a bin no fuller than the emptiest allows a merge; fuller ones are final.
-        now, least = underfull.agg(F.count("*"), F.max("room")).first()
-        mergeable = F.col("room") > slack
-        if now:
-            mergeable &= (F.lit(capacity) - F.col("room")) <= F.lit(least)
-        bins = packed.filter(mergeable)
-        done.append(packed.filter(~mergeable))
-        remaining = bins.count()
-        if remaining == 0:
             break
-        # A tree of fan-in 8: fewer groups each round, even if few bins were filled.
-        left = min(remaining, max(group_items, left // 8))
-    sequences = done[0]
-    for more in done[1:]:
-        sequences = sequences.unionByName(more)
+        bins = packed.filter("open").select("pack_group", "room", "items")
+        groups = -(-groups // FAN_IN)
     sequences = sequences.select(F.monotonically_increasing_id().alias("sequence_id"), "items")
     return sequences.select("sequence_id", F.explode("items").alias("of")).select("of.doc_id", "of.piece", "of.start", "of.length", "of.ids_crc32", "sequence_id", "of.offset")
 
