@@ -9,11 +9,11 @@ from driftline.functions import geo
 from driftline.operators import temporal as T
 from driftline.plans.base import POINTS, points, query, table
 
+
 def _order():
     return F.struct("at", "point_id")
 
 
-
 def _of_kind(p: DataFrame, kind: str) -> DataFrame:
     return p.filter(F.col("kind") == kind)
 
