@@ -218,18 +218,23 @@ def _compare(radius: int, width: int):
     return run
 
 
+def bucket_work(keyed: DataFrame, words: list[str], more: list[str] = []) -> DataFrame:
+    """Pieces of work (choice, key, lo, hi, members) of every bucket with two rows or more."""
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # A chunk meets itself and every other one: one row for each pair that it is in.
+    dealt = keyed.join(sizes, ["choice", "key"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("side", F.pmod(F.xxhash64(*words), F.col("chunks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    work = paired.groupBy("choice", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")).agg(F.collect_list(F.struct("rep", "side", *words, *more)).alias("members"))
+    return work.filter(F.size("members") > 1)
+
+
 def bucket_edges(keyed: DataFrame, radius: int, words: list[str]) -> DataFrame:
     """Edges that connect what is within the radius in any bucket.
 
     ``keyed``: (choice, key, rep, and the fingerprint's ``words``), a row for
     each bucket that a fingerprint is in. Edges are between reps.
     """
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    # A chunk meets itself and every other one: one row for each pair that it is in.
-    dealt = keyed.join(sizes, ["choice", "key"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("side", F.pmod(F.xxhash64(*words), F.col("chunks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    work = paired.groupBy("choice", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")).agg(F.collect_list(F.struct("rep", "side", *words)).alias("members"))
-    return work.filter(F.size("members") > 1).select("members").mapInArrow(_compare(radius, len(words)), "a long, b long")
+    return bucket_work(keyed, words).select("members").mapInArrow(_compare(radius, len(words)), "a long, b long")
 
 
 def fingerprint_edges(distinct: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
@@ -260,24 +265,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3, bl
 # --- near copies by similarity: wide fingerprints
 
 #: Bits of a wide fingerprint, and the tables of as many bits each that propose pairs.
-WIDE_BITS, TABLES, TABLE_BITS = 512, 48, 14
+WIDE_BITS, TABLES, TABLE_BITS = 512, 72, 14
+#: Standard deviations above the mean distance up to which a pair is proposed.
+SPREAD = 3.5
+#: Pairs of each text in a piece of work that the rounds propose; the last one proposes all.
+ROUNDS = (1, 1, None)
+#: Texts to a tile, on average; pairs are confirmed by pairs of tiles.
+TILE = 2048
 
 
 def wide_radius(similarity: float, bits: int = WIDE_BITS) -> int:
-    """Differing bits up to which texts of a shingle (Jaccard) similarity are linked.
+    """Differing bits up to which texts are proposed as of a shingle (Jaccard) similarity.
 
     Sets of a size with Jaccard similarity s have the cosine 2 s / (1 + s); a
-    bit differs with probability angle / pi. Two standard deviations more keep
-    about 98 of 100 pairs just at the similarity, and nearly all above it.
+    bit differs with probability angle / pi, and sets of different sizes with
+    that similarity are nearer. ``SPREAD`` standard deviations more keep all
+    but about 2 of 10,000 pairs just at the similarity.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + SPREAD * np.sqrt(bits * share * (1 - share)))
 
 
 def _wide(shingle_words: int):
     width = WIDE_BITS // 64
-    # Table t reads TABLE_BITS bits in steps of an odd stride round the fingerprint.
-    places = (np.arange(TABLES * TABLE_BITS) * 37 % WIDE_BITS).reshape(TABLES, TABLE_BITS)
+    # As many tables as a permutation of the bits fills, then those of the next one.
+    rng, each = np.random.default_rng(SEED), WIDE_BITS // TABLE_BITS
+    places = np.concatenate([rng.permutation(WIDE_BITS)[: each * TABLE_BITS].reshape(each, TABLE_BITS) for _ in range(-(-TABLES // each))])[:TABLES]
     powers = 1 << np.arange(TABLE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,20 +307,138 @@ def _wide(shingle_words: int):
     return run
 
 
-def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): groups of texts linked by a shingle similarity of about ``similarity`` or more.
+def _propose(radius: int, width: int, labelled: bool, limit: int | None, seed: int):
+    """Pieces of work to pairs (a, b), a > b, of representatives with different labels.
 
-    Equal word sequences are one class; classes are proposed by ``TABLES``
-    tables of a wide fingerprint's bits (a pair just at a similarity of 0.8
-    shares a table with probability 0.99) and compared bit-sliced on all bits.
+    With a limit a text is paired with as many of its smaller neighbours in the
+    piece, chosen by hash, and each text of a pair left out is named, as ``a``,
+    with its bucket in a row of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            members, choice, key = batch.column("members"), batch.column("choice").to_numpy(), batch.column("key").to_numpy()
+            starts = members.offsets.to_numpy()
+            lo = starts[0]
+            reps, side, *words = (members.values.field(k).to_numpy(zero_copy_only=False)[lo : starts[-1]] for k in range(2 + width))
+            labels = members.values.field(2 + width).to_numpy(zero_copy_only=False)[lo : starts[-1]] if labelled else reps
+            fps, starts = np.stack(words, axis=1).view(np.uint64), starts - lo
+            sizes = np.diff(starts)
+            group = np.repeat(np.arange(len(sizes)), sizes)
+
+            def rows(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+                apart = labels[i] != labels[j]
+                i, j = i[apart], j[apart]
+                g, a, b = group[i], np.maximum(reps[i], reps[j]), np.minimum(reps[i], reps[j])
+                over, left_out = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if limit and len(g):
+                    # A block meets itself in both orders, so a pair counts once.
+                    mixed = _mixes(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64), seed + 2)[:, seed + 1]
+                    order = np.lexsort((b, mixed, a, g))
+                    g, a, b = g[order], a[order], b[order]
+                    once = np.r_[True, (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                    g, a, b = g[once], a[once], b[once]
+                    first = np.r_[True, (g[1:] != g[:-1]) | (a[1:] != a[:-1])]
+                    at = np.arange(len(g))
+                    late = at - np.maximum.accumulate(np.where(first, at, 0)) >= limit
+                    over, left_out = np.unique(np.stack([np.r_[g[late], g[late]], np.r_[a[late], b[late]]]), axis=1)
+                    a, b = a[~late], b[~late]
+                none, no_bucket = [None] * len(over), pa.nulls(len(a), pa.int32())
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(np.r_[a, left_out], pa.int64()), pa.array([*b.tolist(), *none], pa.int64()), pa.concat_arrays([no_bucket, pa.array(choice[over], pa.int32())]), pa.concat_arrays([no_bucket, pa.array(key[over], pa.int32())])],
+                    names=["a", "b", "choice", "key"],
+                )
+
+            at = np.nonzero((sizes <= SMALL)[group])[0]
+            i, j = small_links(fps[at], group[at], radius)
+            yield rows(at[i], at[j])
+            for g in np.nonzero(sizes > SMALL)[0]:
+                own = np.arange(starts[g], starts[g + 1])
+                sides = side[own]
+                left, right = own[sides == sides.min()], own[sides == sides.max()]
+                i, j = block_links(fps[left], fps[right], radius)
+                yield rows(left[i], right[j])
+
+    return run
+
+
+def proposed(keyed: DataFrame, radius: int, words: list[str], labelled: bool, limit: int | None, seed: int) -> DataFrame:
+    """Distinct pairs (a, b) within the radius in any bucket, and rows (a, choice, key) of texts in pairs left out."""
+    work = bucket_work(keyed, words, ["label"] if labelled else []).select("choice", "key", "members")
+    return work.mapInArrow(_propose(radius, len(words), labelled, limit, seed), "a long, b long, choice int, key int").distinct()
+
+
+def jaccard_at_least(left: np.ndarray, right: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets of shingle hashes have the similarity."""
+    least, most = sorted((len(left), len(right)))
+    if least < similarity * most - 1e-9:
+        return False
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return both >= similarity * (least + most - both) - 1e-9
+
+
+def _confirm(shingle_words: int, similarity: float):
+    """Pairs (a, b) of two tiles and their texts (id, text) to edges that connect what the similar pairs connect."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for batch in slices(iter(texts.to_batches())):
+            for i, t in zip(batch.column("id").to_pylist(), texts_of(batch)):
+                sets.setdefault(i, []).append(np.unique(shingle_hashes(t.encode().lower().split(), shingle_words)))
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        near = np.fromiter((any(jaccard_at_least(x, y, similarity) for x in sets[i] for y in sets[j]) for i, j in zip(a.tolist(), b.tolist())), bool, len(a))
+        ids, at = np.unique(np.concatenate([a[near], b[near]]), return_inverse=True)
+        k, root = spanning_links(len(ids), *np.split(at, 2))
+        return pa.table({"a": pa.array(ids[k], pa.int64()), "b": pa.array(ids[root], pa.int64())})
+
+    return run
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Edges that connect what the pairs (a, b) whose texts have the similarity exactly connect.
+
+    Ids are dealt into tiles of about ``TILE``; a text goes once to each pair
+    of tiles in which it has a pair.
+    """
+    ends = F.explode(F.array("a", "b")).alias("id")
+    tiles = max(1, -(-pairs.select(ends).distinct().count() // TILE))
+    x, y = (F.pmod(F.xxhash64(c), F.lit(tiles)) for c in ("a", "b"))
+    dealt = pairs.select("a", "b", (F.least(x, y) * tiles + F.greatest(x, y)).alias("tile"))
+    texts = dealt.select("tile", ends).distinct().join(docs.withColumnRenamed("doc_id", "id"), "id").select((F.col("tile") + 0).alias("text_tile"), "id", "text")
+    return dealt.groupBy("tile").cogroup(texts.groupBy("text_tile")).applyInArrow(_confirm(shingle_words, similarity), "a long, b long")
+
+
+def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): groups of texts linked by a shingle similarity of ``similarity`` or more.
+
+    Equal word sequences are one class. Pairs of classes are proposed by
+    ``TABLES`` tables of a wide fingerprint's bits (a pair just at a similarity
+    of 0.8 shares a table with probability 0.999) and its radius, and every
+    link is confirmed by the exact Jaccard similarity of the distinct shingles.
+    First rounds propose few pairs of each text; buckets that have more are
+    searched again for pairs that the links have not yet brought together, in
+    the last round for all of them.
     """
     words = [f"w{i}" for i in range(WIDE_BITS // 64)]
     schema = f"doc_id long, same binary, {', '.join(f'{w} long' for w in words)}, keys array<int>"
-    marked = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide(shingle_words), schema))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = stored(docs.mapInArrow(_wide(shingle_words), schema))
     first = ["keys", *words]
     classes = marked.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in first])
-    keyed = classes.select("rep", *words, F.posexplode("keys").alias("choice", "key"))
-    linked = components(bucket_edges(keyed, wide_radius(similarity), words)).withColumnRenamed("id", "rep")
+    keyed, radius = classes.select("rep", *words, F.posexplode("keys").alias("choice", "key")), wide_radius(similarity)
+    edges, linked, searched = None, None, keyed
+    for seed, limit in enumerate(ROUNDS):
+        found = stored(proposed(searched, radius, words, linked is not None, limit, seed))
+        near = stored(confirmed(found.filter("b is not null").select("a", "b"), docs, shingle_words, similarity))
+        edges = near if edges is None else edges.union(near)
+        linked = components(edges).withColumnRenamed("id", "rep")
+        # Texts of pairs left out meet again where their bucket still has two labels of them.
+        left_out = found.filter("b is null").select("choice", "key", F.col("a").alias("rep")).join(linked, "rep", "left").withColumn("label", F.coalesce("component_id", "rep")).drop("component_id")
+        apart = left_out.groupBy("choice", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("choice", "key")
+        left_out = stored(left_out.join(apart, ["choice", "key"], "left_semi"))
+        if left_out.isEmpty():
+            break
+        searched = left_out.join(classes.select("rep", *words), "rep")
     grouped = classes.select("same", "rep").join(linked, "rep", "left").select("same", F.coalesce("component_id", "rep").alias("component_id"))
     return marked.select("doc_id", "same").join(grouped, "same", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

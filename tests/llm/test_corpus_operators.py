@@ -287,3 +287,35 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.columns == names
+
+
+def at_similarity(tag, similarity, n=300):
+    """Two texts of about n different shingles each with about the similarity: one has a tail of its own."""
+    shared = round(n * 2 * similarity / (1 + similarity))
+    words = [[f"{tag}{side}{i}" for i in range(n - shared)] for side in "xy"]
+    base = [f"{tag}s{i}" for i in range(shared + 4)]
+    return [" ".join(base + own) for own in words]
+
+
+def exact_jaccard(s, t, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (s.split(), t.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_links_are_exact_similarities(spark):
+    pairs = [at_similarity(f"p{i}q", s) for i, s in enumerate([0.70, 0.75, 0.78, 0.80, 0.803, 0.85] * 12)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, [t for p in pairs for t in p])).collect()}
+    near = [exact_jaccard(*p) >= 0.8 for p in pairs]
+    assert 12 < sum(near) < 60
+    assert [got[2 * i + 1] == got[2 * i] for i in range(len(pairs))] == near
+
+
+def test_large_groups_are_searched_whole(spark):
+    # One template with different middles: below the threshold for all pairs but those with equal middles and other ends.
+    base, texts = [f"b{i}" for i in range(240)], []
+    for i in range(70):
+        middle = [f"m{i // 2}x{j}" for j in range(40)]
+        texts.append(" ".join([*base, *middle, f"end{i}"]))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, texts)).collect()}
+    root = groups([(i, j) for i in range(70) for j in range(i) if exact_jaccard(texts[i], texts[j]) >= 0.8], 70)
+    assert [got[i] for i in range(70)] == root and len(set(root)) == 35
