@@ -53,13 +53,15 @@ def shingle_hashes(words: list[bytes], shingle_words: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
 
 
-def fingerprint(words: list[bytes], shingle_words: int = 3, bits: int = 64) -> np.ndarray:
+def fingerprint(words: list[bytes], shingle_words: int = 3, bits: int = 64, distinct: bool = False) -> np.ndarray:
     """The fingerprint of lower-cased words, as ``bits / 64`` unsigned integers.
 
     The first integer has the bits of XXH64 itself, the others those of fixed
-    mixes of it.
+    mixes of it. ``distinct`` counts each shingle once.
     """
     hashes = shingle_hashes(words, shingle_words)
+    if distinct:
+        hashes = np.unique(hashes)
     n, width = len(hashes), bits // 64
     if not n:
         return np.zeros(width, np.uint64)
@@ -298,7 +300,7 @@ def _wide(shingle_words: int):
 
         for batch in slices(batches):
             words_of = [t.encode().lower().split() for t in texts_of(batch)]
-            fps = np.stack([fingerprint(w, shingle_words, WIDE_BITS) for w in words_of]) if words_of else np.zeros((0, width), np.uint64)
+            fps = np.stack([fingerprint(w, shingle_words, WIDE_BITS, distinct=True) for w in words_of]) if words_of else np.zeros((0, width), np.uint64)
             bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
             keys = (bits[:, places] * powers).sum(axis=2).astype(np.int32)
             same = [xxhash.xxh128_digest(b" ".join(w)) for w in words_of]

@@ -319,3 +319,12 @@ def test_large_groups_are_searched_whole(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, texts)).collect()}
     root = groups([(i, j) for i in range(70) for j in range(i) if exact_jaccard(texts[i], texts[j]) >= 0.8], 70)
     assert [got[i] for i in range(70)] == root and len(set(root)) == 35
+
+
+def test_repeats_count_once(spark):
+    passage = " ".join(f"s{i}" for i in range(24))
+    shared = [" ".join([*[passage] * 10, *(f"{side}{i}" for i in range(200))]) for side in "xy"]
+    body = " ".join(f"z{i}" for i in range(260))
+    same = [f"{body} {' '.join([passage] * n)}" for n in (1, 12)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(table(spark, [*shared, *same])).collect()}
+    assert [got[i] for i in range(4)] == [0, 1, 2, 2]
