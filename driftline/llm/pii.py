@@ -88,6 +88,20 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(done, at + 1))
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """IBANs of which a candidate may take in what follows, or hide one that starts inside it."""
+    found = _IBAN.search(text)
+    while found:
+        s, at = found.group(), found.start() + 1
+        for end in (len(s), *(i for i in range(len(s) - 1, 0, -1) if s[i] == " ")):
+            code = s[:end].replace(" ", "")
+            if 15 <= len(code) <= 34 and mod97(code):
+                at = found.start() + end
+                yield found.start(), at
+                break
+        found = _IBAN.search(text, at)
+
+
 def _matches(pattern: re.Pattern, valid: Callable[[str], bool]) -> Callable[[str], Iterator[tuple[int, int]]]:
     return lambda text: (m.span() for m in pattern.finditer(text) if valid(m.group()))
 
@@ -114,7 +128,7 @@ _FIND: dict[str, Callable[[str], Iterator[tuple[int, int]]]] = {
     "ip": _matches(_IP, _valid_ip),
     "card": _matches(_CARD, _valid_card(16, 19)),
     "phone": _matches(_PHONE, lambda s: 8 <= len(_digits(s)) <= 15),
-    "iban": _matches(_IBAN, lambda s: 15 <= len(c := s.replace(" ", "")) <= 34 and mod97(c)),
+    "iban": _ibans,
     "ssn": _matches(_SSN, _valid_ssn),
     "short_card": _matches(_CARD, _valid_card(13, 15)),
     "local_phone": _matches(_LOCAL_PHONE, lambda s: True),
