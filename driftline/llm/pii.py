@@ -43,7 +43,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,512}+(?![A-Za-z0-9_-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)*+")
 
 #: Score before context, and the words that raise it by ``RAISE`` each kind once.
 RAISE = 0.35
@@ -148,11 +149,22 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     certain = sorted((a, b) for _, a, b, _ in found)
     for kind in KINDS[CERTAIN:]:
         base, _ = _CONTEXT_WORDS[kind]
-        for a, b in _FIND[kind](text):
+        near = lambda a, b: _CONTEXT_RE[kind].search(f"{text[max(0, a - CONTEXT) : a]} {text[b : b + CONTEXT]}") is not None  # noqa: B023, E731
+        spans = list(_FIND[kind](text))
+        raised = [near(a, b) for a, b in spans]
+        if kind == "secret" and spans:
+            # The context of a dotted token, or of one part of it, holds for all its parts.
+            tokens, last, parts = _DOTTED.finditer(text), (0, 0), []
+            for a, _ in spans:
+                while last[1] <= a:
+                    last = next(tokens).span()
+                parts.append(last)
+            with_context = {t for t, r in zip(parts, raised) if r} | {t for t in set(parts) if near(*t)}
+            raised = [t in with_context for t in parts]
+        for (a, b), r in zip(spans, raised):
             if any(x < b and a < y for x, y in certain):
                 continue
-            near = f"{text[max(0, a - CONTEXT) : a]} {text[b : b + CONTEXT]}"
-            score = min(1.0, base + RAISE * (_CONTEXT_RE[kind].search(near) is not None))
+            score = min(1.0, base + RAISE * r)
             if score >= THRESHOLD:
                 found.append((kind, a, b, score))
     return found

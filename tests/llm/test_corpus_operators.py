@@ -333,3 +333,10 @@ def test_repeats_count_once(spark):
 def test_ibans_before_words():
     texts = {"ES91 2100 0418 4502 0005 1332 EUR 50": "[IBAN] EUR 50", "BE68 5390 0754 7034 BIC": "[IBAN] BIC", "BE68 5390 0754 7034 BANK CODE 12": "[IBAN] BANK CODE 12", "AB13 3456 7890 BE68 5390 0754 7034": "AB13 3456 7890 [IBAN]", "BE68 5390 0754 7035 BIC": "BE68 5390 0754 7035 BIC"}
     assert {t: pii.redacted(t) for t in texts} == texts
+
+
+def test_long_and_dotted_secrets():
+    part = lambda n: ("Ab3dE9xQ7z_k" * n)[: 12 * n]
+    assert pii.redacted(f"token {part(60)} end") == "token [SECRET] end"
+    assert pii.redacted(f"bearer {part(3)}.{part(80)}.{part(4)}") == "bearer [SECRET].[SECRET].[SECRET]"
+    assert pii.redacted(f"name {part(60)} end") == f"name {part(60)} end"
