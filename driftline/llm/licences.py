@@ -1,10 +1,9 @@
 """Licence recognition by sentences, with DataFrame functions alone.
 
-A text is cut into sentences at line ends and at sentence marks before white
-space, once with line ends as breaks and once with them as spaces (for
-hard-wrapped licence texts); the cut that recognises more sentences counts, and
-the first on a tie. Normalised sentences are looked up among known licence
-sentences, and the sequence of their identifiers is matched against ordered
+Blank lines and sentence marks before white space break a text (the mark of
+``v.`` before a digit does not); a single line end may be a break or a space.
+Known normalised sentences are found between breaks, also across the line ends
+of a hard-wrapped text, and the sequence of their identifiers is matched against ordered
 rules: a rule that matches takes its identifiers, so that the shorter rules
 after it see only what is left.
 
@@ -86,22 +85,25 @@ RULES = (
 )
 
 
+_BREAK, _LINE = "\x01", "\x02"
+
+
 def _sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text in which line ends are the only breaks."""
+    """Identifiers of the known sentences of a text, in its order."""
     known = F.create_map(*[F.lit(x) for sid, sentence in SENTENCES.items() for x in (sentence, sid)])
-    # The colon of an SPDX line ends no sentence.
-    text = F.replace(text, F.lit("SPDX-License-Identifier:"), F.lit("SPDX-License-Identifier"))
-    sentences = F.split(F.regexp_replace(text, r"[.;:!?](?:[ \t]|$|(?=\n))", "\n"), "\n")
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda s: s.isNotNull())
+    # The colon of an SPDX line and the point of "v. 2.0" end no sentence, nor does the blank line before an address.
+    text = F.replace(F.regexp_replace(text, r"[\x01\x02\r]", " "), F.lit("SPDX-License-Identifier:"), F.lit("SPDX-License-Identifier"))
+    text = F.regexp_replace(F.regexp_replace(text, r"(?i)\bv\.\s+(?=[0-9])", "v "), r"(?i)\bat:?[ \t]*\n\s*(?=https?://)", "at ")
+    text = F.regexp_replace(F.regexp_replace(text, r"[.;:!?](?=[ \t\n]|$)", _BREAK), r"\n[ \t]*+\n", _BREAK)
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, "\n", _LINE)), r"[^a-z0-9\x01\x02]+", " ")
+    sentences = "|".join(s.replace(" ", r"[ \x02]+") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(F.concat(F.lit(_BREAK), plain, F.lit(_BREAK)), F.lit(rf"(?<=[\x01\x02] ?)(?:{sentences})(?= ?[\x01\x02])"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(s, r"[ \x02]+", " ")))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licences, classes, unmatched): arrays in the order of the rules or the text."""
-    text = F.coalesce("text", F.lit(""))
-    wrapped = F.regexp_replace(text, r"[ \t]*\n[ \t]*", " ")
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sentence_ids(text).alias("lines"), _sentence_ids(wrapped).alias("wraps"))
-    found = both.select("doc_id", F.when(F.size("wraps") > F.size("lines"), F.col("wraps")).otherwise(F.col("lines")).alias("sentence_ids"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _sentence_ids(F.coalesce("text", F.lit(""))).alias("sentence_ids"))
     rules = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit(kind).alias("class"), F.lit("".join(f"[{s}]" for s in seq)).alias("pattern")) for name, kind, seq in RULES])
     start = F.struct(F.array_join(F.transform("sentence_ids", lambda s: F.concat(F.lit("["), s, F.lit("]"))), "").alias("left"), F.array().cast("array<struct<licence:string,class:string,n:long>>").alias("hits"))
 

@@ -340,3 +340,29 @@ def test_long_and_dotted_secrets():
     assert pii.redacted(f"token {part(60)} end") == "token [SECRET] end"
     assert pii.redacted(f"bearer {part(3)}.{part(80)}.{part(4)}") == "bearer [SECRET].[SECRET].[SECRET]"
     assert pii.redacted(f"name {part(60)} end") == f"name {part(60)} end"
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    wrap = lambda t: "\n\n".join(textwrap.fill(p, 70) for p in t.split("\n\n"))
+    head = "Copyright (c) 2020 A. Person\n"
+    notices = "\n".join(["Released under the MIT License"] * 5)
+    texts = [f"{head}\n{wrap(MIT)}", head + wrap(ISC), f"{head}\n{wrap(BSD)}", wrap(MPL), f"{notices}\n\n{wrap(ISC)}", wrap(MPL.replace("v. 2.0", "v.\n2.0"))]
+    got = {r["doc_id"]: r for r in licences.scan(table(spark, texts)).collect()}
+    assert [got[i]["licences"] for i in range(6)] == [["MIT"], ["ISC"], ["BSD-3-Clause"], ["MPL-2.0"], ["MIT", "ISC"], ["MPL-2.0"]]
+    assert got[0]["sentence_ids"] == ["mit-grant", "mit-condition"] and got[2]["n_unmatched"] == 0
