@@ -1,24 +1,32 @@
 """Language-model scoring by context-tree weighting.
 
-A text is its lower-cased (A-Z) words, each as its bytes and a closing space,
-and then one end mark. A byte is eight binary decisions, each in a context of
-up to ``depth`` bytes before it within the word; before a word's first byte
-stand spaces. Every node of this context tree has a Krichevsky-Trofimov
+A text is its lower-cased (A-Z) words with single spaces between them, and one
+end mark; end marks stand before its first byte. A byte is eight binary
+decisions, each in a context of up to ``depth`` bytes before it, whatever words
+they belong to. Every node of this context tree has a Krichevsky-Trofimov
 estimate of its decisions, and the weighting of each node with its children
 mixes the estimates of all depths. The tree is learned from the training rows
 and then fixed, so a byte's code length depends on its context alone.
 
-Work is by types, not tokens: documents are dealt by ranges of their id into
-buckets, whose word types are counted once, and the types are dealt by hash
-into parts, whose grams (depth + 1 bytes) are counted once, so tables of counts
-are shuffled rather than tokens. Each level of the tree is an aggregation of
-the one below; the mixtures flow down by joins with the parents. The parts then
-turn grams' code lengths into words', and each bucket meets its texts again.
+The tree is held as counts of grams (``depth`` bytes and the next one):
+
+* Each task cuts its texts into groups of bounded bytes and counts every
+  group's distinct grams and words, sorted and packed, dealt into parts by the
+  ``SPLIT`` bytes nearest to the predicted one. Groups follow the order in
+  which rows come, so neither ids nor repeated rows nor null ids crowd one.
+* The counts of a part are merged, ``FAN_IN`` groups at a time, and the part's
+  subtrees are weighted from the leaves up to depth ``SPLIT``; the few levels
+  above are DataFrame aggregations, and their mixtures flow down by joins.
+* Parts answer each group with the code lengths of its grams and the counts of
+  its words, and each group scores its own texts.
+
+Nothing is gathered that grows with the input but the counts themselves, which
+stay dealt; the driver sees two numbers of them.
 
 Defined cases: a null or empty text has the end mark alone; a null id is
-training text; repeated rows count as often as they occur; with no training
-text every decision is even; an empty table gives no rows; extra columns are
-ignored.
+training text; repeated rows count as often as they occur; ids may be any
+longs; with no training text every decision is even; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,115 +42,297 @@ from pyspark.sql import functions as F
 
 from driftline.llm.shared import crc_remainder, slices, stored, texts_of
 
-DEPTH = 5
-#: Documents to a bucket, on average.
-BUCKET_DOCS = 8192
-#: Word types of buckets to a part, on average.
-PART_ROWS = 800_000
-#: Word types that a task counts before it hands them on.
-FLUSH_TYPES = 400_000
-_PAD, _CLOSE, _END = 0x20, b" ", b"\n"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+DEPTH = 7
+#: Bytes of context that deal grams into parts.
+SPLIT = 3
+#: Bytes of text to a group at most (one longer text is a group of its own), and to a packed row.
+GROUP_BYTES, CHUNK_BYTES = 80_000_000, 2_000_000
+#: Groups whose counts are merged at once.
+FAN_IN = 64
+#: Distinct grams that wait for a merge inside a task.
+PENDING = 4_000_000
+_END = b"\n"
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
+_TEXTS, _GRAMS, _WORDS = 0, 1, 2
+_ROWS = "grp long, kind int, part long, ids array<long>, held array<boolean>, texts binary, keys binary, counts binary"
+_U8 = np.uint64(8)
 
 
-def gram_keys(types: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The gram of every byte of closed words, one word after another, and each word's first place.
+# --- packing
 
-    A gram is depth bytes of context and the byte itself, packed into one integer.
-    """
-    closed = [t if t == _END else t + _CLOSE for t in types]
-    pad = bytes([_PAD]) * depth
-    flat = np.frombuffer(pad + pad.join(closed), np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, closed), np.int64, len(closed))
-    firsts = np.cumsum(lengths) - lengths
-    places = np.arange(lengths.sum()) + np.repeat(np.arange(1, len(closed) + 1) * depth, lengths)
-    keys = np.zeros(len(places), np.int64)
-    for back in range(depth, -1, -1):
-        keys = (keys << 8) | flat[places - back]
-    return keys, firsts
 
+def _zip(data: bytes) -> bytes:
+    import zstandard
 
-def _count_types():
-    """Texts to rows (bucket, word, n): n is the count in training texts, zero for others' types."""
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trained: dict[int, Counter] = {}
-        seen: dict[int, set] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for bucket in seen:
-                counts, types = trained.get(bucket, Counter()), sorted(seen[bucket])
-                n = np.fromiter((counts[t] for t in types), np.int64, len(types))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(types), bucket)), pa.array(types, pa.binary()), pa.array(n)], names=["bucket", "word", "n"])
-            trained.clear()
-            seen.clear()
+def _unzip(data: bytes) -> bytes:
+    import zstandard
 
-        for batch in slices(batches):
-            for bucket, held_out, text in zip(batch.column("bucket").to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch)):
-                words = text.encode().lower().split()
-                words.append(_END)
-                seen.setdefault(bucket, set()).update(words)
-                if not held_out:
-                    trained.setdefault(bucket, Counter()).update(words)
-            if sum(map(len, seen.values())) > FLUSH_TYPES:
-                yield from flush()
-        yield from flush()
+    return zstandard.ZstdDecompressor().decompress(data)
 
-    return run
 
+def _pack_numbers(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, so that equal high bytes lie together."""
+    return _zip(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
 
-#: In place of grams: the part's training types, and its training tokens.
-_TYPES, _TOKENS = -1, -2
 
+def _unpack_numbers(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(_unzip(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
-def _types_of(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words of a part, the place of each row among them, and the words' training counts."""
-    if not rows.num_rows:
-        return [], np.zeros(0, np.int64), np.zeros(0)
-    coded = rows.column("word").combine_chunks().dictionary_encode()
-    at = coded.indices.to_numpy()
-    return coded.dictionary.to_pylist(), at, np.bincount(at, rows.column("n").to_numpy(), minlength=len(coded.dictionary))
 
+def pack_grams(keys: np.ndarray) -> bytes:
+    """Ascending unsigned integers by their differences."""
+    return _pack_numbers(np.diff(keys, prepend=np.uint64(0)))
 
-def _part_grams(depth: int):
-    """Rows of a part to its distinct grams with their training counts."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        types, _, n = _types_of(rows)
-        keys, firsts = gram_keys(types, depth)
-        grams, place = np.unique(keys, return_inverse=True)
-        counts = np.bincount(place, np.repeat(n, np.diff(np.append(firsts, len(keys)))), minlength=len(grams))
-        part = np.full(len(grams) + 2, rows.column("part")[0].as_py())
-        return pa.table({"part": part, "gram": np.append(grams, [_TYPES, _TOKENS]), "n": np.append(counts, [(n > 0).sum(), n.sum()]).astype(np.int64)})
+def unpack_grams(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack_numbers(data, "<u8"), dtype=np.uint64)
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    """Words hold no line end; the end mark is the empty one."""
+    return _zip(b"\n".join(words))
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    return _unzip(data).split(b"\n")
+
+
+# --- grams of texts
 
-    return run
 
+def gram_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of every byte of the texts, one text after another, and each text's first place.
 
-def _part_words(depth: int):
-    """Rows of a part with the count of their word in the training texts and its code length."""
+    A gram's highest byte is the one just before the predicted byte, its lowest
+    the predicted byte itself.
+    """
+    pad = _END * depth
+    flat = np.frombuffer(pad + pad.join(texts), np.uint8)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    inside = np.zeros(len(flat), bool)
+    starts = depth + np.cumsum(lengths + depth) - lengths - depth
+    edges = np.zeros(len(flat) + 1, np.int8)
+    edges[starts] += 1
+    edges[starts + lengths] -= 1
+    inside = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)
+    keys = np.zeros(len(flat) - depth, np.uint64)
+    for back in [*range(1, depth + 1), 0]:
+        keys = (keys << _U8) | flat[depth - back : len(flat) - back]
+    return keys[inside[depth:]], np.cumsum(lengths) - lengths
+
+
+def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of several sorted lists, with their counts added up."""
+    every, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    starts = np.nonzero(np.r_[True, every[1:] != every[:-1]])[0] if len(every) else np.zeros(0, np.int64)
+    return every[starts], np.add.reduceat(n[order], starts) if len(every) else n
+
+
+def _parts_of(keys: np.ndarray, depth: int, split: int, parts: int) -> np.ndarray:
+    """The part of each gram, by its nearest ``split`` bytes of context."""
+    near = keys >> np.uint64(8 * (depth + 1 - split))
+    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+
+
+class _Group:
+    """Counts of the texts of one group so far."""
+
+    def __init__(self, depth: int):
+        self.depth, self.bytes = depth, 0
+        self.words: Counter = Counter()
+        self.seen: set[bytes] = set()
+        self.keys, self.counts = [], []
+        self.waiting = 0
+
+    def add(self, texts: list[bytes], held: list[bool]) -> None:
+        for is_held in (False, True):
+            own = [t for t, h in zip(texts, held) if h == is_held]
+            if not own:
+                continue
+            keys, n = np.unique(gram_keys(own, self.depth)[0], return_counts=True)
+            self.keys.append(keys)
+            self.counts.append(np.zeros(len(n), np.int64) if is_held else n)
+            self.waiting += len(keys)
+            for text in own:
+                words = text[:-1].split(b" ")  # no word gives the end mark alone
+                if text != _END:
+                    words.append(b"")
+                (self.seen if is_held else self.words).update(words)
+        self.bytes += sum(map(len, texts))
+        if self.waiting > PENDING:
+            keys, n = merge_counts(self.keys, self.counts)
+            self.keys, self.counts, self.waiting = [keys], [n], 0
+
+    def rows(self, parts: int, split: int) -> Iterator[tuple]:
+        """(kind, part, keys, counts), packed."""
+        keys, n = merge_counts(self.keys, self.counts)
+        part = _parts_of(keys, self.depth, split, parts)
+        for p in np.unique(part):
+            own = part == p
+            yield _GRAMS, int(p), pack_grams(keys[own]), _pack_numbers(n[own])
+        import zlib
+
+        dealt: dict[int, list[bytes]] = {}
+        for word in self.seen.union(self.words):
+            dealt.setdefault(zlib.crc32(word) % parts, []).append(word)
+        for p, words in dealt.items():
+            words.sort()
+            yield _WORDS, p, _pack_words(words), _pack_numbers(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+
+
+def _arrow_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in _ROWS.split(", ")])
+
+
+def _count_groups(depth: int, split: int, parts: int, group_bytes: int):
+    """Rows (doc_id, held_out, text) to the packed texts and counts of groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        at, group = TaskContext.get().partitionId() << 32, _Group(depth)
+        ids, held, texts, size = [], [], [], 0
+
+        def text_row() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            if texts:
+                group.add(texts, held)
+                yield _arrow_rows([(at, _TEXTS, None, list(ids), list(held), _zip(b"".join(texts)), None, None)])
+            ids.clear(), held.clear(), texts.clear()
+            size = 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal at, group
+            yield from text_row()
+            if group.bytes:
+                for row in group.rows(parts, split):
+                    yield _arrow_rows([(at, row[0], row[1], None, None, None, *row[2:])])
+            at, group = at + 1, _Group(depth)
 
-    def run(rows: pa.Table, grams: pa.Table) -> pa.Table:
-        types, at, n = _types_of(rows)
-        keys, firsts = gram_keys(types, depth)
-        ids, logs = grams.column("gram").to_numpy(), grams.column("log10_p").to_numpy()
-        order = np.argsort(ids)
-        by_type = np.add.reduceat(logs[order][np.searchsorted(ids[order], keys)], firsts) if types else np.zeros(0)
-        return pa.table({"bucket": rows.column("bucket"), "word": rows.column("word"), "n": n[at].astype(np.int64), "log10_p": by_type[at]})
+        for batch in slices(batches):
+            for doc_id, is_held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch)):
+                if group.bytes + size + len(text) > group_bytes and texts:
+                    yield from close()
+                ids.append(doc_id)
+                held.append(is_held)
+                texts.append(b" ".join(text.encode().lower().split()) + _END)
+                size += len(texts[-1])
+                if size > CHUNK_BYTES:
+                    yield from text_row()
+        yield from close()
 
     return run
 
 
-def _log_gamma(x: Column) -> Column:
+# --- the tree
+
+
+_TABLE = np.arange(1 << 16)
+_LOG_GAMMA_HALF = np.array([math.lgamma(i + 0.5) for i in _TABLE.tolist()])
+_LOG_GAMMA_ONE = np.array([math.lgamma(i + 1.0) for i in _TABLE.tolist()])
+
+
+def _log_gamma(n: np.ndarray, table: np.ndarray, offset: float) -> np.ndarray:
+    """ln Gamma(n + offset) of counts: a table, and Stirling's series beyond it."""
+    out = table[np.minimum(n, len(table) - 1)]
+    large = np.nonzero(n >= len(table))[0]
+    if len(large):
+        z = n[large] + offset
+        out[large] = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3)
+    return out
+
+
+def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov probability of a sequence with n0 zeros and n1 ones."""
+    return _log_gamma(n0, _LOG_GAMMA_HALF, 0.5) + _log_gamma(n1, _LOG_GAMMA_HALF, 0.5) - _log_gamma(n0 + n1, _LOG_GAMMA_ONE, 1.0) - math.log(math.pi)
+
+
+class Subtrees:
+    """The subtrees below depth ``split`` of one part's grams.
+
+    Level d has the distinct (d bytes of context, predicted byte) of the part,
+    sorted; the nodes of decision k are runs of equal context and first k bits.
+    Decisions do not touch each other's nodes, so they are worked one by one.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int, split: int):
+        self.depth, self.split = depth, split
+        self.keys, self.counts, self.parent = {depth: keys}, {depth: counts}, {}
+        for d in range(depth - 1, split - 1, -1):
+            below = self.keys[d + 1]
+            shorter = ((below >> np.uint64(16)) << _U8) | (below & np.uint64(255))
+            self.keys[d], self.parent[d + 1] = np.unique(shorter, return_inverse=True)
+            self.counts[d] = np.bincount(self.parent[d + 1], self.counts[d + 1], len(self.keys[d])).astype(np.int64)
+
+    def nodes(self, k: int) -> dict[int, dict[str, np.ndarray]]:
+        """Decision k's nodes by level: ``row`` (the first of the run), ``at`` (each row's node), counts, log_w, share."""
+        out: dict[int, dict[str, np.ndarray]] = {}
+        for d in range(self.depth, self.split - 1, -1):
+            keys, counts = self.keys[d], self.counts[d]
+            run = keys >> np.uint64(8 - k)
+            first = np.r_[True, run[1:] != run[:-1]]
+            row = np.nonzero(first)[0]
+            ones = (keys >> np.uint64(7 - k)) & np.uint64(1) == 1
+            total, n1 = np.add.reduceat(counts, row), np.add.reduceat(np.where(ones, counts, 0), row)
+            node = {"row": row, "at": np.cumsum(first) - 1, "n0": total - n1, "n1": n1}
+            own = _log_kt(node["n0"], n1)
+            if d == self.depth:
+                node |= {"log_w": own, "share": np.ones(len(row))}
+            else:
+                below = out[d + 1]
+                below["up"] = node["at"][self.parent[d + 1][below["row"]]]
+                children = np.bincount(below["up"], below["log_w"], len(row))
+                node |= {"log_w": np.logaddexp(own, children) - math.log(2), "share": 1 / (1 + np.exp(np.minimum(700.0, children - own)))}
+            out[d] = node
+        return out
+
+    def top_keys(self, k: int, row: np.ndarray) -> np.ndarray:
+        """Node keys at depth ``split``: the context, and below it a one and the first k bits."""
+        keys = self.keys[self.split][row]
+        return ((keys >> _U8) << _U8) | np.uint64(1 << k) | ((keys & np.uint64(255)) >> np.uint64(8 - k))
+
+    def tops(self) -> dict[str, np.ndarray]:
+        """Nodes at depth ``split``: key, n0, n1, log_w, share."""
+        found = []
+        for k in range(8):
+            node = self.nodes(k)[self.split]
+            found.append((self.top_keys(k, node["row"]), node["n0"], node["n1"], node["log_w"], node["share"]))
+        return dict(zip(("key", "n0", "n1", "log_w", "share"), (np.concatenate(c) for c in zip(*found))))
+
+    def code_lengths(self, keys: np.ndarray, mix: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """log10 of each gram's probability, given the mixtures down to depth ``split`` by sorted node keys."""
+        total = np.zeros(len(self.keys[self.depth]))
+        for k in range(8):
+            nodes = self.nodes(k)
+            at = np.searchsorted(keys, self.top_keys(k, nodes[self.split]["row"]))
+            m, r = mix[at], rest[at]
+            for d in range(self.split + 1, self.depth + 1):
+                node = nodes[d]
+                one = (node["n1"] + 0.5) / (node["n0"] + node["n1"] + 1)
+                m, r = m[node["up"]] + r[node["up"]] * node["share"] * one, r[node["up"]] * (1 - node["share"])
+            m = m[nodes[self.depth]["at"]]
+            ones = (self.keys[self.depth] >> np.uint64(7 - k)) & np.uint64(1) == 1
+            total += np.log10(np.where(ones, m, 1 - m))
+        return total
+
+
+def _log_gamma_column(x: Column) -> Column:
     """ln Gamma for x of 0.5 and more: Stirling's series six steps up."""
     z = x + 6
     product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
     return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.log(product)
 
 
-def _log_kt() -> Column:
-    """ln of the Krichevsky-Trofimov probability of a sequence with n0 zeros and n1 ones."""
+def _log_kt_column() -> Column:
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1) - math.log(math.pi)
+    return _log_gamma_column(n0 + 0.5) + _log_gamma_column(n1 + 0.5) - _log_gamma_column(n0 + n1 + 1) - math.log(math.pi)
 
 
 def _one() -> Column:
@@ -150,92 +340,163 @@ def _one() -> Column:
     return (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
 
 
-def _parent(key: Column, depth: int) -> Column:
-    """The node of the same decision whose context is cut to ``depth`` bytes."""
-    context = F.shiftright(key, 8).bitwiseAND(F.lit((1 << (8 * depth)) - 1).cast("long"))
-    return F.shiftleft(context, 8).bitwiseOR(key.bitwiseAND(F.lit(255).cast("long")))
-
+def _shorter(key: str) -> Column:
+    """The node of the same decision whose context lacks the farthest byte."""
+    return F.shiftleft(F.shiftright(key, 16), 8).bitwiseOR(F.col(key).bitwiseAND(F.lit(255).cast("long")))
 
-def code_lengths(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, log10_p) for each gram of ``grams`` (gram, n): n training occurrences, zero allowed.
 
-    A node's key is its context and, in the low byte, a one and the decisions
-    of its byte so far. Zero counts give even odds and no weight, so contexts
-    that only other texts have need no case of their own.
-    """
-    byte = F.col("gram").bitwiseAND(F.lit(255).cast("long"))
-    context = F.shiftright("gram", 8)
-    steps = []
-    for k in range(8):
-        prefix = F.shiftright(byte, 8 - k).bitwiseOR(F.lit(1 << k).cast("long"))
-        bit = F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1).cast("long"))
-        steps.append(F.struct(F.shiftleft(context, 8).bitwiseOR(prefix).alias("key"), F.when(bit == 0, F.col("n")).otherwise(0).alias("n0"), F.when(bit == 1, F.col("n")).otherwise(0).alias("n1")))
-    nodes = grams.select(F.explode(F.array(*steps)).alias("s")).groupBy("s.key").agg(F.sum("s.n0").alias("n0"), F.sum("s.n1").alias("n1"))
-    # Upwards: ln of a node's weighted probability from its own estimate and its children.
-    levels = {depth: stored(nodes.withColumn("log_w", _log_kt()).withColumn("share", F.lit(1.0)))}
-    for d in range(depth - 1, -1, -1):
-        below = levels[d + 1].groupBy(_parent(F.col("key"), d).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("children"))
-        own = below.withColumn("own", _log_kt())
+def upper_mixtures(tops: DataFrame, split: int) -> DataFrame:
+    """(part, key, mix, rest) of the nodes at depth ``split``: the mixture so far, and the weight left for deeper nodes."""
+    levels = {split: tops}
+    for d in range(split - 1, -1, -1):
+        below = levels[d + 1].groupBy(_shorter("key").alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("children"))
+        own = below.withColumn("own", _log_kt_column())
         top = F.greatest("own", "children")
         weighted = top + F.log(F.exp(F.col("own") - top) + F.exp(F.col("children") - top)) - math.log(2)
         share = 1 / (1 + F.exp(F.least(F.lit(700.0), F.col("children") - F.col("own"))))
-        levels[d] = stored(own.select("key", "n0", "n1", weighted.alias("log_w"), share.alias("share")))
-    # Downwards: the mixture so far, and the weight that is left for deeper nodes.
+        levels[d] = own.select("key", "n0", "n1", weighted.alias("log_w"), share.alias("share"))
     mixed = levels[0].select("key", (F.col("share") * _one()).alias("mix"), (1 - F.col("share")).alias("rest"))
-    for d in range(1, depth + 1):
+    for d in range(1, split + 1):
         up = mixed.select(F.col("key").alias("parent"), F.col("mix").alias("mix_up"), F.col("rest").alias("rest_up"))
-        if d <= 2:  # at most 255 and 65,280 nodes
-            up = F.broadcast(up)
-        joined = levels[d].withColumn("parent", _parent(F.col("key"), d - 1)).join(up, "parent")
-        mixed = joined.select("key", (F.col("mix_up") + F.col("rest_up") * F.col("share") * _one()).alias("mix"), (F.col("rest_up") * (1 - F.col("share"))).alias("rest"))
-    by_context = mixed.groupBy(F.shiftright("key", 8).alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int"), "mix"))).alias("ones"))
-    bits = []
-    for k in range(8):
-        one = F.element_at("ones", F.shiftright(byte, 8 - k).bitwiseOR(F.lit(1 << k).cast("long")).cast("int"))
-        bits.append(F.log10(F.when(F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1).cast("long")) == 1, one).otherwise(1 - one)))
-    total = bits[0]
-    for b in bits[1:]:
-        total = total + b
-    return grams.select("gram", context.alias("context")).join(by_context, "context").select("gram", total.alias("log10_p"))
-
-
-def _score_bucket(n_train: int, n_types: int):
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        types = known.column("word").to_pylist()
-        counts, by_type = known.column("n").to_numpy(), known.column("log10_p").to_numpy()
-        base_by_type = np.log10((counts + 1.0) / (n_train + n_types + 1))
-        place = {t: i for i, t in enumerate(types)}
-        out = []
-        for batch in slices(iter(texts.to_batches())):
-            for doc_id, held_out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch)):
-                tokens = text.encode().lower().split()
-                tokens.append(_END)
-                at = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
-                out.append((doc_id, held_out, len(tokens), int((counts[at] > 0).sum()), n_train, float(base_by_type[at].sum()), float(by_type[at].sum())))
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=[f.split()[0] for f in SCORES.split(", ")])
+        joined = levels[d].withColumn("parent", _shorter("key")).join(up, "parent")
+        mixture, rest = F.col("mix_up") + F.col("rest_up") * F.col("share") * _one(), F.col("rest_up") * (1 - F.col("share"))
+        mixed = joined.select(*(["part"] if d == split else []), "key", mixture.alias("mix"), rest.alias("rest"))
+    return mixed
+
+
+# --- parts
+
+
+def _merged(kind: int, keys: list[bytes], counts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray | list[bytes]]:
+    """Packed keys, added counts and the keys of several packed rows of one part."""
+    numbers = [_unpack_numbers(c, "<i8") for c in counts]
+    if kind == _GRAMS:
+        found, n = merge_counts([unpack_grams(x) for x in keys], numbers)
+        return pack_grams(found), n, found
+    total: dict[bytes, int] = {}
+    for words, own in zip(map(_unpack_words, keys), numbers):
+        for w, x in zip(words, own.tolist()):
+            total[w] = total.get(w, 0) + x
+    found = sorted(total)
+    return _pack_words(found), np.fromiter(map(total.__getitem__, found), np.int64, len(found)), found
+
+
+_PACKED = "kind int, part long, grp long, keys binary, counts binary"
+
+
+def _merge_some(rows: pa.Table) -> pa.Table:
+    kind = rows.column("kind")[0].as_py()
+    keys, n, _ = _merged(kind, rows.column("keys").to_pylist(), rows.column("counts").to_pylist())
+    return pa.table({"kind": pa.array([kind], pa.int32()), "part": rows.column("part").slice(0, 1), "grp": rows.column("grp").slice(0, 1), "keys": pa.array([keys], pa.binary()), "counts": pa.array([_pack_numbers(n)], pa.binary())})
+
+
+_PARTS = "kind int, part long, keys binary, counts binary, types long, tokens long, key long, n0 long, n1 long, log_w double, share double"
+
+
+def _grow(depth: int, split: int):
+    """Rows of a part to one row with its counts and, of grams, a row for each node at depth ``split``."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        kind = rows.column("kind")[0].as_py()
+        keys, n, found = _merged(kind, rows.column("keys").to_pylist(), rows.column("counts").to_pylist())
+        tops = Subtrees(found, n, depth, split).tops() if kind == _GRAMS else {c: np.zeros(0) for c in ("key", "n0", "n1", "log_w", "share")}
+        m = len(tops["key"])
+        one = lambda x, t: pa.array([x] + [None] * m, t)
+        after = lambda c, t: pa.concat_arrays([pa.nulls(1, t), pa.array(tops[c].astype(np.int64 if t == pa.int64() else np.float64), t)])
+        return pa.table({
+            "kind": pa.array(np.full(m + 1, kind, np.int32)), "part": pa.array(np.full(m + 1, rows.column("part")[0].as_py(), np.int64)),
+            "keys": one(keys, pa.binary()), "counts": one(_pack_numbers(n), pa.binary()), "types": one(int((n > 0).sum()), pa.int64()), "tokens": one(int(n.sum()), pa.int64()),
+            **{c: after(c, pa.int64()) for c in ("key", "n0", "n1")}, **{c: after(c, pa.float64()) for c in ("log_w", "share")},
+        })
+
+    return run
+
+
+def _answer(depth: int, split: int):
+    """Rows of groups, and their part's counts and mixtures, to the groups' rows with the values of their keys."""
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.table({"grp": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "found": pa.array([], pa.binary())})
+        kind = asked.column("kind")[0].as_py()
+        is_counts = known.column("keys").is_valid()
+        own = known.filter(is_counts)
+        n = _unpack_numbers(own.column("counts")[0].as_py(), "<i8")
+        if kind == _GRAMS:
+            above = known.filter(pa.compute.invert(is_counts)).sort_by("key")
+            keys = unpack_grams(own.column("keys")[0].as_py())
+            values = Subtrees(keys, n, depth, split).code_lengths(above.column("key").to_numpy().astype(np.uint64), above.column("mix").to_numpy(), above.column("rest").to_numpy()).astype(np.float32)
+            found = [_pack_numbers(values[np.searchsorted(keys, unpack_grams(x))]) for x in asked.column("keys").to_pylist()]
+        else:
+            count_of = dict(zip(_unpack_words(own.column("keys")[0].as_py()), n.tolist()))
+            found = [_pack_numbers(np.array([count_of[w] for w in _unpack_words(x)], np.int64)) for x in asked.column("keys").to_pylist()]
+        return pa.table({"grp": asked.column("grp"), "kind": asked.column("kind"), "keys": asked.column("keys"), "found": pa.array(found, pa.binary())})
+
+    return run
+
+
+def _score_group(depth: int, n_train: int, n_types: int):
+    """Packed texts of a group and the answers to it to one row for each text."""
+    names = [f.split()[0] for f in SCORES.split(", ")]
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, logs, count_of = [], [], {}
+        for kind, keys, found in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "found"))):
+            if kind == _GRAMS:
+                grams.append(unpack_grams(keys))
+                logs.append(_unpack_numbers(found, "<f4"))
+            else:
+                count_of.update(zip(_unpack_words(keys), _unpack_numbers(found, "<i8").tolist()))
+        keys = np.concatenate(grams)
+        order = np.argsort(keys, kind="stable")
+        keys, logs = keys[order], np.concatenate(logs)[order]
+        del grams, order
+        out: list[tuple] = []
+        for k in range(texts.num_rows):
+            ids, held, packed = (texts.column(c)[k].as_py() for c in ("ids", "held", "texts"))
+            own = [t + _END for t in _unzip(packed).split(_END)[:-1]]
+            places, firsts = gram_keys(own, depth)
+            distinct, back = np.unique(places, return_inverse=True)
+            scores = np.add.reduceat(logs[np.searchsorted(keys, distinct)].astype(np.float64)[back], firsts)
+            for doc_id, is_held, text, score in zip(ids, held, own, scores.tolist()):
+                words = text[:-1].split(b" ") if text != _END else []
+                words.append(b"")
+                n = np.fromiter(map(count_of.__getitem__, words), np.float64, len(words))
+                base = float(np.log10((n + 1) / (n_train + n_types + 1)).sum())
+                out.append((doc_id, is_held, len(words), int((n > 0).sum()), n_train, base, score, len(text), -score / math.log10(2) / len(text)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
 
     return run
 
 
-def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held_out_remainder: int = 2, bucket_docs: int = BUCKET_DOCS, part_rows: int = PART_ROWS) -> DataFrame:
-    """Base and context-tree log10 probabilities of every text; see ``SCORES``."""
-    if not 1 <= depth <= 6:
-        raise ValueError("depth must be 1 to 6, so that a node fits a long")
+def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held_out_remainder: int = 2, group_bytes: int = GROUP_BYTES, parts: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
+    """Base and context-tree log10 probabilities of every text, and its bits per byte; see ``SCORES``."""
+    if not 2 <= depth <= 7:
+        raise ValueError("depth must be 2 to 7, so that a gram fits 64 bits")
+    split = min(SPLIT, depth - 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_remainder("doc_id", modulus) == held_out_remainder).alias("held_out"))
-    size = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.when(~F.col("held_out"), 1).otherwise(0)).alias("train")).first()
-    width = max(1.0, ((size["hi"] or 0) - (size["lo"] or 0) + 1) / max(1, -(-size["n"] // bucket_docs)))
-    bucket = F.floor((F.col("doc_id") - F.lit(size["lo"] or 0)) / width)
-    rows = rows.withColumn("bucket", F.coalesce(bucket, F.lit(-1)).cast("long"))
-    counted = stored(rows.select("bucket", "held_out", "text").mapInArrow(_count_types(), "bucket long, word binary, n long"))
-    parts = max(1, -(-counted.count() // part_rows))
-    # A task may hand a bucket's word on more than once, which sums and the last join take as one.
-    dealt = counted.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts)))
-    grams = stored(dealt.select("part", "word", "n").groupBy("part").applyInArrow(_part_grams(depth), "part long, gram long, n long"))
-    totals = dict(grams.filter("gram < 0").groupBy("gram").agg(F.sum("n")).collect())  # two rows
-    n_train, n_types = totals.get(_TOKENS, 0), totals.get(_TYPES, 0)
-    grams = grams.filter("gram >= 0")
-    lengths = code_lengths(stored(grams.groupBy("gram").agg(F.sum("n").alias("n"))), depth)
-    by_part = grams.select("part", "gram").join(lengths, "gram")
-    known = dealt.groupBy("part").cogroup(by_part.groupBy("part")).applyInArrow(_part_words(depth), "bucket long, word binary, n long, log10_p double")
-    return rows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_score_bucket(n_train, n_types), SCORES)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    # Distinct grams grow more slowly than texts, so the parts do too: about half a million grams to each.
+    parts = parts or max(1, round(64 * (size / (1 << 30)) ** 0.6))
+    tasks = max(1, -(-size // group_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // (group_bytes // 10 + 1))))
+    counted = stored(rows.coalesce(tasks).mapInArrow(_count_groups(depth, split, parts, group_bytes), _ROWS))
+    packed = counted.filter("keys is not null").select("kind", "part", "grp", "keys", "counts")
+    groups = counted.select("grp").distinct().count()
+    merged, fan = packed, groups
+    while fan > fan_in:
+        fan = -(-fan // fan_in)
+        merged = merged.groupBy("kind", "part", F.pmod(F.xxhash64("grp"), F.lit(fan))).applyInArrow(_merge_some, _PACKED)
+    grown = stored(merged.groupBy("kind", "part").applyInArrow(_grow(depth, split), _PARTS))
+    totals = grown.filter(f"kind = {_WORDS}").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).first()  # one row
+    own = grown.filter("keys is not null").select("kind", "part", "keys", "counts", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("mix"), F.lit(None).cast("double").alias("rest"))
+    above = upper_mixtures(grown.filter("key is not null").select("part", "key", "n0", "n1", "log_w", "share"), split)
+    above = above.select(F.lit(_GRAMS).alias("kind"), "part", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "key", "mix", "rest")
+    # A part answers some hundred groups in one task, and is copied to as many tasks as that takes.
+    slots = max(1, -(-groups // (4 * fan_in)))
+    known = own.unionByName(above).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    asked = packed.withColumn("slot", F.pmod(F.xxhash64("grp"), F.lit(slots)).cast("int"))
+    by = ["kind", "part", "slot"]
+    answers = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(_answer(depth, split), "grp long, kind int, keys binary, found binary")
+    texts = counted.filter(f"kind = {_TEXTS}").select("grp", "ids", "held", "texts")
+    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_score_group(depth, totals["tokens"] or 0, totals["types"] or 0), SCORES)

@@ -165,29 +165,34 @@ def test_chat_reads_back(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
-def brute_ctw(train, word, depth):
-    """ln probability of a closed word by the plain recursion over contexts."""
-    def steps(w):
-        padded = b" " * depth + w
-        for i in range(len(w)):
+def brute_ctw(train, text, depth):
+    """log10 probability of a whole text by the plain recursion over contexts that run across words."""
+    def steps(t):
+        padded = b"\n" * depth + t
+        for i in range(len(t)):
             for k in range(8):
-                yield padded[i : i + depth], (w[i] >> (8 - k)) | (1 << k), w[i] >> (7 - k) & 1
+                yield padded[i : i + depth], (t[i] >> (8 - k)) | (1 << k), t[i] >> (7 - k) & 1
 
     counts, below = {}, {}
-    for w, is_train in [*((w, 1) for w in train), (word, 0)]:
-        for context, node, bit in steps(w):
+    for t, is_train in [*((t, 1) for t in train), (text, 0)]:
+        for context, node, bit in steps(t):
             for d in range(depth + 1):
                 key = (context[depth - d :], node)
                 counts.setdefault(key, [0, 0])[bit] += is_train
                 if d:
                     below.setdefault((context[depth - d + 1 :], node), set()).add(key)
     log_kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+    weights = {}
 
     def weighted(key):
-        own = log_kt(counts[key])
-        if len(key[0]) == depth:
-            return own
-        return math.log(0.5 * math.exp(own) + 0.5 * math.exp(sum(map(weighted, below[key]))))
+        if key not in weights:
+            own = log_kt(counts[key])
+            if len(key[0]) < depth:
+                children = sum(map(weighted, below[key]))
+                top = max(own, children)
+                own = top + math.log(math.exp(own - top) + math.exp(children - top)) - math.log(2)
+            weights[key] = own
+        return weights[key]
 
     def one(context, node, d=0):
         key = (context[depth - d :], node)
@@ -195,25 +200,42 @@ def brute_ctw(train, word, depth):
         kt = (n[1] + 0.5) / (sum(n) + 1)
         if d == depth:
             return kt
-        share = 1 / (1 + math.exp(sum(map(weighted, below[key])) - log_kt(n)))
+        share = 1 / (1 + math.exp(min(700, sum(map(weighted, below[key])) - log_kt(n))))
         return share * kt + (1 - share) * one(context, node, d + 1)
 
-    return sum(math.log10(p if bit else 1 - p) for context, node, bit in steps(word) for p in [one(context, node)])
+    return sum(math.log10(p if bit else 1 - p) for context, node, bit in steps(text) for p in [one(context, node)])
+
+
+@pytest.mark.parametrize("depth, options", [(2, {"parts": 3}), (5, {"parts": 4, "group_bytes": 40, "fan_in": 2}), (7, {})])
+def test_context_tree_by_brute_force(spark, depth, options):
+    texts = ["abra cadabra", "Abra  abba", "", None, "bab zz", "abra", "cad cab", "ba é", "abra cadabra", "the cat sat", "the hat", "a\u2028b", "tail\t"]
+    ids = [0, 1, 2, 3, 4, 5, 6, 7, 2**63 - 1, -(2**63), None, 11, 12]
+    df = spark.createDataFrame(list(zip(ids, texts, ["x"] * len(ids))), "doc_id long, text string, score string").repartition(1)
+    got = {(r["doc_id"]): r for r in ctw.score(df, depth=depth, **options).collect()}
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]
+    words = [(t or "").lower().encode().split() for t in texts]
+    flat = [b" ".join(w) + b"\n" for w in words]
+    train = [t for t, h in zip(flat, held) if not h]
+    tokens = [w for ws, h in zip(words, held) if not h for w in [*ws, b"\n"]]
+    counts = Counter(tokens)
+    assert len(got) == len(ids) and any(held)
+    for i, ws, t, h in zip(ids, words, flat, held):
+        base = sum(math.log10((counts[w] + 1) / (len(tokens) + len(counts) + 1)) for w in [*ws, b"\n"])
+        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (h, len(ws) + 1, sum(counts[w] > 0 for w in [*ws, b"\n"]), len(tokens))
+        assert math.isclose(got[i]["base_score"], base, rel_tol=1e-9)
+        assert math.isclose(got[i]["score"], brute_ctw(train, t, depth), rel_tol=1e-6)
+        assert got[i]["n_bytes"] == len(t) and math.isclose(got[i]["bits_per_byte"], -got[i]["score"] / math.log10(2) / len(t))
 
 
-def test_context_tree_by_brute_force(spark):
-    texts = ["abra cadabra", "Abra abba", "", None, "bab zz", "abra", "cad cab", "ba"]
-    got = {r["doc_id"]: r for r in ctw.score(table(spark, texts), depth=2, part_rows=5).collect()}
-    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    tokens = [[*(t or "").lower().encode().split(), b"\n"] for t in texts]
-    train = [w for ws, h in zip(tokens, held) if not h for w in ws]
-    closed = lambda w: w if w == b"\n" else w + b" "
-    counts = Counter(train)
-    for i, ws in enumerate(tokens):
-        base = sum(math.log10((counts[w] + 1) / (len(train) + len(counts) + 1)) for w in ws)
-        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (held[i], len(ws), sum(counts[w] > 0 for w in ws), len(train))
-        assert math.isclose(got[i]["base_score"], base, rel_tol=1e-9)
-        assert math.isclose(got[i]["score"], sum(brute_ctw([closed(w) for w in train], closed(w), 2) for w in ws), rel_tol=1e-6)
+def test_scores_without_training_text(spark):
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = ctw.score(spark.createDataFrame([(held, "ab c")], "doc_id long, text string")).first()
+    assert (got["n_known"], got["train_tokens"]) == (0, 0) and math.isclose(got["score"], 5 * 8 * math.log10(0.5), rel_tol=1e-6) and math.isclose(got["bits_per_byte"], 8, rel_tol=1e-6)
+
+
+def test_tree_beats_word_counts_on_held_out_texts(spark):
+    found = queries.op6_ctw_score(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.count("*")).first()
+    assert found[2] > 100 and found[0] > found[1]
 
 
 def test_quality_held_out(spark):
