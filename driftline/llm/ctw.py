@@ -46,11 +46,13 @@ DEPTH = 7
 #: Bytes of context that deal grams into parts.
 SPLIT = 3
 #: Bytes of text to a group at most (one longer text is a group of its own), and to a packed row.
-GROUP_BYTES, CHUNK_BYTES = 80_000_000, 2_000_000
+GROUP_BYTES, CHUNK_BYTES = 64_000_000, 1_500_000
 #: Groups whose counts are merged at once.
 FAN_IN = 64
-#: Distinct grams that wait for a merge inside a task.
-PENDING = 4_000_000
+#: Ranges in which a task holds its grams, and distinct grams that wait for a merge in one of them.
+RANGES, PENDING = 16, 200_000
+#: Code lengths are handed on as multiples of this share of a decimal digit: an error of at most 5e-7 for each byte.
+LOG_STEP = 2.0**-20
 _END = b"\n"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 _TEXTS, _GRAMS, _WORDS = 0, 1, 2
@@ -61,10 +63,10 @@ _U8 = np.uint64(8)
 # --- packing
 
 
-def _zip(data: bytes) -> bytes:
+def _zip(data: bytes, level: int = 1) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def _unzip(data: bytes) -> bytes:
@@ -126,7 +128,7 @@ def gram_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys of several sorted lists, with their counts added up."""
+    """Ascending distinct keys of several ascending lists, with their counts added up."""
     every, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(every, kind="stable")
     every = every[order]
@@ -141,14 +143,20 @@ def _parts_of(keys: np.ndarray, depth: int, split: int, parts: int) -> np.ndarra
 
 
 class _Group:
-    """Counts of the texts of one group so far."""
+    """Counts of the texts of one group so far; grams lie in ranges, so that a merge touches few of them."""
 
     def __init__(self, depth: int):
         self.depth, self.bytes = depth, 0
         self.words: Counter = Counter()
         self.seen: set[bytes] = set()
-        self.keys, self.counts = [], []
-        self.waiting = 0
+        self.edges: np.ndarray | None = None
+        self.ranges: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(RANGES)]
+        self.waiting = [0] * RANGES
+
+    def _merge(self, r: int) -> None:
+        if len(self.ranges[r]) > 1:
+            self.ranges[r] = [merge_counts(*map(list, zip(*self.ranges[r])))]
+        self.waiting[r] = 0
 
     def add(self, texts: list[bytes], held: list[bool]) -> None:
         for is_held in (False, True):
@@ -156,26 +164,36 @@ class _Group:
             if not own:
                 continue
             keys, n = np.unique(gram_keys(own, self.depth)[0], return_counts=True)
-            self.keys.append(keys)
-            self.counts.append(np.zeros(len(n), np.int64) if is_held else n)
-            self.waiting += len(keys)
+            n = np.zeros(len(n), np.uint32) if is_held else n.astype(np.uint32)
+            if self.edges is None:
+                self.edges = keys[np.linspace(0, len(keys) - 1, RANGES + 1).astype(int)[1:-1]]
+            cuts = [0, *np.searchsorted(keys, self.edges), len(keys)]
+            for r, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a < b:
+                    self.ranges[r].append((keys[a:b].copy(), n[a:b].copy()))
+                    self.waiting[r] += b - a
+                    if self.waiting[r] > PENDING:
+                        self._merge(r)
             for text in own:
                 words = text[:-1].split(b" ")  # no word gives the end mark alone
                 if text != _END:
                     words.append(b"")
                 (self.seen if is_held else self.words).update(words)
         self.bytes += sum(map(len, texts))
-        if self.waiting > PENDING:
-            keys, n = merge_counts(self.keys, self.counts)
-            self.keys, self.counts, self.waiting = [keys], [n], 0
 
     def rows(self, parts: int, split: int) -> Iterator[tuple]:
         """(kind, part, keys, counts), packed."""
-        keys, n = merge_counts(self.keys, self.counts)
-        part = _parts_of(keys, self.depth, split, parts)
+        for r in range(RANGES):
+            self._merge(r)
+        held = [x for r in self.ranges for x in r]
+        self.ranges = []
+        keys, n = (np.concatenate(x) for x in zip(*held))
+        del held
+        part = _parts_of(keys, self.depth, split, parts).astype(np.uint32)
         for p in np.unique(part):
-            own = part == p
-            yield _GRAMS, int(p), pack_grams(keys[own]), _pack_numbers(n[own])
+            own = np.nonzero(part == p)[0]
+            yield _GRAMS, int(p), pack_grams(keys[own]), _pack_numbers(n[own].astype(np.int64))
+        del keys, n, part
         import zlib
 
         dealt: dict[int, list[bytes]] = {}
@@ -204,7 +222,7 @@ def _count_groups(depth: int, split: int, parts: int, group_bytes: int):
             nonlocal size
             if texts:
                 group.add(texts, held)
-                yield _arrow_rows([(at, _TEXTS, None, list(ids), list(held), _zip(b"".join(texts)), None, None)])
+                yield _arrow_rows([(at, _TEXTS, None, list(ids), list(held), _zip(b"".join(texts), 3), None, None)])
             ids.clear(), held.clear(), texts.clear()
             size = 0
 
@@ -425,7 +443,8 @@ def _answer(depth: int, split: int):
         if kind == _GRAMS:
             above = known.filter(pa.compute.invert(is_counts)).sort_by("key")
             keys = unpack_grams(own.column("keys")[0].as_py())
-            values = Subtrees(keys, n, depth, split).code_lengths(above.column("key").to_numpy().astype(np.uint64), above.column("mix").to_numpy(), above.column("rest").to_numpy()).astype(np.float32)
+            values = Subtrees(keys, n, depth, split).code_lengths(above.column("key").to_numpy().astype(np.uint64), above.column("mix").to_numpy(), above.column("rest").to_numpy())
+            values = np.rint(values / -LOG_STEP).astype(np.int32)
             found = [_pack_numbers(values[np.searchsorted(keys, unpack_grams(x))]) for x in asked.column("keys").to_pylist()]
         else:
             count_of = dict(zip(_unpack_words(own.column("keys")[0].as_py()), n.tolist()))
@@ -445,7 +464,7 @@ def _score_group(depth: int, n_train: int, n_types: int):
         for kind, keys, found in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "found"))):
             if kind == _GRAMS:
                 grams.append(unpack_grams(keys))
-                logs.append(_unpack_numbers(found, "<f4"))
+                logs.append(_unpack_numbers(found, "<i4"))
             else:
                 count_of.update(zip(_unpack_words(keys), _unpack_numbers(found, "<i8").tolist()))
         keys = np.concatenate(grams)
@@ -458,7 +477,7 @@ def _score_group(depth: int, n_train: int, n_types: int):
             own = [t + _END for t in _unzip(packed).split(_END)[:-1]]
             places, firsts = gram_keys(own, depth)
             distinct, back = np.unique(places, return_inverse=True)
-            scores = np.add.reduceat(logs[np.searchsorted(keys, distinct)].astype(np.float64)[back], firsts)
+            scores = np.add.reduceat(logs[np.searchsorted(keys, distinct)].astype(np.int64)[back], firsts) * -LOG_STEP
             for doc_id, is_held, text, score in zip(ids, held, own, scores.tolist()):
                 words = text[:-1].split(b" ") if text != _END else []
                 words.append(b"")
@@ -495,7 +514,7 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held_out_remain
     # A part answers some hundred groups in one task, and is copied to as many tasks as that takes.
     slots = max(1, -(-groups // (4 * fan_in)))
     known = own.unionByName(above).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    asked = packed.withColumn("slot", F.pmod(F.xxhash64("grp"), F.lit(slots)).cast("int"))
+    asked = packed.drop("counts").withColumn("slot", F.pmod(F.xxhash64("grp"), F.lit(slots)).cast("int"))
     by = ["kind", "part", "slot"]
     answers = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(_answer(depth, split), "grp long, kind int, keys binary, found binary")
     texts = counted.filter(f"kind = {_TEXTS}").select("grp", "ids", "held", "texts")
