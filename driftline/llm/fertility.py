@@ -127,7 +127,7 @@ def _judged(text: str, words: list[bytes], ids: np.ndarray, is_byte: np.ndarray,
     return len(words), chars, sum(map(text.count, _SYMBOLS)), repeated_lines(text), repeats, base_failed, reason is None, script, n, per_token, byte_share, bits, reason
 
 
-def judge(docs: DataFrame, *keep: str, vocabulary: str | None = None, bands: dict[str, tuple] | None = None, language_bands: dict[str, tuple] | None = None) -> DataFrame:
+def judge(docs: DataFrame, *keep: str, vocabulary: str | None = None, bands: dict[str, tuple] | None = None, language_bands: dict[str, tuple] | None = None, prefix: str = "") -> DataFrame:
     """The columns ``keep`` of each document, its counts, its measures and the verdict; see ``COLUMNS``."""
     bands, by_language = bands or BANDS, language_bands or {}
     columns = list(dict.fromkeys([*keep, "text", *(["lang"] if by_language and "lang" in docs.columns else [])]))

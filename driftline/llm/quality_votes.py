@@ -133,17 +133,17 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out_remainder
     return Model(sample, np.array([r["label"] for r in rows], np.int64))
 
 
-def classify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` and ``score`` of every document."""
+def classify(docs: DataFrame, model: Model, *keep: str, score: str = "score") -> DataFrame:
+    """The columns ``keep`` of every document and its score, in a column that none of them may be named like."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, voters = _Places(), shared.value
         for batch in slices(batches):
             raw = np.stack([features(t.encode().split(), places) for t in texts_of(batch)]) if batch.num_rows else np.zeros((0, FEATURES), np.float32)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(voters.score(raw), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(voters.score(raw), pa.float64())], names=[*keep, score])
 
     columns = list(dict.fromkeys([*keep, "text"]))
     return docs.select(*columns).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -18,12 +19,14 @@ SLICE_ROWS = 256
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which driver and executors share.
 
-    It is ``spark.checkpoint.dir``; one is chosen only where that is unset, as
-    in tests on one machine.
+    It is ``spark.checkpoint.dir``. Where that is unset, a temporary folder
+    serves a session on one machine; on a cluster it is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "driftline-checkpoints"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -34,13 +37,38 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_FOLDERS: set[str] = set()
+
+
+def _stored_folder(spark: SparkSession) -> str:
+    """A folder of this session's own below the shared one, removed when the driver ends."""
+    folder = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        context = spark.sparkContext
+
+        def remove() -> None:
+            if context._jsc is not None and not context._jsc.sc().isStopped():
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+        atexit.register(remove)
+    return folder
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet in the shared folder and read it again."""
+    path = f"{_stored_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused_prefix(columns: list[str]) -> str:
+    """Underscores with which no column begins, for columns of a stage's own."""
+    lead = max((len(c) - len(c.lstrip("_")) for c in columns), default=0)
+    return "_" * (lead + 1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

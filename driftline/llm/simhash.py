@@ -53,15 +53,12 @@ def shingle_hashes(words: list[bytes], shingle_words: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64)
 
 
-def fingerprint(words: list[bytes], shingle_words: int = 3, bits: int = 64, distinct: bool = False) -> np.ndarray:
-    """The fingerprint of lower-cased words, as ``bits / 64`` unsigned integers.
+def hashes_fingerprint(hashes: np.ndarray, bits: int = 64) -> np.ndarray:
+    """The fingerprint of shingle hashes, as ``bits / 64`` unsigned integers.
 
     The first integer has the bits of XXH64 itself, the others those of fixed
-    mixes of it. ``distinct`` counts each shingle once.
+    mixes of it. A hash counts as often as it is given.
     """
-    hashes = shingle_hashes(words, shingle_words)
-    if distinct:
-        hashes = np.unique(hashes)
     n, width = len(hashes), bits // 64
     if not n:
         return np.zeros(width, np.uint64)
@@ -98,7 +95,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [fingerprint(t.encode().lower().split(), shingle_words)[0] for t in texts_of(batch)]
+            found = [hashes_fingerprint(shingle_hashes(t.encode().lower().split(), shingle_words))[0] for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -266,14 +263,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 3, bl
 
 # --- near copies by similarity: wide fingerprints
 
-#: Bits of a wide fingerprint, and the tables of as many bits each that propose pairs.
-WIDE_BITS, TABLES, TABLE_BITS = 512, 72, 14
+#: Bits of a wide fingerprint.
+WIDE_BITS = 512
+#: Bucket keys of a text, and the smallest hashes that make one key.
+TABLES, MIN_HASHES = 14, 3
 #: Standard deviations above the mean distance up to which a pair is proposed.
 SPREAD = 3.5
 #: Pairs of each text in a piece of work that the rounds propose; the last one proposes all.
 ROUNDS = (1, 1, None)
 #: Texts to a tile, on average; pairs are confirmed by pairs of tiles.
-TILE = 2048
+TILE = 1024
 
 
 def wide_radius(similarity: float, bits: int = WIDE_BITS) -> int:
@@ -288,23 +287,37 @@ def wide_radius(similarity: float, bits: int = WIDE_BITS) -> int:
     return int(bits * share + SPREAD * np.sqrt(bits * share * (1 - share)))
 
 
+def bucket_keys(hashes: np.ndarray) -> np.ndarray:
+    """``TABLES`` keys of a set of shingle hashes, each made of ``MIN_HASHES`` smallest values under fixed mixes.
+
+    Two sets agree on one smallest value with probability their Jaccard
+    similarity, so a pair at 0.8 shares a key with probability 0.99996, while
+    texts that share little meet rarely, however many texts there are.
+    """
+    least = np.full(TABLES * MIN_HASHES + 1, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for start in range(0, len(hashes), 4096):
+        least = np.minimum(least, _mixes(hashes[start : start + 4096], len(least)).min(axis=0))
+    parts = least[1:].reshape(TABLES, MIN_HASHES)
+    keys = np.zeros(TABLES, np.uint64)
+    for column in parts.T:
+        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
 def _wide(shingle_words: int):
     width = WIDE_BITS // 64
-    # As many tables as a permutation of the bits fills, then those of the next one.
-    rng, each = np.random.default_rng(SEED), WIDE_BITS // TABLE_BITS
-    places = np.concatenate([rng.permutation(WIDE_BITS)[: each * TABLE_BITS].reshape(each, TABLE_BITS) for _ in range(-(-TABLES // each))])[:TABLES]
-    powers = 1 << np.arange(TABLE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches):
             words_of = [t.encode().lower().split() for t in texts_of(batch)]
-            fps = np.stack([fingerprint(w, shingle_words, WIDE_BITS, distinct=True) for w in words_of]) if words_of else np.zeros((0, width), np.uint64)
-            bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
-            keys = (bits[:, places] * powers).sum(axis=2).astype(np.int32)
+            sets = [np.unique(shingle_hashes(w, shingle_words)) for w in words_of]
+            fps = np.stack([hashes_fingerprint(h, WIDE_BITS) for h in sets]) if sets else np.zeros((0, width), np.uint64)
+            keys = [bucket_keys(h).view(np.int64) for h in sets]
             same = [xxhash.xxh128_digest(b" ".join(w)) for w in words_of]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), *(pa.array(fps[:, i].view(np.int64)) for i in range(width)), pa.array(list(keys), pa.list_(pa.int32()))], names=["doc_id", "same", *(f"w{i}" for i in range(width)), "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same, pa.binary()), *(pa.array(fps[:, i].view(np.int64)) for i in range(width)), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "same", *(f"w{i}" for i in range(width)), "keys"])
 
     return run
 
@@ -347,7 +360,7 @@ def _propose(radius: int, width: int, labelled: bool, limit: int | None, seed: i
                     a, b = a[~late], b[~late]
                 none, no_bucket = [None] * len(over), pa.nulls(len(a), pa.int32())
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[a, left_out], pa.int64()), pa.array([*b.tolist(), *none], pa.int64()), pa.concat_arrays([no_bucket, pa.array(choice[over], pa.int32())]), pa.concat_arrays([no_bucket, pa.array(key[over], pa.int32())])],
+                    [pa.array(np.r_[a, left_out], pa.int64()), pa.array([*b.tolist(), *none], pa.int64()), pa.concat_arrays([no_bucket, pa.array(choice[over], pa.int32())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key[over], pa.int64())])],
                     names=["a", "b", "choice", "key"],
                 )
 
@@ -367,7 +380,7 @@ def _propose(radius: int, width: int, labelled: bool, limit: int | None, seed: i
 def proposed(keyed: DataFrame, radius: int, words: list[str], labelled: bool, limit: int | None, seed: int) -> DataFrame:
     """Distinct pairs (a, b) within the radius in any bucket, and rows (a, choice, key) of texts in pairs left out."""
     work = bucket_work(keyed, words, ["label"] if labelled else []).select("choice", "key", "members")
-    return work.mapInArrow(_propose(radius, len(words), labelled, limit, seed), "a long, b long, choice int, key int").distinct()
+    return work.mapInArrow(_propose(radius, len(words), labelled, limit, seed), "a long, b long, choice int, key long").distinct()
 
 
 def jaccard_at_least(left: np.ndarray, right: np.ndarray, similarity: float) -> bool:
@@ -413,16 +426,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity:
 def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): groups of texts linked by a shingle similarity of ``similarity`` or more.
 
-    Equal word sequences are one class. Pairs of classes are proposed by
-    ``TABLES`` tables of a wide fingerprint's bits (a pair just at a similarity
-    of 0.8 shares a table with probability 0.999) and its radius, and every
-    link is confirmed by the exact Jaccard similarity of the distinct shingles.
+    Equal word sequences are one class. Classes with an equal key of
+    ``bucket_keys`` are a bucket, whose wide fingerprints are compared by bit
+    planes; pairs within ``wide_radius`` are proposed, and every link is
+    confirmed by the exact Jaccard similarity of the distinct shingles.
     First rounds propose few pairs of each text; buckets that have more are
     searched again for pairs that the links have not yet brought together, in
     the last round for all of them.
     """
     words = [f"w{i}" for i in range(WIDE_BITS // 64)]
-    schema = f"doc_id long, same binary, {', '.join(f'{w} long' for w in words)}, keys array<int>"
+    schema = f"doc_id long, same binary, {', '.join(f'{w} long' for w in words)}, keys array<long>"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = stored(docs.mapInArrow(_wide(shingle_words), schema))
     first = ["keys", *words]
