@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import fertility, packing, pii, quality_votes, simhash
-from driftline.llm.shared import stored, table
+from driftline.llm.shared import stored, table, unused_prefix
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that their labelled neighbours vote good (operator 7)."""
     model = quality_votes.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality_votes.classify(docs, model, *docs.columns)
-    return scored.filter("score >= 0.5").select(*docs.columns)
+    own = unused_prefix(docs.columns)
+    scored = quality_votes.classify(docs, model, *docs.columns, score=f"{own}score")
+    return scored.filter(F.col(f"{own}score") >= 0.5).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that pass the base rules and the fertility bands (operator 8)."""
-    names = docs.columns
-    return fertility.judge(docs, *names).filter("kept").select(*names)
+    names, own = docs.columns, unused_prefix(docs.columns)
+    return fertility.judge(docs, *names, prefix=own).filter(f"{own}kept").select(*names)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
