@@ -14,10 +14,13 @@ from driftline.functions.geo import METRES_PER_DEGREE, axis_distance, grid_cell
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a folder is chosen only where that is unset."""
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a temporary one serves only a session on one machine."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "driftline-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "driftline-checkpoints"))
     return df.checkpoint(eager=True)
 
 
