@@ -46,7 +46,7 @@ DEPTH = 7
 #: Bytes of context that deal grams into parts.
 SPLIT = 3
 #: Bytes of text to a group at most (one longer text is a group of its own), and to a packed row.
-GROUP_BYTES, CHUNK_BYTES = 64_000_000, 1_500_000
+GROUP_BYTES, CHUNK_BYTES = 40_000_000, 1_500_000
 #: Groups whose counts are merged at once.
 FAN_IN = 64
 #: Ranges in which a task holds its grams, and distinct grams that wait for a merge in one of them.
