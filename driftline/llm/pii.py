@@ -1,12 +1,13 @@
 """Personal data in texts: patterns propose, checksums confirm, context adjusts.
 
-Every kind has a pattern, a validator and a base score. Words near a span raise
-its score; spans below ``THRESHOLD`` are dropped. E-mail addresses, IP
-addresses, payment cards that pass Luhn and international phone numbers are
-certain by their form and validator alone, so their score starts above it.
-National phone numbers, short cards, social security numbers, IBANs (mod 97)
-and secrets need more than their form. A span that overlaps one of the certain
-kinds gives way to it.
+Every kind has a pattern, a validator and a base score. Words of its own near a
+span raise its score, and words for other kinds of numbers lower it; spans below
+``THRESHOLD`` are dropped. E-mail addresses, IP addresses, payment cards that
+pass Luhn and international phone numbers are certain by their form and
+validator: context moves their score, but not below the threshold. National
+phone numbers, short cards, social security numbers and secrets need more than
+their form, and IBANs (mod 97) stay unless context speaks against them. A span
+that overlaps one of the certain kinds gives way to it.
 
 Positions are code points, the end exclusive. Defined cases: a null or empty
 text has no spans; rows with equal ids or texts give one row each; an empty
@@ -46,9 +47,14 @@ _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3
 _SECRET = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])")
 _DOTTED = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)*+")
 
-#: Score before context, and the words that raise it by ``RAISE`` each kind once.
-RAISE = 0.35
+#: What the words of a kind near a span add to its score, and what words of other numbered things take from it.
+RAISE, LOWER = 0.35, 0.35
+#: Score before context, and the kind's own words.
 _CONTEXT_WORDS = {
+    "email": (0.96, "e-?mail|mail|contact|kontakt|correo|courriel"),
+    "ip": (0.96, "ip|address|host|server|login"),
+    "card": (0.96, "card|visa|amex|credit|debit|karte|carte|tarjeta"),
+    "phone": (0.96, "phone|tel|call|mobile|cell|fax|telefon|téléphone|teléfono"),
     "iban": (0.9, "iban|account|bank|konto|compte|cuenta"),
     "ssn": (0.4, "ssn|social security|taxpayer"),
     "short_card": (0.4, "card|visa|amex|credit|debit|karte|carte|tarjeta"),
@@ -56,6 +62,7 @@ _CONTEXT_WORDS = {
     "secret": (0.3, "token|secret|password|passwd|api[ _-]?key|bearer|private[ _-]?key|credential"),
 }
 _CONTEXT_RE = {k: re.compile(rf"(?<![a-z])(?:{words})(?![a-z])", re.IGNORECASE) for k, (_, words) in _CONTEXT_WORDS.items()}
+_AGAINST = re.compile(r"(?<![a-z])(?:serial|tracking|isbn|sku|part|model|version|checksum|commit)(?![a-z])", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -141,17 +148,21 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of a text, by kind and start."""
     found: list[tuple[str, int, int, float]] = []
     digits = _DIGIT.search(text) is not None
+    around = lambda a, b: f"{text[max(0, a - CONTEXT) : a]} {text[b : b + CONTEXT]}"
     for kind in KINDS[:CERTAIN]:
         if "@" in text if kind == "email" else digits and (kind != "phone" or "+" in text):
-            found += [(kind, a, b, 1.0) for a, b in _FIND[kind](text)]
+            found += [(kind, a, b, max(THRESHOLD, _scored(kind, around(a, b)))) for a, b in _FIND[kind](text)]
     if not digits:
         return found
-    certain = sorted((a, b) for _, a, b, _ in found)
+    certain: list[list[int]] = []  # stretches that the certain kinds cover
+    for a, b in sorted((a, b) for _, a, b, _ in found):
+        if certain and a < certain[-1][1]:
+            certain[-1][1] = max(certain[-1][1], b)
+        else:
+            certain.append([a, b])
     for kind in KINDS[CERTAIN:]:
-        base, _ = _CONTEXT_WORDS[kind]
-        near = lambda a, b: _CONTEXT_RE[kind].search(f"{text[max(0, a - CONTEXT) : a]} {text[b : b + CONTEXT]}") is not None  # noqa: B023, E731
         spans = list(_FIND[kind](text))
-        raised = [near(a, b) for a, b in spans]
+        scores = [_scored(kind, around(a, b)) for a, b in spans]
         if kind == "secret" and spans:
             # The context of a dotted token, or of one part of it, holds for all its parts.
             tokens, last, parts = _DOTTED.finditer(text), (0, 0), []
@@ -159,17 +170,29 @@ def spans_of(text: str) -> list[tuple[str, int, int, float]]:
                 while last[1] <= a:
                     last = next(tokens).span()
                 parts.append(last)
-            with_context = {t for t, r in zip(parts, raised) if r} | {t for t in set(parts) if near(*t)}
-            raised = [t in with_context for t in parts]
-        for (a, b), r in zip(spans, raised):
-            if any(x < b and a < y for x, y in certain):
-                continue
-            score = min(1.0, base + RAISE * r)
-            if score >= THRESHOLD:
+            best = {t: _scored(kind, around(*t)) for t in set(parts)}
+            for t, x in zip(parts, scores):
+                best[t] = max(best[t], x)
+            scores = [best[t] for t in parts]
+        covered = 0
+        for (a, b), score in zip(spans, scores):
+            while covered < len(certain) and certain[covered][1] <= a:
+                covered += 1
+            if score >= THRESHOLD and not (covered < len(certain) and certain[covered][0] < b):
                 found.append((kind, a, b, score))
     return found
 
 
+def _scored(kind: str, context: str) -> float:
+    """The kind's base score, moved by the words around a span."""
+    score = _CONTEXT_WORDS[kind][0]
+    if _CONTEXT_RE[kind].search(context):
+        score += RAISE
+    if _AGAINST.search(context):
+        score -= LOWER
+    return round(min(1.0, max(0.0, score)), 2)
+
+
 def find_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every text."""
 
