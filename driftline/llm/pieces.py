@@ -7,6 +7,11 @@ character that no piece covers falls back to its UTF-8 bytes at a cost below
 that of any piece. Of equal scores the segmentation with the longest last piece
 stands.
 
+Scores are log-probabilities of pieces. A unigram model has them itself. A
+byte-pair model has only the order of its merges, whose sums mean nothing, so
+its pieces get log-probabilities by their rank r after Zipf and Mandelbrot,
+1 / (r + ``MANDELBROT``), scaled to add up to one; nothing is trained.
+
 Spaces are written as U+2581, and one stands before the text. No piece has a
 space after another character, so a text is cut before each run of spaces and
 the parts, which repeat often, are segmented once in a worker's cache. A U+2581
@@ -19,6 +24,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -36,6 +42,9 @@ MARK = "▁"
 _FOREIGN = "￿"
 #: Parts kept in one worker; the cache starts anew beyond it, which changes no result.
 CACHE_PARTS = 250_000
+#: Added to a piece's rank; large, for merges come in an order in which parts of words stand before words.
+MANDELBROT = 1000
+_UNIGRAM = 1
 _PARTS = re.compile(r" *[^ ]+| +")
 ENCODED = "doc_id long, ids array<int>, n_fallback long, score double"
 
@@ -46,12 +55,44 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message; fixed-width values as bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        kind = tag & 7
+        if kind == 0:
+            yield tag >> 3, varint()
+        else:
+            size = varint() if kind == 2 else 8 if kind == 1 else 4
+            at += size
+            yield tag >> 3, data[at - size : at]
+
+
+def model_type(proto: bytes) -> int:
+    """The type that a model's trainer settings state: 1 is unigram, 2 byte pairs."""
+    trainer = dict(proto_fields(proto)).get(2, b"")
+    return dict(proto_fields(trainer)).get(3, _UNIGRAM)
+
+
 class PieceModel:
-    def __init__(self, path: str):
+    def __init__(self, path: str | None = None, proto: bytes | None = None):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
+        model = SentencePieceProcessor(model_proto=proto) if proto else SentencePieceProcessor(model_file=path)
         self.pieces: dict[str, tuple[int, float]] = {}
         self.byte_ids = [0] * 256
         self.surface: list[bytes] = []
@@ -62,6 +103,10 @@ class PieceModel:
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
             self.surface.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(MARK, " ").encode() if plain else b"")
+        if model_type(model.serialized_model_proto()) != _UNIGRAM:
+            ranks = {p: r for r, (p, _) in enumerate(sorted(self.pieces.items(), key=lambda x: (-x[1][1], x[1][0])))}
+            whole = math.fsum(1 / (r + MANDELBROT) for r in range(len(ranks)))
+            self.pieces = {p: (i, -math.log((ranks[p] + MANDELBROT) * whole)) for p, (i, _) in self.pieces.items()}
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece of this model spans words, so its texts can't be cut at spaces")
         self.fallback = min(s for _, s in self.pieces.values()) - 10
