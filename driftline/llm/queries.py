@@ -22,7 +22,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, mark), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*certain))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *map(count, certain), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, certain), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +92,7 @@ def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.judge(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
+    return fertility.judge(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id")
 
 
 def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,13 +101,20 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op9_sql() -> str:
-    """The rules one after another, each on what the rules before have left."""
+    """Sentences between breaks, then the rules one after another, each on what the rules before have left.
+
+    A line end is written as chr(2), a break as chr(1); both are doubled, so that neighbours need not share one.
+    """
     known = ", ".join(f"'{sentence}': '{sid}'" for sid, sentence in licences.SENTENCES.items())
-    ids = lambda text: rf"list_filter(list_transform(string_split(regexp_replace(replace({text}, 'SPDX-License-Identifier:', 'SPDX-License-Identifier'), '[.;:!?]([ \t]|$|(\n))', '\n\2', 'g'), chr(10)), lambda s: k.known[trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))]), lambda s: s IS NOT NULL)".replace(r"'\n\2'", r"chr(10) || '\2'")
+    sentences = "|".join(s.replace(" ", r"[ \x02]+") for s in sorted(licences.SENTENCES.values(), key=len, reverse=True))
     parts = [
         f"k AS (SELECT MAP {{{known}}} AS known)",
-        rf"both_cuts AS (SELECT doc_id, {ids(chr(34) + 'text' + chr(34))} AS by_line, {ids(chr(39) + chr(39) + ' || regexp_replace(' + chr(34) + 'text' + chr(34) + r", '[ \t]*\n[ \t]*', ' ', 'g')")} AS wrapped FROM (SELECT doc_id, coalesce(text, '') AS " + '"text"' + " FROM documents) d, k)",
-        "s0 AS (SELECT doc_id, CASE WHEN len(wrapped) > len(by_line) THEN wrapped ELSE by_line END AS ids FROM both_cuts)",
+        r"""t0 AS (SELECT doc_id, replace(regexp_replace(coalesce("text", ''), '[\x01\x02\r]', ' ', 'g'), 'SPDX-License-Identifier:', 'SPDX-License-Identifier') AS t FROM documents)""",
+        r"t1 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\bv\.\s+([0-9])', 'v \1', 'g'), '(?i)\bat:?[ \t]*\n\s*(https?://)', 'at \1', 'g') AS t FROM t0)",
+        r"t2 AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[.;:!?]([ \t\n]|$)', chr(1) || '\1', 'g'), '\n[ \t]*\n', chr(1), 'g') AS t FROM t1)",
+        r"t3 AS (SELECT doc_id, regexp_replace(lower(replace(t, chr(10), chr(2))), '[^a-z0-9\x01\x02]+', ' ', 'g') AS t FROM t2)",
+        r"t4 AS (SELECT doc_id, replace(replace(chr(1) || t || chr(1), chr(1), chr(1) || chr(1)), chr(2), chr(2) || chr(2)) AS t FROM t3)",
+        rf"s0 AS (SELECT doc_id, list_transform(regexp_extract_all(t, '[\x01\x02] ?(?:{sentences}) ?[\x01\x02]'), lambda s: k.known[trim(regexp_replace(s, '[ \x01\x02]+', ' ', 'g'))]) AS ids FROM t4, k)",
         "r0 AS (SELECT doc_id, ids, CASE WHEN len(ids) = 0 THEN '' ELSE '[' || array_to_string(ids, '][') || ']' END AS rest, [] :: VARCHAR[] AS names, [] :: VARCHAR[] AS kinds, 0 :: BIGINT AS n FROM s0)",
     ]
     for i, (name, kind, seq) in enumerate(licences.RULES):
