@@ -20,9 +20,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that pass the base rules and the fertility bands (operator 8)."""
+    """Keep documents that pass the base rules and the fertility bands (operator 8).
+
+    Short texts have been judged by the classifier already, and being short is
+    no fault of a clean one, so the base rules ask for one word here.
+    """
     names, own = docs.columns, unused_prefix(docs.columns)
-    return fertility.judge(docs, *names, prefix=own).filter(f"{own}kept").select(*names)
+    return fertility.judge(docs, *names, min_words=1, prefix=own).filter(f"{own}kept").select(*names)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
