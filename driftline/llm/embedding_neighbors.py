@@ -1,11 +1,14 @@
 """Near-duplicate vectors by an epsilon grid order join.
 
 Unit vectors are projected on leading principal axes, which never lengthens a
-distance. Grid cells of width epsilon on the first few axes give the order of
-one long sequence; it is dealt into ranges and cut into blocks with bounding
-boxes. Pairs of intervals of the sequence are halved level by level, and a pair
-whose boxes are farther apart than epsilon is dropped with all below it. Blocks
-of the pairs left are joined in tasks, again by halves, down to small matrix
+distance; the length of what the projection leaves out is one more such axis.
+Grid cells of width epsilon on the first few axes give the order of one long
+sequence; it is dealt into ranges and cut into blocks, at borders of cells where
+it can be, with bounding boxes. Pairs of intervals of the sequence are halved
+level by level on ids and boxes alone, and a pair whose boxes are farther apart
+than epsilon is dropped with all below it. Vectors move only for pairs of
+blocks that are left: pairs meet by tiles of blocks, to which each block of
+them is sent once, and are joined there, again by halves, down to small matrix
 products in double precision.
 
 Equal vectors are one class with a count. A task emits link counts and a
@@ -34,7 +37,9 @@ from driftline.llm.shared import materialise, stored
 from driftline.llm.simhash import spanning_links
 
 #: Vectors in a block, and rows below which a pair of intervals is multiplied out.
-BLOCK, LEAF = 1024, 128
+BLOCK, LEAF = 512, 128
+#: Bytes of vectors in a tile, about; two tiles are in a task's memory at a time.
+TILE_BYTES = 16_000_000
 #: Principal axes whose cells give the order, and axes that bounding boxes have.
 GRID_AXES, BOX_AXES = 6, 16
 #: Intervals that one interval of the next level holds, as a power of two.
@@ -83,12 +88,18 @@ def principal_axes(vectors: DataFrame, width: int, axes: int) -> np.ndarray:
     return found[:, ::-1][:, :axes]
 
 
+def _boxed(unit: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates on the axes, and the length of the rest: no two rows are farther apart in these than they are."""
+    p = unit @ axes
+    return np.hstack([p, np.sqrt(np.maximum(0, 1 - (p * p).sum(axis=1, keepdims=True)))])
+
+
 def _projected(axes: np.ndarray, epsilon: float, grid: int):
     width = len(axes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = _unit(_matrix(batch.column("embedding"), width)) @ axes
+            p = _boxed(_unit(_matrix(batch.column("embedding"), width)), axes)
             cells = np.floor(p[:, :grid] / epsilon).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells)), pa.array(list(p))], names=[*batch.schema.names, "cell", "projected"])
 
@@ -110,12 +121,19 @@ def _blocks(width: int, block: int):
             place += 1
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=["range", "place", "lo", "hi", "ids", "copies", "vectors"])
 
+        def cut(rows: pa.Table) -> int:
+            """Rows of the first block: up to the last border of cells in its second half, if there is one."""
+            cells = np.stack(rows.slice(block // 2, block - block // 2 + 1).column("cell").combine_chunks().to_numpy(zero_copy_only=False))
+            borders = np.nonzero((cells[1:] != cells[:-1]).any(axis=1))[0]
+            return block // 2 + 1 + int(borders[-1]) if len(borders) else block
+
         for batch in batches:
             held.append(batch)
             rows = pa.Table.from_batches(held)
-            while rows.num_rows >= block:
-                yield emit(rows.slice(0, block))
-                rows = rows.slice(block)
+            while rows.num_rows > block:
+                n = cut(rows)
+                yield emit(rows.slice(0, n))
+                rows = rows.slice(n)
             held = rows.to_batches()
         if held and (rows := pa.Table.from_batches(held)).num_rows:
             yield emit(rows)
@@ -139,7 +157,7 @@ def _near(a: str, b: str, epsilon: float) -> Column:
 def _interval_pairs(boxes: DataFrame, bits: int, epsilon: float) -> DataFrame:
     """Pairs (a, b), a <= b, of block places whose boxes are within epsilon, by descent from the whole sequence."""
     levels = [boxes.select("place", F.struct("lo", "hi").alias("box"))]
-    edge = lambda side, pick: F.array(*[pick(F.col(f"box.{side}")[i]) for i in range(BOX_AXES)])
+    edge = lambda side, pick: F.array(*[pick(F.col(f"box.{side}")[i]) for i in range(BOX_AXES + 1)])
     shift = 0
     while shift < bits:
         shift += FAN_BITS
@@ -158,7 +176,7 @@ class _Block:
     def __init__(self, ids: bytes, copies: bytes, vectors: bytes, axes: np.ndarray):
         self.ids, self.copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
         self.unit = _unit(np.frombuffer(vectors, np.float64).reshape(len(self.ids), len(axes)))
-        self.projected = self.unit @ axes
+        self.projected = _boxed(self.unit, axes)
 
 
 def join_blocks(a: _Block, b: _Block, same: bool, least: float, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
@@ -190,33 +208,51 @@ def join_blocks(a: _Block, b: _Block, same: bool, least: float, epsilon: float)
     return np.concatenate(i), np.concatenate(j)
 
 
-def _join_pairs(axes: np.ndarray, least: float, epsilon: float):
-    """Rows of one left block each: itself first, then every block that it meets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, left = None, None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                a, b, *packed = (batch.column(c)[k].as_py() for c in ("a", "b", "ids", "copies", "vectors"))
-                right = _Block(*packed, axes)
-                if a != at:
-                    at, left = a, right  # b = a comes first
-                i, j = join_blocks(left, right, a == b, least, epsilon)
-                if not len(i):
-                    continue
-                links_left, links_right = np.bincount(i, right.copies[j], len(left.ids)), np.bincount(j, left.copies[i], len(right.ids))
-                edge, root = spanning_links(len(left.ids) + (0 if a == b else len(right.ids)), i, j if a == b else j + len(left.ids))
-                both = left.ids if a == b else np.concatenate([left.ids, right.ids])
-                ids = np.concatenate([left.ids, right.ids, both[edge]])
-                links = np.concatenate([links_left, links_right, np.zeros(len(edge))]).astype(np.int64)
-                other = np.concatenate([np.full(len(left.ids) + len(right.ids), -1), both[root]])
-                is_edge = np.arange(len(ids)) >= len(left.ids) + len(right.ids)
-                keep = is_edge | (links > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(links[keep]), pa.array(other[keep], mask=~is_edge[keep])], names=["id", "links", "other"])
+def _join_tiles(axes: np.ndarray, least: float, epsilon: float):
+    """Pairs (a, b) of blocks in two tiles, and the blocks (place, ids, copies, vectors), to link counts and spanning edges."""
+
+    def run(pairs: pa.Table, packed: pa.Table) -> pa.Table:
+        blocks = {place: _Block(*own, axes) for place, *own in zip(*(packed.column(c).to_pylist() for c in ("place", "ids", "copies", "vectors")))}
+        firsts, n = {}, 0
+        for place, own in blocks.items():
+            firsts[place], n = n, n + len(own.ids)
+        if not n or not pairs.num_rows:
+            return pa.table({"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+        ids = np.concatenate([own.ids for own in blocks.values()])
+        links, root = np.zeros(n, np.int64), np.arange(n)
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            left, right = blocks[a], blocks[b]
+            i, j = join_blocks(left, right, a == b, least, epsilon)
+            if not len(i):
+                continue
+            links += np.bincount(i + firsts[a], right.copies[j], n).astype(np.int64) + np.bincount(j + firsts[b], left.copies[i], n).astype(np.int64)
+            k, to = spanning_links(n, root[i + firsts[a]], root[j + firsts[b]])
+            low = np.arange(n)
+            low[k] = to
+            root = low[root]
+        edge = np.nonzero(root != np.arange(n))[0]
+        some = np.nonzero(links)[0]
+        out_ids = np.concatenate([ids[some], ids[edge]])
+        other = np.concatenate([np.full(len(some), -1), ids[root[edge]]])
+        return pa.table({"id": pa.array(out_ids, pa.int64()), "links": pa.array(np.concatenate([links[some], np.zeros(len(edge), np.int64)]), pa.int64()), "other": pa.array(other, pa.int64(), mask=np.arange(len(out_ids)) < len(some))})
 
     return run
 
 
+def block_pairs(classes: DataFrame, width: int, rows: int, axes: np.ndarray, epsilon: float, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Blocks (place, ids, copies, vectors) of the classes, and pairs (a, b) of places whose boxes are within epsilon."""
+    placed = classes.mapInArrow(_projected(axes, epsilon, GRID_AXES), "embedding array<double>, rep long, copies long, cell array<long>, projected array<double>")
+    ranges = max(1, min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (4 * block))))
+    order = ["cell", "projected", "rep"]
+    sequence = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("range"), "rep", "copies", "embedding", "projected", "cell")
+    blocks = stored(sequence.mapInArrow(_blocks(width, block), _BLOCK_SCHEMA))
+    most = blocks.agg(F.max("range").alias("range"), F.max("place").alias("place")).first()
+    place_bits = int(most["place"]).bit_length()
+    blocks = blocks.withColumn("place", F.shiftleft("range", place_bits).bitwiseOR(F.col("place")))
+    pairs = _interval_pairs(blocks.select("place", "lo", "hi"), int(most["range"]).bit_length() + place_bits, epsilon)
+    return blocks.select("place", "ids", "copies", "vectors"), pairs
+
+
 def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors`` (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -230,19 +266,11 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.95, block: int =
     epsilon = float(np.sqrt(max(0.0, 2 - 2 * least_cosine))) + 1e-9
     axes = principal_axes(classes, width, min(width, BOX_AXES))
     axes = np.hstack([axes, np.zeros((width, BOX_AXES - axes.shape[1]))])
-    placed = classes.mapInArrow(_projected(axes, epsilon, GRID_AXES), "embedding array<double>, rep long, copies long, cell array<long>, projected array<double>")
-    ranges = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size["n"] // block)))
-    order = ["cell", "projected", "rep"]
-    sequence = placed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("range"), "rep", "copies", "embedding", "projected")
-    blocks = stored(sequence.mapInArrow(_blocks(width, block), _BLOCK_SCHEMA))
-    most = blocks.agg(F.max("range").alias("range"), F.max("place").alias("place")).first()
-    place_bits = int(most["place"]).bit_length()
-    place = F.shiftleft("range", place_bits).bitwiseOR(F.col("place"))
-    bits = int(most["range"]).bit_length() + place_bits
-    pairs = _interval_pairs(blocks.select(place.alias("place"), "lo", "hi"), bits, epsilon)
-    payload = blocks.select(place.alias("b"), "ids", "copies", "vectors")
-    met = pairs.join(payload, "b").repartition("a").sortWithinPartitions("a", "b")
-    found = stored(met.select("a", "b", "ids", "copies", "vectors").mapInArrow(_join_pairs(axes, least_cosine, epsilon), "id long, links long, other long"))
+    blocks, pairs = block_pairs(classes, width, size["n"], axes, epsilon, block)
+    tile_bits = max(0, int(TILE_BYTES // (block * width * 8)).bit_length() - 1)
+    tiled = stored(pairs.select("a", "b", F.shiftright("a", tile_bits).alias("ta"), F.shiftright("b", tile_bits).alias("tb")))
+    needed = tiled.select((F.col("ta") + 0).alias("left"), (F.col("tb") + 0).alias("right"), F.explode(F.array("a", "b")).alias("place")).distinct().join(blocks, "place")
+    found = stored(tiled.groupBy("ta", "tb").cogroup(needed.groupBy("left", "right")).applyInArrow(_join_tiles(axes, least_cosine, epsilon), "id long, links long, other long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     linked = components(found.filter("other is not null"), "id", "other")
     by_class = (

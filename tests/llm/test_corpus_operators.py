@@ -77,6 +77,36 @@ def test_embedding_links_by_brute_force(spark):
     assert embedding_neighbors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_odd_rows(spark):
+    base = [1.0, 2.0, 0.0, 0.0]
+    edge = [0.95, math.sqrt(1 - 0.95**2), 0.0, 0.0]  # just at the threshold from the first axis
+    rows = [(1, base), (1, base), (None, base), (2, [2.0, 4.0]), (3, [float("inf"), 1.0]), (4, []), (5, [1.0, 0.0, 0.0, 0.0]), (6, edge), (7, [-1.0, -2.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v, "k", 1) for i, v in rows], "vec_id long, embedding array<double>, component_id string, n_links int")
+    got = sorted((tuple(r) for r in embedding_neighbors.near_duplicates(df).collect()), key=str)
+    cosine = np.dot(edge, [1.0, 0, 0, 0]) / np.linalg.norm(edge) >= 0.95
+    linked = [(5, 1, 5, True), (6, 1, 5, False)] if cosine else [(5, 0, 5, True), (6, 0, 6, True)]
+    # An id on two rows counts for each; a shorter vector is padded with zeros.
+    wanted = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (None, 0, None, False), (3, 0, 3, True), (4, 0, 4, True), (7, 0, 7, True), *linked]
+    assert got == sorted(wanted, key=str)
+
+
+def test_far_clusters_never_meet(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24)) * np.r_[np.full(6, 4.0), np.ones(18)]
+    vectors = np.repeat(centres, 60, axis=0) + 0.02 * rng.normal(size=(2400, 24))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    classes = df.select("embedding", F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("copies"))
+    axes = embedding_neighbors.principal_axes(classes, 24, embedding_neighbors.BOX_AXES)
+    blocks, pairs = embedding_neighbors.block_pairs(classes, 24, 2400, axes, math.sqrt(0.1) + 1e-9, 32)
+    n = blocks.count()
+    assert n >= 40 and pairs.count() < 0.1 * n * (n + 1) / 2
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_neighbors.near_duplicates(df, block=32).collect()}
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    assert [got[i][0] for i in range(2400)] == (near.sum(axis=1) - 1).tolist()
+    assert all(got[i][1] == int(np.nonzero(near[i])[0][0]) for i in range(0, 2400, 60))
+
+
 def plain_spans(text):
     found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
