@@ -1,6 +1,6 @@
 """Queries of the engine's own operators over the given tables, with their SQL."""
 
-from driftline.plans import base, composed, relational, spatial, temporal
+from driftline.plans import base, composed, relational, scoring, spatial, temporal
 
 
 def queries():
