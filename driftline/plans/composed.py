@@ -62,23 +62,6 @@ def join_waypoint_at_cascade(spark, d):
 # --- aggregations
 
 
-@query(f"""WITH {POINTS}, w AS (SELECT session_id, k % 5 AS spot, count(*) FILTER (WHERE kind = 'purchase') AS landed, count(*) FILTER (WHERE kind = 'error') AS lost,
-  count(*) FILTER (WHERE kind NOT IN ('purchase', 'error', 'view')) AS pending, coalesce(sum(k * 60) FILTER (WHERE kind = 'view'), 0) AS effort FROM points GROUP BY 1, 2)
-SELECT session_id, CAST(sum(landed) AS BIGINT) AS landed, CAST(sum(lost) AS BIGINT) AS lost, CAST(sum(pending) AS BIGINT) AS pending, CAST(sum(effort) AS BIGINT) AS effort,
-  round(sum(landed) * 3600.0 / nullif(sum(effort), 0), 6) AS cpue, first(spot ORDER BY landed * 3600.0 / effort DESC, spot) FILTER (WHERE effort >= 3600) AS best_spot FROM w GROUP BY 1""")
-def agg_session_perf(spark, d):
-    """Catches and effort of a session, and its best spot among those with enough effort; the first wins a tie."""
-    kind = F.col("kind")
-    spots = points(spark, d).groupBy("session_id", (F.col("k") % 5).alias("spot")).agg(
-        F.count_if(kind == "purchase").alias("landed"), F.count_if(kind == "error").alias("lost"), F.count_if(~kind.isin("purchase", "error", "view")).alias("pending"),
-        F.coalesce(F.sum(F.when(kind == "view", F.col("k") * 60)), F.lit(0)).alias("effort"),
-    )
-    rate = F.col("landed") * 3600.0 / F.nullif("effort", F.lit(0))
-    enough = F.when(F.col("effort") >= 3600, F.struct(rate.alias("rate"), (-F.col("spot")).alias("first")))
-    total = {c: F.sum(c) for c in ("landed", "lost", "pending", "effort")}
-    return spots.groupBy("session_id").agg(*[s.alias(c) for c, s in total.items()], F.round(total["landed"] * 3600.0 / F.nullif(total["effort"], F.lit(0)), 6).alias("cpue"), F.max_by("spot", enough).alias("best_spot"))
-
-
 _MATCHED = f"WITH {POINTS}, m AS (SELECT session_id % 5 AS type, bool_or(kind = 'purchase') AS gold, bool_or(kind = 'click') AS found FROM points WHERE kind IN ('purchase', 'click') GROUP BY session_id, at // 86400)"
 
 

@@ -328,11 +328,6 @@ _COUNTS = ("effort_s", "bites", "fish_on", "landed")
 _SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _COUNTS)
 
 
-@query(f"WITH {_CUBE} SELECT zone, season, time_bucket, wind, {_SUMS}, count(*) AS contributions FROM grains GROUP BY 1, 2, 3, 4")
-def agg_grain_cube(spark, d):
-    return _grains(spark, d).groupBy("zone", "season", "time_bucket", "wind").agg(*[F.sum(c).alias(c) for c in _COUNTS], F.count("*").alias("contributions"))
-
-
 @query(f"WITH {_CUBE}, c AS (SELECT zone, wind, {_SUMS} FROM grains GROUP BY 1, 2) SELECT zone, wind, round(bites / nullif(effort_s / 3600.0, 0), 6) AS bite_rate, round(fish_on / nullif(effort_s / 3600.0, 0), 6) AS fish_on_rate, round(landed / nullif(effort_s / 3600.0, 0), 6) AS cpue, round(landed / nullif(fish_on, 0), 6) AS landing_ratio FROM c")
 def agg_derive_rates(spark, d):
     c = _grains(spark, d).groupBy("zone", "wind").agg(*[F.sum(x).alias(x) for x in _COUNTS])
@@ -350,24 +345,6 @@ def agg_shrinkage(spark, d):
     return c.select("session_id", "zone", *[F.round(e, 6).alias(name) for name, e in shrinkage("n", "h").items()])
 
 
-@query(f"""WITH {_CUBE}, asked AS (SELECT DISTINCT session_id, zone, wind, time_bucket FROM grains),
-levels AS (SELECT a.session_id, a.zone, a.wind, a.time_bucket, 1 AS level, sum(effort_s) AS effort_s, count(*) AS n FROM asked a JOIN grains g ON g.session_id = a.session_id AND g.zone = a.zone AND g.wind = a.wind AND g.time_bucket = a.time_bucket GROUP BY ALL
-UNION ALL SELECT a.session_id, a.zone, a.wind, a.time_bucket, 2, sum(effort_s), count(*) FROM asked a JOIN grains g ON g.session_id = a.session_id AND g.zone = a.zone GROUP BY ALL
-UNION ALL SELECT a.session_id, a.zone, a.wind, a.time_bucket, 3, sum(effort_s), count(*) FROM asked a JOIN grains g ON g.zone = a.zone GROUP BY ALL)
-SELECT session_id, zone, wind, time_bucket, min(level) AS level, arg_min(CAST(effort_s AS BIGINT), level) AS effort_s, arg_min(n, level) AS contributions FROM levels WHERE level = 3 OR (n >= 3 AND effort_s / 3600.0 / (effort_s / 3600.0 + 4) >= 0.25) GROUP BY 1, 2, 3, 4""")
-def agg_backoff(spark, d):
-    g = _grains(spark, d)
-    asked = g.select("session_id", "zone", "wind", "time_bucket").distinct()
-    hours = F.col("effort_s") / 3600.0
-    enough = (F.col("contributions") >= 3) & (hours / (hours + 4) >= 0.25)
-    levels = None
-    for level, keys in enumerate((["session_id", "zone", "wind", "time_bucket"], ["session_id", "zone"], ["zone"]), start=1):
-        found = asked.join(g.groupBy(*keys).agg(F.sum("effort_s").alias("effort_s"), F.count("*").alias("contributions")), keys).withColumn("level", F.lit(level))
-        found = found if level == 3 else found.filter(enough)
-        levels = found if levels is None else levels.unionByName(found)
-    return first_per_key(levels, ["session_id", "zone", "wind", "time_bucket"], F.asc("level")).select("session_id", "zone", "wind", "time_bucket", "level", "effort_s", "contributions")
-
-
 @query(f"WITH {_CUBE} SELECT session_id, CAST(sum(bites) AS BIGINT) AS bites, CAST(sum(fish_on) AS BIGINT) AS fish_on, CAST(sum(landed) AS BIGINT) AS landed, CAST(sum(effort_s) AS BIGINT) AS effort_s, count(*) AS events FROM grains GROUP BY 1")
 def alg_session_summary(spark, d):
     return _grains(spark, d).groupBy("session_id").agg(*[F.sum(c).alias(c) for c in _COUNTS], F.count("*").alias("events"))
