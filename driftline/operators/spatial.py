@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.geo import METRES_PER_DEGREE, axis_distance, grid_cell
+from driftline.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, axis_distance, grid_cell
 
 
 def _checkpointed(df: DataFrame) -> DataFrame:
@@ -77,25 +78,31 @@ def thin_trace(points: DataFrame, anchor: str, spacing_m: float = 25.0) -> DataF
     """First, last and anchor points of each session, and others a spacing from the last ordinary one kept.
 
     An anchor does not move that reference, so each decision hangs on the one
-    before it; a session's trace is one group.
+    before it. A session's rows come in order of time, batch by batch, and only
+    the reference is carried along, so a session may have any number of rows.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["at", "point_id"], kind="stable")
-        lon, lat, fixed = rows["lon"].to_numpy(), rows["lat"].to_numpy(), rows[anchor].fillna(False).to_numpy(bool)
-        keep, last = [], None
-        for i in range(len(rows)):
-            if len(rows) <= 2 or i in (0, len(rows) - 1):
-                keep.append(i)
-                last = i if last is None else last
-            elif fixed[i]:
-                keep.append(i)
-            else:
-                dlat, dlon = math.radians(lat[i] - lat[last]), math.radians(lon[i] - lon[last])
-                a = math.sin(dlat / 2) ** 2 + math.cos(math.radians(lat[last])) * math.cos(math.radians(lat[i])) * math.sin(dlon / 2) ** 2
-                if 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(a))) >= spacing_m:
+    order = ["session_id", "at", "point_id"]
+    last = F.lead(F.lit(True)).over(Window.partitionBy("session_id").orderBy("at", "point_id")).isNull()
+    in_order = points.withColumn("_last", last).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, at = object(), None
+        for rows in batches:
+            keep = []
+            for i, (own, lon, lat, fixed, is_last) in enumerate(zip(rows["session_id"], rows["lon"], rows["lat"], rows[anchor].fillna(False), rows["_last"])):
+                if own != session:
+                    session, at = own, (lon, lat)
+                    keep.append(i)
+                elif fixed or is_last:
+                    keep.append(i)
+                elif _haversine_m(*at, lon, lat) >= spacing_m:
                     keep.append(i)
-                    last = i
-        return rows.iloc[keep]
+                    at = (lon, lat)
+            yield rows.iloc[keep].drop(columns="_last")
+
+    return in_order.mapInPandas(run, points.schema)
+
 
-    return points.groupBy("session_id").applyInPandas(run, points.schema)
+def _haversine_m(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
+    a = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(a)))

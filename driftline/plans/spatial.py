@@ -64,16 +64,19 @@ def ddp_best_per_cell(spark, d):
     return S.best_per_cell(points(spark, d), 500, MAX_LAT, "value", "point_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {POINTS}, ranked AS (SELECT session_id, point_id, lon, lat, value, row_number() OVER (PARTITION BY session_id ORDER BY value DESC, point_id) AS i FROM points WHERE kind = 'signup'), walk AS (SELECT DISTINCT session_id, 0 :: BIGINT AS i, [] :: STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] AS kept FROM ranked UNION ALL SELECT w.session_id, r.i, CASE WHEN len(list_filter(kept, lambda q: {_axis_sql('q.x', 'q.y', 'r.lon', 'r.lat')} <= 900)) = 0 THEN list_append(kept, {{'id': r.point_id, 'x': r.lon, 'y': r.lat}}) ELSE kept END FROM walk w JOIN ranked r ON r.session_id = w.session_id AND r.i = w.i + 1), ended AS (SELECT session_id, unnest(arg_max(kept, i)).id AS id FROM walk GROUP BY 1) SELECT r.session_id, point_id, lon, lat, value FROM ranked r JOIN ended e ON e.id = r.point_id")
 def ddp_greedy_spatial(spark, d):
-    """No SQL: which rows stay hangs on which better rows stay; compared with the walk in tests."""
+    """The rows that a walk by falling value keeps, if it has kept none near them."""
     p = points(spark, d).filter("kind = 'signup'").select("session_id", "point_id", "lon", "lat", "value")
     return S.greedy_spacing(p, "point_id", "value", 900, MAX_LAT, ("session_id",))
 
 
-@query()
+_STEP = "2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(r.lat - w.lat) / 2), 2) + cos(radians(w.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lon - w.lon) / 2), 2)))) >= 3000"
+
+
+@query(f"WITH RECURSIVE {POINTS}, ranked AS (SELECT session_id, point_id, lon, lat, kind = 'purchase' AS anchor, row_number() OVER (PARTITION BY session_id ORDER BY at, point_id) AS i, count(*) OVER (PARTITION BY session_id) AS n FROM points), walk AS (SELECT session_id, i, point_id, lon, lat, true AS keep FROM ranked WHERE i = 1 UNION ALL SELECT r.session_id, r.i, r.point_id, CASE WHEN NOT r.anchor AND r.i < r.n AND {_STEP} THEN r.lon ELSE w.lon END, CASE WHEN NOT r.anchor AND r.i < r.n AND {_STEP} THEN r.lat ELSE w.lat END, r.n <= 2 OR r.i = r.n OR r.anchor OR {_STEP} FROM walk w JOIN ranked r ON r.session_id = w.session_id AND r.i = w.i + 1) SELECT session_id, point_id FROM walk WHERE keep")
 def smp_trace_thin(spark, d):
-    """No SQL: each point is judged against the last one kept; compared with brute force in tests."""
+    """First, last and anchor points, and others far enough from the last ordinary one kept."""
     p = points(spark, d).withColumn("anchor", F.col("kind") == "purchase")
     return S.thin_trace(p, "anchor", 3000.0).select("session_id", "point_id")
 
@@ -85,11 +88,6 @@ def geo_equirect(spark, d):
     return rows.select("session_id", "point_id", F.round(geo.bearing("x", "y", "lon", "lat"), 6).alias("bearing"))
 
 
-@query("SELECT n_nationkey, least(greatest(CAST(floor((n_nationkey * 15.0 - 180 + 180) / 6) + 1 AS INT), 1), 60) AS zone FROM nation")
-def geo_utm(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", geo.utm_zone(F.col("n_nationkey") * 15.0 - 180).alias("zone"))
-
-
 # --- scores
 
 
