@@ -122,3 +122,12 @@ def uuid3(text) -> Column:
     m = F.md5(_col(text))
     variant = F.element_at(F.array(*map(F.lit, "89ab")), F.conv(F.substring(m, 17, 1), 16, 10).cast("int") % 4 + 1)
     return F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.concat(F.lit("3"), F.substring(m, 14, 3)), F.concat(variant, F.substring(m, 18, 3)), F.substring(m, 21, 12))
+
+
+def sun_elevation(days_since_1970, utc_hours, lon, lat) -> Column:
+    """Degrees of the sun above the horizon, by mean declination and hour angle."""
+    year = _col(days_since_1970) - 19_723  # days since the start of 2024
+    declination = F.radians(23.44 * F.sin(2 * math.pi * (F.floor(year) + 1 - 81) / 365.0))
+    hour_angle = F.radians(15 * (_col(utc_hours) + _col(lon) / 15.0 - 12))
+    phi = F.radians(_col(lat))
+    return F.degrees(F.asin(F.sin(phi) * F.sin(declination) + F.cos(phi) * F.cos(declination) * F.cos(hour_angle)))

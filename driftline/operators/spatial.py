@@ -14,14 +14,20 @@ from pyspark.sql import functions as F
 from driftline.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, axis_distance, grid_cell
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a temporary one serves only a session on one machine."""
-    spark: SparkSession = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one serves only a session on one machine."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
+        if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "driftline-checkpoints"))
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "driftline-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,6 +1,6 @@
 """Queries of the engine's own operators over the given tables, with their SQL."""
 
-from driftline.plans import base, composed, flow, places, relational, scoring, spatial, temporal
+from driftline.plans import base, composed, documents, flow, places, relational, scoring, spatial, streams, temporal
 
 
 def queries():

@@ -37,3 +37,29 @@ def hourly_weather(docs: DataFrame, column: str, variables: list[str]) -> DataFr
     zipped = F.arrays_zip(*[F.col(f"_h.{c}").alias(c) for c in ("time", *variables)])
     rows = parsed.select(*[c for c in docs.columns if c != column], F.explode(zipped).alias("_r"))
     return rows.select(*[c for c in docs.columns if c != column], *[F.col(f"_r.{c}").alias(c) for c in ("time", *variables)])
+
+
+def paged_features(pages: DataFrame, source: str, offset: str, page_size: int, max_pages: int) -> DataFrame:
+    """Features of paged responses (source, offset, content): pages up to the first short one that announces no more.
+
+    A page at or beyond ``max_pages`` is not read, which ``capped`` says of its source.
+    """
+    parsed = pages.withColumn("_doc", F.from_json("content", FEATURES))
+    n = F.coalesce(F.size("_doc.features"), F.lit(0))
+    ends = (n < page_size) & ~F.coalesce(F.col("_doc.exceededTransferLimit"), F.lit(False))
+    last = parsed.groupBy(source).agg(F.min(F.when(ends, F.col(offset))).alias("_last"))
+    limit = F.lit(max_pages * page_size)
+    kept = parsed.join(last, source, "left").filter((F.col(offset) <= F.coalesce("_last", limit)) & (F.col(offset) < limit))
+    rows = kept.select(source, offset, F.coalesce(F.col("_last") >= limit, F.lit(True)).alias("capped"), F.posexplode("_doc.features").alias("feature_no", "_f"))
+    return rows.select(source, offset, "feature_no", "capped", F.col("_f.geometry.coordinates").alias("coordinates"), F.col("_f.properties").alias("properties"))
+
+
+def pack_rows(cells: DataFrame, row: str, col: str, flag: str) -> DataFrame:
+    """One row of bits for each raster row of up to 63 columns."""
+    return cells.groupBy(row).agg(F.sum(F.when(F.col(flag), F.expr(f"shiftleft(1L, CAST({col} AS INT))")).otherwise(F.lit(0))).alias("bits"), F.max(col).alias("last_col"))
+
+
+def unpack_rows(packed: DataFrame, row: str, col: str, flag: str) -> DataFrame:
+    """The cells of packed raster rows."""
+    cells = packed.withColumn(col, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_col").cast("long"))))
+    return cells.select(col, row, (F.expr(f"shiftright(bits, CAST({col} AS INT)) & 1") == 1).alias(flag))

@@ -23,72 +23,130 @@ def tumbling_counts(stream: DataFrame, time: str, keys: list[str], width: str =
     return counted.select(F.col("w.start").alias("window_start"), *keys, "n")
 
 
-def with_cooldown(stream: DataFrame, cooldown_s: int) -> DataFrame:
+#: Time without rows after which the state of a key is dropped.
+IDLE = "7 days"
+_IDLE_MS = 7 * 86_400_000
+
+
+def _timed(stream: DataFrame, delay: str) -> DataFrame:
+    """The stream with a watermark on its whole seconds ``at``."""
+    return stream.withColumn("_ts", F.timestamp_seconds("at")).withWatermark("_ts", delay)
+
+
+def _keep(state: GroupState, values: tuple, at: int) -> None:
+    """Update a key's state, which lasts until the watermark is ``IDLE`` beyond its last row."""
+    state.update(values)
+    state.setTimeoutTimestamp(max(at * 1000, state.getCurrentWatermarkMs()) + _IDLE_MS)
+
+
+def with_cooldown(stream: DataFrame, cooldown_s: int, delay: str = "1 day") -> DataFrame:
     """Triggers (session_id, trigger, at) of which none follows an emitted one of its kind within the cooldown.
 
-    The state of a session and trigger is the time of the last one emitted;
-    rows of one batch are taken in order of time.
+    The state of a session and trigger is the time of the last one emitted.
+    Rows of one batch are taken in order of time; one that comes after a later
+    one was emitted is within its cooldown or before it, and is not emitted.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        times = sorted(t for f in frames for t in f["at"])
+        times = sorted(int(t) for f in frames for t in f["at"])
         out = []
         for t in times:
             if last is None or t - last >= cooldown_s:
-                last = int(t)
+                last = t
                 out.append(last)
         if last is not None:
-            state.update((last,))
+            _keep(state, (last,), last)
         yield pd.DataFrame({"session_id": [key[0]] * len(out), "trigger": [key[1]] * len(out), "at": out})
 
-    return stream.groupBy("session_id", "trigger").applyInPandasWithState(run, "session_id long, trigger string, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+    keyed = _timed(stream, delay).groupBy("session_id", "trigger")
+    return keyed.applyInPandasWithState(run, "session_id long, trigger string, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-# Metres at which a waypoint is approached, reached and left again.
+# Metres at which a waypoint is approached, reached and left again, and what confirms an arrival.
 APPROACH_M, ARRIVE_M, DEPART_M = 150.0, 60.0, 100.0
+CONFIRM_SAMPLES, CONFIRM_S = 4, 30
 
 
-def waypoint_states(stream: DataFrame) -> DataFrame:
-    """State changes (session_id, waypoint_id, at, state) from rows (session_id, waypoint_id, at, metres).
+def next_state(now: tuple, at: int, metres: float, skipped: bool, radii: tuple[float, float, float] = (APPROACH_M, ARRIVE_M, DEPART_M), samples: int = CONFIRM_SAMPLES, seconds: int = CONFIRM_S) -> tuple[tuple, list[str]]:
+    """(state, samples inside, first of them, last time) after one position, and the states entered.
 
-    UPCOMING, NAVIGATING within the approach radius, ARRIVED within the arrival
-    radius, COMPLETED beyond the departure radius after an arrival; the radii
-    differ, so a position near one of them does not flip the state.
+    An arrival needs enough samples in a row inside the arrival radius over
+    enough time, and is fishing at once; the radii differ, so a position near
+    one of them does not flip the state.
+    """
+    state, inside, first, _ = now
+    approach, arrive, depart = radii
+    entered: list[str] = []
+    inside, first = (inside + 1, first if inside else at) if metres <= arrive else (0, at)
+    if skipped and state not in ("COMPLETED", "SKIPPED"):
+        entered = ["SKIPPED"]
+    elif state in ("UPCOMING", "NAVIGATING"):
+        if inside >= samples and at - first >= seconds:
+            entered = ["ARRIVED", "FISHING"]
+        elif state == "UPCOMING" and metres <= approach:
+            entered = ["NAVIGATING"]
+    elif state == "FISHING" and metres > depart:
+        entered = ["COMPLETED"]
+    return (entered[-1] if entered else state, inside, first, at), entered
+
+
+def waypoint_states(stream: DataFrame, delay: str = "1 day", **limits) -> DataFrame:
+    """State changes (session_id, waypoint_id, at, state) from rows (session_id, waypoint_id, at, metres, skipped).
+
+    Rows of a batch are taken in order of time; one that is older than what a
+    former batch has settled is too late and changes nothing.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else "UPCOMING"
-        rows = sorted((t, m) for f in frames for t, m in zip(f["at"], f["metres"]))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = tuple(state.get) if state.exists else ("UPCOMING", 0, 0, -(2**62))
+        rows = sorted((int(t), float(m), bool(s)) for f in frames for t, m, s in zip(f["at"], f["metres"], f["skipped"]))
         out = []
-        for t, m in rows:
-            then = now
-            if now in ("UPCOMING", "NAVIGATING") and m <= ARRIVE_M:
-                then = "ARRIVED"
-            elif now == "UPCOMING" and m <= APPROACH_M:
-                then = "NAVIGATING"
-            elif now == "ARRIVED" and m > DEPART_M:
-                then = "COMPLETED"
-            if then != now:
-                now = then
-                out.append((key[0], key[1], int(t), now))
-        state.update((now,))
+        for t, m, skipped in rows:
+            if t >= now[3]:
+                now, entered = next_state(now, t, m, skipped, **limits)
+                out += [(key[0], key[1], t, e) for e in entered]
+        _keep(state, now, max(now[3], 0))
         yield pd.DataFrame(out, columns=["session_id", "waypoint_id", "at", "state"])
 
-    return stream.groupBy("session_id", "waypoint_id").applyInPandasWithState(run, "session_id long, waypoint_id long, at long, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+    keyed = _timed(stream, delay).groupBy("session_id", "waypoint_id")
+    return keyed.applyInPandasWithState(run, "session_id long, waypoint_id long, at long, state string", "state string, inside long, first long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replayed(df: DataFrame, folder: str) -> DataFrame:
+    """A stream of the rows of ``df``, by way of files in ``folder``."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """All that a stream has to give now, written to ``folder`` and read again."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def upsert_latest(path: str, keys: list[str], time: str) -> Callable[[DataFrame, int], None]:
+def upsert_latest(path: str, keys: list[str], time: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that keeps the latest row of each key below ``path``.
 
-    Each batch writes a whole new version of the projection, named by the
-    batch, so a repeated batch overwrites its own version and no other.
+    Each batch writes the next version of the projection, named by the batch,
+    so a repeated batch overwrites its own version and no other. Versions
+    before the last ``keep`` are removed.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
+        rows, spark = batch, batch.sparkSession
         if batch_id:
-            rows = rows.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}"))
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}"))
         first_per_key(rows, keys, F.desc(time)).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if batch_id >= keep:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - keep}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return write
