@@ -269,10 +269,10 @@ WIDE_BITS = 512
 TABLES, MIN_HASHES = 14, 3
 #: Standard deviations above the mean distance up to which a pair is proposed.
 SPREAD = 3.5
-#: Pairs of each text in a piece of work that the rounds propose; the last one proposes all.
-ROUNDS = (1, 1, None)
-#: Texts to a tile, on average; pairs are confirmed by pairs of tiles.
-TILE = 1024
+#: Nearest others of each text in a piece of work that the rounds propose; the last one proposes all.
+ROUNDS = (1, 3, None)
+#: Pairs that a task confirms, on average, and those of one text at most in one task.
+TILE, OF_ONE = 2048, 1024
 
 
 def wide_radius(similarity: float, bits: int = WIDE_BITS) -> int:
@@ -322,12 +322,12 @@ def _wide(shingle_words: int):
     return run
 
 
-def _propose(radius: int, width: int, labelled: bool, limit: int | None, seed: int):
+def _propose(radius: int, width: int, labelled: bool, limit: int | None):
     """Pieces of work to pairs (a, b), a > b, of representatives with different labels.
 
-    With a limit a text is paired with as many of its smaller neighbours in the
-    piece, chosen by hash, and each text of a pair left out is named, as ``a``,
-    with its bucket in a row of its own.
+    With a limit a text is paired with as many of the others in the piece, by
+    distance of fingerprints, and each text of a pair left out is named, as
+    ``a``, with its bucket in a row of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,17 +347,16 @@ def _propose(radius: int, width: int, labelled: bool, limit: int | None, seed: i
                 g, a, b = group[i], np.maximum(reps[i], reps[j]), np.minimum(reps[i], reps[j])
                 over, left_out = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if limit and len(g):
-                    # A block meets itself in both orders, so a pair counts once.
-                    mixed = _mixes(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64), seed + 2)[:, seed + 1]
-                    order = np.lexsort((b, mixed, a, g))
-                    g, a, b = g[order], a[order], b[order]
-                    once = np.r_[True, (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-                    g, a, b = g[once], a[once], b[once]
-                    first = np.r_[True, (g[1:] != g[:-1]) | (a[1:] != a[:-1])]
-                    at = np.arange(len(g))
-                    late = at - np.maximum.accumulate(np.where(first, at, 0)) >= limit
-                    over, left_out = np.unique(np.stack([np.r_[g[late], g[late]], np.r_[a[late], b[late]]]), axis=1)
-                    a, b = a[~late], b[~late]
+                    far = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64)
+                    # Every pair from both its ends; a block that meets itself has pairs in both orders.
+                    ends = np.unique(np.stack([np.r_[g, g], np.r_[a, b], np.r_[far, far], np.r_[b, a]]), axis=1)
+                    first = np.r_[True, (ends[:2, 1:] != ends[:2, :-1]).any(axis=0)]
+                    at = np.arange(ends.shape[1])
+                    near = at - np.maximum.accumulate(np.where(first, at, 0)) < limit
+                    whole = np.stack([ends[0], np.maximum(ends[1], ends[3]), np.minimum(ends[1], ends[3])])
+                    chosen, rest = np.unique(whole[:, near], axis=1), whole[:, ~near]
+                    over, left_out = np.unique(np.stack([np.r_[rest[0], rest[0]], np.r_[rest[1], rest[2]]]), axis=1)
+                    a, b = chosen[1], chosen[2]
                 none, no_bucket = [None] * len(over), pa.nulls(len(a), pa.int32())
                 return pa.RecordBatch.from_arrays(
                     [pa.array(np.r_[a, left_out], pa.int64()), pa.array([*b.tolist(), *none], pa.int64()), pa.concat_arrays([no_bucket, pa.array(choice[over], pa.int32())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(key[over], pa.int64())])],
@@ -377,10 +376,10 @@ def _propose(radius: int, width: int, labelled: bool, limit: int | None, seed: i
     return run
 
 
-def proposed(keyed: DataFrame, radius: int, words: list[str], labelled: bool, limit: int | None, seed: int) -> DataFrame:
+def proposed(keyed: DataFrame, radius: int, words: list[str], labelled: bool, limit: int | None) -> DataFrame:
     """Distinct pairs (a, b) within the radius in any bucket, and rows (a, choice, key) of texts in pairs left out."""
     work = bucket_work(keyed, words, ["label"] if labelled else []).select("choice", "key", "members")
-    return work.mapInArrow(_propose(radius, len(words), labelled, limit, seed), "a long, b long, choice int, key long").distinct()
+    return work.mapInArrow(_propose(radius, len(words), labelled, limit), "a long, b long, choice int, key long").distinct()
 
 
 def jaccard_at_least(left: np.ndarray, right: np.ndarray, similarity: float) -> bool:
@@ -393,7 +392,7 @@ def jaccard_at_least(left: np.ndarray, right: np.ndarray, similarity: float) ->
 
 
 def _confirm(shingle_words: int, similarity: float):
-    """Pairs (a, b) of two tiles and their texts (id, text) to edges that connect what the similar pairs connect."""
+    """Pairs (a, b) of a tile and their texts (id, text) to edges that connect what the similar pairs connect."""
 
     def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
         sets: dict[int, list[np.ndarray]] = {}
@@ -412,13 +411,15 @@ def _confirm(shingle_words: int, similarity: float):
 def confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """Edges that connect what the pairs (a, b) whose texts have the similarity exactly connect.
 
-    Ids are dealt into tiles of about ``TILE``; a text goes once to each pair
-    of tiles in which it has a pair.
+    Pairs are dealt by ``b``, those of one ``b`` to several tiles where they are
+    many, so a text goes once to the tiles of its own pairs as ``b``, and as
+    ``a`` to the tile of each partner.
     """
+    tiles = max(1, -(-pairs.count() // TILE))
+    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / OF_ONE).alias("parts"))
+    part = F.pmod(F.xxhash64("a"), F.col("parts"))
+    dealt = stored(pairs.join(many, "b").select("a", "b", F.pmod(F.xxhash64("b", part), F.lit(tiles)).alias("tile")))
     ends = F.explode(F.array("a", "b")).alias("id")
-    tiles = max(1, -(-pairs.select(ends).distinct().count() // TILE))
-    x, y = (F.pmod(F.xxhash64(c), F.lit(tiles)) for c in ("a", "b"))
-    dealt = pairs.select("a", "b", (F.least(x, y) * tiles + F.greatest(x, y)).alias("tile"))
     texts = dealt.select("tile", ends).distinct().join(docs.withColumnRenamed("doc_id", "id"), "id").select((F.col("tile") + 0).alias("text_tile"), "id", "text")
     return dealt.groupBy("tile").cogroup(texts.groupBy("text_tile")).applyInArrow(_confirm(shingle_words, similarity), "a long, b long")
 
@@ -430,9 +431,9 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float
     ``bucket_keys`` are a bucket, whose wide fingerprints are compared by bit
     planes; pairs within ``wide_radius`` are proposed, and every link is
     confirmed by the exact Jaccard similarity of the distinct shingles.
-    First rounds propose few pairs of each text; buckets that have more are
-    searched again for pairs that the links have not yet brought together, in
-    the last round for all of them.
+    First rounds propose a text's nearest ones alone; buckets that have more
+    pairs are searched again for those that the links have not yet brought
+    together, in the last round for all of them.
     """
     words = [f"w{i}" for i in range(WIDE_BITS // 64)]
     schema = f"doc_id long, same binary, {', '.join(f'{w} long' for w in words)}, keys array<long>"
@@ -442,8 +443,8 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float
     classes = marked.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in first])
     keyed, radius = classes.select("rep", *words, F.posexplode("keys").alias("choice", "key")), wide_radius(similarity)
     edges, linked, searched = None, None, keyed
-    for seed, limit in enumerate(ROUNDS):
-        found = stored(proposed(searched, radius, words, linked is not None, limit, seed))
+    for limit in ROUNDS:
+        found = stored(proposed(searched, radius, words, linked is not None, limit))
         near = stored(confirmed(found.filter("b is not null").select("a", "b"), docs, shingle_words, similarity))
         edges = near if edges is None else edges.union(near)
         linked = components(edges).withColumnRenamed("id", "rep")
