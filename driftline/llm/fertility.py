@@ -39,7 +39,7 @@ from driftline.llm.shared import slices, stored, texts_of
 
 MIN_WORDS = 50
 #: Words kept in one worker with their tokens; the cache starts anew beyond it, which changes no result.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 #: First code point of each range of scripts, and what it is.
 _SCRIPT_STARTS = ((0x0, "none"), (0x41, "latin"), (0x5B, "none"), (0x61, "latin"), (0x7B, "none"), (0xAA, "latin"), (0x2B0, "none"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "none"), (0x2C00, "other"), (0x3040, "cjk"), (0xA000, "other"), (0xAC00, "cjk"), (0xD7B0, "none"), (0xF900, "cjk"), (0xFB00, "other"), (0x20000, "cjk"), (0x33480, "none"))
 #: By script: characters per token at least and at most, byte share at most, bits of entropy at least.
