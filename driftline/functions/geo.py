@@ -176,3 +176,8 @@ def ring_faults(ring) -> Column:
     first, last = F.try_element_at(ring, F.lit(1)), F.try_element_at(ring, F.lit(-1))
     odd = F.exists(ring, lambda v: v["x"].isNull() | v["y"].isNull() | F.isnan(v["x"]) | F.isnan(v["y"]) | (F.abs(v["x"]) == float("inf")) | (F.abs(v["y"]) == float("inf")))
     return F.when(ring.isNull() | (F.size(ring) == 0), "EMPTY").when(F.size(ring) < 4, "TOO_SHORT").when(odd, "NOT_FINITE").when((first["x"] != last["x"]) | (first["y"] != last["y"]), "OPEN").when(ring_area(ring) <= 0, "NO_AREA")
+
+
+def buffer_degrees(metres, lat) -> Column:
+    """Degrees of a buffer by the mean of the two axes' scales."""
+    return F.lit(metres) / ((METRES_PER_DEGREE + METRES_PER_DEGREE * F.cos(F.radians(_col(lat)))) / 2)

@@ -77,15 +77,6 @@ def agg_precision_recall(spark, d):
     return c.filter(tp + fp + fn > 0).select(F.coalesce("type", F.lit("ALL")).alias("type"), "tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2.0 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
-@query(f"WITH {POINTS}, v AS (SELECT DISTINCT session_id, k FROM points), g AS (SELECT session_id, least(k - lag(k) OVER w, lead(k) OVER w - k) AS gap FROM v WINDOW w AS (PARTITION BY session_id ORDER BY k)) SELECT session_id, round(avg(gap), 6) AS mean_nearest FROM g WHERE gap IS NOT NULL GROUP BY 1")
-def agg_mean_nearest(spark, d):
-    """Mean distance to the nearest different level: neighbours in order, not pairs."""
-    w = Window.partitionBy("session_id").orderBy("k")
-    k = F.col("k")
-    gaps = points(spark, d).select("session_id", "k").distinct().withColumn("gap", F.least(k - F.lag("k").over(w), F.lead("k").over(w) - k))
-    return gaps.filter("gap IS NOT NULL").groupBy("session_id").agg(F.round(F.avg("gap"), 6).alias("mean_nearest"))
-
-
 @query("WITH h AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') / 2.0 AS uh, count(*) FILTER (WHERE o_orderstatus = 'O') / 4.0 AS prior, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') / 500000 AS own, avg(o_totalprice) / 500000 AS everyone FROM orders GROUP BY 1), b AS (SELECT *, uh / (uh + greatest(1e-4, prior)) AS b FROM h) SELECT o_custkey, round(least(1, greatest(0, b * coalesce(own, 0.5) + (1 - b) * everyone)), 6) AS score FROM b")
 def agg_blend(spark, d):
     """Own and common score, weighted by hours of own evidence against the prior."""
@@ -116,16 +107,6 @@ def agg_pagination_report(spark, d):
 # --- windows, sets and choices
 
 
-@query(f"WITH {POINTS}, t AS (SELECT *, sum(CASE WHEN k > 60 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY at DESC, point_id DESC ROWS UNBOUNDED PRECEDING) AS fast FROM points) SELECT session_id, count(*) AS n, max(at) - min(at) AS seconds, count(*) >= 4 AND max(at) - min(at) >= 45 AS stationary FROM t WHERE fast = 0 GROUP BY 1")
-def win_trailing_slow(spark, d):
-    """The slow run at the end of each trace: all after the last fast point, found without a window."""
-    p = points(spark, d).select("session_id", "point_id", "at", "k")
-    last_fast = p.filter("k > 60").groupBy("session_id").agg(F.max(_order()).alias("fast"))
-    tail = p.join(last_fast, "session_id", "left").filter(F.col("fast").isNull() | (_order() > F.col("fast")))
-    span = F.max("at") - F.min("at")
-    return tail.groupBy("session_id").agg(F.count("*").alias("n"), span.alias("seconds"), ((F.count("*") >= 4) & (span >= 45)).alias("stationary"))
-
-
 @query("SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_extendedprice DESC, l_orderkey DESC, l_linenumber DESC) = 1")
 def ddp_true_duplicate(spark, d):
     """The best row of each identity; partial maxima instead of sorted groups."""
@@ -204,30 +185,6 @@ def alg_interval_max_wind(spark, d):
     return T.as_of(q, _wind(p), ["session_id"], "moment", "t", "t", ["wind"], "at_").groupBy("point_id").agg(F.max("at_wind").alias("max_wind"))
 
 
-@query(f"WITH {POINTS}, l AS (SELECT *, sqrt(pow((lon - lag(lon) OVER w) * 111320.0 * cos(radians((lat + lag(lat) OVER w) / 2)), 2) + pow((lat - lag(lat) OVER w) * 111320.0, 2)) AS m, row_number() OVER w AS entry FROM points WINDOW w AS (PARTITION BY session_id, at // 86400 ORDER BY at, point_id)) SELECT point_id, round(k / 100.0 * pow(0.9, entry - 1) + 0.12 * (1 - least(1.0, coalesce(m, 0) / 4000)) - CASE WHEN kind = 'error' THEN 0.15 ELSE 0 END - 0.04 * least(1.0, k / 30.0), 6) AS gain FROM l")
-def alg_route_increment(spark, d):
-    """What one more visit adds: decayed utility, nearness, land crossing and minutes."""
-    p = points(spark, d).withColumn("day", F.floor(F.col("at") / 86_400))
-    w = Window.partitionBy("session_id", "day").orderBy("at", "point_id")
-    metres = geo.axis_distance(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat"))
-    l = p.select("point_id", "k", "kind", metres.alias("m"), F.row_number().over(w).alias("entry"))
-    k = F.col("k")
-    gain = k / 100.0 * F.pow(F.lit(0.9), F.col("entry") - 1) + 0.12 * (1 - F.least(F.lit(1.0), F.coalesce("m", F.lit(0.0)) / 4000)) - F.when(F.col("kind") == "error", 0.15).otherwise(0) - 0.04 * F.least(F.lit(1.0), k / F.lit(30.0))
-    return l.select("point_id", F.round(gain, 6).alias("gain"))
-
-
-@query("""WITH c AS (SELECT l_orderkey, row_number() OVER w AS stop, CASE WHEN l_quantity < 2 THEN 'TOO_SHORT' WHEN l_discount > 0.09 THEN 'SCORE_RANGE' WHEN l_shipdate < lag(l_shipdate) OVER w THEN 'UNORDERED_TIMES' END AS code FROM lineitem
-  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_discount))
-SELECT o_orderkey, CASE WHEN count(l_orderkey) = 0 THEN 'EMPTY' ELSE coalesce(arg_min(code, stop) FILTER (WHERE code IS NOT NULL), 'VALID') END AS verdict FROM orders LEFT JOIN c ON o_orderkey = l_orderkey GROUP BY 1""")
-def alg_plan_validate(spark, d):
-    """The first failing rule of the first failing stop of each plan."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_discount")
-    code = F.when(F.col("l_quantity") < 2, "TOO_SHORT").when(F.col("l_discount") > 0.09, "SCORE_RANGE").when(F.col("l_shipdate") < F.lag("l_shipdate").over(w), "UNORDERED_TIMES")
-    stops = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), code.alias("code"), F.row_number().over(w).alias("stop"))
-    c = stops.groupBy("o_orderkey").agg(F.min_by("code", F.when(F.col("code").isNotNull(), F.col("stop"))).alias("code"), F.lit(True).alias("stops"))
-    return table(spark, d, "orders").select("o_orderkey").join(c, "o_orderkey", "left").select("o_orderkey", F.when(F.col("stops").isNull(), "EMPTY").otherwise(F.coalesce("code", F.lit("VALID"))).alias("verdict"))
-
-
 @query(f"WITH {POINTS} SELECT session_id, kind, count(*) AS evidence_count, arg_max(k, at * 10000000 + point_id) AS last_value, round(1 - exp(-count(*) / 3.0), 3) AS confidence FROM points GROUP BY 1, 2")
 def alg_pref_upsert(spark, d):
     """Evidence counted, the last value kept, confidence from the count."""
@@ -243,27 +200,6 @@ def alg_history_clip(spark, d):
     return last.groupBy("session_id").agg(F.array_join(clips, " ").alias("clips"))
 
 
-@query(f"""WITH {POINTS}, inferred AS (SELECT session_id, kind FROM points GROUP BY 1, 2 HAVING count(*) >= 10), stated AS (SELECT DISTINCT session_id, kind FROM points WHERE k >= 95),
-o AS (SELECT session_id, point_id, row_number() OVER (PARTITION BY session_id ORDER BY at DESC, point_id DESC) AS rn FROM points WHERE kind = 'purchase')
-SELECT session_id, 'PREFERENCE' AS source, kind AS ref FROM inferred ANTI JOIN stated USING (session_id, kind) UNION ALL SELECT session_id, 'OUTCOME', CAST(point_id AS VARCHAR) FROM o WHERE rn <= 8""")
-def alg_memory_retrieval(spark, d):
-    """Inferred preferences that no stated one covers, and the last eight outcomes."""
-    p = points(spark, d)
-    prefs = p.groupBy("session_id", "kind").agg(F.count("*").alias("n"), F.bool_or(F.col("k") >= 95).alias("stated")).filter("n >= 10 AND NOT coalesce(stated, false)")
-    w = Window.partitionBy("session_id").orderBy(F.desc("at"), F.desc("point_id"))
-    outcomes = _of_kind(p, "purchase").withColumn("rn", F.row_number().over(w)).filter("rn <= 8")
-    return prefs.select("session_id", F.lit("PREFERENCE").alias("source"), F.col("kind").alias("ref")).unionByName(outcomes.select("session_id", F.lit("OUTCOME").alias("source"), F.col("point_id").cast("string").alias("ref")))
-
-
-@query(f"WITH {POINTS}, v AS (SELECT session_id, point_id, at, lag(at + k * 10) OVER w AS departed, lag(k * 10) OVER w AS dwell FROM points WINDOW w AS (PARTITION BY session_id, kind ORDER BY at, point_id)) SELECT session_id, point_id, CASE WHEN dwell >= 120 THEN departed + 2700 END AS cooldown_until, NOT coalesce(dwell >= 120 AND at < departed + 2700, false) AS eligible FROM v")
-def alg_revisit_cooldown(spark, d):
-    """A spot left after a stay of two minutes or more rests for 45 minutes."""
-    w = Window.partitionBy("session_id", "kind").orderBy("at", "point_id")
-    v = points(spark, d).select("session_id", "point_id", "at", F.lag(F.col("at") + F.col("k") * 10).over(w).alias("departed"), F.lag(F.col("k") * 10).over(w).alias("dwell"))
-    until = F.when(F.col("dwell") >= 120, F.col("departed") + 2700)
-    return v.select("session_id", "point_id", until.alias("cooldown_until"), (~F.coalesce(F.col("at") < until, F.lit(False))).alias("eligible"))
-
-
 # --- triggers
 
 
@@ -276,13 +212,3 @@ def stm_retry_quarantine(spark, d):
 
 
 _RANK = {"purchase": 0, "signup": 1, "click": 2, "view": 3, "error": 4}
-
-
-@query(f"""WITH {POINTS}, g AS (SELECT session_id, at // 86400 AS day, kind, min(at * 10000000 + point_id) AS first, count(*) AS n, CASE kind {' '.join(f"WHEN '{k}' THEN {r}" for k, r in _RANK.items())} END AS rank FROM points GROUP BY 1, 2, 3)
-SELECT session_id, day, arg_min(kind, rank) AS trigger, string_agg(kind, ',' ORDER BY first) AS reasons, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY 1, 2""")
-def stm_coalesce(spark, d):
-    """Open triggers of a session and day as one: the best rank leads, the reasons join in order of coming."""
-    rank = F.element_at(F.create_map(*[F.lit(x) for pair in _RANK.items() for x in pair]), F.col("kind"))
-    g = points(spark, d).groupBy("session_id", F.floor(F.col("at") / 86_400).alias("day"), "kind").agg(F.min(_order()).alias("first"), F.count("*").alias("n")).withColumn("rank", rank)
-    reasons = F.transform(F.sort_array(F.collect_list(F.struct("first", "kind"))), lambda x: x["kind"])
-    return g.groupBy("session_id", "day").agg(F.min_by("kind", "rank").alias("trigger"), F.array_join(reasons, ",").alias("reasons"), F.sum("n").alias("n"))

@@ -176,11 +176,6 @@ def agg_count_group(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
-@query("SELECT coalesce(max(o_orderkey), 0) AS version FROM orders WHERE o_custkey = -1")
-def agg_max_default(spark, d):
-    return table(spark, d, "orders").filter("o_custkey = -1").agg(F.coalesce(F.max("o_orderkey"), F.lit(0)).alias("version"))
-
-
 @query("SELECT l_suppkey, l_returnflag, count(*) FILTER (WHERE l_linestatus = 'F') AS landed FROM lineitem GROUP BY 1, 2")
 def agg_count_filter(spark, d):
     return table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count_if(F.col("l_linestatus") == "F").alias("landed"))
@@ -326,12 +321,6 @@ def ddp_nondominated(spark, d):
     return R.skyline(table(spark, d, "part"), ["p_brand"], "p_size", "p_retailprice").select("p_brand", "p_size", "p_retailprice")
 
 
-@query("SELECT 'order' AS source, o_orderkey AS id, o_custkey AS session_id, epoch_us(o_orderdate) // 1000000 AS at FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'event', event_id, user_id, epoch_us(ts) // 1000000 FROM events WHERE event_type <> 'view'")
-def set_union_all_tagged(spark, d):
-    part = lambda t, source, key, session, at, keep: table(spark, d, t).filter(keep).select(F.lit(source).alias("source"), F.col(key).alias("id"), F.col(session).alias("session_id"), epoch(at).alias("at"))
-    return part("orders", "order", "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus <> 'P'").unionByName(part("events", "event", "event_id", "user_id", "ts", "event_type <> 'view'"))
-
-
 @query("SELECT DISTINCT key FROM (SELECT o_custkey AS key FROM orders UNION ALL SELECT user_id FROM events UNION ALL SELECT s_suppkey FROM supplier)")
 def set_eligible_keys(spark, d):
     keys = lambda t, c: table(spark, d, t).select(F.col(c).alias("key"))

@@ -81,13 +81,6 @@ def smp_trace_thin(spark, d):
     return S.thin_trace(p, "anchor", 3000.0).select("session_id", "point_id")
 
 
-@query(f"WITH {POINTS}, l AS (SELECT session_id, point_id, lag(lon) OVER w AS x, lag(lat) OVER w AS y, lon, lat FROM points WINDOW w AS (PARTITION BY session_id ORDER BY at, point_id)) SELECT session_id, point_id, round((degrees(atan2((lon - x) * cos(radians((y + lat) / 2)), lat - y)) + 360) % 360, 6) AS bearing FROM l WHERE x IS NOT NULL AND (x <> lon OR y <> lat)")
-def geo_equirect(spark, d):
-    w = Window.partitionBy("session_id").orderBy("at", "point_id")
-    rows = points(spark, d).withColumns({"x": F.lag("lon").over(w), "y": F.lag("lat").over(w)}).filter("x IS NOT NULL AND (x <> lon OR y <> lat)")
-    return rows.select("session_id", "point_id", F.round(geo.bearing("x", "y", "lon", "lat"), 6).alias("bearing"))
-
-
 # --- scores
 
 
@@ -144,28 +137,6 @@ _CHECKS = {"RANGE": "CASE WHEN value IS NULL THEN 'UNKNOWN' WHEN value <= 150 TH
 _CHECKED = f"{POINTS}, c AS (SELECT *, lag(at) OVER w AS p_at, lag(kind) OVER w AS p_kind, lag(kind, 2) OVER w AS pp_kind FROM points WINDOW w AS (PARTITION BY session_id ORDER BY at, point_id))"
 
 
-@query(f"WITH {_CHECKED} " + " UNION ALL ".join(f"SELECT point_id, '{name}' AS check_name, {sql} AS verdict FROM c" for name, sql in _CHECKS.items()))
-def alg_decision_checks(spark, d):
-    w = Window.partitionBy("session_id").orderBy("at", "point_id")
-    c = points(spark, d).withColumns({"p_at": F.lag("at").over(w), "p_kind": F.lag("kind").over(w), "pp_kind": F.lag("kind", 2).over(w)})
-    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("check_name"), F.expr(sql).alias("verdict")) for name, sql in _CHECKS.items()]))
-    return c.select("point_id", rows.alias("r")).select("point_id", "r.check_name", "r.verdict")
-
-
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 48 THEN 'SKIP' WHEN l_discount = 0 THEN 'UNSCORABLE' WHEN l_returnflag = 'R' OR l_tax > 0.07 THEN 'FAIL' ELSE 'PASS' END AS score FROM lineitem")
-def alg_eval_score(spark, d):
-    score = F.when(F.col("l_quantity") > 48, "SKIP").when(F.col("l_discount") == 0, "UNSCORABLE").when((F.col("l_returnflag") == "R") | (F.col("l_tax") > 0.07), "FAIL").otherwise("PASS")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"))
-
-
-@query(f"WITH {POINTS}, g AS (SELECT *, lead(at) OVER (PARTITION BY session_id ORDER BY at, point_id) AS next_at FROM points WHERE kind <> 'view') SELECT session_id, point_id, at + 86400 AS fires_at FROM g WHERE next_at - at >= 86400")
-def stm_no_bite(spark, d):
-    """One trigger for each stretch of a day without a signal, at the moment it is a day long."""
-    w = Window.partitionBy("session_id").orderBy("at", "point_id")
-    g = points(spark, d).filter("kind <> 'view'").withColumn("next_at", F.lead("at").over(w))
-    return g.filter(F.col("next_at") - F.col("at") >= 86_400).select("session_id", "point_id", (F.col("at") + 86_400).alias("fires_at"))
-
-
 @query(f"WITH {POINTS} SELECT session_id, point_id, lon, lat FROM points QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY at DESC, point_id DESC) = 1")
 def stm_live_projection(spark, d):
     return first_per_key(points(spark, d), ["session_id"], F.desc("at"), F.desc("point_id")).select("session_id", "point_id", "lon", "lat")

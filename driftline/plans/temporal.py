@@ -44,11 +44,6 @@ def win_lag_pairs(spark, d):
     return pairs.select("session_id", "point_id", "dt", F.round("distance", 4).alias("distance"), F.round("speed", 6).alias("speed"))
 
 
-@query(f'WITH {_SEGMENTS} SELECT session_id, kind, start, "end", seconds, confidence FROM segments')
-def win_gaps_islands(spark, d):
-    return _segments(spark, d).select("session_id", "kind", "start", "end", "seconds", "confidence")
-
-
 _PERF = f"""{_SEGMENTS}, effort AS (SELECT session_id, CAST(sum(CASE WHEN kind = 'FISHING' THEN seconds ELSE 0 END) AS BIGINT) AS fishing_s, CAST(sum(CASE WHEN kind = 'TRAVEL' THEN seconds ELSE 0 END) AS BIGINT) AS travel_s, CAST(sum(CASE WHEN kind = 'UNKNOWN' THEN seconds ELSE 0 END) AS BIGINT) AS unknown_s, count(*) AS n_segments FROM segments GROUP BY 1),
 landed AS (SELECT session_id, count(*) AS landed FROM points WHERE kind = 'purchase' GROUP BY 1),
 rated AS (SELECT e.*, coalesce(landed, 0) AS landed, fishing_s / 3600.0 AS h FROM effort e LEFT JOIN landed l ON e.session_id = l.session_id),
@@ -63,11 +58,6 @@ def flagship_effort(spark, d):
     return found.select("session_id", "fishing_s", "travel_s", "unknown_s", "n_segments", "landed", *[F.round(c, 6).alias(c) for c in ("cpue", "score", "confidence")])
 
 
-@query(f"WITH {_PERF} SELECT CAST(count(*) AS BIGINT) AS sessions, CAST(sum(landed) AS BIGINT) AS landed, round(sum(fishing_s) / 3600.0, 3) AS hours, round(sum(landed) / (sum(fishing_s) / 3600.0), 6) AS cpue FROM posted")
-def agg_lake_summary(spark, d):
-    return flagship_effort(spark, d).agg(F.count("*").alias("sessions"), F.sum("landed").alias("landed"), F.round(F.sum("fishing_s") / 3600.0, 3).alias("hours"), F.round(rate(F.sum("landed"), F.sum("fishing_s") / 3600.0), 6).alias("cpue"))
-
-
 _PAUSES = """pauses AS (SELECT user_id AS session_id, epoch_us(ts) // 1000000 AS paused, CASE WHEN value < 150 THEN epoch_us(ts) // 1000000 + 3600 * CAST(json_extract_string(props, '$.k') AS BIGINT) END AS resumed FROM events WHERE event_type = 'error' AND value > 120)"""
 
 
