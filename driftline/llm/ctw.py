@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import crc_remainder, slices, stored, texts_of
+from driftline.llm.shared import crc_remainder, release_memory, slices, stored, texts_of
 
 DEPTH = 7
 #: Bytes of context that deal grams into parts.
@@ -233,6 +233,7 @@ def _count_groups(depth: int, split: int, parts: int, group_bytes: int):
                 for row in group.rows(parts, split):
                     yield _arrow_rows([(at, row[0], row[1], None, None, None, *row[2:])])
             at, group = at + 1, _Group(depth)
+            release_memory()
 
         for batch in slices(batches):
             for doc_id, is_held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts_of(batch)):
@@ -435,7 +436,7 @@ def _answer(depth: int, split: int):
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         if not asked.num_rows:
-            return pa.table({"grp": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "found": pa.array([], pa.binary())})
+            return pa.table({"grp": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "found": pa.array([], pa.binary())})
         kind = asked.column("kind")[0].as_py()
         is_counts = known.column("keys").is_valid()
         own = known.filter(is_counts)
@@ -449,41 +450,59 @@ def _answer(depth: int, split: int):
         else:
             count_of = dict(zip(_unpack_words(own.column("keys")[0].as_py()), n.tolist()))
             found = [_pack_numbers(np.array([count_of[w] for w in _unpack_words(x)], np.int64)) for x in asked.column("keys").to_pylist()]
-        return pa.table({"grp": asked.column("grp"), "kind": asked.column("kind"), "keys": asked.column("keys"), "found": pa.array(found, pa.binary())})
+        return pa.table({"grp": asked.column("grp"), "kind": asked.column("kind"), "part": asked.column("part"), "keys": asked.column("keys"), "found": pa.array(found, pa.binary())})
 
     return run
 
 
-def _score_group(depth: int, n_train: int, n_types: int):
+class _Lookup:
+    """Code lengths of a group's grams, by part."""
+
+    def __init__(self, depth: int, split: int, parts: int):
+        self.of = lambda keys: _parts_of(keys, depth, split, parts).astype(np.int64)
+        self.held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        """The code lengths of distinct keys."""
+        out, part = np.zeros(len(keys), np.int64), self.of(keys)
+        order = np.argsort(part, kind="stable")
+        edges = np.nonzero(np.r_[True, np.diff(part[order]) > 0, True])[0]
+        for a, b in zip(edges, edges[1:]):
+            own = order[a:b]
+            known, logs = self.held[int(part[own[0]])]
+            out[own] = logs[np.searchsorted(known, keys[own])]
+        return out
+
+
+def _score_group(depth: int, split: int, parts: int, n_train: int, n_types: int):
     """Packed texts of a group and the answers to it to one row for each text."""
     names = [f.split()[0] for f in SCORES.split(", ")]
     kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, logs, count_of = [], [], {}
-        for kind, keys, found in zip(*(answers.column(c).to_pylist() for c in ("kind", "keys", "found"))):
+        lookup, count_of = _Lookup(depth, split, parts), {}
+        for k in range(answers.num_rows):
+            kind, part, keys, found = (answers.column(c)[k].as_py() for c in ("kind", "part", "keys", "found"))
             if kind == _GRAMS:
-                grams.append(unpack_grams(keys))
-                logs.append(_unpack_numbers(found, "<i4"))
+                lookup.held[part] = unpack_grams(keys), _unpack_numbers(found, "<i4")
             else:
                 count_of.update(zip(_unpack_words(keys), _unpack_numbers(found, "<i8").tolist()))
-        keys = np.concatenate(grams)
-        order = np.argsort(keys, kind="stable")
-        keys, logs = keys[order], np.concatenate(logs)[order]
-        del grams, order
         out: list[tuple] = []
         for k in range(texts.num_rows):
             ids, held, packed = (texts.column(c)[k].as_py() for c in ("ids", "held", "texts"))
             own = [t + _END for t in _unzip(packed).split(_END)[:-1]]
             places, firsts = gram_keys(own, depth)
             distinct, back = np.unique(places, return_inverse=True)
-            scores = np.add.reduceat(logs[np.searchsorted(keys, distinct)].astype(np.int64)[back], firsts) * -LOG_STEP
+            scores = np.add.reduceat(lookup[distinct][back], firsts) * -LOG_STEP
             for doc_id, is_held, text, score in zip(ids, held, own, scores.tolist()):
                 words = text[:-1].split(b" ") if text != _END else []
                 words.append(b"")
                 n = np.fromiter(map(count_of.__getitem__, words), np.float64, len(words))
                 base = float(np.log10((n + 1) / (n_train + n_types + 1)).sum())
                 out.append((doc_id, is_held, len(words), int((n > 0).sum()), n_train, base, score, len(text), -score / math.log10(2) / len(text)))
+        lookup.held.clear()
+        count_of.clear()
+        release_memory()
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds], names=names)
 
     return run
@@ -516,6 +535,6 @@ def score(docs: DataFrame, depth: int = DEPTH, modulus: int = 7, held_out_remain
     known = own.unionByName(above).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     asked = packed.drop("counts").withColumn("slot", F.pmod(F.xxhash64("grp"), F.lit(slots)).cast("int"))
     by = ["kind", "part", "slot"]
-    answers = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(_answer(depth, split), "grp long, kind int, keys binary, found binary")
+    answers = asked.groupBy(*by).cogroup(known.groupBy(*by)).applyInArrow(_answer(depth, split), "grp long, kind int, part long, keys binary, found binary")
     texts = counted.filter(f"kind = {_TEXTS}").select("grp", "ids", "held", "texts")
-    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_score_group(depth, totals["tokens"] or 0, totals["types"] or 0), SCORES)
+    return texts.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_score_group(depth, split, parts, totals["tokens"] or 0, totals["types"] or 0), SCORES)

@@ -79,6 +79,17 @@ def crc_remainder(key: Column | str, modulus: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % modulus, F.lit(-1))
 
 
+def release_memory() -> None:
+    """Give what a worker has freed back to the machine, for workers live on from stage to stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in small batches, so that few long texts are Python objects at a time."""
     for batch in batches:
