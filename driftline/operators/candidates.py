@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.functions.geo import METRES_PER_DEGREE
+from driftline.functions.geo import METRES_PER_DEGREE, axis_distance
 from driftline.operators.relational import first_per_key, round_robin
 from driftline.operators.spatial import _checkpointed
+from driftline.operators.temporal import as_of
 
 
 def greedy_independent(ids: DataFrame, edges: DataFrame) -> DataFrame:
@@ -141,3 +142,24 @@ def containment_parent(shapes: DataFrame, keys: list[str], cell_deg: float = 0.0
     holds = (F.col("o_west") <= F.col("west")) & (F.col("o_south") <= F.col("south")) & (F.col("o_east") >= F.col("east")) & (F.col("o_north") >= F.col("north")) & (F.col("o_area") > area)
     parents = child.join(outer, [*keys, "_x", "_y"]).filter(holds & (F.col("o_id") != F.col("shape_id"))).groupBy(*keys, "shape_id").agg(F.min_by("o_id", F.struct("o_area", "o_id")).alias("parent_id"))
     return shapes.join(parents, [*keys, "shape_id"], "left")
+
+
+def shoreline_prominence(vertices: DataFrame, window_m: float, at_lat: float) -> DataFrame:
+    """``prominence`` of each vertex: its distance from the chord between the vertices a window before and after it.
+
+    ``vertices``: (ring_id, i, lon, lat) in order. The two ends of a chord are
+    as-of joins on the length along the shore; a vertex nearer to an end of the
+    line than the window has none.
+    """
+    sx, sy = METRES_PER_DEGREE * F.cos(F.radians(F.lit(at_lat))), F.lit(METRES_PER_DEGREE)
+    w = Window.partitionBy("ring_id").orderBy("i")
+    step = F.coalesce(axis_distance(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat")), F.lit(0.0))
+    v = vertices.withColumn("step", step).withColumn("along", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
+    side = lambda sign: v.select("ring_id", F.col("i").alias("at_i"), F.col("lon").alias("x"), F.col("lat").alias("y"), (sign * F.col("along")).alias("t"), (sign * F.col("i")).alias("o"))
+    both = as_of(v.withColumn("back", F.col("along") - window_m), side(1), ["ring_id"], "back", "t", "o", ["x", "y"], "a_")
+    both = as_of(both.withColumn("ahead", -F.col("along") - window_m), side(-1), ["ring_id"], "ahead", "t", "o", ["x", "y"], "b_")
+    px, py = (F.col("lon") - F.col("a_x")) * sx, (F.col("lat") - F.col("a_y")) * sy
+    dx, dy = (F.col("b_x") - F.col("a_x")) * sx, (F.col("b_y") - F.col("a_y")) * sy
+    t = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(px * dx + py * dy, dx * dx + dy * dy))), F.lit(0.0))
+    distance = F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy))
+    return both.filter("a_x IS NOT NULL AND b_x IS NOT NULL").select(*vertices.columns, distance.alias("prominence"))

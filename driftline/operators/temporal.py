@@ -6,11 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
-
-
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_order: str, values: list[str], prefix: str) -> DataFrame:
     """Each left row with the values of the last right row at or before its time.
 

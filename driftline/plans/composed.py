@@ -62,21 +62,6 @@ def join_waypoint_at_cascade(spark, d):
 # --- aggregations
 
 
-_MATCHED = f"WITH {POINTS}, m AS (SELECT session_id % 5 AS type, bool_or(kind = 'purchase') AS gold, bool_or(kind = 'click') AS found FROM points WHERE kind IN ('purchase', 'click') GROUP BY session_id, at // 86400)"
-
-
-@query(f"""{_MATCHED}, c AS (SELECT coalesce(CAST(type AS VARCHAR), 'ALL') AS type, count(*) FILTER (WHERE gold AND found) AS tp, count(*) FILTER (WHERE found AND NOT gold) AS fp, count(*) FILTER (WHERE gold AND NOT found) AS fn FROM m GROUP BY ROLLUP (type))
-SELECT *, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 4) AS f1 FROM c WHERE type <> 'ALL' OR tp + fp + fn > 0""")
-def agg_precision_recall(spark, d):
-    """Matches, misses and false finds, by type and overall."""
-    kind = F.col("kind")
-    m = points(spark, d).filter(kind.isin("purchase", "click")).groupBy("session_id", F.floor(F.col("at") / 86_400).alias("day")).agg(F.bool_or(kind == "purchase").alias("gold"), F.bool_or(kind == "click").alias("found"))
-    c = m.withColumn("type", (F.col("session_id") % 5).cast("string")).rollup("type").agg(F.count_if(F.col("gold") & F.col("found")).alias("tp"), F.count_if(F.col("found") & ~F.col("gold")).alias("fp"), F.count_if(F.col("gold") & ~F.col("found")).alias("fn"))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    share = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 4)
-    return c.filter(tp + fp + fn > 0).select(F.coalesce("type", F.lit("ALL")).alias("type"), "tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2.0 * tp, 2 * tp + fp + fn).alias("f1"))
-
-
 @query("WITH h AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') / 2.0 AS uh, count(*) FILTER (WHERE o_orderstatus = 'O') / 4.0 AS prior, avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F') / 500000 AS own, avg(o_totalprice) / 500000 AS everyone FROM orders GROUP BY 1), b AS (SELECT *, uh / (uh + greatest(1e-4, prior)) AS b FROM h) SELECT o_custkey, round(least(1, greatest(0, b * coalesce(own, 0.5) + (1 - b) * everyone)), 6) AS score FROM b")
 def agg_blend(spark, d):
     """Own and common score, weighted by hours of own evidence against the prior."""
@@ -209,6 +194,3 @@ def stm_retry_quarantine(spark, d):
     attempts = F.get_json_object("props", "$.k").cast("long") % 10
     status = F.when(~F.col("event_type").isin("click", "view", "purchase", "signup"), "QUARANTINED").when(attempts >= 8, "FAILED").otherwise("PENDING")
     return table(spark, d, "events").select("event_id", status.alias("status"))
-
-
-_RANK = {"purchase": 0, "signup": 1, "click": 2, "view": 3, "error": 4}

@@ -416,3 +416,86 @@ def geo_type_coerce(spark, d):
     """The multi-type that a path is stored as."""
     n = F.size("path").cast("long")
     return _paths(spark, d).select("session_id", F.when(n == 1, "Point").when(n < 4, "MultiPoint").otherwise("MultiLineString").alias("type"), n.alias("vertices"))
+
+
+# --- shores and found features
+
+_SHORE = f"""v AS (SELECT session_id, point_id, lon, lat, sum(coalesce(step, 0)) OVER (PARTITION BY session_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS along, i FROM (SELECT *, row_number() OVER w AS i, {_axis_sql('lag(lon) OVER w', 'lag(lat) OVER w', 'lon', 'lat')} AS step FROM points WINDOW w AS (PARTITION BY session_id ORDER BY at, point_id))),
+a AS (SELECT v.*, q.lon AS ax, q.lat AS ay FROM v ASOF JOIN v q ON q.session_id = v.session_id AND v.along - 8000 >= q.along), b AS (SELECT a.*, q.lon AS bx, q.lat AS b_y FROM a ASOF JOIN v q ON q.session_id = a.session_id AND a.along + 8000 <= q.along),
+c AS (SELECT *, (lon - ax) * {_SX} AS px, (lat - ay) * {_SY} AS py, (bx - ax) * {_SX} AS dx, (b_y - ay) * {_SY} AS dy FROM b), e AS (SELECT *, coalesce(least(1.0, greatest(0.0, (px * dx + py * dy) / nullif(dx * dx + dy * dy, 0))), 0) AS t FROM c), prominent AS (SELECT session_id, point_id, lon, lat, round(sqrt(pow(px - t * dx, 2) + pow(py - t * dy, 2)), 3) AS prominence FROM e)"""
+
+
+def _prominent(spark, d):
+    w = Window.partitionBy("session_id").orderBy("at", "point_id")
+    vertices = points(spark, d).select(F.col("session_id").alias("ring_id"), F.row_number().over(w).cast("long").alias("i"), "point_id", "lon", "lat")
+    found = C.shoreline_prominence(vertices, 8000.0, AT_LAT)
+    return found.select(F.col("ring_id").alias("session_id"), "point_id", "lon", "lat", F.round("prominence", 3).alias("prominence"))
+
+
+@query(f"WITH {POINTS}, {_SHORE} SELECT session_id, point_id, prominence FROM prominent WHERE prominence >= 2500 AND prominence / 8000 >= 0.3")
+def alg_shoreline_prominence(spark, d):
+    """Vertices that stand out from the chord a window to each side, in metres and as a share of the window."""
+    return _prominent(spark, d).filter("prominence >= 2500 AND prominence / 8000 >= 0.3").select("session_id", "point_id", "prominence")
+
+
+@query(f"WITH RECURSIVE {POINTS}, {_SHORE}, ranked AS (SELECT session_id AS grp, point_id AS id, lon, lat, prominence, row_number() OVER (PARTITION BY session_id ORDER BY prominence DESC, point_id) AS i FROM prominent WHERE prominence >= 2500), {_WALK.format(near=_CLOSE.format(m=1500))}, kept AS (SELECT unnest(kept).id AS id FROM ended) SELECT id AS point_id, prominence, round(least(1.0, prominence / 5000), 6) AS evidence FROM ranked WHERE id IN (SELECT id FROM kept)")
+def alg_point(spark, d):
+    """Points of the shore: prominent vertices, the most prominent first and none near another, with their evidence."""
+    found = _prominent(spark, d).filter("prominence >= 2500")
+    kept = S.greedy_spacing(found, "point_id", "prominence", 1500, MAX_LAT, ("session_id",))
+    return kept.select("point_id", "prominence", F.round(F.least(F.lit(1.0), F.col("prominence") / 5000), 6).alias("evidence"))
+
+
+@query(f"WITH {_PATHS}, g AS (SELECT session_id, abs(sum(lon * coalesce(ny, fy) - coalesce(nx, fx) * lat)) / 2 * {_SX} * {_SY} AS area, max(fx) AS fx, max(fy) AS fy FROM edges GROUP BY 1), s AS (SELECT g.*, EXISTS (SELECT 1 FROM points p WHERE p.kind = 'click' AND p.session_id = g.session_id AND p.k > 50 AND {_axis_sql('p.lon', 'p.lat', 'fx', 'fy')} <= 2000) AS supported FROM g) SELECT session_id, supported, CAST(CASE WHEN supported THEN 0.7 ELSE 0.35 END AS DOUBLE) AS prominence FROM s WHERE area >= 2000000")
+def alg_island_edge(spark, d):
+    """Islands of enough area; soundings near them make them surer."""
+    scale = geo.METRES_PER_DEGREE * geo.METRES_PER_DEGREE * F.cos(F.radians(F.lit(AT_LAT)))
+    islands = _paths(spark, d).filter(geo.ring_area("path") * scale >= 2_000_000).select("session_id", F.element_at("path", 1)["x"].alias("lon"), F.element_at("path", 1)["y"].alias("lat"))
+    soundings = points(spark, d).filter("kind = 'click' AND k > 50").select("session_id", "lon", "lat")
+    near = S.within_radius(islands, soundings, 2000, MAX_LAT, ("session_id",)).select(F.col("l_session_id").alias("session_id")).distinct().withColumn("near", F.lit(True))
+    supported = F.col("near").isNotNull()
+    return islands.join(near, "session_id", "left").select("session_id", supported.alias("supported"), F.when(supported, 0.7).otherwise(0.35).alias("prominence"))
+
+
+_GOOD = f"CASE type WHEN 0 THEN iou >= 0.3 WHEN 1 THEN iou >= 0.3 OR least(metres, haus * (111320.0 + {_SX}) / 2) <= 2000 ELSE metres <= 2000 END"
+
+
+@query(f"""WITH RECURSIVE {_MATCHES}, near AS (SELECT m.*, a.session_id * 10 + m.type AS grp, round(CASE m.type WHEN 0 THEN iou ELSE 1 / (1 + metres) END, 9) AS quality FROM m JOIN a ON a.point_id = m.a_id WHERE {_GOOD.replace('type', 'm.type')}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY quality DESC, a_id, b_id) AS i FROM near),
+walk AS (SELECT DISTINCT grp, 0 :: BIGINT AS i, [] :: BIGINT[] AS used_a, [] :: BIGINT[] AS used_b, [] :: BIGINT[] AS taken FROM near UNION ALL SELECT w.grp, r.i, CASE WHEN list_contains(used_a, a_id) OR list_contains(used_b, b_id) THEN used_a ELSE list_append(used_a, a_id) END, CASE WHEN list_contains(used_a, a_id) OR list_contains(used_b, b_id) THEN used_b ELSE list_append(used_b, b_id) END, CASE WHEN list_contains(used_a, a_id) OR list_contains(used_b, b_id) THEN taken ELSE list_append(taken, r.i) END FROM walk w JOIN ranked r ON r.grp = w.grp AND r.i = w.i + 1),
+ended AS (SELECT grp, unnest(arg_max(taken, i)) AS i FROM walk GROUP BY 1), tp AS (SELECT r.type, count(*) AS tp, avg(iou) AS iou, avg(metres) AS metres, sum(iou) AS iou_sum, sum(metres) AS m_sum FROM ended e JOIN ranked r ON r.grp = e.grp AND r.i = e.i GROUP BY 1),
+found AS (SELECT type, count(*) AS n FROM a GROUP BY 1), gold AS (SELECT type, count(*) AS n FROM b GROUP BY 1), c AS (SELECT f.type, coalesce(tp, 0) AS tp, f.n - coalesce(tp, 0) AS fp, g.n - coalesce(tp, 0) AS fn, coalesce(iou_sum, 0) AS iou_sum, coalesce(m_sum, 0) AS m_sum FROM found f JOIN gold g ON g.type = f.type LEFT JOIN tp ON tp.type = f.type),
+every AS (SELECT CAST(type AS VARCHAR) AS type, tp, fp, fn, iou_sum, m_sum FROM c UNION ALL SELECT 'ALL', CAST(sum(tp) AS BIGINT), CAST(sum(fp) AS BIGINT), CAST(sum(fn) AS BIGINT), sum(iou_sum), sum(m_sum) FROM c)
+SELECT type, tp, fp, fn, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 4) AS f1, round(iou_sum / nullif(tp, 0), 4) AS mean_iou, round(m_sum / nullif(tp, 0), 2) AS mean_error_m FROM every""")
+def agg_precision_recall(spark, d):
+    """Matches, false finds and misses after the greedy match, by type and overall, with mean overlap and error."""
+    metres = F.col("haus") * (111_320.0 + 111_320.0 * F.cos(F.radians(F.lit(AT_LAT)))) / 2
+    good = F.when(F.col("type") == 0, F.col("iou") >= 0.3).when(F.col("type") == 1, (F.col("iou") >= 0.3) | (F.least("metres", metres) <= 2000)).otherwise(F.col("metres") <= 2000)
+    near = _matched(spark, d).filter(good).withColumn("quality", F.round(F.when(F.col("type") == 0, F.col("iou")).otherwise(1 / (1 + F.col("metres"))), 9))
+    taken = C.greedy_matches(near.select(F.col("a_id").alias("left"), F.col("b_id").alias("right"), "quality")).select(F.col("left").alias("a_id"), F.col("right").alias("b_id"))
+    sums = near.join(taken, ["a_id", "b_id"]).groupBy("type").agg(F.count("*").alias("tp"), F.sum("iou").alias("iou_sum"), F.sum("metres").alias("m_sum"))
+    n = lambda kind, name: _boxed(spark, d, kind).groupBy("type").agg(F.count("*").alias(name))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    c = n("view", "found").join(n("click", "gold"), "type").join(sums, "type", "left").select(F.col("type").cast("string").alias("type"), zero("tp").alias("tp"), (F.col("found") - zero("tp")).alias("fp"), (F.col("gold") - zero("tp")).alias("fn"), zero("iou_sum").alias("iou_sum"), zero("m_sum").alias("m_sum"))
+    every = c.rollup("type").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn", "iou_sum", "m_sum")])
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    share = lambda a, b, digits=4: F.round(a / F.nullif(b, F.lit(0)), digits)
+    return every.select(F.coalesce("type", F.lit("ALL")).alias("type"), "tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2.0 * tp, 2 * tp + fp + fn).alias("f1"), share(F.col("iou_sum"), tp).alias("mean_iou"), share(F.col("m_sum"), tp, 2).alias("mean_error_m"))
+
+
+@query(f"WITH {_SHAPES.replace('shapes AS', 'a AS ' + _BOXED.format('click') + ', shapes AS', 1)}, o AS (SELECT a.point_id, a.type, max(CASE WHEN abs(p.parent_depth - p.depth) >= 0.5 THEN (greatest(0, least(a.e, p.east) - greatest(a.w, p.west)) * greatest(0, least(a.n, p.north) - greatest(a.s, p.south))) / ((a.e - a.w) * (a.n - a.s) + (p.east - p.west) * (p.north - p.south) - greatest(0, least(a.e, p.east) - greatest(a.w, p.west)) * greatest(0, least(a.n, p.north) - greatest(a.s, p.south))) END) AS iou FROM a LEFT JOIN parents p ON p.session_id = a.session_id GROUP BY ALL) SELECT point_id, round(iou, 6) AS iou, coalesce(iou >= 0.2, false) OR (type = 2 AND point_id % 2 = 0) AS accepted FROM o")
+def alg_hybrid_validate(spark, d):
+    """Found areas that overlap a nested contour with relief, else those with relief of their own."""
+    a = _boxed(spark, d, "click").select("session_id", "point_id", "type", F.col("box").alias("a"))
+    relief = F.abs(F.col("parent_depth") - F.col("depth")) >= 0.5
+    nested = _parents(spark, d).filter(relief).select("session_id", F.struct("west", "south", "east", "north").alias("b"))
+    best = a.join(nested, "session_id").withColumn("iou", geo.box_iou("a", "b")).groupBy("point_id").agg(F.max("iou").alias("iou"))
+    own = (F.col("type") == 2) & (F.col("point_id") % 2 == 0)
+    return a.join(best, "point_id", "left").select("point_id", F.round("iou", 6).alias("iou"), (F.coalesce(F.col("iou") >= 0.2, F.lit(False)) | own).alias("accepted"))
+
+
+@query(f"WITH {POINTS} SELECT point_id, (({_RING_SQL}) % 2 = 1 OR (lon BETWEEN -79.0 AND -78.97 AND lat BETWEEN 44.0 AND 44.03)) AND NOT (lon BETWEEN -78.96 AND -78.955 AND lat BETWEEN 44.02 AND 44.03) AS water FROM points")
+def geo_water_union(spark, d):
+    """Water as the boundary and its parts without islands, kept as what each of them holds."""
+    boundary, part, island = geo.in_ring("lon", "lat", _ring()), geo.in_box("lon", "lat", -79.0, 44.0, -78.97, 44.03), geo.in_box("lon", "lat", -78.96, 44.02, -78.955, 44.03)
+    return points(spark, d).select("point_id", ((boundary | part) & ~island).alias("water"))

@@ -133,10 +133,6 @@ def alg_quality_report(spark, d):
     return types.join(sums, "type", "left").na.fill(0, ["n", "q1", "q2", "q3", "q4"])
 
 
-_CHECKS = {"RANGE": "CASE WHEN value IS NULL THEN 'UNKNOWN' WHEN value <= 150 THEN 'PASS' ELSE 'FAIL' END", "COOLDOWN": "CASE WHEN p_at IS NULL THEN 'NOT_APPLICABLE' WHEN at - p_at >= 3600 THEN 'PASS' ELSE 'FAIL' END", "OSCILLATION": "CASE WHEN pp_kind IS NULL THEN 'NOT_APPLICABLE' WHEN pp_kind = kind AND p_kind <> kind THEN 'FAIL' ELSE 'PASS' END"}
-_CHECKED = f"{POINTS}, c AS (SELECT *, lag(at) OVER w AS p_at, lag(kind) OVER w AS p_kind, lag(kind, 2) OVER w AS pp_kind FROM points WINDOW w AS (PARTITION BY session_id ORDER BY at, point_id))"
-
-
 @query(f"WITH {POINTS} SELECT session_id, point_id, lon, lat FROM points QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY at DESC, point_id DESC) = 1")
 def stm_live_projection(spark, d):
     return first_per_key(points(spark, d), ["session_id"], F.desc("at"), F.desc("point_id")).select("session_id", "point_id", "lon", "lat")

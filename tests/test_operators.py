@@ -9,9 +9,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftline.functions import scores
-from driftline.operators import attribution, effort, relational, spatial, temporal
-from driftline.sources import readers
+from driftline.functions import geo, planning, scores
+from driftline.operators import attribution, candidates, effort, relational, spatial, temporal
+from driftline.sources import readers, sinks
 from driftline.streaming import stateful
 
 
@@ -116,16 +116,85 @@ def run_stream(df, name):
 
 @pytest.fixture
 def trigger_files(spark, tmp_path):
-    rows = [(1, "a", t) for t in (0, 5, 10, 14, 20, 31)] + [(2, "a", 7)]
+    # A stream's watermark starts at zero, and what is not after it is late.
+    rows = [(1, "a", 100 + t) for t in (0, 5, 10, 14, 20, 31)] + [(2, "a", 107)]
     spark.createDataFrame(rows, "session_id long, trigger string, at long").coalesce(1).write.parquet(str(tmp_path / "in"))
     return spark.readStream.schema("session_id long, trigger string, at long").parquet(str(tmp_path / "in"))
 
 
 def test_cooldown_stream(trigger_files):
-    assert values(run_stream(stateful.with_cooldown(trigger_files, 10), "cooled"), "session_id", "at") == [(1, 0), (1, 10), (1, 20), (1, 31), (2, 7)]
-
-
-def test_waypoint_stream(trigger_files):
-    metres = F.element_at(F.array(*map(F.lit, (200.0, 140.0, 90.0, 50.0, 80.0, 120.0))), (F.size(F.filter(F.array(*map(F.lit, (0, 5, 10, 14, 20, 31))), lambda t: t <= F.col("at")))).cast("int"))
-    stream = trigger_files.filter("session_id = 1").select("session_id", F.lit(9).cast("long").alias("waypoint_id"), "at", metres.alias("metres"))
-    assert values(run_stream(stateful.waypoint_states(stream), "states"), "at", "state") == [(5, "NAVIGATING"), (14, "ARRIVED"), (31, "COMPLETED")]
+    assert values(run_stream(stateful.with_cooldown(trigger_files, 10), "cooled"), "session_id", "at") == [(1, 100), (1, 110), (1, 120), (1, 131), (2, 107)]
+
+
+def test_waypoint_stream(spark, tmp_path):
+    # Near, then inside for five samples and 40 seconds, then away; the same with a skip; and too short a stay.
+    path = [(1, 200.0), (5, 140.0), (10, 50.0), (20, 55.0), (30, 40.0), (45, 58.0), (50, 59.0), (60, 90.0), (70, 120.0)]
+    rows = [(1, 9, t, m, False) for t, m in path] + [(2, 9, t, m, t == 45) for t, m in path if t <= 45] + [(3, 9, t, m, False) for t, m in ((1, 50.0), (10, 50.0), (20, 61.0), (30, 50.0))]
+    schema = "session_id long, waypoint_id long, at long, metres double, skipped boolean"
+    stream = stateful.replayed(spark.createDataFrame(rows, schema).coalesce(1), str(tmp_path / "in"))
+    got = values(run_stream(stateful.waypoint_states(stream), "states"), "session_id", "at", "state")
+    assert got == [(1, 5, "NAVIGATING"), (1, 45, "ARRIVED"), (1, 45, "FISHING"), (1, 70, "COMPLETED"), (2, 5, "NAVIGATING"), (2, 45, "SKIPPED"), (3, 1, "NAVIGATING")]
+
+
+def test_latest_rows_and_counts_of_a_stream(spark, tmp_path):
+    rows = [(1, 10, "a"), (1, 30, "b"), (2, 5, "c"), (1, 20, "d"), (2, 4000, "e")]
+    df = spark.createDataFrame(rows, "k long, at long, v string")
+    write = stateful.upsert_latest(str(tmp_path / "latest"), ["k"], "at")
+    for i in range(3):
+        write(df.filter(f"at <> {[30, 20, 5][i]}"), i)
+    assert values(spark.read.parquet(str(tmp_path / "latest" / "version=2")), "k", "v") == [(1, "b"), (2, "e")]
+    assert not (tmp_path / "latest" / "version=0").exists()
+    counts = stateful.tumbling_counts(df.withColumn("ts", F.timestamp_seconds("at")), "ts", ["k"])
+    assert values(counts.withColumn("w", F.unix_seconds("window_start")), "w", "k", "n") == [(0, 1, 3), (0, 2, 1), (3600, 2, 1)]
+
+
+def test_written_partitions_and_new_rows(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = lambda rows: spark.createDataFrame(rows, "id long, lake long, v string")
+    sinks.write_partitions(table([(1, 1, "a"), (2, 2, "b")]), path, "lake")
+    sinks.write_partitions(table([(3, 2, "c")]), path, "lake")
+    assert values(spark.read.parquet(path), "id", "lake", "v") == [(1, 1, "a"), (3, 2, "c")]
+    plain = str(tmp_path / "p")
+    table([(1, 1, "a")]).write.parquet(plain)
+    assert values(sinks.append_new(table([(1, 1, "z"), (5, 1, "b"), (5, 2, "a")]), plain, ["id"], F.asc("v")), "id") == [(5,)]
+    assert values(spark.read.parquet(plain), "id", "v") == [(1, "a"), (5, "a")]
+
+
+def test_pages_end_where_they_say(spark):
+    page = lambda n, more: json.dumps({"features": [{"geometry": {"type": "Point", "coordinates": [i, 0]}, "properties": {}} for i in range(n)], "exceededTransferLimit": more})
+    rows = [("a", 0, page(2, True)), ("a", 2, page(1, False)), ("a", 4, page(2, False)), ("b", 0, page(2, True)), ("b", 2, page(2, True)), ("b", 4, page(2, True)), ("c", 0, page(0, False)), ("d", 0, "broken")]
+    pages = spark.createDataFrame(rows, "source string, start long, content string")
+    got = readers.paged_features(pages, "source", "start", page_size=2, max_pages=2).groupBy("source", "capped").agg(F.count("*").alias("n"))
+    assert values(got, "source", "capped", "n") == [("a", False, 3), ("b", True, 4)]
+
+
+def test_greedy_matches_and_identity(spark):
+    pairs = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (2, 1, 0.85), (2, 2, 0.1), (3, 3, 0.5), (4, 3, 0.5)], "left long, right long, quality double")
+    assert values(candidates.greedy_matches(pairs), "left", "right") == [(1, 1), (2, 2), (3, 3)]
+    assert candidates.greedy_matches(pairs.limit(0)).count() == 0
+    rows = [(1, 10, 20.0, True, False, False), (1, 11, 1.0, False, True, True), (2, 20, 3.0, False, True, True), (2, 21, 3.01, False, True, True), (3, 30, 16.0, False, True, True), (4, 40, 2.0, False, True, False)]
+    found = candidates.resolved_identity(spark.createDataFrame(rows, "lake long, feature_id long, distance_km double, contains boolean, name_match boolean, lake_type boolean"), "lake")
+    assert values(found.fillna(-1), "lake", "feature_id", "method") == [(1, 10, "CONTAINS"), (2, -1, "AMBIGUOUS"), (3, -1, "UNRESOLVED"), (4, -1, "UNRESOLVED")]
+
+
+def test_utm_of_known_places(spark):
+    p = spark.createDataFrame([(-79.387139, 43.642567), (3.0, 0.0)], "lon double, lat double")
+    u = geo.utm("lon", "lat")
+    got = p.select(u["zone"].alias("z"), F.round(u["easting"]).alias("e"), F.round(u["northing"]).alias("n")).collect()
+    assert tuple(got[0])[0] == 17 and abs(got[0]["e"] - 630_084) < 2 and abs(got[0]["n"] - 4_833_439) < 2 and tuple(got[1]) == (31, 500_000.0, 0.0)
+
+
+def test_ring_faults_and_lengths(spark):
+    square = [(0.0, 0.0), (0.001, 0.0), (0.001, 0.001), (0.0, 0.001), (0.0, 0.0)]
+    rows = [(0, square), (1, square[:3]), (2, square[:4]), (3, []), (4, [*square[:3], (float("nan"), 0.0)]), (5, [(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (0.0, 0.0)])]
+    df = spark.createDataFrame(rows, "id long, ring array<struct<x:double,y:double>>")
+    assert values(df.select("id", F.coalesce(geo.ring_faults("ring"), F.lit("OK")).alias("f")), "f") == sorted([("OK",), ("TOO_SHORT",), ("OPEN",), ("EMPTY",), ("NOT_FINITE",), ("NO_AREA",)])
+    one = df.filter("id = 0").select(geo.path_length("ring", 0.0).alias("m"), geo.distance_to_ring(F.lit(0.0005), F.lit(-0.001), "ring", 0.0).alias("d")).first()
+    assert abs(one["m"] - 4 * 111.32) < 1e-6 and abs(one["d"] - 111.32) < 1e-6
+
+
+def test_activity_state_precedence(spark):
+    rows = [("FISHING", True, True, "FISHING", "NAVIGATING"), ("UNKNOWN", True, True, None, None), (None, False, True, None, None), (None, False, False, "ARRIVED", "NAVIGATING"), (None, False, False, "COMPLETED", "NAVIGATING"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "o string, p boolean, a boolean, t string, c string")
+    found = planning.activity_state("o", "p", "a", "t", "c")
+    assert [tuple(r) for r in df.select(found["state"], found["source"]).collect()] == [("FISHING", "OVERRIDE"), ("PAUSED", "SESSION_PAUSE"), ("FISHING", "USER_AD_HOC"), ("FISHING", "PROGRESS"), ("TRANSIT", "PROGRESS"), ("UNKNOWN", "UNKNOWN")]
