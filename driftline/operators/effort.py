@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftline.functions.geo import mean_scale_distance
 from driftline.functions.scores import shrinkage
 from driftline.operators.relational import first_per_key
-from driftline.operators.temporal import contained_in, islands
+from driftline.operators.temporal import as_of, contained_in, islands
 
 # Accuracy in metres, jump in metres at one time, and metres per second beyond which a point is poor.
 MAX_ACCURACY_M, MAX_JUMP_M, MAX_SPEED_MPS = 50.0, 1.0, 40.0
@@ -35,10 +35,17 @@ def point_pairs(points: DataFrame) -> DataFrame:
 
 
 def without_paused(pairs: DataFrame, pauses: DataFrame) -> DataFrame:
-    """Pairs whose midpoint is in no pause [paused, resumed) of the session; a null end is open."""
-    mid = (F.col("start") + F.col("end")) / 2
-    inside = (F.col("session_id") == F.col("p_session")) & (mid >= F.col("paused")) & (F.col("resumed").isNull() | (mid < F.col("resumed")))
-    return pairs.join(pauses.select(F.col("session_id").alias("p_session"), "paused", "resumed"), inside, "left_anti")
+    """Pairs whose midpoint is in no pause [paused, resumed) of the session; a null end is open.
+
+    A midpoint is paused if the pauses that begin at or before it reach beyond
+    it, which is one as-of join, whatever the number of pauses.
+    """
+    order = Window.partitionBy("session_id").orderBy("paused", F.asc_nulls_last("resumed"))
+    reach = F.max(F.coalesce("resumed", F.lit(2**62))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    reached = pauses.select("session_id", F.col("paused").cast("double").alias("_paused"), reach.alias("reach"), F.row_number().over(order).alias("_o"))
+    mid = pairs.withColumn("_mid", (F.col("start") + F.col("end")) / F.lit(2.0))
+    found = as_of(mid, reached, ["session_id"], "_mid", "_paused", "_o", ["reach"], "_pause_")
+    return found.filter(F.col("_pause_reach").isNull() | (F.col("_pause_reach") <= F.col("_mid"))).drop("_mid", "_pause_reach")
 
 
 def effort_segments(pairs: DataFrame, max_gap_s: float = 120, slow_mps: float = 0.4) -> DataFrame:

@@ -76,6 +76,22 @@ def rebuild_grains(contributions: DataFrame, affected: DataFrame, grain: list[st
     return touched.groupBy(*grain).agg(*[F.sum(c).alias(c) for c in counts])
 
 
+def replace_and_rebuild(old: DataFrame, key: str, replacement: Column, grain: list[str], counts: list[str]) -> DataFrame:
+    """Sums of the grains that change when keys with a replacement give way to it, in one pass over ``old``.
+
+    ``replacement``: a struct of the new row's grain and counts, null where the
+    row has none; all rows of a key with one go. Grains left empty are not returned.
+    """
+    hit = F.bool_or(F.col("_new").isNotNull()).over(Window.partitionBy(key))
+    row = lambda source, counted: F.struct(*[source(c).alias(c) for c in grain], *[(source(c) if counted else F.lit(0).cast("long")).cast("long").alias(c) for c in counts], F.lit(counted).alias("counted"))
+    rows = old.withColumn("_new", replacement).withColumn("_hit", hit)
+    parts = F.array_compact(F.array(row(F.col, True).withField("touched", F.col("_hit")).withField("counted", ~F.col("_hit")), F.when(F.col("_new").isNotNull(), row(lambda c: F.col(f"_new.{c}"), True).withField("touched", F.lit(True)))))
+    each = rows.select(F.explode(parts).alias("r"))
+    value = lambda c: F.when(F.col("r.counted"), F.col(f"r.{c}"))
+    sums = each.groupBy(*[F.col(f"r.{c}").alias(c) for c in grain]).agg(*[F.sum(value(c)).alias(c) for c in counts], F.bool_or("r.touched").alias("_touched"), F.bool_or("r.counted").alias("_counted"))
+    return sums.filter("_touched AND _counted").drop("_touched", "_counted")
+
+
 def first_per_key(df: DataFrame, keys: list[str], *order: Column, null_keys_stay: bool = False) -> DataFrame:
     """The first row of each key; rows with a null key all stay if asked for."""
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

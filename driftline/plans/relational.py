@@ -367,9 +367,10 @@ def snk_replace_session(spark, d):
 
 @query(f"WITH {_CONTRIB}, now AS (SELECT * FROM old WHERE session_id NOT IN (SELECT session_id FROM new) UNION ALL SELECT * FROM new), hit AS (SELECT flag, status FROM old WHERE session_id IN (SELECT session_id FROM new) UNION SELECT flag, status FROM new) SELECT flag, status, CAST(sum(effort) AS BIGINT) AS effort, CAST(sum(n) AS BIGINT) AS n FROM now WHERE (flag, status) IN (SELECT (flag, status) FROM hit) GROUP BY 1, 2")
 def snk_rebuild_grains(spark, d):
-    old, new = _contributions(spark, d)
-    gone = old.join(new.select("session_id").distinct(), "session_id", "left_semi")
-    return R.rebuild_grains(R.replace_keys(old, new, ["session_id"]), R.affected_grains(gone, new, ["flag", "status"]), ["flag", "status"], ["effort", "n"])
+    """Replaced sessions and the grains that they touch, from one scan."""
+    old, _ = _contributions(spark, d)
+    new = F.when(F.col("effort") > 90, F.struct(F.when(F.col("n") > 1, "X").otherwise(F.col("flag")).alias("flag"), "status", (F.col("effort") + 1).alias("effort"), "n"))
+    return R.replace_and_rebuild(old, "session_id", new, ["flag", "status"], ["effort", "n"])
 
 
 @query(f"WITH {_CONTRIB} SELECT flag, status FROM old WHERE session_id IN (SELECT session_id FROM new) UNION SELECT flag, status FROM new")
