@@ -69,9 +69,9 @@ def waypoint_visits(progress: DataFrame) -> DataFrame:
 
 
 def navigating_spans(progress: DataFrame, ended: str) -> DataFrame:
-    """(session_id, n_start, n_end) in which a waypoint is under way: approached, or the first one, and neither fished nor over."""
+    """(session_id, n_start, n_end) in which a waypoint is under way: approached, or the first one from the session's start, and neither fished nor over."""
     p = waypoint_visits(progress)
-    start = F.when(F.col("sequence") == 1, F.lit(0)).otherwise(F.col("approached"))
+    start = F.when(F.col("sequence") == 1, F.col("began")).otherwise(F.col("approached"))
     over = F.least(F.coalesce("skipped", F.col(ended) + 1), F.coalesce("completed", F.col(ended) + 1))
     # Before the arrival, and after a departure that has not completed the waypoint.
     spans = F.array(F.struct(start.alias("s"), F.least(over, F.coalesce("arrived", over)).alias("e")), F.struct(F.greatest(start, F.when(F.col("arrived").isNotNull(), F.col("left_at"))).alias("s"), F.when(F.col("arrived").isNotNull() & F.col("left_at").isNotNull(), over).alias("e")))
@@ -87,7 +87,7 @@ def typed_effort(pairs: DataFrame, stops: DataFrame, progress: DataFrame, max_ga
     ``pairs``: (session_id, point_id, start, end, dt, speed, lon, lat); ``stops``:
     (session_id, stop_id, started, stopped); ``progress``: (session_id,
     waypoint_id, sequence, arrived, departed, completed, skipped, approached,
-    w_lon, w_lat, trolling, ended), ended being the session's end.
+    w_lon, w_lat, trolling, began, ended), the last two being the session's.
     """
     keys, pair = ["session_id"], ["session_id", "point_id"]
     ends = pairs.select(*pair, F.col("end").alias("t"), "lon", "lat", "speed")
@@ -143,8 +143,7 @@ def associated_catches(catches: DataFrame, stops: DataFrame, progress: DataFrame
     """``method`` and place of each catch: what was said, a stop, the advised target, the current waypoint, then the nearest.
 
     ``catches``: (session_id, catch_id, at, lon, lat, said); said is a waypoint
-    or null. ``progress`` as in ``typed_effort``, with ``status`` and
-    ``began``; ``targets``: (session_id, target_id). A waypoint that was said
+    or null. ``progress`` as in ``typed_effort``, with ``status``; ``targets``: (session_id, target_id). A waypoint that was said
     counts if the session and its own progress allow the time.
     """
     c = ["session_id", "catch_id"]

@@ -38,13 +38,14 @@ def src_arcgis_paged(spark, d):
     w = Window.partitionBy("session_id").orderBy("point_id")
     r = points(spark, d).filter("k < 60").withColumns({"rn": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("session_id"))})
     r = r.withColumn("page_offset", (F.floor(F.col("rn") / 10) * 10).cast("long"))
-    more = r.groupBy("session_id", "page_offset").agg((F.max("n") > F.col("page_offset") + 10).alias("more"))
+    more = r.groupBy("session_id", "page_offset").agg((F.max("n") > F.col("page_offset") + 10).alias("more"), F.count("*").alias("n"))
     pages = _documents(r, "session_id", "page_offset").join(more, ["session_id", "page_offset"])
-    flag = F.concat(F.lit(',"exceededTransferLimit":'), F.col("more").cast("string"), F.lit("}"))
-    pages = pages.select("session_id", "page_offset", F.concat(F.expr("substr(content, 1, length(content) - 1)"), flag).alias("content"))
-    # A stray page behind the last one, as a source that ignores offsets gives it.
-    stray = pages.filter("NOT content LIKE '%:true}'").withColumn("page_offset", F.col("page_offset") + 10)
-    read = readers.paged_features(pages.unionByName(stray), "session_id", "page_offset", 10, 4)
+    closed = lambda content, flag: F.concat(F.expr("substr(content, 1, length(content) - 1)") if content is None else F.lit(content), F.lit(',"exceededTransferLimit":'), flag, F.lit("}"))
+    # Behind a full last page comes an empty one; behind a short one a stray page, as a source that ignores offsets gives it.
+    full = (F.col("n") == 10) & ~F.col("more")
+    behind = pages.filter("NOT more").select("session_id", (F.col("page_offset") + 10).alias("page_offset"), F.when(full, closed('{"features":[]', F.lit("false"))).otherwise(closed(None, F.lit("false"))).alias("content"))
+    pages = pages.select("session_id", "page_offset", closed(None, F.col("more").cast("string")).alias("content")).unionByName(behind)
+    read = readers.paged_features(pages, "session_id", "page_offset", 10, 4)
     return read.groupBy("session_id", "page_offset", "capped").agg(F.count("*").alias("features"))
 
 

@@ -22,14 +22,14 @@ def _pick_sql(names: tuple[str, ...], index: str) -> str:
 # --- evidence and confidence
 
 
-@query("""WITH q AS (SELECT p_partkey, least(1.0, p_retailprice / 2000) AS quality, (p_size - 10) / 20.0 AS prominence, p_size % 2 = 0 AS bathymetry, p_size % 3 = 0 AS consistent,
+@query("""WITH q AS (SELECT p_partkey, least(1.0, p_retailprice / 2117.0) AS quality, (p_size - 10) / 20.0 AS prominence, p_size % 2 = 0 AS bathymetry, p_size % 3 = 0 AS consistent,
   CASE WHEN p_size % 5 > 0 THEN p_size * 6.0 END AS metres, p_size % 4 AS types FROM part)
 SELECT p_partkey, round(least(0.99, greatest(0.05, 0.20 * quality + 0.25 * CASE WHEN prominence <= 0 THEN 0.2 ELSE least(1.0, prominence) END + 0.15 * CASE WHEN bathymetry THEN 1.0 ELSE 0.35 END
   + 0.15 * CASE WHEN consistent THEN 1.0 ELSE 0.4 END + 0.10 * CASE WHEN metres IS NULL THEN 0.7 WHEN metres <= 20 THEN 1.0 WHEN metres >= 250 THEN 0.25 ELSE 1.0 - (metres - 20) / 230.0 * 0.75 END + 0.15 * least(1.0, types / 3.0))), 4) AS confidence FROM q""")
 def agg_feature_confidence(spark, d):
     size = F.col("p_size")
     metres = F.when(size % 5 > 0, size * 6.0)
-    return table(spark, d, "part").select("p_partkey", planning.feature_confidence(F.least(F.lit(1.0), F.col("p_retailprice") / 2000), (size - 10) / F.lit(20.0), size % 2 == 0, size % 3 == 0, metres, size % 4).alias("confidence"))
+    return table(spark, d, "part").select("p_partkey", planning.feature_confidence(F.least(F.lit(1.0), F.col("p_retailprice") / 2117.0), (size - 10) / F.lit(20.0), size % 2 == 0, size % 3 == 0, metres, size % 4).alias("confidence"))
 
 
 _CODES = ("STRUCTURE_NONE_AFTER_ANALYSIS", "STRUCTURE_DATA_LOW_CONFIDENCE", "TARGET_SPECIES_UNCONFIRMED", "WEATHER_STALE", "DEPTH_UNKNOWN")
@@ -86,7 +86,7 @@ def alg_strategy_weights(spark, d):
 
 _LIGHT = ("SUN_EXPOSED", "SHADE_PREFERRED", "TRANSITION_PREFERRED", "NEUTRAL")
 _SURE = ("HIGH", "MEDIUM", "LOW", "UNKNOWN")
-_SUNNY = f"""sunny AS (SELECT point_id, {_pick_sql(_LIGHT, 'k')} AS light, {_pick_sql(_SURE, 'k // 4')} AS sure, k * 3.6 AS azimuth, k - 20.0 AS elevation, CASE WHEN k % 7 > 0 THEN value * 2 END AS facing, least(1.0, value / 100) AS strength FROM points),
+_SUNNY = f"""sunny AS (SELECT point_id, {_pick_sql(_LIGHT, 'k')} AS light, {_pick_sql(_SURE, 'k // 4')} AS sure, k * 3.6 AS azimuth, k - 20.0 AS elevation, CASE WHEN k % 7 > 0 THEN value * 2 END AS facing, least(1.0, value / 97) AS strength FROM points),
 exposed AS (SELECT *, CASE WHEN elevation <= 0 OR strength <= 0 THEN 0 WHEN facing IS NULL OR sure = 'UNKNOWN' THEN 0.5 * strength
   ELSE least(1.0, greatest(0.0, (1 - abs(fmod(fmod(azimuth - facing + 540, 360) + 360, 360) - 180) / 180) * strength * CASE sure WHEN 'HIGH' THEN 1.0 WHEN 'MEDIUM' THEN 0.7 ELSE 0.4 END)) END AS exposure FROM sunny),
 lit AS (SELECT *, CASE WHEN strength > 0 THEN CASE light WHEN 'SUN_EXPOSED' THEN (exposure - 0.5) * 2 WHEN 'SHADE_PREFERRED' THEN (0.5 - exposure) * 2 WHEN 'TRANSITION_PREFERRED' THEN 1 - abs(exposure - 0.5) * 2 ELSE 0 END * 0.12 * strength ELSE 0 END AS effect FROM exposed)"""
@@ -94,7 +94,7 @@ lit AS (SELECT *, CASE WHEN strength > 0 THEN CASE light WHEN 'SUN_EXPOSED' THEN
 
 def _lit(spark, d):
     k, v = F.col("k"), F.col("value")
-    rows = points(spark, d).select("point_id", "k", "value", "kind", _pick(_LIGHT, k).alias("light"), _pick(_SURE, F.floor(k / 4)).alias("sure"), (k * 3.6).alias("azimuth"), (k - 20.0).alias("elevation"), F.when(k % 7 > 0, v * 2).alias("facing"), F.least(F.lit(1.0), v / 100).alias("strength"))
+    rows = points(spark, d).select("point_id", "k", "value", "kind", _pick(_LIGHT, k).alias("light"), _pick(_SURE, F.floor(k / 4)).alias("sure"), (k * 3.6).alias("azimuth"), (k - 20.0).alias("elevation"), F.when(k % 7 > 0, v * 2).alias("facing"), F.least(F.lit(1.0), v / 97).alias("strength"))
     rows = rows.withColumn("exposure", planning.solar_exposure("azimuth", "elevation", "facing", "sure", "strength"))
     return rows.withColumn("effect", planning.solar_effect("light", "exposure", "strength", 0.12))
 
