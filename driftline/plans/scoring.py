@@ -49,10 +49,10 @@ def alg_system_confidence(spark, d):
     return q.select("session_id", F.round(planning.system_confidence(_pick(_WEATHER, s), _pick(_READY, F.floor(s / 4)), "mean", "codes"), 4).alias("confidence"))
 
 
-@query("SELECT p_partkey, least(CASE WHEN p_size % 3 > 0 AND p_retailprice > 0 THEN p_retailprice * (1 - least(0.9, greatest(0, p_size / 40.0))) END, CASE WHEN p_size % 4 > 0 THEN p_size * 20.0 END) AS km FROM part")
+@query("SELECT p_partkey, round(least(CASE WHEN p_size % 3 > 0 AND p_retailprice > 0 THEN p_retailprice * (1 - least(0.9, greatest(0, p_size / 40.0))) END, CASE WHEN p_size % 4 > 0 THEN p_size * 20.0 END), 6) AS km FROM part")
 def alg_feasible_boat_range(spark, d):
     size = F.col("p_size")
-    return table(spark, d, "part").select("p_partkey", planning.usable_range("p_retailprice", size / F.lit(40.0), size % 3 > 0, F.when(size % 4 > 0, size * 20.0)).alias("km"))
+    return table(spark, d, "part").select("p_partkey", F.round(planning.usable_range("p_retailprice", size / F.lit(40.0), size % 3 > 0, F.when(size % 4 > 0, size * 20.0)), 6).alias("km"))
 
 
 # --- spots
