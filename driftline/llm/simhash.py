@@ -217,11 +217,12 @@ def _compare(radius: int, width: int):
     return run
 
 
-def bucket_work(keyed: DataFrame, words: list[str], more: list[str] = []) -> DataFrame:
-    """Pieces of work (choice, key, lo, hi, members) of every bucket with two rows or more."""
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
+def bucket_work(keyed: DataFrame, words: list[str], more: list[str] = [], n_bytes: str | None = None) -> DataFrame:
+    """Pieces of work (choice, key, lo, hi, members) of every bucket with two rows or more; chunks are bounded by bytes as well where ``n_bytes`` is given."""
+    heavy = F.ceil(F.sum(n_bytes) / CHUNK_BYTES) if n_bytes else F.lit(1)
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / CHUNK), heavy).cast("int").alias("chunks")).filter("n > 1")
     # A chunk meets itself and every other one: one row for each pair that it is in.
-    dealt = keyed.join(sizes, ["choice", "key"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")).withColumn("side", F.pmod(F.xxhash64(*words), F.col("chunks")).cast("int"))
+    dealt = keyed.join(sizes, ["choice", "key"]).withColumn("side", F.pmod(F.xxhash64(*words), F.col("chunks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     work = paired.groupBy("choice", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")).agg(F.collect_list(F.struct("rep", "side", *words, *more)).alias("members"))
     return work.filter(F.size("members") > 1)
@@ -269,8 +270,10 @@ WIDE_BITS = 512
 TABLES, MIN_HASHES = 14, 3
 #: Standard deviations above the mean distance up to which a pair is proposed.
 SPREAD = 3.5
-#: Nearest others of each text in a piece of work that the rounds propose; the last one proposes all.
-ROUNDS = (1, 3, None)
+#: Nearest others of each text in a piece of work that the rounds propose, before one that compares all the rest.
+ROUNDS = (1, 3)
+#: Bytes of shingle hashes in a chunk of that last one.
+CHUNK_BYTES = 16_000_000
 #: Pairs that a task confirms, on average, and those of one text at most in one task.
 TILE, OF_ONE = 2048, 1024
 
@@ -424,6 +427,51 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle_words: int, similarity:
     return dealt.groupBy("tile").cogroup(texts.groupBy("text_tile")).applyInArrow(_confirm(shingle_words, similarity), "a long, b long")
 
 
+def _compare_sets(radius: int, width: int, similarity: float):
+    """Pieces of work with labels, keys and shingle hashes to edges that connect what their similar pairs of different labels connect.
+
+    A pair that shares several buckets is compared in the first of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, choice in enumerate(batch.column("choice").to_pylist()):
+                members = batch.column("members")[row].values
+                reps, side, *words = (members.field(k).to_numpy(zero_copy_only=False) for k in range(2 + width))
+                labels = members.field(2 + width).to_numpy(zero_copy_only=False)
+                keys = np.array(members.field(3 + width).to_pylist(), np.int64)
+                sets = [np.frombuffer(h, np.uint64) for h in members.field(4 + width).to_pylist()]
+                fps = np.stack(words, axis=1).view(np.uint64)
+                left, right = np.nonzero(side == side.min())[0], np.nonzero(side == side.max())[0]
+                i, j = block_links(fps[left], fps[right], radius)
+                i, j = left[i], right[j]
+                apart = (labels[i] != labels[j]) & ((i < j) | (side[i] != side[j]))
+                i, j = i[apart], j[apart]
+                fresh = ~(keys[i, :choice] == keys[j, :choice]).any(axis=1) if len(i) else np.zeros(0, bool)
+                i, j = i[fresh], j[fresh]
+                near = np.fromiter((jaccard_at_least(sets[x], sets[y], similarity) for x, y in zip(i.tolist(), j.tolist())), bool, len(i))
+                k, root = spanning_links(len(reps), i[near], j[near])
+                yield pa.RecordBatch.from_arrays([pa.array(reps[k], pa.int64()), pa.array(reps[root], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def compared(left_out: DataFrame, classes: DataFrame, docs: DataFrame, words: list[str], radius: int, shingle_words: int, similarity: float) -> DataFrame:
+    """Edges of all similar pairs of different labels in the buckets (choice, key, rep, label): sets are compared where the texts meet, and no pair is written."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [np.unique(shingle_hashes(t.encode().lower().split(), shingle_words)).tobytes() for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "hashes"])
+
+    reps = left_out.select("rep").distinct()
+    # A repeated id has several texts, each a member of its own.
+    sets = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep").mapInArrow(hashed, "rep long, hashes binary").distinct()
+    whole = left_out.join(classes.select("rep", *words, "keys"), "rep").join(sets, "rep").withColumn("size", F.octet_length("hashes"))
+    work = bucket_work(whole, words, ["label", "keys", "hashes"], "size").select("choice", "members")
+    return work.mapInArrow(_compare_sets(radius, len(words), similarity), "a long, b long").filter("a <> b")
+
+
 def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): groups of texts linked by a shingle similarity of ``similarity`` or more.
 
@@ -431,9 +479,8 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float
     ``bucket_keys`` are a bucket, whose wide fingerprints are compared by bit
     planes; pairs within ``wide_radius`` are proposed, and every link is
     confirmed by the exact Jaccard similarity of the distinct shingles.
-    First rounds propose a text's nearest ones alone; buckets that have more
-    pairs are searched again for those that the links have not yet brought
-    together, in the last round for all of them.
+    First rounds propose a text's nearest ones alone; what the links have not
+    yet brought together is compared whole, by sets, where the texts meet.
     """
     words = [f"w{i}" for i in range(WIDE_BITS // 64)]
     schema = f"doc_id long, same binary, {', '.join(f'{w} long' for w in words)}, keys array<long>"
@@ -443,7 +490,7 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float
     classes = marked.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), *[F.any_value(c).alias(c) for c in first])
     keyed, radius = classes.select("rep", *words, F.posexplode("keys").alias("choice", "key")), wide_radius(similarity)
     edges, linked, searched = None, None, keyed
-    for limit in ROUNDS:
+    for at, limit in enumerate(ROUNDS):
         found = stored(proposed(searched, radius, words, linked is not None, limit))
         near = stored(confirmed(found.filter("b is not null").select("a", "b"), docs, shingle_words, similarity))
         edges = near if edges is None else edges.union(near)
@@ -454,6 +501,9 @@ def similar_documents(docs: DataFrame, shingle_words: int = 5, similarity: float
         left_out = stored(left_out.join(apart, ["choice", "key"], "left_semi"))
         if left_out.isEmpty():
             break
+        if at == len(ROUNDS) - 1:
+            edges = edges.union(stored(compared(left_out, classes, docs, words, radius, shingle_words, similarity)))
+            linked = components(edges).withColumnRenamed("id", "rep")
         searched = left_out.join(classes.select("rep", *words), "rep")
     grouped = classes.select("same", "rep").join(linked, "rep", "left").select("same", F.coalesce("component_id", "rep").alias("component_id"))
     return marked.select("doc_id", "same").join(grouped, "same", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
