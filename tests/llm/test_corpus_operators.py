@@ -62,7 +62,9 @@ def test_odd_rows_stay(odd, name):
     assert OPERATORS[name](odd).count() == len(TEXTS) + 2
 
 
-def test_embedding_links_by_brute_force(spark):
+@pytest.mark.parametrize("tile_bytes", [embedding_neighbors.TILE_BYTES, 3000])
+def test_embedding_links_by_brute_force(spark, monkeypatch, tile_bytes):
+    monkeypatch.setattr(embedding_neighbors, "TILE_BYTES", tile_bytes)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 8))
     near = base[:30] + 0.12 * rng.normal(size=(30, 8))
