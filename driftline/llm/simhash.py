@@ -217,10 +217,9 @@ def _compare(radius: int, width: int):
     return run
 
 
-def bucket_work(keyed: DataFrame, words: list[str], more: list[str] = [], n_bytes: str | None = None) -> DataFrame:
-    """Pieces of work (choice, key, lo, hi, members) of every bucket with two rows or more; chunks are bounded by bytes as well where ``n_bytes`` is given."""
-    heavy = F.ceil(F.sum(n_bytes) / CHUNK_BYTES) if n_bytes else F.lit(1)
-    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / CHUNK), heavy).cast("int").alias("chunks")).filter("n > 1")
+def bucket_work(keyed: DataFrame, words: list[str], more: list[str] = []) -> DataFrame:
+    """Pieces of work (choice, key, lo, hi, members) of every bucket with two rows or more."""
+    sizes = keyed.groupBy("choice", "key").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).filter("n > 1")
     # A chunk meets itself and every other one: one row for each pair that it is in.
     dealt = keyed.join(sizes, ["choice", "key"]).withColumn("side", F.pmod(F.xxhash64(*words), F.col("chunks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -467,8 +466,14 @@ def compared(left_out: DataFrame, classes: DataFrame, docs: DataFrame, words: li
     reps = left_out.select("rep").distinct()
     # A repeated id has several texts, each a member of its own.
     sets = docs.select(F.col("doc_id").alias("rep"), "text").join(reps, "rep").mapInArrow(hashed, "rep long, hashes binary").distinct()
-    whole = left_out.join(classes.select("rep", *words, "keys"), "rep").join(sets, "rep").withColumn("size", F.octet_length("hashes"))
-    work = bucket_work(whole, words, ["label", "keys", "hashes"], "size").select("choice", "members")
+    payload = stored(classes.select("rep", *words, "keys").join(sets, "rep"))
+    # Chunks are dealt on ids alone, so that the sets move once, to where they meet.
+    light = left_out.join(payload.select("rep", F.octet_length("hashes").alias("size")), "rep")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).cast("int").alias("chunks")
+    sizes = light.groupBy("choice", "key").agg(F.count("*").alias("n"), chunks).filter("n > 1")
+    dealt = left_out.join(sizes, ["choice", "key"]).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("choice", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "rep", "side", "label").join(payload, "rep")
+    work = dealt.groupBy("choice", "key", "lo", "hi").agg(F.collect_list(F.struct("rep", "side", *words, "label", "keys", "hashes")).alias("members")).filter(F.size("members") > 1).select("choice", "members")
     return work.mapInArrow(_compare_sets(radius, len(words), similarity), "a long, b long").filter("a <> b")
 
 
