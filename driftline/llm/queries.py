@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import chat, ctw, embedding_neighbors, fertility, licences, packing, pieces, pii, quality_votes, simhash
+from driftline.llm import chat, ctw, embedding_neighbors, fertility, filter_audit, licences, packing, pieces, pii, quality_votes, simhash
 from driftline.llm.shared import crc_remainder, table
 
 
@@ -133,10 +133,55 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masked(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce("text", '') AS t, coalesce(source, '') AS part,
+    list_filter(regexp_split_to_array(coalesce("text", ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM texts LEFT JOIN known USING (doc_id)
+), cells AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failing GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), counted AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (WHERE NOT contains(fails, own) AND length(translate(fails, before, '')) = length(fails)) AS kept,
+    sum(n) FILTER (WHERE contains(fails, own) AND length(translate(fails, before, '')) = length(fails)) AS removed,
+    sum(n) FILTER (WHERE contains(fails, own) AND length(translate(fails, before, '')) < length(fails)) AS redundant,
+    sum(n) FILTER (WHERE fails = own) AS unique_fails,
+    sum(good) FILTER (WHERE contains(fails, own) AND length(translate(fails, before, '')) = length(fails)) AS good_lost,
+    sum(toxic) FILTER (WHERE contains(fails, own) AND length(translate(fails, before, '')) = length(fails)) AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_embedding_near_dedup, op2_pii, op3_simhash_near_dedup, op4_sentencepiece, op5_chat_format, op6_ctw_score, op7_quality_votes, op8_fertility_rules, op9_licence_scan, op10_best_fit_packing)
+    own = (op1_embedding_near_dedup, op2_pii, op3_simhash_near_dedup, op4_sentencepiece, op5_chat_format, op6_ctw_score, op7_quality_votes, op8_fertility_rules, op9_licence_scan, op10_best_fit_packing, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op9_licence_scan": _op9_sql()}
+    return {"op5_chat_format": OP5_SQL, "op9_licence_scan": _op9_sql(), "op13_filter_audit": OP13_SQL}
