@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import chat, ctw, embedding_neighbors, fertility, filter_audit, licences, packing, pieces, pii, quality_votes, simhash
+from driftline.llm import chat, ctw, embedding_neighbors, fertility, filter_audit, hard_negatives, licences, packing, permutation_index, pieces, pii, quality_votes, simhash
 from driftline.llm.shared import crc_remainder, table
 
 
@@ -133,6 +133,36 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op11_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, neighbours=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0, positives=5, negatives=10, hundredths=(30, 90), scale=256)
+
+
+OP12_SQL = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_inner_product(CAST(a.c AS DOUBLE[]), CAST(b.c AS DOUBLE[])) AS BIGINT) AS score
+  FROM whole a, whole b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positive AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.masked(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
@@ -179,9 +209,9 @@ FROM counted
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_embedding_near_dedup, op2_pii, op3_simhash_near_dedup, op4_sentencepiece, op5_chat_format, op6_ctw_score, op7_quality_votes, op8_fertility_rules, op9_licence_scan, op10_best_fit_packing, op13_filter_audit)
+    own = (op1_embedding_near_dedup, op2_pii, op3_simhash_near_dedup, op4_sentencepiece, op5_chat_format, op6_ctw_score, op7_quality_votes, op8_fertility_rules, op9_licence_scan, op10_best_fit_packing, op11_permutation_search, op12_hard_negatives, op13_filter_audit)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": OP5_SQL, "op9_licence_scan": _op9_sql(), "op13_filter_audit": OP13_SQL}
+    return {"op5_chat_format": OP5_SQL, "op9_licence_scan": _op9_sql(), "op12_hard_negatives": OP12_SQL, "op13_filter_audit": OP13_SQL}
