@@ -62,7 +62,7 @@ def later_copies(docs: DataFrame, signed: DataFrame) -> DataFrame:
         live, i = stored(_several(live.withColumn("class", F.when(block.isNotNull(), F.xxhash64("class", block)).otherwise(F.col("class"))))), i + 1
     live = live.distinct()
     texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("signature", signature(F.col("text")))
-    whole = texts.join(live, ["doc_id", "signature"]).groupBy("class", "signature", "text").agg(F.min("doc_id").alias("first"))
+    whole = texts.join(live.hint("merge"), ["doc_id", "signature"]).groupBy("class", "signature", "text").agg(F.min("doc_id").alias("first"))
     found = stored(whole.groupBy("class", "signature").agg(F.min("first").alias("first"), F.count("*").alias("texts")))
     same = live.join(found.filter("texts = 1"), ["class", "signature"]).filter("doc_id > first").select("doc_id", "signature")
     if found.filter("texts > 1").isEmpty():
