@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.spatial import _checkpointed
+from driftline.operators.lineage import written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,10 @@ def connected(edges: DataFrame) -> DataFrame:
     the rounds grow with the logarithm of the vertices, and no vertex's
     neighbours are gathered. Vertices may be of any type that has an order.
     """
-    edges = _checkpointed(edges.select("a", "b").filter("a <> b").distinct())
+    edges = written(edges.select("a", "b").filter("a <> b").distinct())
     print_of = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
     before = None
     while before != (now := print_of(edges)):
         before = now
-        edges = _checkpointed(_nearer_least(_nearer_least(edges, True), False))
+        edges = written(_nearer_least(_nearer_least(edges, True), False))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

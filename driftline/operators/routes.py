@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from driftline.operators.graph import connected
-from driftline.operators.spatial import _checkpointed
+from driftline.operators.lineage import written
 
 #: Moves by the bit of their number: four straight ones, then four diagonal ones.
 MOVES = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1))
@@ -89,7 +89,7 @@ def components(moves: DataFrame) -> DataFrame:
                 px, py = np.divmod(label[x, y], SIDE)
                 yield pa.RecordBatch.from_pydict({"area": pa.array([area] * len(x), batch.column("area").type), "x": x + tx * SIDE, "y": y + ty * SIDE, "px": px + tx * SIDE, "py": py + ty * SIDE, "moves": open_[x, y].astype(np.int32)})
 
-    found = _checkpointed(tiled(moves).mapInArrow(pieces, f"area {kind}, x long, y long, px long, py long, moves int").select("area", "x", "y", F.struct("area", "px", "py").alias("piece"), "moves"))
+    found = written(tiled(moves).mapInArrow(pieces, f"area {kind}, x long, y long, px long, py long, moves int").select("area", "x", "y", F.struct("area", "px", "py").alias("piece"), "moves"))
     crossing = F.filter(F.array(*[F.when(F.col("moves").bitwiseAND(F.lit(1 << i)) != 0, F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))) for i, (dx, dy) in enumerate(MOVES)]), lambda n: n.isNotNull() & ((F.floor(n["x"] / SIDE) != _tile("x")) | (F.floor(n["y"] / SIDE) != _tile("y"))))
     out = found.select("area", F.col("piece").alias("a"), F.explode(crossing).alias("n")).select("area", "a", "n.x", "n.y")
     edges = out.join(found.select("area", "x", "y", F.col("piece").alias("b")), ["area", "x", "y"]).select("a", "b")
@@ -192,14 +192,14 @@ def shortest_ways(cells: DataFrame, pairs: DataFrame, cell_m: float, max_m: floa
         raise ValueError("the cut-off spans too many cells")
     kind = dict(cells.dtypes)["area"]
     place = lambda x, y: [F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")]
-    moves = _checkpointed(passable_moves(cells.select("area", *place("x", "y")).dropna().distinct()))
+    moves = written(passable_moves(cells.select("area", *place("x", "y")).dropna().distinct()))
     ends = pairs.select("area", *[F.col(c).cast("long").alias(c) for c in ("sx", "sy", "gx", "gy")]).dropna().distinct()
     piece = components(moves.filter("moves <> 0"))
     at = lambda x, y: piece.select("area", F.col("x").alias(x), F.col("y").alias(y), F.col("component").alias(f"of_{x}"))
     still = ends.filter("sx = gx AND sy = gy").join(moves.select("area", F.col("x").alias("sx"), F.col("y").alias("sy")), ["area", "sx", "sy"], "left_semi")
-    ends = _checkpointed(ends.join(at("sx", "sy"), ["area", "sx", "sy"]).join(at("gx", "gy"), ["area", "gx", "gy"]).filter("of_sx = of_gx AND NOT (sx = gx AND sy = gy)").select("area", "sx", "sy", "gx", "gy"))
-    starts = _checkpointed(ends.groupBy("area", "sx", "sy").agg(F.struct(F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1")).alias("goals")))
-    tiles = _checkpointed(tiled(moves))
+    ends = written(ends.join(at("sx", "sy"), ["area", "sx", "sy"]).join(at("gx", "gy"), ["area", "gx", "gy"]).filter("of_sx = of_gx AND NOT (sx = gx AND sy = gy)").select("area", "sx", "sy", "gx", "gy"))
+    starts = written(ends.groupBy("area", "sx", "sy").agg(F.struct(F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1")).alias("goals")))
+    tiles = written(tiled(moves))
     own, of = ["area", "sx", "sy"], ["area", "sx", "sy", "tx", "ty"]
     told = starts.select(*own, F.floor(F.col("sx") / SIDE).alias("tx"), F.floor(F.col("sy") / SIDE).alias("ty"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.lit(0).cast("long").alias("straight"), F.lit(0).cast("long").alias("diagonal"))
     state, rounds = spark.createDataFrame([], f"area {kind}, sx long, sy long, tx long, ty long, state binary, round int"), 0
@@ -210,7 +210,7 @@ def shortest_ways(cells: DataFrame, pairs: DataFrame, cell_m: float, max_m: floa
         way = F.struct((F.col("straight") + F.col("diagonal") * sqrt(2)).alias("steps"), "straight", "diagonal")
         seeds = told.groupBy(*of, "x", "y").agg(F.min(way).alias("way")).groupBy(*of).agg(F.collect_list(F.struct("x", "y", "way")).alias("seeds"))  # cells of a tile's border at most
         news = seeds.join(starts, own).join(last(), of, "left").join(tiles, ["area", "tx", "ty"])
-        out = _checkpointed(news.select(*own, "goals", "tx", "ty", "moves", "state", "seeds").mapInArrow(_settled(limit, area_type), schema))
+        out = written(news.select(*own, "goals", "tx", "ty", "moves", "state", "seeds").mapInArrow(_settled(limit, area_type), schema))
         state, rounds = state.unionByName(out.filter("state IS NOT NULL").select(*of, "state", F.lit(rounds).alias("round"))), rounds + 1
         told = out.filter("state IS NULL").drop("state")
 

@@ -3,32 +3,14 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, axis_distance, grid_cell
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one serves only a session on one machine."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "driftline-checkpoints"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+from driftline.operators.lineage import checkpointed as _checkpointed
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius_m: float, max_abs_lat: float, keys: tuple[str, ...] = ()) -> DataFrame:

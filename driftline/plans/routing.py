@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.operators import routes
+from driftline.operators import routes, zones
+from driftline.operators.spatial import within_radius
 from driftline.plans.base import query, table
+from driftline.plans.spatial import _axis_sql
 
 #: Areas of 40 x 40 cells of 25 m; an event opens the cell that its id hashes to, so about seven in ten are open.
 _AREA, _WIDE, CELL_M, MAX_M = 2000, 40, 25.0, 600.0
@@ -48,3 +50,54 @@ def alg_astar(spark, d):
     pairs = spot("sx", "sy").join(spot("gx", "gy").withColumn("event_id", F.col("event_id") - 40), ["event_id", "area"])
     found = routes.shortest_ways(cells.select("area", "x", "y"), pairs, CELL_M, MAX_M)
     return found.select("event_id", "straight", "diagonal", F.round("metres", 6).alias("metres"))
+
+
+#: Lakes of sixty places over 100 x 100 steps of about 25 m, each place with an area of its own.
+_PLACES_SQL = f"""hashed AS (SELECT event_id AS id, event_id // 60 AS lake, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 6) AS BIGINT) AS h FROM events),
+places AS (SELECT id, lake, -79.0 + (h % 100) * 0.0003 AS lon, 44.0 + (h // 100 % 100) * 0.000225 AS lat, 1000.0 * (2 + h % 180) AS area_m2 FROM hashed),
+links AS (SELECT a.lake, a.id AS i, b.id AS j, round({_axis_sql("a.lon", "a.lat", "b.lon", "b.lat")}, 3) AS metres FROM places a JOIN places b ON a.lake = b.lake AND a.id < b.id
+  WHERE {_axis_sql("a.lon", "a.lat", "b.lon", "b.lat")} <= 480)"""
+
+
+def lake_places(spark, d):
+    """(id, lake, lon, lat, area_m2) of every event as a place."""
+    h = F.conv(F.substr(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit(1), F.lit(6)), 16, 10).cast("long")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.floor(F.col("event_id") / 60).alias("lake"), h.alias("h"))
+    return rows.select("id", "lake", (F.lit(-79.0) + F.col("h") % 100 * F.lit(0.0003)).alias("lon"), (F.lit(44.0) + F.floor(F.col("h") / 100) % 100 * F.lit(0.000225)).alias("lat"), (F.lit(1000.0) * (2 + F.col("h") % 180)).alias("area_m2"))
+
+
+@query(
+    f"""WITH RECURSIVE {_PLACES_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY lake ORDER BY id) AS p FROM places), lakes AS (
+  SELECT lake, list(id ORDER BY id) AS ids, list(lon ORDER BY id) AS lons, list(lat ORDER BY id) AS lats, list(area_m2 ORDER BY id) AS areas FROM places GROUP BY lake
+), walks AS (
+  SELECT l.lake, list({{'p': a.p, 'q': b.p, 'm': metres}} ORDER BY metres, i, j) AS links FROM links l JOIN numbered a ON a.id = i JOIN numbered b ON b.id = j GROUP BY l.lake
+), walk AS (
+  SELECT lake, 1 AS n, range(1, len(ids) + 1) AS root, list_transform(ids, lambda x: 0.0 :: DOUBLE) AS long, list_transform(ids, lambda x: 0.0 :: DOUBLE) AS gap,
+    list_transform(ids, lambda x, v: list_transform(ids, lambda y, u: CASE WHEN u = v THEN 0.0 :: DOUBLE END)) AS far
+  FROM lakes
+  UNION ALL
+  SELECT lake, n + 1,
+    CASE WHEN fits THEN list_transform(root, lambda r: CASE WHEN r = greatest(rp, rq) THEN least(rp, rq) ELSE r END) ELSE root END,
+    CASE WHEN fits THEN list_transform(long, lambda x, v: CASE WHEN v = least(rp, rq) THEN tree ELSE x END) ELSE long END,
+    CASE WHEN fits THEN list_transform(gap, lambda x, v: CASE WHEN v = least(rp, rq) THEN wide ELSE x END) ELSE gap END,
+    CASE WHEN fits THEN list_transform(far, lambda row, v: list_transform(row, lambda x, u: CASE WHEN root[v] = rp AND root[u] = rq THEN row[p] + whole + far[q][u] WHEN root[v] = rq AND root[u] = rp THEN row[q] + whole + far[p][u] ELSE x END)) ELSE far END
+  FROM (
+    SELECT *, rp <> rq AND greatest(tree, box) <= 900 AND wide <= 450 AND len(members) / greatest(area / 1e6, 1e-6) >= 6 AND (area <= 1 OR greatest(tree, box) / sqrt(area) <= 8) AS fits
+    FROM (
+      SELECT *, greatest(long[rp], long[rq], list_max(far[p]) + whole + list_max(far[q])) AS tree, greatest(gap[rp], gap[rq], m) AS wide, list_sum(list_transform(members, lambda v: areas[v])) AS area,
+        sqrt(pow((list_max(ys) - list_min(ys)) * 111320.0, 2) + pow((list_max(xs) - list_min(xs)) * 111320.0 * cos(radians((list_max(ys) + list_min(ys)) / 2)), 2)) AS box
+      FROM (
+        SELECT *, list_transform(members, lambda v: lons[v]) AS xs, list_transform(members, lambda v: lats[v]) AS ys
+        FROM (
+          SELECT *, list_filter(range(1, len(root) + 1), lambda v: root[v] IN (rp, rq)) AS members
+          FROM (SELECT w.*, l.lons, l.lats, l.areas, s.links[n].p AS p, s.links[n].q AS q, s.links[n].m AS m, floor(s.links[n].m + 0.5) AS whole, root[s.links[n].p] AS rp, root[s.links[n].q] AS rq
+            FROM walk w JOIN lakes l USING (lake) JOIN walks s USING (lake) WHERE n <= len(s.links))))))
+), ended AS (SELECT lake, arg_max(root, n) AS root FROM walk GROUP BY lake)
+SELECT id, ids[root[p]] AS zone FROM numbered JOIN ended USING (lake) JOIN lakes USING (lake)"""
+)
+def alg_zone_cluster(spark, d):
+    """Zones of near places: links by length, merges refused by span, gap, density and stretch."""
+    places = lake_places(spark, d)
+    pairs = within_radius(places, places, 480.0, 45.0, ("lake",)).filter("l_id < r_id")
+    links = pairs.select(F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.round("metres", 3).alias("metres"))
+    return zones.guarded_zones(places.select("id", "lake", F.lit(1.0).alias("weight"), "area_m2", F.col("lon").alias("west"), F.col("lat").alias("south"), F.col("lon").alias("east"), F.col("lat").alias("north")), links, by="lake")

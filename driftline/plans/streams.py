@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftline.functions import geo
-from driftline.operators.spatial import checkpoint_folder
+from driftline.operators.lineage import checkpoint_folder
 from driftline.plans.base import POINTS, mean_scale_sql, points, query
 from driftline.streaming import stateful
 

@@ -4,7 +4,9 @@ import heapq
 import math
 import random
 
-from driftline.operators import routes
+import pytest
+
+from driftline.operators import routes, zones
 from driftline.operators.graph import connected
 
 
@@ -58,3 +60,49 @@ def test_components_are_the_least_vertex(spark):
     got = {r["id"]: r["component"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: r for v, r in root.items() if any(v in e and e[0] != e[1] for e in edges)}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_zones(places, links, guard):
+    """The walk, one link after another; distances inside zones by all pairs."""
+    zone = {p["id"]: p["id"] for p in places}
+    at, far, gap, refused = {p["id"]: p for p in places}, {(p["id"], p["id"]): 0 for p in places}, dict.fromkeys(zone, 0.0), []
+    for m, i, j in sorted(set(links)):
+        if i == j or i not in zone or j not in zone or zone[i] == zone[j]:
+            continue
+        a, b = ([p for p in zone if zone[p] == zone[x]] for x in (i, j))
+        way = {(p, q): far[p, i] + math.floor(m + 0.5) + far[j, q] for p in a for q in b}
+        them = [at[p] for p in a + b]
+        low, high = min(p["south"] for p in them), max(p["north"] for p in them)
+        wide = max(p["east"] for p in them) - min(p["west"] for p in them)
+        span = max(*way.values(), *(far[p, q] for s in (a, b) for p in s for q in s), math.hypot((high - low) * 111320, wide * 111320 * math.cos(math.radians((low + high) / 2))))
+        area, weight = sum(p["area_m2"] for p in them), sum(p["weight"] for p in them)
+        widest = max(m, gap[zone[i]], gap[zone[j]])
+        why = "SPAN" if span > guard.max_span_m else "GAP" if widest > guard.max_gap_m else "DENSITY" if weight / max(area / 1e6, 1e-6) < guard.min_per_km2 else "STRETCH" if area > 1 and span / math.sqrt(area) > guard.max_stretch else None
+        if why:
+            refused.append(why)
+            continue
+        far |= way | {(q, p): d for (p, q), d in way.items()}
+        keep = min(zone[i], zone[j])
+        for p in a + b:
+            zone[p] = keep
+        gap[keep] = widest
+    return zone, refused
+
+
+@pytest.mark.parametrize("most, n", [(zones.MOST, 500), (12, 40)])
+def test_zones_are_those_of_the_walk(spark, most, n):
+    rng = random.Random(8)
+    places = []
+    for i in range(n):
+        # dense places and sparse ones, far over several tiles, some of them on one point
+        lon, lat = (-79 + rng.random() * 0.02, 44 + rng.random() * 0.02) if i < n * 0.4 else (-79 + rng.random() * 0.2, 44 + rng.random() * 0.2) if i < n * 0.9 else (-78.5, 44.5)
+        places.append({"id": i, "weight": rng.choice([1.0, 2.5]), "area_m2": rng.choice([0.0, 900.0, 20_000.0, 60_000.0, 500_000.0]), "west": lon, "south": lat, "east": lon + rng.choice([0, 0.001]), "north": lat})
+    away = lambda a, b: math.hypot((a["west"] - b["west"]) * 80_000, (a["south"] - b["south"]) * 111_320)
+    links = [(float(round(away(a, b), -1)), a["id"], b["id"]) for a in places for b in places if a["id"] < b["id"] and away(a, b) < 500]  # tens of metres, so many ties
+    links += [(10.0, 3, 3), (10.0, 3, 9999), links[0], (5.0, links[0][2], links[0][1])]
+    wanted, refused = plain_zones(places, links, zones.Guard())
+    assert n < 500 or ({"SPAN", "GAP", "DENSITY", "STRETCH"} == set(refused) and len(set(wanted.values())) < 450)
+    cells = spark.createDataFrame([(p["id"], p["weight"], p["area_m2"], p["west"], p["south"], p["east"], p["north"]) for p in places], "id long, weight double, area_m2 double, west double, south double, east double, north double")
+    got = zones.guarded_zones(cells, spark.createDataFrame([(i, j, m) for m, i, j in links] + [(None, 1, 1.0), (1, 2, None)], "i long, j long, metres double"), most=most)
+    assert {r["id"]: r["zone"] for r in got.collect()} == wanted
+    assert zones.guarded_zones(cells.limit(0), spark.createDataFrame([], "i long, j long, metres double")).count() == 0
