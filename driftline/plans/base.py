@@ -26,7 +26,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = re.sub(r"\bat\b", '"at"', sql)
+            SQL[f.__name__] = re.sub(r'(?<!")\bat\b(?!")', '"at"', sql)
         return f
 
     return add

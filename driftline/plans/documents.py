@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import geo, scores
+from driftline.operators.lineage import checkpoint_folder
 from driftline.operators.relational import insert_ignore
 from driftline.plans.base import POINTS, epoch, points, query, table
 from driftline.plans.places import geo_raster
@@ -24,19 +27,19 @@ def _documents(rows, *keys):
     return sinks.feature_collection(rows, list(keys), "point_id", geometry, F.struct(F.col("point_id").cast("string").alias("id"), F.col("kind").alias("kind")))
 
 
-@query(f"WITH {POINTS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY point_id) - 1 AS feature_no, 'Point' AS geometry_type, CAST(round(lon * 1000000) AS BIGINT) AS x, CAST(round(lat * 1000000) AS BIGINT) AS y, CAST(point_id AS VARCHAR) AS id, kind FROM points WHERE k < 30")
+@query(f"WITH {POINTS} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY point_id) - 1 AS feature_no, 'Point' AS geometry_type, CAST(round(lon * 1000000) AS BIGINT) AS x, CAST(round(lat * 1000000) AS BIGINT) AS y, CAST(point_id AS VARCHAR) AS id, kind FROM points")
 def src_geojson(spark, d):
     """Features of documents that hold them nested."""
-    read = readers.geojson_features(_documents(points(spark, d).filter("k < 30"), "session_id"))
+    read = readers.geojson_features(_documents(points(spark, d), "session_id"))
     at = F.from_json("coordinates", "array<bigint>")
     return read.select("session_id", F.col("feature_no").cast("long").alias("feature_no"), "geometry_type", at[0].alias("x"), at[1].alias("y"), F.col("properties")["id"].alias("id"), F.col("properties")["kind"].alias("kind"))
 
 
-@query(f"WITH {POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY point_id) - 1 AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM points WHERE k < 60) SELECT session_id, CAST(rn // 10 * 10 AS BIGINT) AS page_offset, count(*) AS features, n >= 40 AS capped FROM r WHERE rn < 40 GROUP BY ALL")
+@query(f"WITH {POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY point_id) - 1 AS rn, count(*) OVER (PARTITION BY session_id) AS n FROM points) SELECT session_id, CAST(rn // 10 * 10 AS BIGINT) AS page_offset, count(*) AS features, n >= 40 AS capped FROM r WHERE rn < 40 GROUP BY ALL")
 def src_arcgis_paged(spark, d):
     """Pages of ten features up to the first that ends its source, four at most; what comes after an end is not read."""
     w = Window.partitionBy("session_id").orderBy("point_id")
-    r = points(spark, d).filter("k < 60").withColumns({"rn": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("session_id"))})
+    r = points(spark, d).withColumns({"rn": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("session_id"))})
     r = r.withColumn("page_offset", (F.floor(F.col("rn") / 10) * 10).cast("long"))
     more = r.groupBy("session_id", "page_offset").agg((F.max("n") > F.col("page_offset") + 10).alias("more"), F.count("*").alias("n"))
     pages = _documents(r, "session_id", "page_offset").join(more, ["session_id", "page_offset"])
@@ -49,11 +52,14 @@ def src_arcgis_paged(spark, d):
     return read.groupBy("session_id", "page_offset", "capped").agg(F.count("*").alias("features"))
 
 
-@query("SELECT 1 :: BIGINT AS documents, true AS whole")
+@query("SELECT page_id, octet_length(encode(html)) AS bytes, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL")
 def src_regulation_doc(spark, d):
-    """A document read as bytes, with its checksum."""
-    docs = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{d}/nation.parquet")
-    return docs.select((F.length("content") == F.col("length")) & (F.length(F.sha2("content", 256)) == 64)).toDF("whole").groupBy("whole").agg(F.count("*").alias("documents"))
+    """Documents stored one file each and read as bytes, with their checksums."""
+    folder = f"{checkpoint_folder(spark)}/documents-{uuid.uuid4().hex}"
+    pages = table(spark, d, "pages").filter("html IS NOT NULL").select("page_id", "html")
+    sinks.write_documents(pages, "page_id", "html", folder)
+    read = readers.stored_documents(spark, folder)
+    return read.select(F.col("key").cast("long").alias("page_id"), F.col("length").alias("bytes"), "sha256")
 
 
 @query(f"WITH {POINTS} SELECT point_id, kind FROM points WHERE lon BETWEEN -78.97 AND -78.93 AND lat BETWEEN 44.02 AND 44.06")
@@ -98,7 +104,7 @@ def _raster_sql():
 @query(_raster_sql())
 def src_raster_tiles(spark, d):
     """Raster rows packed to bits and read again."""
-    return readers.unpack_rows(readers.pack_rows(geo_raster(spark, d), "row", "col", "water"), "row", "col", "water")
+    return readers.unpack_rows(readers.pack_rows(geo_raster(spark, d), ["session_id", "row"], "col", "water"), ["session_id", "row"], "col", "water")
 
 
 # --- sinks
@@ -132,9 +138,9 @@ def snk_batch_insert(spark, d):
     return written.agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("ids"))
 
 
-@query(f"""WITH {POINTS} SELECT session_id, '{{"type":"FeatureCollection","features":[' || string_agg('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(round(lon * 1000000) AS BIGINT) || ',' || CAST(round(lat * 1000000) AS BIGINT) || ']}},"properties":{{"id":"' || point_id || '","kind":"' || kind || '"}}}}', ',' ORDER BY point_id) || ']}}' AS content FROM points WHERE k < 20 GROUP BY 1""")
+@query(f"""WITH {POINTS} SELECT session_id, '{{"type":"FeatureCollection","features":[' || string_agg('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(round(lon * 1000000) AS BIGINT) || ',' || CAST(round(lat * 1000000) AS BIGINT) || ']}},"properties":{{"id":"' || point_id || '","kind":"' || kind || '"}}}}', ',' ORDER BY point_id) || ']}}' AS content FROM points GROUP BY 1""")
 def snk_geojson(spark, d):
-    return _documents(points(spark, d).filter("k < 20"), "session_id")
+    return _documents(points(spark, d), "session_id")
 
 
 @query(f"WITH {POINTS}, known AS (SELECT session_id, k AS key, min(point_id) AS point_id FROM points WHERE kind = 'view' GROUP BY 1, 2), fresh AS (SELECT session_id, k AS key, min(point_id) AS point_id FROM points WHERE kind <> 'view' GROUP BY 1, 2) SELECT * FROM known UNION ALL SELECT * FROM fresh ANTI JOIN known USING (session_id, key)")

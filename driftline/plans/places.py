@@ -53,8 +53,8 @@ def geo_dto(spark, d):
 
 # --- tracks and circles
 
-_TRACKS = f"""{POINTS}, lagged AS (SELECT session_id, session_id % 5 AS lake, point_id AS track_id, value, lag(lon) OVER w AS x1, lag(lat) OVER w AS y1, lon AS x2, lat AS y2, at - lag(at) OVER w AS seconds FROM points WINDOW w AS (PARTITION BY session_id ORDER BY at, point_id)),
-tracks AS (SELECT * FROM lagged WHERE x1 IS NOT NULL AND value < 60 AND session_id % 4 < 3), places AS (SELECT session_id % 5 AS lake, point_id AS place_id, lon, lat FROM points WHERE kind = 'signup' AND k < 40),
+_TRACKS = f"""{POINTS}, lagged AS (SELECT session_id, session_id AS lake, point_id AS track_id, value, lag(lon) OVER w AS x1, lag(lat) OVER w AS y1, lon AS x2, lat AS y2, at - lag(at) OVER w AS seconds FROM points WINDOW w AS (PARTITION BY session_id ORDER BY at, point_id)),
+tracks AS (SELECT * FROM lagged WHERE x1 IS NOT NULL), places AS (SELECT session_id AS lake, point_id AS place_id, lon, lat FROM points WHERE kind = 'signup'),
 met AS (SELECT t.*, place_id, (x2 - x1) * {_SX} AS dx, (y2 - y1) * {_SY} AS dy, (x1 - lon) * {_SX} AS fx, (y1 - lat) * {_SY} AS fy FROM tracks t JOIN places p ON p.lake = t.lake),
 solved AS (SELECT *, dx * dx + dy * dy AS a, 2 * (fx * dx + fy * dy) AS b, fx * fx + fy * fy - 810000.0 AS c FROM met),
 shared AS (SELECT *, CASE WHEN a > 0 THEN CASE WHEN b * b - 4 * a * c > 0 THEN greatest(0.0, least(1.0, (-b + sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a)) - greatest(0.0, (-b - sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a))) ELSE 0 END WHEN c <= 0 THEN 1.0 ELSE 0 END AS share FROM solved)"""
@@ -63,10 +63,10 @@ shared AS (SELECT *, CASE WHEN a > 0 THEN CASE WHEN b * b - 4 * a * c > 0 THEN g
 def _shares(spark, d):
     p = points(spark, d)
     w = Window.partitionBy("session_id").orderBy("at", "point_id")
-    lake = (F.col("session_id") % 5).alias("lake")
+    lake = F.col("session_id").alias("lake")
     lagged = p.select("session_id", lake, F.col("point_id").alias("track_id"), "value", F.lag("lon").over(w).alias("x1"), F.lag("lat").over(w).alias("y1"), F.col("lon").alias("x2"), F.col("lat").alias("y2"), (F.col("at") - F.lag("at").over(w)).alias("seconds"))
-    tracks = lagged.filter("x1 IS NOT NULL AND value < 60 AND session_id % 4 < 3")
-    places = p.filter("kind = 'signup' AND k < 40").select(lake, F.col("point_id").alias("place_id"), "lon", "lat")
+    tracks = lagged.filter("x1 IS NOT NULL")
+    places = p.filter("kind = 'signup'").select(lake, F.col("point_id").alias("place_id"), "lon", "lat")
     return C.tracks_in_circles(tracks, places, ["lake"], 900.0, AT_LAT)
 
 
@@ -334,34 +334,60 @@ def alg_lake_context(spark, d):
 
 # --- shapes of paths
 
-_PATHS = f"{POINTS}, numbered AS (SELECT session_id, point_id, lon, lat, k, row_number() OVER (PARTITION BY session_id ORDER BY at, point_id) AS i FROM points), six AS (SELECT *, max(i) OVER (PARTITION BY session_id) AS n FROM numbered WHERE i <= 6), edges AS (SELECT *, lead(lon) OVER w AS nx, lead(lat) OVER w AS ny, first_value(lon) OVER w AS fx, first_value(lat) OVER w AS fy FROM six WINDOW w AS (PARTITION BY session_id ORDER BY i))"
+_PATHS = f"{POINTS}, numbered AS (SELECT session_id, point_id, lon, lat, k, row_number() OVER (PARTITION BY session_id ORDER BY at, point_id) AS i FROM points), whole AS (SELECT *, max(i) OVER (PARTITION BY session_id) AS n FROM numbered), edges AS (SELECT *, lead(lon) OVER w AS nx, lead(lat) OVER w AS ny, first_value(lon) OVER w AS fx, first_value(lat) OVER w AS fy FROM whole WINDOW w AS (PARTITION BY session_id ORDER BY i))"
 
 
-def _paths(spark, d):
-    """The first six positions of each session as one path."""
-    w = Window.partitionBy("session_id").orderBy("at", "point_id")
-    six = points(spark, d).withColumn("i", F.row_number().over(w)).filter("i <= 6")
-    path = F.transform(F.sort_array(F.collect_list(F.struct("i", F.col("lon").alias("x"), F.col("lat").alias("y")))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
-    return six.groupBy("session_id").agg(path.alias("path"))
+def _edges(spark, d):
+    """The positions of each session in order, with the next one, the first one and their count: its path, side by side."""
+    by = Window.partitionBy("session_id")
+    w = by.orderBy("at", "point_id")
+    p = points(spark, d).withColumns({"i": F.row_number().over(w), "n": F.count("*").over(by)})
+    return p.withColumns({f"n{c}": F.lead(f"l{o}").over(w) for c, o in (("x", "on"), ("y", "at"))} | {f"f{c}": F.first(f"l{o}").over(w) for c, o in (("x", "on"), ("y", "at"))})
+
+
+def _shoelace(x, y, nx, ny):
+    """Twice the signed area between a side and the origin."""
+    return F.col(x) * ny - nx * F.col(y)
+
+
+def _path_area():
+    """Planar area of a path closed by its first position, in square degrees."""
+    return F.abs(F.sum(_shoelace("lon", "lat", F.coalesce("nx", "fx"), F.coalesce("ny", "fy")))) / 2
+
+
+def _ends(edges):
+    """(session_id, n, fx, fy, lx, ly): how many positions a path has, its first and its last."""
+    last = lambda c: F.max(F.when(F.col("i") == F.col("n"), F.col(c)))
+    return edges.groupBy("session_id").agg(F.max("n").alias("n"), F.max("fx").alias("fx"), F.max("fy").alias("fy"), last("lon").alias("lx"), last("lat").alias("ly"))
+
+
+def _nearly_closed():
+    return (F.col("n") >= 4) & (F.hypot(F.col("fx") - F.col("lx"), F.col("fy") - F.col("ly")) <= 0.05)
 
 
 @query(f"WITH {_PATHS} SELECT session_id, round(sum(coalesce(sqrt(pow((nx - lon) * {_SX}, 2) + pow((ny - lat) * {_SY}, 2)), 0)), 3) AS metres, round(abs(sum(lon * coalesce(ny, fy) - coalesce(nx, fx) * lat)) / 2 * {_SX} * {_SY}, 1) AS area_m2 FROM edges GROUP BY 1")
 def geo_length_area(spark, d):
     scale = geo.METRES_PER_DEGREE * geo.METRES_PER_DEGREE * F.cos(F.radians(F.lit(AT_LAT)))
-    return _paths(spark, d).select("session_id", F.round(geo.path_length("path", AT_LAT), 3).alias("metres"), F.round(geo.ring_area("path") * scale, 1).alias("area_m2"))
+    side = F.sqrt(F.pow((F.col("nx") - F.col("lon")) * geo.METRES_PER_DEGREE * F.cos(F.radians(F.lit(AT_LAT))), F.lit(2)) + F.pow((F.col("ny") - F.col("lat")) * geo.METRES_PER_DEGREE, F.lit(2)))
+    return _edges(spark, d).groupBy("session_id").agg(F.round(F.sum(F.coalesce(side, F.lit(0.0))), 3).alias("metres"), F.round(_path_area() * scale, 1).alias("area_m2"))
 
 
 @query(f"WITH {_PATHS}, c AS (SELECT session_id, max(n) AS n, max(fx) AS fx, max(fy) AS fy, max(lon) FILTER (WHERE i = n) AS lx, max(lat) FILTER (WHERE i = n) AS ly FROM edges GROUP BY 1) SELECT session_id, CASE WHEN n < 4 THEN 'TOO_SHORT' WHEN fx <> lx OR fy <> ly THEN 'OPEN' END AS fault, n >= 4 AND sqrt(pow(fx - lx, 2) + pow(fy - ly, 2)) <= 0.05 AS closes FROM c")
 def geo_valid_type_norm(spark, d):
     """Faults of each path as a ring, and whether it closes within a tolerance."""
-    return _paths(spark, d).select("session_id", geo.ring_faults("path").alias("fault"), geo.closed_ring("path", 0.05).isNotNull().alias("closes"))
+    fault = F.when(F.col("n") < 4, "TOO_SHORT").when((F.col("fx") != F.col("lx")) | (F.col("fy") != F.col("ly")), "OPEN")
+    return _ends(_edges(spark, d)).select("session_id", fault.alias("fault"), _nearly_closed().alias("closes"))
 
 
 @query(f"WITH {_PATHS}, c AS (SELECT session_id, max(n) AS n, max(fx) AS fx, max(fy) AS fy, max(lon) FILTER (WHERE i = n) AS lx, max(lat) FILTER (WHERE i = n) AS ly FROM edges GROUP BY 1), r AS (SELECT e.session_id, CASE WHEN i = e.n THEN e.fx ELSE lon END AS x, CASE WHEN i = e.n THEN e.fy ELSE lat END AS y, i FROM edges e JOIN c ON c.session_id = e.session_id AND c.n >= 4 AND sqrt(pow(c.fx - lx, 2) + pow(c.fy - ly, 2)) <= 0.05), l AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM r WINDOW w AS (PARTITION BY session_id ORDER BY i)) SELECT session_id, count(*) AS vertices, round(abs(sum(x * ny - nx * y)) / 2 * 1e6, 6) AS area FROM l GROUP BY 1")
 def geo_linemerge_close(spark, d):
     """Paths whose ends are near become rings, the last vertex moved onto the first."""
-    r = _paths(spark, d).select("session_id", geo.closed_ring("path", 0.05).alias("ring")).filter("ring IS NOT NULL")
-    return r.select("session_id", F.size("ring").cast("long").alias("vertices"), F.round(geo.ring_area("ring") * 1e6, 6).alias("area"))
+    edges = _edges(spark, d)
+    rings = edges.select("session_id", "i", "lon", "lat", "nx", "ny", "fx", "fy").join(_ends(edges).filter(_nearly_closed()).select("session_id", "n"), "session_id").filter("i < n")
+    # the side to the last position goes to the first instead
+    onto = lambda c: F.when(F.col("i") == F.col("n") - 1, F.col(f"f{c}")).otherwise(F.col(f"n{c}"))
+    area = F.abs(F.sum(_shoelace("lon", "lat", onto("x"), onto("y")))) / 2
+    return rings.groupBy("session_id").agg((F.count("*") + 1).alias("vertices"), F.round(area * 1e6, 6).alias("area"))
 
 
 @query(f"WITH {POINTS}, q AS (SELECT point_id, CASE k % 4 WHEN 0 THEN 4326 WHEN 1 THEN 4269 WHEN 2 THEN 3857 END AS srid, lon, lat FROM points) SELECT point_id, CASE WHEN srid IN (4326, 4269) THEN lon END AS lon, CASE WHEN srid IN (4326, 4269) THEN lat END AS lat, NOT coalesce(srid IN (4326, 4269), false) AS refused FROM q")
@@ -388,34 +414,36 @@ def geo_utm(spark, d):
 def geo_split(spark, d):
     """Paths cut where they turn by more than 60 degrees."""
     w = Window.partitionBy("session_id").orderBy("at", "point_id")
-    six = points(spark, d).select("session_id", "at", "point_id", "lon", "lat", F.row_number().over(w).alias("i")).filter("i <= 6")
     ahead = F.degrees(F.atan2(F.lead("lon").over(w) - F.col("lon"), F.lead("lat").over(w) - F.col("lat")))
     behind = F.degrees(F.atan2(F.col("lon") - F.lag("lon").over(w), F.col("lat") - F.lag("lat").over(w)))
     cut = F.when(F.abs(F.pmod(ahead - behind + 900, F.lit(360.0)) - 180) > 60, 1).otherwise(0)
-    parts = six.withColumn("cut", cut).withColumn("part", 1 + F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = points(spark, d).withColumn("cut", cut).withColumn("part", 1 + F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return parts.groupBy("session_id", "part").agg(F.count("*").alias("vertices"))
 
 
-_SAMPLES = " AND ".join(f"(({_RING_SQL.replace('lon', f'(x + {dx / 2} * 0.005)').replace('lat', f'(y + {dy / 2} * 0.005)')}) % 2 = 1)" for dx in range(3) for dy in range(3))
+_STEP = 0.001
+_SAMPLES = " AND ".join(f"(({_RING_SQL.replace('lon', f'(x + {dx / 2 * _STEP})').replace('lat', f'(y + {dy / 2 * _STEP})')}) % 2 = 1)" for dx in range(3) for dy in range(3))
 
 
-@query(f"WITH g AS (SELECT i % 20 AS col, i // 20 AS row, -79.0 + i % 20 * 0.005 AS x, 44.0 + i // 20 * 0.005 AS y FROM range(400) t(i)) SELECT col, row, {_SAMPLES} AS water FROM g")
+@query(f"""WITH {POINTS}, g AS (SELECT DISTINCT session_id, CAST(round((lon + 79.0) / {_STEP}) AS BIGINT) AS col, CAST(round((lat - 44.0) / {_STEP}) AS BIGINT) AS row FROM points),
+c AS (SELECT *, -79.0 + col * {_STEP} AS x, 44.0 + row * {_STEP} AS y FROM g) SELECT session_id, col, row, {_SAMPLES} AS water FROM c""")
 def geo_raster(spark, d):
-    """A raster of cells that are water at all of their three by three sample points."""
-    i = F.col("id")
-    g = spark.range(400).select((i % 20).alias("col"), F.floor(i / 20).alias("row")).withColumns({"x": F.lit(-79.0) + F.col("col") * 0.005, "y": F.lit(44.0) + F.col("row") * 0.005})
+    """A raster of the cells that each session has been in: water where all of a cell's three by three sample points are."""
+    index = lambda c, origin: F.round((F.col(c) - origin) / _STEP).cast("long")
+    g = points(spark, d).select("session_id", index("lon", -79.0).alias("col"), index("lat", 44.0).alias("row")).distinct()
+    g = g.withColumns({"x": F.lit(-79.0) + F.col("col") * _STEP, "y": F.lit(44.0) + F.col("row") * _STEP})
     water = F.lit(True)
     for dx in range(3):
         for dy in range(3):
-            water = water & geo.in_ring(F.col("x") + dx / 2 * 0.005, F.col("y") + dy / 2 * 0.005, _ring())
-    return g.select("col", "row", water.alias("water"))
+            water = water & geo.in_ring(F.col("x") + dx / 2 * _STEP, F.col("y") + dy / 2 * _STEP, _ring())
+    return g.select("session_id", "col", "row", water.alias("water"))
 
 
 @query(f"WITH {_PATHS} SELECT session_id, CASE WHEN n = 1 THEN 'Point' WHEN n < 4 THEN 'MultiPoint' ELSE 'MultiLineString' END AS type, n AS vertices FROM (SELECT session_id, max(n) AS n FROM edges GROUP BY 1)")
 def geo_type_coerce(spark, d):
     """The multi-type that a path is stored as."""
-    n = F.size("path").cast("long")
-    return _paths(spark, d).select("session_id", F.when(n == 1, "Point").when(n < 4, "MultiPoint").otherwise("MultiLineString").alias("type"), n.alias("vertices"))
+    n = F.col("n")
+    return points(spark, d).groupBy("session_id").agg(F.count("*").alias("n")).select("session_id", F.when(n == 1, "Point").when(n < 4, "MultiPoint").otherwise("MultiLineString").alias("type"), n.alias("vertices"))
 
 
 # --- shores and found features
@@ -450,7 +478,7 @@ def alg_point(spark, d):
 def alg_island_edge(spark, d):
     """Islands of enough area; soundings near them make them surer."""
     scale = geo.METRES_PER_DEGREE * geo.METRES_PER_DEGREE * F.cos(F.radians(F.lit(AT_LAT)))
-    islands = _paths(spark, d).filter(geo.ring_area("path") * scale >= 2_000_000).select("session_id", F.element_at("path", 1)["x"].alias("lon"), F.element_at("path", 1)["y"].alias("lat"))
+    islands = _edges(spark, d).groupBy("session_id").agg((_path_area() * scale).alias("area"), F.max("fx").alias("lon"), F.max("fy").alias("lat")).filter("area >= 2000000").drop("area")
     soundings = points(spark, d).filter("kind = 'click' AND k > 50").select("session_id", "lon", "lat")
     near = S.within_radius(islands, soundings, 2000, MAX_LAT, ("session_id",)).select(F.col("l_session_id").alias("session_id")).distinct().withColumn("near", F.lit(True))
     supported = F.col("near").isNotNull()

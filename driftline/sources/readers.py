@@ -54,12 +54,25 @@ def paged_features(pages: DataFrame, source: str, offset: str, page_size: int, m
     return rows.select(source, offset, "feature_no", "capped", F.col("_f.geometry.coordinates").alias("coordinates"), F.col("_f.properties").alias("properties"))
 
 
-def pack_rows(cells: DataFrame, row: str, col: str, flag: str) -> DataFrame:
-    """One row of bits for each raster row of up to 63 columns."""
-    return cells.groupBy(row).agg(F.sum(F.when(F.col(flag), F.expr(f"shiftleft(1L, CAST({col} AS INT))")).otherwise(F.lit(0))).alias("bits"), F.max(col).alias("last_col"))
+#: Cells in a word of a packed row; the sign's bit stays free.
+WORD = 63
 
 
-def unpack_rows(packed: DataFrame, row: str, col: str, flag: str) -> DataFrame:
+def pack_rows(cells: DataFrame, row: list[str], col: str, flag: str) -> DataFrame:
+    """Words of bits of raster rows of any width: which cells of a word are there, and which have the flag."""
+    bit = F.expr(f"shiftleft(1L, CAST(pmod({col}, {WORD}) AS INT))")
+    return cells.groupBy(*row, F.floor(F.col(col) / WORD).alias("word")).agg(F.bit_or(bit).alias("there"), F.bit_or(F.when(F.col(flag), bit).otherwise(F.lit(0).cast("long"))).alias("bits"))
+
+
+def unpack_rows(packed: DataFrame, row: list[str], col: str, flag: str) -> DataFrame:
     """The cells of packed raster rows."""
-    cells = packed.withColumn(col, F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_col").cast("long"))))
-    return cells.select(col, row, (F.expr(f"shiftright(bits, CAST({col} AS INT)) & 1") == 1).alias(flag))
+    cells = packed.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))).filter("(shiftright(there, _bit) & 1) = 1")
+    return cells.select(*row, (F.col("word") * WORD + F.col("_bit")).alias(col), F.expr("(shiftright(bits, _bit) & 1) = 1").alias(flag))
+
+
+def stored_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of :func:`driftline.sources.sinks.write_documents` as bytes: key, length, sha256 and content."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    # the line end that the writer adds is no part of a document
+    content = F.expr("substring(content, 1, length(content) - 1)")
+    return read.select(F.col("key").cast("string").alias("key"), (F.col("length") - 1).alias("length"), F.sha2(content, 256).alias("sha256"), content.alias("content"))

@@ -36,3 +36,8 @@ def feature_collection(features: DataFrame, keys: list[str], order: str, geometr
     ordered = F.transform(F.sort_array(F.collect_list(feature)), lambda x: x["f"])
     docs = features.groupBy(*keys).agg(ordered.alias("features"))
     return docs.select(*keys, F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("content"))
+
+
+def write_documents(df: DataFrame, key: str, text: str, folder: str) -> None:
+    """Each row's text as a file of its own, below a folder named by its key."""
+    df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("value")).repartition("key").write.partitionBy("key").text(folder)
