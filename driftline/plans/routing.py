@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.operators import routes, zones
+from driftline.operators import beam, routes, zones
 from driftline.operators.spatial import within_radius
 from driftline.plans.base import query, table
 from driftline.plans.spatial import _axis_sql
@@ -101,3 +101,67 @@ def alg_zone_cluster(spark, d):
     pairs = within_radius(places, places, 480.0, 45.0, ("lake",)).filter("l_id < r_id")
     links = pairs.select(F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.round("metres", 3).alias("metres"))
     return zones.guarded_zones(places.select("id", "lake", F.lit(1.0).alias("weight"), "area_m2", F.col("lon").alias("west"), F.col("lat").alias("south"), F.col("lon").alias("east"), F.col("lat").alias("north")), links, by="lake")
+
+
+#: Trips start at the purchases of a lake, and its views are spots; places are metres on a grid.
+PLAN = beam.Plan()
+_TRIPS_SQL = """hashed AS (SELECT event_id AS id, event_id // 60 AS area, event_type AS kind, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 6) AS BIGINT) AS h FROM events),
+places AS (SELECT id, area, kind, h % 100 * 25 AS x, h // 100 % 100 * 25 AS y, h FROM hashed),
+trips AS (SELECT id AS trip, area, x, y, 21600 AS start, 21600 + 3600 * (1 + h % 4) AS "end", 300 AS reserve FROM places WHERE kind = 'purchase'),
+options AS (SELECT id AS option, area, x, y, 100 + h % 900 AS worth FROM places WHERE kind = 'view')"""
+
+
+def _layers_sql(plan):
+    """The layers one after another: every step with its reason, what is not dominated, and what the beam keeps."""
+    metres = lambda x, y, u, v: f"CAST(round(sqrt(({x} - {u}) * ({x} - {u}) + ({y} - {v}) * ({y} - {v}))) AS BIGINT)"
+    parts = [_TRIPS_SQL, "s0 AS (SELECT trip, [] :: STRUCT(option BIGINT, x BIGINT, y BIGINT)[] AS stops, '' AS path, x, y, start AS time, 0 AS used, 0 AS waited, 0 AS value FROM trips)"]
+    for i in range(1, plan.max_stops + 1):
+        parts.append(
+            f"""e{i} AS (SELECT s.*, t."end", t.reserve, o.option, o.x AS to_x, o.y AS to_y, worth, wait, dwell, {metres("s.x", "s.y", "o.x", "o.y")} AS leg, {metres("o.x", "o.y", "t.x", "t.y")} AS home
+  FROM s{i - 1} s JOIN trips t USING (trip) JOIN options o ON o.area = t.area, (SELECT unnest({list(plan.waits)}) AS wait) w, (SELECT unnest({list(plan.dwells)}) AS dwell) d),
+l{i} AS (SELECT *, time + wait + leg // {plan.speed} + dwell AS leave FROM e{i}),
+r{i} AS (SELECT *, CASE WHEN len(list_filter(stops, lambda s: s.option = option)) > 0 THEN 'VISITED' WHEN waited + wait > {plan.max_wait} THEN 'WAITED_TOO_LONG'
+  WHEN len(list_filter(stops, lambda s: {metres("s.x", "s.y", "to_x", "to_y")} < {plan.spacing})) > 0 THEN 'SPACING' WHEN leg > {plan.max_leg} THEN 'LEG_TOO_LONG' WHEN leave > "end" THEN 'AFTER_END'
+  WHEN leave + home // {plan.speed} + reserve > "end" THEN 'RETURN_RESERVE' WHEN used + leg + home > {plan.max_range} THEN 'RANGE_EXCEEDED' END AS reason FROM l{i}),
+f{i} AS (SELECT trip, list_append(stops, {{'option': option, 'x': to_x, 'y': to_y}}) AS stops, path || CASE WHEN path = '' THEN '' ELSE '>' END || option || ':' || wait || ':' || dwell AS path, to_x AS x, to_y AS y, leave AS time,
+  used + leg AS used, waited + wait AS waited, value + worth * dwell // (dwell + {plan.half}) - leg * {plan.leg_cost} // 100 - wait * {plan.wait_cost} // 60 AS value, option AS last_option FROM r{i} WHERE reason IS NULL),
+k{i} AS (SELECT *, list_sort(list_transform(stops, lambda s: s.option)) AS among FROM f{i}),
+d{i} AS (SELECT b.* FROM k{i} b WHERE NOT EXISTS (SELECT 1 FROM k{i} a WHERE a.trip = b.trip AND a.among = b.among AND a.last_option = b.last_option AND a.time <= b.time AND a.used <= b.used AND a.value >= b.value AND (a.time < b.time OR a.used < b.used OR a.value > b.value))),
+s{i} AS (SELECT trip, stops, path, x, y, time, used, waited, value FROM d{i} QUALIFY row_number() OVER (PARTITION BY trip ORDER BY value DESC, time, used, path) <= {plan.width})"""
+        )
+    return "WITH " + ",\n".join(parts)
+
+
+def _search(spark, d):
+    h = F.conv(F.substr(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit(1), F.lit(6)), 16, 10).cast("long")
+    p = table(spark, d, "events").select(F.col("event_id").alias("id"), F.floor(F.col("event_id") / 60).alias("area"), F.col("event_type").alias("kind"), h.alias("h"))
+    p = p.select("id", "area", "kind", (F.col("h") % 100 * 25).alias("x"), (F.floor(F.col("h") / 100) % 100 * 25).alias("y"), "h")
+    start = F.lit(21_600).cast("long")
+    trips = p.filter("kind = 'purchase'").select(F.col("id").alias("trip"), "area", "x", "y", start.alias("start"), (start + 3600 * (1 + F.col("h") % 4)).alias("end"), F.lit(300).alias("reserve"))
+    return beam.search(trips, p.filter("kind = 'view'").select(F.col("id").alias("option"), "area", "x", "y", (F.col("h") % 900 + 100).alias("worth")), PLAN)
+
+
+_LAYERS = range(1, PLAN.max_stops + 1)
+
+
+@query(
+    f"""{_layers_sql(PLAN)}, best AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in _LAYERS)}) QUALIFY row_number() OVER (PARTITION BY trip ORDER BY value DESC, time, used, path) = 1)
+SELECT t.trip, path, CAST(coalesce(len(stops), 0) AS BIGINT) AS stops, CAST(time AS BIGINT) AS time, CAST(used AS BIGINT) AS used, CAST(value AS BIGINT) AS value FROM trips t LEFT JOIN best USING (trip)"""
+)
+def alg_beam_route(spark, d):
+    """The best route of each trip out of all layers."""
+    return _search(spark, d).routes
+
+
+@query(
+    _layers_sql(PLAN) + " " + " UNION ALL ".join(f"SELECT trip, {i} AS layer, reached, \"left\", kept FROM (SELECT trip, count(*) AS reached FROM f{i} GROUP BY 1) JOIN (SELECT trip, count(*) AS \"left\" FROM d{i} GROUP BY 1) USING (trip) JOIN (SELECT trip, count(*) AS kept FROM s{i} GROUP BY 1) USING (trip)" for i in _LAYERS)
+)
+def alg_beam_layers(spark, d):
+    """States that each layer reaches, that are not dominated, and that the beam keeps."""
+    return _search(spark, d).layers
+
+
+@query(_layers_sql(PLAN) + " " + " UNION ALL ".join(f"SELECT trip, {i} AS layer, reason, count(*) AS n FROM r{i} WHERE reason IS NOT NULL GROUP BY trip, reason" for i in _LAYERS))
+def alg_beam_expand(spark, d):
+    """Refused steps by layer and reason."""
+    return _search(spark, d).rejects
