@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftline.functions import geo
 from driftline.operators.lineage import checkpoint_folder
 from driftline.plans.base import POINTS, mean_scale_sql, points, query
-from driftline.streaming import stateful
+from driftline.streaming import stateful, timers
 
 
 def _run(spark, rows, transform):
@@ -46,3 +46,36 @@ def stm_waypoint_fsm(spark, d):
     rows = points(spark, d).select("session_id", F.lit(1).cast("long").alias("waypoint_id"), "at", metres.alias("metres"), (F.col("k") > 97).alias("skipped"))
     found = _run(spark, rows, lambda stream: stateful.waypoint_states(stream, radii=(5000.0, 3000.0, 4000.0), samples=2))
     return found.select("session_id", "at", "state")
+
+
+#: Seconds after which an active session is quiet, and between heartbeats.
+QUIET_S, BEAT_S = 86_400, 21_600
+_SAYS_SQL = f"""{POINTS}, said AS (SELECT session_id, point_id, at, CASE kind WHEN 'signup' THEN 'START' WHEN 'purchase' THEN 'RESET' WHEN 'view' THEN 'STOP' ELSE 'NONE' END AS says FROM points),
+horizon AS (SELECT max(at) AS until FROM points)"""
+
+
+def _in_batches(spark, rows, transform):
+    """The result of a stream of ``rows`` in four micro-batches by time, with timers."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    with timers.timers_allowed(spark):
+        return stateful.drained(transform(stateful.replayed_in_order(rows, f"{folder}/in", "at", 4)), folder)
+
+
+def _said(spark, d):
+    kind = F.col("kind")
+    says = F.when(kind == "signup", timers.START).when(kind == "purchase", timers.RESET).when(kind == "view", timers.STOP).otherwise("NONE")
+    return points(spark, d).select("session_id", "at", F.col("point_id").alias("place"), says.alias("says"))
+
+
+@query(f"""WITH {_SAYS_SQL}, told AS (SELECT *, last_value(CASE WHEN says IN ('START', 'STOP') THEN says END IGNORE NULLS) OVER w AS phase, lead(at) OVER w AS next_at FROM said WHERE says <> 'NONE' WINDOW w AS (PARTITION BY session_id ORDER BY at, point_id))
+SELECT session_id, at AS since, at + {QUIET_S} AS at FROM told, horizon WHERE phase = 'START' AND coalesce(next_at >= at + {QUIET_S}, at + {QUIET_S} <= until)""")
+def stm_no_bite_timer(spark, d):
+    """Alarms of active sessions that nothing has reset for a day, by timers of a stream."""
+    return _in_batches(spark, _said(spark, d), lambda stream: timers.quiet_alarms(stream, QUIET_S))
+
+
+@query(f"""WITH {_SAYS_SQL}, told AS (SELECT *, lead(at) OVER (PARTITION BY session_id ORDER BY at, point_id) AS next_at FROM said WHERE says IN ('START', 'STOP')),
+beats AS (SELECT session_id, at AS since, unnest(range(at + {BEAT_S}, coalesce(next_at, until) + 1, {BEAT_S})) AS at FROM told, horizon WHERE says = 'START') SELECT * FROM beats""")
+def stm_heartbeat(spark, d):
+    """Beats of active sessions, six hours apart here, by timers of a stream."""
+    return _in_batches(spark, _said(spark, d), lambda stream: timers.heartbeats(stream, BEAT_S))
