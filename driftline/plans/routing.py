@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.operators import beam, routes, zones
+from driftline.operators import beam, routes, subplans, zones
 from driftline.operators.spatial import within_radius
 from driftline.plans.base import query, table
 from driftline.plans.spatial import _axis_sql
@@ -132,10 +132,15 @@ s{i} AS (SELECT trip, stops, path, x, y, time, used, waited, value FROM d{i} QUA
     return "WITH " + ",\n".join(parts)
 
 
-def _search(spark, d):
+def _places(spark, d):
+    """(id, area, kind, x, y, h) of every event, in metres."""
     h = F.conv(F.substr(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit(1), F.lit(6)), 16, 10).cast("long")
     p = table(spark, d, "events").select(F.col("event_id").alias("id"), F.floor(F.col("event_id") / 60).alias("area"), F.col("event_type").alias("kind"), h.alias("h"))
-    p = p.select("id", "area", "kind", (F.col("h") % 100 * 25).alias("x"), (F.floor(F.col("h") / 100) % 100 * 25).alias("y"), "h")
+    return p.select("id", "area", "kind", (F.col("h") % 100 * 25).alias("x"), (F.floor(F.col("h") / 100) % 100 * 25).alias("y"), "h")
+
+
+def _search(spark, d):
+    p = _places(spark, d)
     start = F.lit(21_600).cast("long")
     trips = p.filter("kind = 'purchase'").select(F.col("id").alias("trip"), "area", "x", "y", start.alias("start"), (start + 3600 * (1 + F.col("h") % 4)).alias("end"), F.lit(300).alias("reserve"))
     return beam.search(trips, p.filter("kind = 'view'").select(F.col("id").alias("option"), "area", "x", "y", (F.col("h") % 900 + 100).alias("worth")), PLAN)
@@ -165,3 +170,39 @@ def alg_beam_layers(spark, d):
 def alg_beam_expand(spark, d):
     """Refused steps by layer and reason."""
     return _search(spark, d).rejects
+
+
+VISIT = subplans.Visit(pace=200)
+_HOP = "CAST(round(sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y))) AS BIGINT)"
+
+
+@query(
+    f"""WITH RECURSIVE {_TRIPS_SQL}, members AS (SELECT area AS zone, option AS member, x, y, worth, row_number() OVER (PARTITION BY area ORDER BY worth DESC, option) AS place FROM options),
+zones AS (SELECT area AS zone, arg_min(x, id) AS in_x, arg_min(y, id) AS in_y, arg_max(x, id) AS out_x, arg_max(y, id) AS out_y FROM places WHERE area IN (SELECT zone FROM members) GROUP BY area),
+walk AS (
+  SELECT zone, budget, 1 AS step, in_x AS x, in_y AS y, budget AS rest, 0 :: BIGINT AS fishing, 0 :: BIGINT AS transit, 0 :: BIGINT AS metres, 0 :: BIGINT AS utility, [] :: BIGINT[] AS stops
+  FROM zones, (SELECT CAST(unnest({list(VISIT.budgets)}) AS BIGINT) AS budget)
+  UNION ALL
+  SELECT zone, budget, step + 1, to_x, to_y, rest - hop - dwell, fishing + dwell, transit + hop, metres + way, utility + greatest(0, score), list_append(stops, member) FROM (
+    SELECT *, worth * dwell // {VISIT.longest} - {VISIT.hop_cost} * hop AS score FROM (
+      SELECT *, least({VISIT.longest}, rest - hop) AS dwell FROM (
+        SELECT *, greatest(1, CAST(round(way / {VISIT.pace}) AS BIGINT)) AS hop FROM (
+          SELECT w.*, m.member, m.x AS to_x, m.y AS to_y, m.worth, m.place, {_HOP.format(a="w", b="m")} AS way FROM walk w JOIN members m USING (zone) WHERE NOT list_contains(w.stops, m.member))))
+    WHERE dwell >= {VISIT.shortest}
+    QUALIFY row_number() OVER (PARTITION BY zone, budget ORDER BY score DESC, place) = 1)
+), ended AS (
+  SELECT w.*, CAST(round(sqrt((x - out_x) * (x - out_x) + (y - out_y) * (y - out_y))) AS BIGINT) AS way FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY zone, budget ORDER BY step DESC) = 1) w JOIN zones USING (zone)
+), made AS (
+  SELECT zone, budget, stops, fishing, transit + CAST(round(way / {VISIT.pace}) AS BIGINT) AS transit, metres + way AS metres, utility FROM ended WHERE CAST(round(way / {VISIT.pace}) AS BIGINT) <= rest AND fishing > 0
+)
+SELECT zone, budget, array_to_string(stops, '>') AS stops, fishing, transit, metres, utility FROM made b
+WHERE NOT EXISTS (SELECT 1 FROM made a WHERE a.zone = b.zone AND a.budget <= b.budget AND a.utility >= b.utility AND (a.budget < b.budget OR a.utility > b.utility))"""
+)
+def alg_subzone_plan(spark, d):
+    """What each budget of minutes buys inside a zone, greedily, with time left for the way out."""
+    p = _places(spark, d)
+    member = F.struct((-F.col("worth")).alias("first"), F.col("id").alias("member"), "x", "y", "worth")
+    views = p.filter("kind = 'view'").withColumn("worth", F.col("h") % 900 + 100).groupBy("area").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    ends = p.groupBy("area").agg(F.min_by(F.struct("x", "y"), "id").alias("entry"), F.max_by(F.struct("x", "y"), "id").alias("exit"))
+    made = subplans.packages(views.join(ends, "area").withColumnRenamed("area", "zone"), VISIT)
+    return made.withColumn("stops", F.array_join(F.transform("stops", lambda s: s.cast("string")), ">"))
