@@ -1,6 +1,6 @@
 """Queries of the engine's own operators over the given tables, with their SQL."""
 
-from driftline.plans import base, composed, documents, flow, places, polygons, relational, routing, rules, scoring, spatial, streams, temporal
+from driftline.plans import base, composed, documents, flow, jobs, places, polygons, relational, routing, rules, scoring, spatial, streams, temporal
 
 
 def queries():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.operators import beam, routes, subplans, zones
@@ -11,8 +12,8 @@ from driftline.plans.spatial import _axis_sql
 
 #: Areas of 40 x 40 cells of 25 m; an event opens the cell that its id hashes to, so about seven in ten are open.
 _AREA, _WIDE, CELL_M, MAX_M = 2000, 40, 25.0, 600.0
-_CELLS_SQL = f"""hashed AS (SELECT event_id, event_id // {_AREA} AS area, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 6) AS BIGINT) AS h FROM events),
-placed AS (SELECT event_id, area, h % {_WIDE} AS x, h // {_WIDE} % {_WIDE} AS y FROM hashed),
+_CELLS_SQL = f"""hashed AS (SELECT event_id, event_type, event_id // {_AREA} AS area, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 6) AS BIGINT) AS h FROM events),
+placed AS (SELECT event_id, event_type, area, h % {_WIDE} AS x, h // {_WIDE} % {_WIDE} AS y FROM hashed),
 cells AS (SELECT DISTINCT area, x, y FROM placed)"""
 
 
@@ -28,7 +29,7 @@ def placed(spark, d):
   FROM cells c JOIN cells n ON n.area = c.area AND abs(n.x - c.x) <= 1 AND abs(n.y - c.y) <= 1 AND (n.x <> c.x OR n.y <> c.y)
   WHERE c.x = n.x OR c.y = n.y OR (EXISTS (SELECT 1 FROM cells o WHERE o.area = c.area AND o.x = n.x AND o.y = c.y) AND EXISTS (SELECT 1 FROM cells o WHERE o.area = c.area AND o.x = c.x AND o.y = n.y))
 ), pairs AS (
-  SELECT s.event_id, s.area, s.x AS sx, s.y AS sy, g.x AS gx, g.y AS gy FROM placed s JOIN placed g ON g.event_id = s.event_id + 40 AND g.area = s.area WHERE s.event_id % 40 = 0
+  SELECT * FROM (SELECT event_id, area, x AS sx, y AS sy, lead(x) OVER w AS gx, lead(y) OVER w AS gy FROM placed WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY area ORDER BY event_id)) WHERE gx IS NOT NULL
 ), best(area, sx, sy, x, y, straight, diagonal) USING KEY (area, sx, sy, x, y) AS (
   SELECT DISTINCT area, sx, sy, sx, sy, 0, 0 FROM pairs
   UNION
@@ -44,10 +45,11 @@ SELECT p.event_id, CAST(b.straight AS BIGINT) AS straight, CAST(b.diagonal AS BI
 FROM pairs p LEFT JOIN best b ON b.area = p.area AND b.sx = p.sx AND b.sy = p.sy AND b.x = p.gx AND b.y = p.gy"""
 )
 def alg_astar(spark, d):
-    """Shortest ways between spots over open cells: eight moves, no cut corners, a cut-off."""
+    """Shortest ways from each purchase to the next one of its area over open cells: eight moves, no cut corners, a cut-off."""
     cells = placed(spark, d)
-    spot = lambda x, y: cells.filter("event_id % 40 = 0").select("event_id", "area", F.col("x").alias(x), F.col("y").alias(y))
-    pairs = spot("sx", "sy").join(spot("gx", "gy").withColumn("event_id", F.col("event_id") - 40), ["event_id", "area"])
+    w = Window.partitionBy("area").orderBy("event_id")
+    spots = cells.join(table(spark, d, "events").filter("event_type = 'purchase'").select("event_id"), "event_id")
+    pairs = spots.select("event_id", "area", F.col("x").alias("sx"), F.col("y").alias("sy"), F.lead("x").over(w).alias("gx"), F.lead("y").over(w).alias("gy")).filter("gx IS NOT NULL")
     found = routes.shortest_ways(cells.select("area", "x", "y"), pairs, CELL_M, MAX_M)
     return found.select("event_id", "straight", "diagonal", F.round("metres", 6).alias("metres"))
 
