@@ -79,3 +79,59 @@ beats AS (SELECT session_id, at AS since, unnest(range(at + {BEAT_S}, coalesce(n
 def stm_heartbeat(spark, d):
     """Beats of active sessions, six hours apart here, by timers of a stream."""
     return _in_batches(spark, _said(spark, d), lambda stream: timers.heartbeats(stream, BEAT_S))
+
+
+#: Seconds that a trigger stays open, and how triggers rank; users' own requests have no rank.
+HOLD_S, RANKS = 43_200, {"purchase": 0, "signup": 1, "click": 2, "view": 3}
+_RANK_SQL = " ".join(f"WHEN '{k}' THEN {r}" for k, r in RANKS.items())
+
+
+@query(f"""WITH RECURSIVE {POINTS}, ranked AS (SELECT *, CASE kind {_RANK_SQL} END AS rank, row_number() OVER (PARTITION BY session_id ORDER BY at, point_id) AS i FROM points WHERE kind <> 'error'),
+walk AS (SELECT session_id, i, at AS opened FROM ranked WHERE i = 1
+  UNION ALL SELECT r.session_id, r.i, CASE WHEN r.at >= opened + {HOLD_S} THEN r.at ELSE opened END FROM walk w JOIN ranked r ON r.session_id = w.session_id AND r.i = w.i + 1),
+met AS (SELECT session_id, opened, kind, min(i) AS first, min(rank) AS rank, count(*) AS n, bool_or(value > 50) AS from_event FROM walk JOIN ranked USING (session_id, i) GROUP BY session_id, opened, kind)
+SELECT session_id, opened, arg_min(kind, rank) AS trigger, string_agg(kind, ',' ORDER BY first) AS reasons, CAST(sum(n) AS BIGINT) AS n, CASE WHEN bool_or(from_event) THEN 'EVENT' ELSE 'HEARTBEAT' END AS source
+FROM met WHERE opened + {HOLD_S} <= (SELECT max(at) FROM points WHERE kind <> 'error') GROUP BY session_id, opened""")
+def stm_coalesce_stream(spark, d):
+    """Triggers that come while one is open join it, in the state of a stream; it is handed on half a day after it opened."""
+    rows = points(spark, d).select("session_id", "at", F.col("point_id").alias("place"), F.col("kind").alias("trigger"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("from_event"))
+    return _in_batches(spark, rows, lambda stream: timers.coalesced(stream, HOLD_S, RANKS))
+
+
+def _for_each(spark, rows, order, write, folder):
+    """Run ``write`` on the rows in four micro-batches by ``order``."""
+    stream = stateful.replayed_in_order(rows, f"{folder}/in", order, 4)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+
+@query(f"WITH {POINTS} SELECT session_id, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM points GROUP BY 1")
+def stm_late_data_stream(spark, d):
+    """Catches that come late, after all else, have their sessions computed again from all rows, batch by batch."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    late = (F.col("kind") == "purchase") & (F.col("k") > 90)
+    p = points(spark, d).select("session_id", "k", (F.col("at") + F.when(late, 10**9).otherwise(0)).alias("comes"))
+    write = timers.recomputed(f"{folder}/results", f"{folder}/rows", ["session_id"], lambda rows: rows.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("k").alias("total")))
+    _for_each(spark, p, "comes", write, folder)
+    return timers.latest_results(spark, f"{folder}/results", ["session_id"]).select("session_id", "n", "total")
+
+
+@query(f"WITH {POINTS} SELECT session_id, at, point_id, lon, lat FROM points QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY at DESC, point_id DESC) = 1")
+def stm_live_projection_stream(spark, d):
+    """The latest position of each session, kept up to date by a stream."""
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    p = points(spark, d).select("session_id", "at", "point_id", "lon", "lat").withColumn("latest", F.struct("at", "point_id"))
+    _for_each(spark, p, "at", stateful.upsert_latest(f"{folder}/live", ["session_id"], "latest"), folder)
+    versions = spark.read.parquet(f"{folder}/live")
+    return versions.filter(F.col("version") == versions.agg(F.max("version")).first()[0]).select("session_id", "at", "point_id", "lon", "lat")
+
+
+@query(f"""WITH {POINTS}, w AS (SELECT unnest([3600, 86400]) AS seconds), horizon AS (SELECT max(at) AS until FROM points)
+SELECT seconds, at // seconds * seconds AS window_start, kind, count(*) AS n FROM points, w, horizon WHERE at // seconds * seconds + seconds <= until GROUP BY 1, 2, 3""")
+def stm_tumbling_stream(spark, d):
+    """Events by hour and by day, counted by streams; a window comes once the watermark has passed its end."""
+    p = points(spark, d).select("at", "kind", F.timestamp_seconds("at").alias("ts"))
+    found = []
+    for seconds, width in ((3600, "1 hour"), (86_400, "1 day")):
+        counted = _in_batches(spark, p, lambda stream: stateful.tumbling_counts(stream, "ts", ["kind"], width, "0 seconds"))  # noqa: B023
+        found.append(counted.select(F.lit(seconds).alias("seconds"), F.unix_timestamp("window_start").alias("window_start"), "kind", "n"))
+    return found[0].unionByName(found[1])

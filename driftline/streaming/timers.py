@@ -108,6 +108,63 @@ def heartbeats(stream: DataFrame, every_s: int, delay: str = "0 seconds") -> Dat
     return _due(stream, delay, DueTimes(every_s, True))
 
 
+class OpenTriggers(StatefulProcessor):
+    """Keeps a session's open trigger (opened, rank, trigger, reasons, n, from_event) until it has been open for a while."""
+
+    def __init__(self, hold_s: int, ranks: dict[str, int]):
+        self.hold_s, self.ranks = hold_s, ranks
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "opened long, rank long, trigger string, reasons string, n long, from_event boolean")
+
+    def _merged(self, now: tuple | None, at: int, trigger: str, from_event: bool) -> tuple:
+        rank = self.ranks[trigger]
+        if now is None:
+            return at, rank, trigger, trigger, 1, from_event
+        opened, best, lead, reasons, n, sticks = now
+        reasons = reasons if trigger in reasons.split(",") else f"{reasons},{trigger}"
+        return opened, min(best, rank), trigger if rank < best else lead, reasons, n + 1, sticks or from_event
+
+    def _rows(self, key: tuple, closed: list[tuple]) -> pd.DataFrame:
+        rows = [(key[0], opened, trigger, reasons, n, "EVENT" if sticks else "HEARTBEAT") for opened, _, trigger, reasons, n, sticks in closed]
+        return pd.DataFrame(rows, columns=["session_id", "opened", "trigger", "reasons", "n", "source"]).astype({"session_id": "int64", "opened": "int64", "n": "int64"})
+
+    def handleInputRows(self, key, rows, timerValues):
+        now, closed = tuple(self.state.get()) if self.state.exists() else None, []
+        for at, _, trigger, from_event in sorted((int(a), int(o), t, bool(e)) for f in rows for a, o, t, e in zip(f["at"], f["place"], f["trigger"], f["from_event"])):
+            if now is not None and at >= now[0] + self.hold_s:
+                closed.append(now)
+                now = None
+            now = self._merged(now, at, trigger, from_event)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.state.update(now)
+        self.handle.registerTimer((now[0] + self.hold_s) * 1000)
+        yield self._rows(key, closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        closed = [tuple(self.state.get())] if self.state.exists() else []
+        self.state.clear()
+        yield self._rows(key, closed)
+
+    def close(self) -> None:
+        pass
+
+
+def coalesced(stream: DataFrame, hold_s: int, ranks: dict[str, int], delay: str = "0 seconds") -> DataFrame:
+    """(session_id, opened, trigger, reasons, n, source): triggers of a session that come while one is open join it.
+
+    Rows: session_id, at, place, trigger, from_event. The trigger of least rank
+    leads, reasons keep the order in which they came first, and an event's
+    source sticks. An open trigger is handed on ``hold_s`` seconds after it
+    opened, by a row or by the watermark. Triggers without a rank are left out.
+    """
+    timed = stream.filter(F.col("trigger").isin(*ranks)).withColumn("_ts", F.timestamp_seconds("at")).withWatermark("_ts", delay)
+    schema = "session_id long, opened long, trigger string, reasons string, n long, source string"
+    return timed.groupBy("session_id").transformWithStateInPandas(statefulProcessor=OpenTriggers(hold_s, ranks), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
 def recomputed(path: str, rows_path: str, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function for late rows: what they touch is computed anew from all rows of its keys.
 
