@@ -111,6 +111,20 @@ def covered_cells(df: DataFrame, west, south, east, north, cell_deg: float) -> D
     return df.withColumn("_x", F.explode(span(west, east))).withColumn("_y", F.explode(span(south, north)))
 
 
+def near_boxes(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, reach_deg: float = 0.0, cell_deg: float = 0.05) -> DataFrame:
+    """Pairs of rows of equal ``keys`` whose boxes (structs ``a`` and ``b`` of west, south, east, north) touch once ``a`` is widened by ``reach_deg``.
+
+    Both sides go to the cells that they cover and meet by equality; of the
+    cells that both cover, the first one gives the pair.
+    """
+    low, high = ("west", "south"), ("east", "north")
+    wide = {c: F.col(f"{a}.{c}") - reach_deg for c in low} | {c: F.col(f"{a}.{c}") + reach_deg for c in high}
+    met = covered_cells(left, *wide.values(), cell_deg).join(covered_cells(right, *[F.col(f"{b}.{c}") for c in (*low, *high)], cell_deg), [*keys, "_x", "_y"])
+    first = lambda c: F.floor(F.greatest(wide[c], F.col(f"{b}.{c}")) / cell_deg)
+    touch = (wide["west"] <= F.col(f"{b}.east")) & (wide["east"] >= F.col(f"{b}.west")) & (wide["south"] <= F.col(f"{b}.north")) & (wide["north"] >= F.col(f"{b}.south"))
+    return met.filter(touch & (F.col("_x") == first("west")) & (F.col("_y") == first("south"))).drop("_x", "_y")
+
+
 def tracks_in_circles(tracks: DataFrame, places: DataFrame, keys: list[str], radius_m: float, at_lat: float, cell_deg: float = 0.05) -> DataFrame:
     """Tracks (x1, y1, x2, y2 in degrees) with the places (place_id, lon, lat) whose circle they may touch, and ``share`` of their length inside it.
 

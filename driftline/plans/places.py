@@ -186,6 +186,10 @@ _HAUS = "greatest(greatest(least(sqrt(pow(a.w - b.w, 2) + pow(a.s - b.s, 2)), sq
 _MATCHES = f"{POINTS}, a AS {_BOXED.format('view')}, b AS {_BOXED.format('click')}, m AS (SELECT a.point_id AS a_id, b.point_id AS b_id, a.type, {_IOU} / ((a.e - a.w) * (a.n - a.s) + (b.e - b.w) * (b.n - b.s) - {_IOU}) AS iou, {_HAUS} AS haus, {_axis_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')} AS metres FROM a JOIN b ON a.session_id = b.session_id AND a.type = b.type)"
 
 
+#: Degrees beyond which no two boxes match by distance.
+REACH = 0.026
+
+
 def _boxed(spark, d, kind):
     half = (F.col("k") + 5) / F.lit(4000.0)
     x, y = F.col("lon"), F.col("lat")
@@ -194,17 +198,20 @@ def _boxed(spark, d, kind):
 
 
 def _matched(spark, d):
-    """Boxes of two sources with the type in common, their overlap, the distance of their diagonals and of their middles."""
+    """Boxes of two sources with the type in common that overlap or lie near, their overlap, the distance of their diagonals and of their middles.
+
+    What lies farther apart than ``REACH`` neither overlaps nor is within two kilometres.
+    """
     a, b = _boxed(spark, d, "view"), _boxed(spark, d, "click")
     a = a.select("session_id", "type", F.col("point_id").alias("a_id"), F.col("box").alias("a"), F.col("lon").alias("a_lon"), F.col("lat").alias("a_lat"))
     b = b.select("session_id", "type", F.col("point_id").alias("b_id"), F.col("box").alias("b"), F.col("lon").alias("b_lon"), F.col("lat").alias("b_lat"))
     line = lambda s: F.array(F.struct(F.col(f"{s}.west").alias("x"), F.col(f"{s}.south").alias("y")), F.struct(F.col(f"{s}.east").alias("x"), F.col(f"{s}.north").alias("y")))
-    return a.join(b, ["session_id", "type"]).withColumns({"iou": geo.box_iou("a", "b"), "haus": geo.hausdorff(line("a"), line("b")), "metres": geo.axis_distance("a_lon", "a_lat", "b_lon", "b_lat")})
+    return C.near_boxes(a, b, ["session_id", "type"], "a", "b", REACH).withColumns({"iou": geo.box_iou("a", "b"), "haus": geo.hausdorff(line("a"), line("b")), "metres": geo.axis_distance("a_lon", "a_lat", "b_lon", "b_lat")})
 
 
-@query(f"WITH {_MATCHES} SELECT a_id, b_id, round(iou, 6) AS iou, round(haus, 6) AS hausdorff FROM m")
+@query(f"WITH {_MATCHES} SELECT a_id, b_id, round(iou, 6) AS iou, round(haus, 6) AS hausdorff FROM m WHERE iou > 0")
 def geo_iou_hausdorff(spark, d):
-    return _matched(spark, d).select("a_id", "b_id", F.round("iou", 6).alias("iou"), F.round("haus", 6).alias("hausdorff"))
+    return _matched(spark, d).filter("iou > 0").select("a_id", "b_id", F.round("iou", 6).alias("iou"), F.round("haus", 6).alias("hausdorff"))
 
 
 @query(f"WITH {_MATCHES} SELECT a_id, b_id, type FROM m WHERE CASE type WHEN 0 THEN iou >= 0.3 WHEN 1 THEN iou >= 0.3 OR least(metres, haus * (111320.0 + {_SX}) / 2) <= 2000 ELSE metres <= 2000 END")
@@ -511,13 +518,13 @@ def agg_precision_recall(spark, d):
     return every.select(F.coalesce("type", F.lit("ALL")).alias("type"), "tp", "fp", "fn", share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2.0 * tp, 2 * tp + fp + fn).alias("f1"), share(F.col("iou_sum"), tp).alias("mean_iou"), share(F.col("m_sum"), tp, 2).alias("mean_error_m"))
 
 
-@query(f"WITH {_SHAPES.replace('shapes AS', 'a AS ' + _BOXED.format('click') + ', shapes AS', 1)}, o AS (SELECT a.point_id, a.type, max(CASE WHEN abs(p.parent_depth - p.depth) >= 0.5 THEN (greatest(0, least(a.e, p.east) - greatest(a.w, p.west)) * greatest(0, least(a.n, p.north) - greatest(a.s, p.south))) / ((a.e - a.w) * (a.n - a.s) + (p.east - p.west) * (p.north - p.south) - greatest(0, least(a.e, p.east) - greatest(a.w, p.west)) * greatest(0, least(a.n, p.north) - greatest(a.s, p.south))) END) AS iou FROM a LEFT JOIN parents p ON p.session_id = a.session_id GROUP BY ALL) SELECT point_id, round(iou, 6) AS iou, coalesce(iou >= 0.2, false) OR (type = 2 AND point_id % 2 = 0) AS accepted FROM o")
+@query(f"WITH {_SHAPES.replace('shapes AS', 'a AS ' + _BOXED.format('click') + ', shapes AS', 1)}, o AS (SELECT a.point_id, a.type, max(CASE WHEN abs(p.parent_depth - p.depth) >= 0.5 AND (greatest(0, least(a.e, p.east) - greatest(a.w, p.west)) * greatest(0, least(a.n, p.north) - greatest(a.s, p.south))) > 0 THEN (greatest(0, least(a.e, p.east) - greatest(a.w, p.west)) * greatest(0, least(a.n, p.north) - greatest(a.s, p.south))) / ((a.e - a.w) * (a.n - a.s) + (p.east - p.west) * (p.north - p.south) - greatest(0, least(a.e, p.east) - greatest(a.w, p.west)) * greatest(0, least(a.n, p.north) - greatest(a.s, p.south))) END) AS iou FROM a LEFT JOIN parents p ON p.session_id = a.session_id GROUP BY ALL) SELECT point_id, round(iou, 6) AS iou, coalesce(iou >= 0.2, false) OR (type = 2 AND point_id % 2 = 0) AS accepted FROM o")
 def alg_hybrid_validate(spark, d):
     """Found areas that overlap a nested contour with relief, else those with relief of their own."""
     a = _boxed(spark, d, "click").select("session_id", "point_id", "type", F.col("box").alias("a"))
     relief = F.abs(F.col("parent_depth") - F.col("depth")) >= 0.5
     nested = _parents(spark, d).filter(relief).select("session_id", F.struct("west", "south", "east", "north").alias("b"))
-    best = a.join(nested, "session_id").withColumn("iou", geo.box_iou("a", "b")).groupBy("point_id").agg(F.max("iou").alias("iou"))
+    best = C.near_boxes(a, nested, ["session_id"], "a", "b").withColumn("iou", geo.box_iou("a", "b")).filter("iou > 0").groupBy("point_id").agg(F.max("iou").alias("iou"))
     own = (F.col("type") == 2) & (F.col("point_id") % 2 == 0)
     return a.join(best, "point_id", "left").select("point_id", F.round("iou", 6).alias("iou"), (F.coalesce(F.col("iou") >= 0.2, F.lit(False)) | own).alias("accepted"))
 
