@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import in_ring, ring_following
+from driftline.operators.graph import connected
 
 #: Digits to which corners of one place agree.
 DIGITS = 9
@@ -120,6 +121,34 @@ def points_in_rings(points: DataFrame, rings: DataFrame, width: float, keys: tup
     return met.filter(in_ring("x", "y", "ring")).select(*points.columns, "ring_id")
 
 
+def ring_crossings(rings: DataFrame, width: float) -> DataFrame:
+    """(key, crossings) of rings (key, ring) two of whose sides cross inside both, met by the cells that sides cover."""
+    side = F.explode(F.arrays_zip(F.col("ring").alias("p"), ring_following(F.col("ring")).alias("q")))
+    box = lambda f, c: f(F.col(f"s.p.{c}"), F.col(f"s.q.{c}"))
+    sides = rings.filter(F.size("ring") > 3).select("key", side.alias("s")).withColumn("cx", F.explode(_over(box(F.least, "x"), box(F.greatest, "x"), width))).withColumn("cy", F.explode(_over(box(F.least, "y"), box(F.greatest, "y"), width)))
+    pairs = sides.select("key", "cx", "cy", F.col("s").alias("a")).join(sides.select("key", "cx", "cy", F.col("s").alias("b")), ["key", "cx", "cy"]).filter("a < b").select("key", "a", "b").distinct()
+
+    def turn(p: str, q: str, r: str) -> Column:
+        return F.signum((F.col(f"{q}.x") - F.col(f"{p}.x")) * (F.col(f"{r}.y") - F.col(f"{p}.y")) - (F.col(f"{q}.y") - F.col(f"{p}.y")) * (F.col(f"{r}.x") - F.col(f"{p}.x")))
+
+    apart = lambda a, b: turn(f"{a}.p", f"{a}.q", f"{b}.p") * turn(f"{a}.p", f"{a}.q", f"{b}.q") < 0
+    return pairs.filter(apart("a", "b") & apart("b", "a")).groupBy("key").agg(F.count("*").alias("crossings"))
+
+
+def merged_lines(lines: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``lines`` (*keys, line_id, ax, ay, bx, by, ...) with ``merged_id``, the least line of the chain they belong to, and ``closed``.
+
+    Lines are joined where the ends of just two meet; where more do, a chain
+    ends. A chain is closed if no end of it is left.
+    """
+    ends = lines.select(*keys, "line_id", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("end"))
+    spots = ends.groupBy(*keys, "end").agg(F.count("*").alias("n"), F.min("line_id").alias("a"), F.max("line_id").alias("b"))
+    chains = connected(spots.filter("n = 2").select("a", "b")).select(F.col("id").alias("line_id"), "component")
+    whole = lines.join(chains, "line_id", "left").withColumn("merged_id", F.coalesce("component", "line_id")).drop("component")
+    loose = ends.join(spots.select(*keys, "end", "n"), [*keys, "end"]).join(whole.select("line_id", "merged_id"), "line_id").groupBy("merged_id").agg((F.sum(F.when(F.col("n") != 2, 1).otherwise(0)) == 0).alias("closed"))
+    return whole.join(loose, "merged_id").select(*lines.columns, "merged_id", "closed")
+
+
 def hull_of(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """(corners, 2) of the convex hull, against the clock from the leftmost lowest; points on its sides are no corners."""
     pts = np.unique(np.column_stack([x, y]), axis=0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import overlay
 from driftline.operators.lineage import written
-from driftline.plans.base import query, table
+from driftline.plans.base import POINTS, points, query, table
 
 #: An event is an L-shaped area on a grid of whole units: a box less its upper right part; twenty to a lake.
 _SHAPES_SQL = """hashed AS (SELECT event_id AS id, event_id // 20 AS lake, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 7) AS BIGINT) AS h FROM events),
@@ -71,3 +71,49 @@ def join_points_in_rings(spark, d):
     h = F.conv(F.substr(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit(1), F.lit(7)), 16, 10).cast("long")
     spots = table(spark, d, "events").select(F.col("event_id").alias("point_id"), F.floor(F.col("event_id") / 20).alias("lake"), h.alias("h")).select("point_id", "lake", *[(F.floor(F.col("h") / n) % 740 / F.lit(10.0) + 0.05).alias(c) for n, c in ((13, "x"), (17, "y"))])
     return overlay.points_in_rings(spots, shapes(spark, d).select("lake", F.col("id").alias("ring_id"), "ring"), 8.0, ("lake",)).select("point_id", "ring_id")
+
+
+_DAYS_SQL = f"""{POINTS}, spots AS (SELECT session_id, at // 259200 AS part, point_id % 100 AS x, point_id % 97 AS y, row_number() OVER (PARTITION BY session_id, at // 259200 ORDER BY at, point_id) AS i, count(*) OVER (PARTITION BY session_id, at // 259200) AS n FROM points),
+sides AS (SELECT a.session_id, a.part, a.n, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM spots a JOIN spots b ON a.session_id = b.session_id AND a.part = b.part AND b.i = a.i % a.n + 1)"""
+_TURN = "sign(({q}x - {p}x) * ({r}y - {p}y) - ({q}y - {p}y) * ({r}x - {p}x))"
+
+
+def _apart(a, b):
+    at = lambda r: _TURN.format(p=f"{a}.p", q=f"{a}.q", r=f"{b}.{r}")
+    return f"{at('p')} * {at('q')} < 0"
+
+
+@query(
+    f"""WITH {_DAYS_SQL}, crossed AS (SELECT a.session_id, a.part, count(*) AS crossings FROM sides a JOIN sides b ON a.session_id = b.session_id AND a.part = b.part AND (a.px, a.py, a.qx, a.qy) < (b.px, b.py, b.qx, b.qy) AND {_apart("a", "b")} AND {_apart("b", "a")} WHERE a.n > 3 GROUP BY 1, 2)
+SELECT DISTINCT session_id, part, n AS vertices, coalesce(crossings, 0) AS crossings FROM spots LEFT JOIN crossed USING (session_id, part)"""
+)
+def geo_self_crossing(spark, d):
+    """How often the ring of each session's three days crosses itself."""
+    part = F.floor(F.col("at") / 259_200)
+    spot = F.struct("at", "point_id", (F.col("point_id") % 100).cast("double").alias("x"), (F.col("point_id") % 97).cast("double").alias("y"))
+    ring = F.transform(F.array_sort(F.collect_list(spot)), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    rings = points(spark, d).groupBy("session_id", part.alias("part")).agg(ring.alias("ring")).withColumn("key", F.struct("session_id", "part"))
+    found = overlay.ring_crossings(rings, 20.0)
+    return rings.select("key", F.size("ring").cast("long").alias("vertices")).join(found, "key", "left").select("key.*", "vertices", F.coalesce("crossings", F.lit(0)).alias("crossings"))
+
+
+_LINES_SQL = """hashed AS (SELECT event_id AS line_id, event_id // 60 AS lake, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 7) AS BIGINT) AS h FROM events),
+lines AS (SELECT line_id, lake, h % 12 AS ax, h // 12 % 12 AS ay, h // 144 % 12 AS bx, h // 1728 % 12 AS by_ FROM hashed),
+ends AS (SELECT lake, line_id, ax AS x, ay AS y FROM lines UNION ALL SELECT lake, line_id, bx, by_ FROM lines),
+spots AS (SELECT lake, x, y, count(*) AS n, min(line_id) AS a, max(line_id) AS b FROM ends GROUP BY 1, 2, 3),
+tied AS (SELECT a, b FROM spots WHERE n = 2 AND a <> b UNION SELECT b, a FROM spots WHERE n = 2 AND a <> b)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_LINES_SQL}, reach AS (SELECT line_id AS a, line_id AS b FROM lines UNION SELECT r.a, t.b FROM reach r JOIN tied t ON t.a = r.b),
+chains AS (SELECT a AS line_id, min(b) AS merged_id FROM reach GROUP BY 1),
+loose AS (SELECT merged_id, count(*) FILTER (WHERE n <> 2) = 0 AS closed FROM ends JOIN spots USING (lake, x, y) JOIN chains USING (line_id) GROUP BY 1)
+SELECT merged_id, closed, count(*) AS lines, round(sum(sqrt((ax - bx) * (ax - bx) + (ay - by_) * (ay - by_))), 6) AS length FROM lines JOIN chains USING (line_id) JOIN loose USING (merged_id) GROUP BY 1, 2"""
+)
+def geo_line_merge(spark, d):
+    """Lines of a lake merged into chains where two of their ends meet."""
+    h = F.conv(F.substr(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit(1), F.lit(7)), 16, 10).cast("long")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("line_id"), F.floor(F.col("event_id") / 60).alias("lake"), h.alias("h"))
+    lines = rows.select("line_id", "lake", *[(F.floor(F.col("h") / n) % 12).alias(c) for n, c in ((1, "ax"), (12, "ay"), (144, "bx"), (1728, "by"))])
+    length = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    return overlay.merged_lines(lines, ("lake",)).groupBy("merged_id", "closed").agg(F.count("*").alias("lines"), F.round(F.sum(length), 6).alias("length"))
