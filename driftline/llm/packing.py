@@ -41,12 +41,12 @@ FAN_IN = 8
 PARTNERS = 128
 
 
-def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def cut_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int = 0, control: bool = False) -> DataFrame:
     """One row for each piece of each document, with the checksum of its ids."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, width = byte_bpe(tokenizer), 4 * capacity
+        bpe, width = byte_bpe(tokenizer, control), 4 * capacity
         for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
@@ -142,5 +142,6 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, group_items: int = GROU
     return sequences.select("sequence_id", F.explode("items").alias("of")).select("of.doc_id", "of.piece", "of.start", "of.length", "of.ids_crc32", "sequence_id", "of.offset")
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
-    return pack_pieces(cut_pieces(docs, capacity, tokenizer), capacity)
+def pack_documents(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, control: bool = False) -> DataFrame:
+    """The pieces of ``docs`` with their places; ``control``: strings of special tokens are those tokens, not text."""
+    return pack_pieces(cut_pieces(docs, capacity, tokenizer, control=control), capacity)

@@ -130,7 +130,7 @@ def _op9_sql() -> str:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048, control=True)
 
 
 def op11_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:

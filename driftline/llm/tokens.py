@@ -3,7 +3,7 @@
 The pre-tokeniser of this vocabulary never joins characters on both sides of a
 lone space, so the ids of a text are the ids of its space-led chunks in order.
 Texts in which white space follows white space are encoded whole. Strings of
-special tokens are ordinary text.
+special tokens are ordinary text, or with ``control`` the tokens that they name.
 """
 
 from __future__ import annotations
@@ -41,11 +41,12 @@ class _Chunks(dict):
 class ByteBpe:
     """Encodes texts to packed ids; one object for each worker and vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, control: bool = False):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
-        self._whole.encode_special_tokens = True  # a document can't write control tokens
+        self._named = [token.content for token in self._whole.get_added_tokens_decoder().values()] if control else []
+        self._whole.encode_special_tokens = not control
         self._merge = _fast_encoder(path) or (lambda chunk: self._whole.encode(chunk, add_special_tokens=False).ids)
         self._first = _Chunks(lambda chunk: _packed(self._merge(chunk)))
         self._spaced = _Chunks(lambda chunk: _packed(self._merge(" " + chunk)))
@@ -54,7 +55,7 @@ class ByteBpe:
         """The ids of the whole text, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if text[0] == " " or "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
+        if any(name in text for name in self._named) or text[0] == " " or "  " in text or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
             return _packed(self._whole.encode(text, add_special_tokens=False).ids)
         first, *spaced = text.split(" ")
         return self._first[first] + b"".join(map(self._spaced.__getitem__, spaced))
@@ -81,5 +82,5 @@ def _fast_encoder(path: str):
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str | None = None) -> ByteBpe:
-    return ByteBpe(path or default_path())
+def byte_bpe(path: str | None = None, control: bool = False) -> ByteBpe:
+    return ByteBpe(path or default_path(), control)

@@ -448,11 +448,12 @@ def test_licences(spark):
     assert [got[i] for i in range(6)] == [["MIT"], ["Apache-2.0"], ["GPL-3.0-or-later"], [], [], []]
 
 
-def test_packing(spark, odd):
+@pytest.mark.parametrize("control", [False, True])
+def test_packing(spark, odd, control):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    out = packing.pack_pieces(packing.cut_pieces(odd, 64), 64, group_items=40).collect()
+    out = packing.pack_pieces(packing.cut_pieces(odd, 64, control=control), 64, group_items=40).collect()
     bins = {}
     for r in out:
         bins.setdefault(r["sequence_id"], []).append(r)
@@ -464,7 +465,8 @@ def test_packing(spark, odd):
         assert at <= 64
     assert len(bins) <= math.ceil(sum(r["length"] for r in out) / 64) * 1.02 + 1
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not control
+    assert len(tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids) == 1 or not control
     for i, t in enumerate(TEXTS):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
         cut = sorted({(r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out if r["doc_id"] == i and (i != 3)})
