@@ -6,28 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import METRES_PER_DEGREE, axis_distance
+from driftline.operators.graph import greedy_independent
+from driftline.operators.lineage import checkpointed as _checkpointed
 from driftline.operators.relational import first_per_key, round_robin
-from driftline.operators.spatial import _checkpointed
 from driftline.operators.temporal import as_of
 
 
-def greedy_independent(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """Ids (id) that a walk in order keeps if it has kept none of those above them; ``edges``: (id, above), above coming first.
-
-    An id is settled once all above it are; each round settles the tops that
-    are left, so the result is the walk's without one.
-    """
-    edges = _checkpointed(edges.select("id", "above").distinct())
-    dropped = None
-    while not edges.isEmpty():
-        tops = edges.select(F.col("above").alias("id")).distinct().join(edges.select("id").distinct(), "id", "left_anti")
-        lost = _checkpointed(edges.join(tops.withColumnRenamed("id", "above"), "above", "left_semi").select("id").distinct())
-        dropped = lost if dropped is None else dropped.unionByName(lost)
-        edges = edges.join(lost, "id", "left_anti").join(lost.withColumnRenamed("id", "above"), "above", "left_anti").select("id", "above")
-        edges = _checkpointed(edges.join(tops.withColumnRenamed("id", "above"), "above", "left_anti").select("id", "above"))
-    return ids if dropped is None else ids.join(dropped, "id", "left_anti")
-
-
 def greedy_matches(pairs: DataFrame) -> DataFrame:
     """Pairs (left, right, quality) that a walk by falling quality takes, each side at most once; ties by left, then right.
 

@@ -1,11 +1,11 @@
-"""Connected components by contraction."""
+"""Connected components by contraction, and greedy choices along edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.lineage import written
+from driftline.operators.lineage import checkpointed, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -35,3 +35,20 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
         edges = written(_nearer_least(_nearer_least(edges, True), False))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def greedy_independent(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids (id) that a walk in order keeps if it has kept none of those above them; ``edges``: (id, above), above coming first.
+
+    An id is settled once all above it are; each round settles the tops that
+    are left, so the result is the walk's without one.
+    """
+    edges = checkpointed(edges.select("id", "above").distinct())
+    dropped = None
+    while not edges.isEmpty():
+        tops = edges.select(F.col("above").alias("id")).distinct().join(edges.select("id").distinct(), "id", "left_anti")
+        lost = checkpointed(edges.join(tops.withColumnRenamed("id", "above"), "above", "left_semi").select("id").distinct())
+        dropped = lost if dropped is None else dropped.unionByName(lost)
+        edges = edges.join(lost, "id", "left_anti").join(lost.withColumnRenamed("id", "above"), "above", "left_anti").select("id", "above")
+        edges = checkpointed(edges.join(tops.withColumnRenamed("id", "above"), "above", "left_anti").select("id", "above"))
+    return ids if dropped is None else ids.join(dropped, "id", "left_anti")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.geo import EARTH_RADIUS_M, METRES_PER_DEGREE, axis_distance, grid_cell
-from driftline.operators.lineage import checkpointed as _checkpointed
+from driftline.operators.graph import greedy_independent
 
 
 def within_radius(left: DataFrame, right: DataFrame, radius_m: float, max_abs_lat: float, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -38,15 +38,8 @@ def greedy_spacing(df: DataFrame, id_col: str, score: str, radius_m: float, max_
     nodes = df.select(F.col(id_col).alias("id"), F.col(score).alias("score"), "lon", "lat", *keys)
     near = within_radius(nodes, nodes, radius_m, max_abs_lat, keys)
     better = (F.col("r_score") > F.col("l_score")) | ((F.col("r_score") == F.col("l_score")) & (F.col("r_id") < F.col("l_id")))
-    edges = _checkpointed(near.filter(better).select(F.col("l_id").alias("id"), F.col("r_id").alias("above")))
-    dropped = None
-    while not edges.isEmpty():
-        tops = edges.select(F.col("above").alias("id")).distinct().join(edges.select("id").distinct(), "id", "left_anti")
-        lost = _checkpointed(edges.join(tops.withColumnRenamed("id", "above"), "above", "left_semi").select("id").distinct())
-        dropped = lost if dropped is None else dropped.unionByName(lost)
-        edges = edges.join(lost, "id", "left_anti").join(lost.withColumnRenamed("id", "above"), "above", "left_anti").select("id", "above")
-        edges = _checkpointed(edges.join(tops.withColumnRenamed("id", "above"), "above", "left_anti").select("id", "above"))
-    return df if dropped is None else df.join(dropped.withColumnRenamed("id", id_col), id_col, "left_anti")
+    edges = near.filter(better).select(F.col("l_id").alias("id"), F.col("r_id").alias("above"))
+    return greedy_independent(df.withColumn("id", F.col(id_col)), edges).select(*df.columns)
 
 
 def best_per_cell(df: DataFrame, metres: float, at_lat: float, value: str, id_col: str) -> DataFrame:

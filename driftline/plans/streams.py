@@ -12,6 +12,10 @@ from driftline.plans.base import POINTS, mean_scale_sql, points, query
 from driftline.streaming import stateful, timers
 
 
+#: State of a key that has had no row for so long is dropped.
+YEAR_S = 365 * 86_400
+
+
 def _run(spark, rows, transform):
     """The result of a stream of ``rows`` after ``transform``."""
     folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -29,7 +33,7 @@ def stm_dedup(spark, d):
 @query(f"WITH RECURSIVE {POINTS}, ranked AS (SELECT session_id, kind, at, row_number() OVER (PARTITION BY session_id, kind ORDER BY at, point_id) AS i FROM points), walk AS (SELECT session_id, kind, i, at, at AS last, true AS fires FROM ranked WHERE i = 1 UNION ALL SELECT r.session_id, r.kind, r.i, r.at, CASE WHEN r.at - w.last >= 86400 THEN r.at ELSE w.last END, r.at - w.last >= 86400 FROM walk w JOIN ranked r ON r.session_id = w.session_id AND r.kind = w.kind AND r.i = w.i + 1) SELECT session_id, kind AS trigger, at FROM walk WHERE fires")
 def stm_cooldown(spark, d):
     """Triggers of which none follows an emitted one of its kind within a day."""
-    return _run(spark, points(spark, d).select("session_id", F.col("kind").alias("trigger"), "at"), lambda stream: stateful.with_cooldown(stream, 86_400))
+    return _run(spark, points(spark, d).select("session_id", F.col("kind").alias("trigger"), "at"), lambda stream: stateful.with_cooldown(stream, 86_400, YEAR_S))
 
 
 _M = mean_scale_sql("lon", "lat", "-78.95", "44.05")
@@ -44,7 +48,7 @@ def stm_waypoint_fsm(spark, d):
     """States that a session enters at one waypoint; limits are wider here, for positions lie far apart."""
     metres = geo.mean_scale_distance("lon", "lat", F.lit(-78.95), F.lit(44.05))
     rows = points(spark, d).select("session_id", F.lit(1).cast("long").alias("waypoint_id"), "at", metres.alias("metres"), (F.col("k") > 97).alias("skipped"))
-    found = _run(spark, rows, lambda stream: stateful.waypoint_states(stream, radii=(5000.0, 3000.0, 4000.0), samples=2))
+    found = _run(spark, rows, lambda stream: stateful.waypoint_states(stream, YEAR_S, radii=(5000.0, 3000.0, 4000.0), samples=2))
     return found.select("session_id", "at", "state")
 
 

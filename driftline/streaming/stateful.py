@@ -23,29 +23,27 @@ def tumbling_counts(stream: DataFrame, time: str, keys: list[str], width: str =
     return counted.select(F.col("w.start").alias("window_start"), *keys, "n")
 
 
-#: Time without rows after which the state of a key is dropped.
-IDLE = "7 days"
-_IDLE_MS = 7 * 86_400_000
-
-
 def _timed(stream: DataFrame, delay: str) -> DataFrame:
     """The stream with a watermark on its whole seconds ``at``."""
     return stream.withColumn("_ts", F.timestamp_seconds("at")).withWatermark("_ts", delay)
 
 
-def _keep(state: GroupState, values: tuple, at: int) -> None:
-    """Update a key's state, which lasts until the watermark is ``IDLE`` beyond its last row."""
+def _keep(state: GroupState, values: tuple, at: int, idle_s: int) -> None:
+    """Update a key's state, which lasts until the watermark is ``idle_s`` beyond its last row."""
     state.update(values)
-    state.setTimeoutTimestamp(max(at * 1000, state.getCurrentWatermarkMs()) + _IDLE_MS)
+    state.setTimeoutTimestamp(max(at * 1000, state.getCurrentWatermarkMs()) + idle_s * 1000)
 
 
-def with_cooldown(stream: DataFrame, cooldown_s: int, delay: str = "1 day") -> DataFrame:
+def with_cooldown(stream: DataFrame, cooldown_s: int, idle_s: int, delay: str = "1 day") -> DataFrame:
     """Triggers (session_id, trigger, at) of which none follows an emitted one of its kind within the cooldown.
 
     The state of a session and trigger is the time of the last one emitted.
     Rows of one batch are taken in order of time; one that comes after a later
     one was emitted is within its cooldown or before it, and is not emitted.
+    The state goes once no row has come for ``idle_s``, at least the cooldown.
     """
+    if idle_s < cooldown_s:
+        raise ValueError("state that goes before its cooldown ends would emit too early")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -59,7 +57,7 @@ def with_cooldown(stream: DataFrame, cooldown_s: int, delay: str = "1 day") -> D
                 last = t
                 out.append(last)
         if last is not None:
-            _keep(state, (last,), last)
+            _keep(state, (last,), last, idle_s)
         yield pd.DataFrame({"session_id": [key[0]] * len(out), "trigger": [key[1]] * len(out), "at": out})
 
     keyed = _timed(stream, delay).groupBy("session_id", "trigger")
@@ -94,11 +92,12 @@ def next_state(now: tuple, at: int, metres: float, skipped: bool, radii: tuple[f
     return (entered[-1] if entered else state, inside, first, at), entered
 
 
-def waypoint_states(stream: DataFrame, delay: str = "1 day", **limits) -> DataFrame:
+def waypoint_states(stream: DataFrame, idle_s: int, delay: str = "1 day", **limits) -> DataFrame:
     """State changes (session_id, waypoint_id, at, state) from rows (session_id, waypoint_id, at, metres, skipped).
 
     Rows of a batch are taken in order of time; one that is older than what a
-    former batch has settled is too late and changes nothing.
+    former batch has settled is too late and changes nothing. A waypoint that
+    no row comes of for ``idle_s`` is forgotten, and would begin anew after it.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -112,7 +111,7 @@ def waypoint_states(stream: DataFrame, delay: str = "1 day", **limits) -> DataFr
             if t >= now[3]:
                 now, entered = next_state(now, t, m, skipped, **limits)
                 out += [(key[0], key[1], t, e) for e in entered]
-        _keep(state, now, max(now[3], 0))
+        _keep(state, now, max(now[3], 0), idle_s)
         yield pd.DataFrame(out, columns=["session_id", "waypoint_id", "at", "state"])
 
     keyed = _timed(stream, delay).groupBy("session_id", "waypoint_id")

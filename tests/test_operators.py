@@ -123,7 +123,7 @@ def trigger_files(spark, tmp_path):
 
 
 def test_cooldown_stream(trigger_files):
-    assert values(run_stream(stateful.with_cooldown(trigger_files, 10), "cooled"), "session_id", "at") == [(1, 100), (1, 110), (1, 120), (1, 131), (2, 107)]
+    assert values(run_stream(stateful.with_cooldown(trigger_files, 10, 10**6), "cooled"), "session_id", "at") == [(1, 100), (1, 110), (1, 120), (1, 131), (2, 107)]
 
 
 def test_waypoint_stream(spark, tmp_path):
@@ -132,7 +132,7 @@ def test_waypoint_stream(spark, tmp_path):
     rows = [(1, 9, t, m, False) for t, m in path] + [(2, 9, t, m, t == 45) for t, m in path if t <= 45] + [(3, 9, t, m, False) for t, m in ((1, 50.0), (10, 50.0), (20, 61.0), (30, 50.0))]
     schema = "session_id long, waypoint_id long, at long, metres double, skipped boolean"
     stream = stateful.replayed(spark.createDataFrame(rows, schema).coalesce(1), str(tmp_path / "in"))
-    got = values(run_stream(stateful.waypoint_states(stream), "states"), "session_id", "at", "state")
+    got = values(run_stream(stateful.waypoint_states(stream, 10**6), "states"), "session_id", "at", "state")
     assert got == [(1, 5, "NAVIGATING"), (1, 45, "ARRIVED"), (1, 45, "FISHING"), (1, 70, "COMPLETED"), (2, 5, "NAVIGATING"), (2, 45, "SKIPPED"), (3, 1, "NAVIGATING")]
 
 
