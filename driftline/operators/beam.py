@@ -31,7 +31,7 @@ class Plan:
     leg_cost: int = 5
 
 
-#: Why a stop is refused, in the order in which it is asked.
+#: Why a stop is refused, in the order in which it is asked.
 REASONS = ("VISITED", "WAITED_TOO_LONG", "SPACING", "LEG_TOO_LONG", "AFTER_END", "RETURN_RESERVE", "RANGE_EXCEEDED")
 _STATE = "trip", "stops", "path", "x", "y", "time", "used", "waited", "value"
 

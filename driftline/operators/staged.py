@@ -17,8 +17,8 @@ class Files:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path(folder).toUri(), self.conf) if "://" in folder else self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.conf)
         self.system = self.path(folder).getFileSystem(self.conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.system.getUri(), self.conf)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)

@@ -14,6 +14,7 @@ class Visit:
 
     budgets: tuple[int, ...] = (30, 60, 90)
     pace: int = 60
+    # Fixed values.
     longest: int = 20
     shortest: int = 8
     hop_cost: int = 20

@@ -21,6 +21,7 @@ _STATE = ("weight", "area_m2", "west", "south", "east", "north", "gap")
 class Guard:
     """What a zone may be: its span, its widest link, its weight for its area, and its span for the root of its area."""
 
+    # Fixed values.
     max_span_m: float = 900.0
     max_gap_m: float = 450.0
     min_per_km2: float = 6.0

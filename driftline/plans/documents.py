@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import geo, scores
-from driftline.operators.lineage import checkpoint_folder
+from driftline.operators.lineage import checkpoint_folder, checkpointed
 from driftline.operators.relational import insert_ignore
 from driftline.plans.base import POINTS, epoch, points, query, table
 from driftline.plans.places import geo_raster
@@ -132,10 +132,8 @@ def snk_update_json(spark, d):
 @query("SELECT count(*) AS n, count(DISTINCT s_suppkey) AS ids FROM supplier")
 def snk_batch_insert(spark, d):
     """A whole batch, written and read as one table."""
-    from driftline.operators.spatial import _checkpointed
-
-    written = _checkpointed(table(spark, d, "supplier").select("s_suppkey", "s_name"))
-    return written.agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("ids"))
+    kept = checkpointed(table(spark, d, "supplier").select("s_suppkey", "s_name"))
+    return kept.agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("ids"))
 
 
 @query(f"""WITH {POINTS} SELECT session_id, '{{"type":"FeatureCollection","features":[' || string_agg('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(round(lon * 1000000) AS BIGINT) || ',' || CAST(round(lat * 1000000) AS BIGINT) || ']}},"properties":{{"id":"' || point_id || '","kind":"' || kind || '"}}}}', ',' ORDER BY point_id) || ']}}' AS content FROM points GROUP BY 1""")
