@@ -7,15 +7,18 @@ character that no piece covers falls back to its UTF-8 bytes at a cost below
 that of any piece. Of equal scores the segmentation with the longest last piece
 stands.
 
-Scores are log-probabilities of pieces. A unigram model has them itself. A
-byte-pair model has only the order of its merges, whose sums mean nothing, so
-its pieces get log-probabilities by their rank r after Zipf and Mandelbrot,
-1 / (r + ``MANDELBROT``), scaled to add up to one; nothing is trained.
+A unigram model's scores are log-probabilities, and the best sum wins. A
+byte-pair model's scores are the order of its merges. There a piece relaxes a
+position only if the merges leave it apart from the piece before; of the pieces
+that end at a position just one is so, and the same pass gives the ids of the
+merges, which are those of the model's own encoder.
 
 Spaces are written as U+2581, and one stands before the text. No piece has a
 space after another character, so a text is cut before each run of spaces and
 the parts, which repeat often, are segmented once in a worker's cache. A U+2581
-of the text itself is encoded as bytes, so every text decodes to itself.
+of the text itself is encoded as bytes, so every text decodes to itself. Models
+that change texts before they cut them, have no piece for some byte, or have
+pieces that their own merges can't reach in order are refused.
 
 Defined cases: a null or empty text has no ids; repeated rows give one row
 each; a null id stays null; an empty table gives no rows; extra columns are
@@ -24,7 +27,6 @@ ignored.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from array import array
@@ -42,8 +44,10 @@ MARK = "▁"
 _FOREIGN = "￿"
 #: Parts kept in one worker; the cache starts anew beyond it, which changes no result.
 CACHE_PARTS = 250_000
-#: Added to a piece's rank; large, for merges come in an order in which parts of words stand before words.
-MANDELBROT = 1000
+#: Pairs of pieces whose border is known in one worker; likewise.
+CACHE_PAIRS = 500_000
+#: In place of the id of a piece: no segmentation up to here yet, and bytes of a character.
+_NONE, _BYTES = -2, -1
 _UNIGRAM = 1
 _PARTS = re.compile(r" *[^ ]+| +")
 ENCODED = "doc_id long, ids array<int>, n_fallback long, score double"
@@ -87,14 +91,70 @@ def model_type(proto: bytes) -> int:
     return dict(proto_fields(trainer)).get(3, _UNIGRAM)
 
 
+def refusal(proto: bytes) -> str | None:
+    """Why the texts of a model can't be cut and restored here, if so."""
+    fields = dict(proto_fields(proto))
+    normaliser, trainer = dict(proto_fields(fields.get(3, b""))), dict(proto_fields(fields.get(2, b"")))
+    if normaliser.get(2) or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+        return "this model's normaliser changes texts"
+    if trainer.get(24, 0):
+        return "this model writes spaces behind words"
+    return None
+
+
+class Merges:
+    """The merges of a byte-pair model: best score first, of equal pairs the leftmost."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.rank = {p: r for r, (p, _) in enumerate(sorted(((p, s) for p, s in scores.items() if len(p) > 1), key=lambda x: (-x[1], x[0])))}
+        self.halves: dict[str, list[str]] = {}
+        for piece, rank in self.rank.items():
+            row, halves = self.merged(piece)
+            if len(row) == 1:
+                self.halves[piece] = halves
+                if any(self.rank.get(h, -1) > rank for h in halves):
+                    raise ValueError(f"the merges of this model make {piece!r} of a later piece")
+
+    def merged(self, text: str) -> tuple[list[str], list[str]]:
+        """The pieces of a text, merge by merge, and the two that were joined last."""
+        row, last, none = list(text), [], len(self.rank)
+        while len(row) > 1:
+            rank, at = min((self.rank.get(row[i] + row[i + 1], none), i) for i in range(len(row) - 1))
+            if rank == none:
+                break
+            last = row[at : at + 2]
+            row[at : at + 2] = ["".join(last)]
+        return row, last
+
+    def apart(self, left: str, right: str) -> bool:
+        """Whether the merges of both texts together leave the border between two pieces.
+
+        The two pieces at the border are followed back in time: the one made later gives way to
+        its half at the border. If the two make a piece whose turn came before either was taken
+        up by its own, they were joined. Of equal turns the one further left came first.
+        """
+        rank, halves, until = self.rank, self.halves, len(self.rank)
+        while True:
+            if rank.get(left + right, until) < until:
+                return False
+            made_left, made_right = rank.get(left, -1), rank.get(right, -1)
+            if made_left > made_right:
+                left, until = halves[left][1], made_left
+            elif made_right >= 0:
+                right, until = halves[right][0], made_right + 1
+            else:
+                return True
+
+
 class PieceModel:
     def __init__(self, path: str | None = None, proto: bytes | None = None):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_proto=proto) if proto else SentencePieceProcessor(model_file=path)
+        proto = model.serialized_model_proto()
         self.pieces: dict[str, tuple[int, float]] = {}
-        self.byte_ids = [0] * 256
+        self.byte_ids = [-1] * 256
         self.surface: list[bytes] = []
         for i in range(model.get_piece_size()):
             piece, plain = model.id_to_piece(i), not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
@@ -103,38 +163,57 @@ class PieceModel:
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
             self.surface.append(bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(MARK, " ").encode() if plain else b"")
-        if model_type(model.serialized_model_proto()) != _UNIGRAM:
-            ranks = {p: r for r, (p, _) in enumerate(sorted(self.pieces.items(), key=lambda x: (-x[1][1], x[1][0])))}
-            whole = math.fsum(1 / (r + MANDELBROT) for r in range(len(ranks)))
-            self.pieces = {p: (i, -math.log((ranks[p] + MANDELBROT) * whole)) for p, (i, _) in self.pieces.items()}
+        if min(self.byte_ids) < 0:
+            raise ValueError("this model has no piece for some byte")
+        if why := refusal(proto):
+            raise ValueError(why)
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece of this model spans words, so its texts can't be cut at spaces")
         self.fallback = min(s for _, s in self.pieces.values()) - 10
+        self._merges = None
+        if model_type(proto) != _UNIGRAM:
+            if any(model.is_unused(i) for i in range(model.get_piece_size())) or not set("".join(self.pieces)) <= self.pieces.keys():
+                raise ValueError("a byte-pair model needs a piece for each of its characters and no unused ones")
+            self._merges = Merges({p: s for p, (_, s) in self.pieces.items()})
+            self.pieces = {p: own for p, own in self.pieces.items() if len(p) == 1 or p in self._merges.halves}
+        self._text = {i: p for p, (i, _) in self.pieces.items()}
         self._automaton = ahocorasick.Automaton()
         for piece, (i, score) in self.pieces.items():
             self._automaton.add_word(piece, (i, len(piece), score))
         self._automaton.make_automaton()
         self._parts: dict[str, tuple[bytes, int, float]] = {}
+        self._pairs: dict[tuple[int, int], bool] = {}
+
+    def _joins(self, before: int, i: int) -> bool:
+        """Whether the merges of a byte-pair model would not leave these two pieces beside each other."""
+        if before < 0:
+            return False
+        found = self._pairs.get((before, i))
+        if found is None:
+            if len(self._pairs) >= CACHE_PAIRS:
+                self._pairs.clear()
+            found = self._pairs[before, i] = not self._merges.apart(self._text[before], self._text[i])
+        return found
 
     def segment(self, part: str) -> tuple[list[int], int, float]:
         """Ids of a part, how many of them are bytes, and the score."""
         text = part.replace(MARK, _FOREIGN).replace(" ", MARK)
         n = len(text)
-        best, back = [0.0] + [float("-inf")] * n, [(-1, 1)] * (n + 1)
-        fallback, done = self.fallback, 0
+        best, back = [0.0] + [float("-inf")] * n, [(_NONE, 1)] * (n + 1)
+        fallback, done, merging = self.fallback, 0, self._merges is not None
         for end, (i, length, score) in self._automaton.iter(text):
             stop = end + 1
             while done < end:  # positions before this one have all their pieces
                 done += 1
-                if best[done - 1] + fallback > best[done]:
-                    best[done], back[done] = best[done - 1] + fallback, (-1, 1)
+                if best[done - 1] + fallback > best[done] and (not merging or back[done][0] == _NONE):
+                    best[done], back[done] = best[done - 1] + fallback, (_BYTES, 1)
             total = best[stop - length] + score
-            if total > best[stop]:
+            if total > best[stop] and not (merging and self._joins(back[stop - length][0], i)):
                 best[stop], back[stop] = total, (i, length)
         while done < n:
             done += 1
-            if best[done - 1] + fallback > best[done]:
-                best[done], back[done] = best[done - 1] + fallback, (-1, 1)
+            if best[done - 1] + fallback > best[done] and (not merging or back[done][0] == _NONE):
+                best[done], back[done] = best[done - 1] + fallback, (_BYTES, 1)
         ids: list[int] = []
         n_bytes, at = 0, n
         while at:

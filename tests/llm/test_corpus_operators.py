@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips, held-out accuracy and their defined edge cases."""
 
+import functools
 import math
 import random
 import re
@@ -170,7 +171,7 @@ def test_near_copies_go_and_others_stay(spark):
 
 
 def test_segmentation_by_brute_force():
-    model = pieces.piece_model()
+    model = pieces.PieceModel(proto=as_unigram(given_proto(), zipf_scores()))
     rng = random.Random(6)
     for _ in range(60):
         part = " " + "".join(rng.choice("theinganös▁q😀") for _ in range(rng.randrange(1, 14)))
@@ -182,6 +183,20 @@ def test_segmentation_by_brute_force():
         assert math.isclose(score, best[-1]) and model.decode(ids) == part[1:]
 
 
+@functools.cache
+def given_proto():
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=pieces.default_path()).serialized_model_proto()
+
+
+def zipf_scores():
+    """Log-probabilities of the given model's pieces by their rank."""
+    ranked = sorted(pieces.piece_model().pieces.values(), key=lambda x: -x[1])
+    whole = math.fsum(1 / (r + 1000) for r in range(len(ranked)))
+    return {i: -math.log((r + 1000) * whole) for r, (i, _) in enumerate(ranked)}
+
+
 def as_unigram(proto, scores):
     """A SentencePiece model's bytes with other scores and the unigram type."""
     def varint(v):
@@ -206,12 +221,10 @@ def as_unigram(proto, scores):
 def test_unigram_scores_equal_the_librarys(spark):
     from sentencepiece import SentencePieceProcessor
 
-    own = pieces.piece_model()
-    scores = dict(own.pieces.values())
-    assert abs(sum(map(math.exp, scores.values())) - 1) < 1e-9
-    proto = as_unigram(SentencePieceProcessor(model_file=pieces.default_path()).serialized_model_proto(), scores)
+    scores = zipf_scores()
+    proto = as_unigram(given_proto(), scores)
     library, model = SentencePieceProcessor(model_proto=proto), pieces.PieceModel(proto=proto)
-    assert pieces.model_type(proto) == 1 and model.pieces.keys() == own.pieces.keys()
+    assert pieces.model_type(proto) == 1 and model.pieces.keys() == pieces.piece_model().pieces.keys()
     n = same = 0
     for (text,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
         ids, _, score = model.encode(text or "")
@@ -222,10 +235,32 @@ def test_unigram_scores_equal_the_librarys(spark):
     assert same > 0.95 * n
 
 
-def test_segments_are_words():
-    model = pieces.piece_model()
-    found = {w: [model.surface[i].decode() for i in model.segment(f" {w}")[0]] for w in ("the", "information", "about")}
-    assert found == {w: [f" {w}"] for w in found}
+def test_ids_are_the_given_models(spark):
+    """Of every document, and of made-up texts, as the model's own encoder gives them."""
+    from sentencepiece import SentencePieceProcessor
+
+    library, model, rng = SentencePieceProcessor(model_proto=given_proto()), pieces.PieceModel(proto=given_proto()), random.Random(4)
+    texts = [t or "" for (t,) in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for letters in ("ab ", "aab", "  a\n\t", "theinganos .,", "01 =-_", "éü日本ñ😀 x", "lLoO0 ") for _ in range(300)]
+    assert pieces.model_type(given_proto()) == 2
+    for text in texts:
+        assert np.frombuffer(model.encode(text)[0], np.int32).tolist() == library.encode(text)
+
+
+def test_borders_are_those_of_the_merges():
+    merges, rng = pieces.piece_model()._merges, random.Random(5)
+    own = [p for p in merges.halves if p.isascii() and len(p) < 6]
+    pairs = [(rng.choice(own), rng.choice(own)) for _ in range(4000)] + [(p, p) for p in own[:2000]]
+    apart = [merges.apart(a, b) for a, b in pairs]
+    assert apart == [merges.merged(a + b)[0] == [a, b] for a, b in pairs] and 0 < sum(apart) < len(pairs)
+
+
+def test_models_that_change_texts_are_refused():
+    proto = given_proto()
+    assert pieces.refusal(proto) is None
+    for settings in ("1201782000", "18002000", "2001", "20002800"):
+        own = bytes.fromhex(settings)
+        assert "normaliser" in pieces.refusal(proto + b"\x1a" + bytes([len(own)]) + own)
 
 
 def test_all_texts_come_back(odd, spark):
