@@ -1,4 +1,10 @@
-"""Route choice: a layered search for many trips at once, with dominated states dropped and a bounded beam for each trip."""
+"""Route choice: a layered search for many trips at once, with dominated states dropped and a bounded beam for each trip.
+
+The search runs over whole routes, or window by window: the first stops of the
+best route of a few layers are settled and the next window starts behind them.
+Forecasts by hour change what a stop is worth while a trip is there, and refuse
+ways under too much wind.
+"""
 
 from __future__ import annotations
 
@@ -31,39 +37,111 @@ class Plan:
     leg_cost: int = 5
 
 
+@dataclass(frozen=True)
+class Weather:
+    """What forecasts do to a route: winds in tenths of kilometres an hour, light and worth in thousandths, times in seconds."""
+
+    #: A stop loses worth from the soft wind on, all of a thousand at the hard one, under which no way is taken.
+    soft_wind: int = 200
+    hard_wind: int = 400
+    slot: int = 900
+    #: Of a slot's worth the next one has so many hundredths; worths lie between 0 and ``most``.
+    decay: int = 85
+    most: int = 1_500
+
+    def shares(self, longest: int) -> list[int]:
+        """What each slot of a stay counts, in thousandths."""
+        return [1000 * self.decay**i // 100**i for i in range(-(-longest // self.slot))]
+
+
 #: Why a stop is refused, in the order in which it is asked.
-REASONS = ("VISITED", "WAITED_TOO_LONG", "SPACING", "LEG_TOO_LONG", "AFTER_END", "RETURN_RESERVE", "RANGE_EXCEEDED")
-_STATE = "trip", "stops", "path", "x", "y", "time", "used", "waited", "value"
+REASONS = ("VISITED", "WAITED_TOO_LONG", "SPACING", "LEG_TOO_LONG", "AFTER_END", "RETURN_RESERVE", "RANGE_EXCEEDED", "WIND")
+#: A trip's state; each of its stops holds the state behind it.
+_AFTER = "path", "x", "y", "time", "used", "waited", "value"
+_STATE = "trip", "stops", *_AFTER
 
 
 def _metres(x: Column, y: Column, u: Column, v: Column) -> Column:
     return F.round(F.hypot(x - u, y - v)).cast("long")
 
 
-def expanded(states: DataFrame, trips: DataFrame, options: DataFrame, plan: Plan) -> DataFrame:
+def by_area(hours: DataFrame) -> DataFrame:
+    """(area, forecast): the hours (area, at, wind, light) of each area in one row, which a forecast's length bounds."""
+    return hours.filter("at IS NOT NULL").groupBy("area").agg(F.array_sort(F.collect_list(F.struct("at", "wind", "light"))).alias("forecast"))
+
+
+def with_forecasts(rows: DataFrame, forecast: str, times: dict[str, Column], fields: tuple[str, ...]) -> DataFrame:
+    """Adds ``field_name`` for each named time: a forecast's field on the line through the hours around it.
+
+    Outside the hours the nearest one counts. The hours of a time are looked up once for all fields.
+    """
+    around = {}
+    for name, time in times.items():
+        before, after = F.array_max(F.filter(forecast, lambda h: h["at"] <= time)), F.array_min(F.filter(forecast, lambda h: h["at"] > time))  # noqa: B023
+        around[f"_{name}"] = F.struct(time.alias("time"), before.alias("before"), after.alias("after"))
+    rows = rows.withColumns(around)
+    ends = {f"_{name}": F.struct(F.col(f"_{name}.time").alias("time"), F.coalesce(f"_{name}.before", f"_{name}.after").alias("low"), F.coalesce(f"_{name}.after", f"_{name}.before").alias("high")) for name in times}
+    rows = rows.withColumns(ends)
+
+    def between(name: str, field: str) -> Column:
+        time, low, high = (F.col(f"_{name}.{part}") for part in ("time", "low", "high"))
+        return low[field] + F.floor((high[field] - low[field]) * (time - low["at"]) / F.greatest(high["at"] - low["at"], F.lit(1)))
+
+    return rows.withColumns({f"{field}_{name}": between(name, field) for name in times for field in fields}).drop(*around)
+
+
+def expanded(states: DataFrame, trips: DataFrame, options: DataFrame, plan: Plan, forecasts: DataFrame | None = None, weather: Weather = Weather()) -> DataFrame:
     """Each state with each option, wait and dwell: the state that it leads to, and ``reason`` if it is refused.
 
     ``options`` join by trip and are few for each, as states are, so the rows
-    are bounded for each trip.
+    are bounded for each trip. With ``forecasts`` of :func:`by_area` the options
+    say by ``likes`` (-1, 0 or 1) whether light adds to their worth; where there
+    is no forecast, or no value in it, neither wind nor light counts.
     """
     rows = states.join(trips.select("trip", "area", "end", "reserve", F.col("x").alias("home_x"), F.col("y").alias("home_y")), "trip")
-    rows = rows.join(options.select("area", "option", F.col("x").alias("to_x"), F.col("y").alias("to_y"), "worth"), "area")
+    if forecasts is not None:
+        rows = rows.join(forecasts, "area", "left")
+    likes = ["likes"] if forecasts is not None else []
+    rows = rows.join(options.select("area", "option", F.col("x").alias("to_x"), F.col("y").alias("to_y"), "worth", *likes), "area")
     rows = rows.withColumn("wait", F.explode(F.array(*map(F.lit, plan.waits)))).withColumn("dwell", F.explode(F.array(*map(F.lit, plan.dwells))))
     leg = _metres(F.col("x"), F.col("y"), F.col("to_x"), F.col("to_y"))
     home = _metres(F.col("to_x"), F.col("to_y"), F.col("home_x"), F.col("home_y"))
-    rows = rows.withColumns({"leg": leg, "home": home}).withColumn("leave", F.col("time") + F.col("wait") + F.floor(F.col("leg") / plan.speed) + F.col("dwell"))
+    rows = rows.withColumns({"leg": leg, "home": home, "depart": F.col("time") + F.col("wait")})
+    rows = rows.withColumn("arrive", F.col("depart") + F.floor(F.col("leg") / plan.speed)).withColumn("leave", F.col("arrive") + F.col("dwell"))
     near = F.exists("stops", lambda s: _metres(s["x"], s["y"], F.col("to_x"), F.col("to_y")) < plan.spacing)
-    tests = (
+    tests = [
         F.exists("stops", lambda s: s["option"] == F.col("option")), F.col("waited") + F.col("wait") > plan.max_wait, near, F.col("leg") > plan.max_leg, F.col("leave") > F.col("end"),
         F.col("leave") + F.floor(F.col("home") / plan.speed) + F.col("reserve") > F.col("end"), F.col("used") + F.col("leg") + F.col("home") > plan.max_range,
-    )
+    ]
     reason = reduce(lambda chain, t: chain.when(t[1], t[0]), list(zip(REASONS, tests))[1:], F.when(tests[0], REASONS[0]))
-    gain = F.floor(F.col("worth") * F.col("dwell") / (F.col("dwell") + plan.half)) - F.floor(F.col("leg") * plan.leg_cost / 100) - F.floor(F.col("wait") * plan.wait_cost / 60)
+    rows = rows.withColumn("reason", reason)
+    if forecasts is None:
+        had = F.floor(F.col("worth") * F.col("dwell") / (F.col("dwell") + plan.half))
+    else:
+        # What is refused already asks no forecast.
+        rows = rows.withColumn("forecast", F.when(F.col("reason").isNull(), F.col("forecast")))
+        slots = list(enumerate(weather.shares(max(plan.dwells))))
+        ways = {"depart": F.col("depart"), "midway": F.floor((F.col("depart") + F.col("arrive")) / 2), "arrive": F.col("arrive")}
+        rows = with_forecasts(rows, "forecast", ways, ("wind",))
+        rows = with_forecasts(rows, "forecast", {str(i): F.col("arrive") + i * weather.slot for i, _ in slots}, ("wind", "light"))
+        windy = F.greatest(*[F.col(f"wind_{name}") for name in ways]) >= weather.hard_wind
+        rows = rows.withColumn("reason", F.coalesce("reason", F.when(windy, "WIND")))
+
+        def worth(slot: int, share: int) -> Column:
+            blown = F.floor((F.col(f"wind_{slot}") - weather.soft_wind) * 1000 / (weather.hard_wind - weather.soft_wind))
+            lit = F.coalesce("likes", F.lit(0)) * F.coalesce(f"light_{slot}", F.lit(0))
+            own = F.col("worth") + lit - F.coalesce(F.least(F.lit(1000), F.greatest(F.lit(0), blown)), F.lit(0))
+            own = F.floor(F.least(F.lit(weather.most), F.greatest(F.lit(0), own)) * share / 1000)
+            return F.when(F.col("dwell") > slot * weather.slot, own).otherwise(F.lit(0))
+
+        had = reduce(Column.__add__, [worth(*slot) for slot in slots])
+    gain = had - F.floor(F.col("leg") * plan.leg_cost / 100) - F.floor(F.col("wait") * plan.wait_cost / 60)
     step = F.concat_ws(":", "option", "wait", "dwell")
-    return rows.select(
-        "trip", F.concat("stops", F.array(F.struct("option", F.col("to_x").alias("x"), F.col("to_y").alias("y")))).alias("stops"), F.concat_ws(">", "path", step).alias("path"), F.col("to_x").alias("x"), F.col("to_y").alias("y"),
-        F.col("leave").alias("time"), (F.col("used") + F.col("leg")).alias("used"), (F.col("waited") + F.col("wait")).alias("waited"), (F.col("value") + gain).alias("value"), reason.alias("reason"),
+    made = rows.select(
+        "trip", "stops", "option", F.concat_ws(">", "path", step).alias("path"), F.col("to_x").alias("x"), F.col("to_y").alias("y"),
+        F.col("leave").alias("time"), (F.col("used") + F.col("leg")).alias("used"), (F.col("waited") + F.col("wait")).alias("waited"), (F.col("value") + gain).alias("value"), "reason",
     )
+    return made.withColumn("stops", F.concat("stops", F.array(F.struct("option", *_AFTER)))).drop("option")
 
 
 def undominated(states: DataFrame) -> DataFrame:
@@ -93,31 +171,74 @@ class Search:
     rejects: DataFrame
 
 
-def search(trips: DataFrame, options: DataFrame, plan: Plan) -> Search:
+def _start(trips: DataFrame) -> DataFrame:
+    nothing = F.expr("cast(array() as array<struct<option: bigint, path: string, x: bigint, y: bigint, time: bigint, used: bigint, waited: bigint, value: bigint>>)")
+    zero = F.lit(0).cast("long")
+    return trips.select("trip", nothing.alias("stops"), F.lit(None).cast("string").alias("path"), "x", "y", F.col("start").alias("time"), zero.alias("used"), zero.alias("waited"), zero.alias("value"))
+
+
+def _first(states: DataFrame, n: int) -> DataFrame:
+    """The best states of each trip."""
+    return states.withColumn("_place", F.row_number().over(Window.partitionBy("trip").orderBy(*_by(*ORDER)))).filter(F.col("_place") <= n).select(*_STATE)
+
+
+def _union(them: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, them)
+
+
+def _routes(trips: DataFrame, found: DataFrame) -> DataFrame:
+    """The best state of each trip, and nulls and no stops for a trip without one."""
+    return trips.select("trip").join(_first(found, 1), "trip", "left").select("trip", "path", F.coalesce(F.size("stops"), F.lit(0)).cast("long").alias("stops"), "time", "used", "value")
+
+
+def search(trips: DataFrame, options: DataFrame, plan: Plan, hours: DataFrame | None = None, weather: Weather = Weather()) -> Search:
     """Routes for ``trips`` (trip, area, x, y, start, end, reserve) over ``options`` (area, option, x, y, worth).
 
     A layer adds a stop to every state of every trip in one job, drops what is
     dominated, and keeps the best ``width`` of each trip. States with enough
-    stops are complete; the best of all layers is the route.
+    stops are complete; the best of all layers is the route. ``hours`` are the
+    forecasts (area, at, wind, light) that :func:`expanded` asks.
     """
-    nothing = F.expr("cast(array() as array<struct<option: bigint, x: bigint, y: bigint>>)")
-    zero = F.lit(0).cast("long")
-    states = trips.select("trip", nothing.alias("stops"), F.lit(None).cast("string").alias("path"), "x", "y", F.col("start").alias("time"), zero.alias("used"), zero.alias("waited"), zero.alias("value"))
+    forecasts = hours if hours is None else by_area(hours)
+    states = _start(trips)
     layers, rejects, done = [], [], []
     for layer in range(1, plan.max_stops + 1):
-        steps = written(expanded(states, trips, options, plan))
+        steps = written(expanded(states, trips, options, plan, forecasts, weather))
         rejects.append(steps.filter("reason IS NOT NULL").groupBy("trip", "reason").agg(F.count("*").alias("n")).withColumn("layer", F.lit(layer)))
         fine = steps.filter("reason IS NULL").drop("reason")
         left = written(undominated(fine))
-        states = written(left.withColumn("_place", F.row_number().over(Window.partitionBy("trip").orderBy(*_by(*ORDER)))).filter(F.col("_place") <= plan.width).select(*_STATE))
+        states = written(_first(left, plan.width))
         count = lambda df, name: df.groupBy("trip").agg(F.count("*").alias(name))
         layers.append(count(fine, "reached").join(count(left, "left"), "trip").join(count(states, "kept"), "trip").withColumn("layer", F.lit(layer)))
         if layer >= plan.min_stops:
             done.append(states)
         if states.isEmpty():
             break
-    union = lambda them: reduce(DataFrame.unionByName, them)
-    best = union(done) if done else states.limit(0)
-    first = best.withColumn("_place", F.row_number().over(Window.partitionBy("trip").orderBy(*_by(*ORDER)))).filter("_place = 1").drop("_place")
-    routes = trips.select("trip").join(first, "trip", "left").select("trip", "path", F.coalesce(F.size("stops"), F.lit(0)).cast("long").alias("stops"), "time", "used", "value")
-    return Search(routes, union(layers).select("trip", "layer", "reached", "left", "kept"), union(rejects).select("trip", "layer", "reason", "n"))
+    best = _union(done) if done else states.limit(0)
+    return Search(_routes(trips, best), _union(layers).select("trip", "layer", "reached", "left", "kept"), _union(rejects).select("trip", "layer", "reason", "n"))
+
+
+def rolling(trips: DataFrame, options: DataFrame, plan: Plan, ahead: int = 2, settle: int = 1, hours: DataFrame | None = None, weather: Weather = Weather()) -> DataFrame:
+    """Routes of :func:`search`'s form, ``settle`` stops at a time by a look ``ahead`` of so many layers.
+
+    Every window starts with one state a trip, so its layers hold at most
+    ``width`` states for each, however long the routes are. The best settled
+    state with enough stops is the route; a trip ends where no step is left.
+    """
+    if ahead < settle or settle < 1:
+        raise ValueError("a window must look at least as far ahead as it settles, and settle a stop")
+    forecasts = hours if hours is None else by_area(hours)
+    settled, done = _start(trips), []
+    for before in range(0, plan.max_stops, settle):
+        states, window = settled, []
+        for _ in range(min(ahead, plan.max_stops - before)):
+            fine = expanded(states, trips, options, plan, forecasts, weather).filter("reason IS NULL").drop("reason")
+            states = written(_first(undominated(fine), plan.width))
+            window.append(states)
+        kept = F.slice("stops", 1, before + settle)
+        best = _first(_union(window), 1).select("trip", kept.alias("stops")).withColumn("_end", F.element_at("stops", -1))
+        settled = written(best.select("trip", "stops", *[F.col("_end")[c].alias(c) for c in _AFTER]))
+        if settled.isEmpty():
+            break
+        done.append(settled.filter(F.size("stops") >= plan.min_stops))
+    return _routes(trips, _union(done) if done else settled)

@@ -110,30 +110,80 @@ PLAN = beam.Plan()
 _TRIPS_SQL = """hashed AS (SELECT event_id AS id, event_id // 60 AS area, event_type AS kind, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 6) AS BIGINT) AS h FROM events),
 places AS (SELECT id, area, kind, h % 100 * 25 AS x, h // 100 % 100 * 25 AS y, h FROM hashed),
 trips AS (SELECT id AS trip, area, x, y, 21600 AS start, 21600 + 3600 * (1 + h % 4) AS "end", 300 AS reserve FROM places WHERE kind = 'purchase'),
-options AS (SELECT id AS option, area, x, y, 100 + h % 900 AS worth FROM places WHERE kind = 'view')"""
+options AS (SELECT id AS option, area, x, y, 100 + h % 900 AS worth, h // 900 % 3 - 1 AS likes FROM places WHERE kind = 'view')"""
 
 
-def _layers_sql(plan):
-    """The layers one after another: every step with its reason, what is not dominated, and what the beam keeps."""
+#: The hours of a lake come from its clicks; the light of its spots counts for, against or not at all.
+WEATHER = beam.Weather()
+_HOURS_SQL = """hours AS (SELECT area, 21600 + 1800 * (h % 10) AS at, max(h // 10 % 450) AS wind, max(h // 5000 % 300) AS light FROM places WHERE kind = 'click' GROUP BY 1, 2),
+forecasts AS (SELECT area, list({'hour': at, 'wind': wind, 'light': light} ORDER BY at) AS forecast FROM hours GROUP BY area)"""
+_STOP_SQL = "STRUCT(option BIGINT, x BIGINT, y BIGINT, path VARCHAR, time BIGINT, used BIGINT, waited BIGINT, value BIGINT)[]"
+_START_SQL = f"s0 AS (SELECT trip, [] :: {_STOP_SQL} AS stops, '' AS path, x, y, start AS time, 0 AS used, 0 AS waited, 0 AS value FROM trips)"
+_BEST_SQL = "QUALIFY row_number() OVER (PARTITION BY trip ORDER BY value DESC, time, used, path)"
+
+
+def _between_sql(time, field):
+    """A forecast's field on the line between the hours around a time."""
+    low, high = f"list_filter(forecast, lambda h: h.hour <= {time})[-1]", f"list_filter(forecast, lambda h: h.hour > {time})[1]"
+    return f"CASE WHEN {low} IS NULL THEN {high}.{field} WHEN {high} IS NULL THEN {low}.{field} ELSE {low}.{field} + floor(({high}.{field} - {low}.{field}) * ({time} - {low}.hour) / ({high}.hour - {low}.hour)) END"
+
+
+def _had_sql(plan, weather):
+    """What a stop gives: by its dwell, or slot by slot under the forecast."""
+    if weather is None:
+        return f"worth * dwell // (dwell + {plan.half})"
+    slots = []
+    for i, share in enumerate(weather.shares(max(plan.dwells))):
+        time = f"(arrive + {i * weather.slot})"
+        blown = f"floor(({_between_sql(time, 'wind')} - {weather.soft_wind}) * 1000 / {weather.hard_wind - weather.soft_wind})"
+        own = f"worth + likes * coalesce({_between_sql(time, 'light')}, 0) - coalesce(least(1000, greatest(0, {blown})), 0)"
+        slots.append(f"CASE WHEN dwell > {i * weather.slot} THEN floor(least({weather.most}, greatest(0, {own})) * {share} / 1000) ELSE 0 END")
+    return f"CAST({' + '.join(slots)} AS BIGINT)"
+
+
+def _layer_sql(plan, name, before, weather=None):
+    """A layer behind the states ``before``: every step with its reason, what is not dominated, and what the beam keeps."""
     metres = lambda x, y, u, v: f"CAST(round(sqrt(({x} - {u}) * ({x} - {u}) + ({y} - {v}) * ({y} - {v}))) AS BIGINT)"
-    parts = [_TRIPS_SQL, "s0 AS (SELECT trip, [] :: STRUCT(option BIGINT, x BIGINT, y BIGINT)[] AS stops, '' AS path, x, y, start AS time, 0 AS used, 0 AS waited, 0 AS value FROM trips)"]
-    for i in range(1, plan.max_stops + 1):
-        parts.append(
-            f"""e{i} AS (SELECT s.*, t."end", t.reserve, o.option, o.x AS to_x, o.y AS to_y, worth, wait, dwell, {metres("s.x", "s.y", "o.x", "o.y")} AS leg, {metres("o.x", "o.y", "t.x", "t.y")} AS home
-  FROM s{i - 1} s JOIN trips t USING (trip) JOIN options o ON o.area = t.area, (SELECT unnest({list(plan.waits)}) AS wait) w, (SELECT unnest({list(plan.dwells)}) AS dwell) d),
-l{i} AS (SELECT *, time + wait + leg // {plan.speed} + dwell AS leave FROM e{i}),
-r{i} AS (SELECT *, CASE WHEN len(list_filter(stops, lambda s: s.option = option)) > 0 THEN 'VISITED' WHEN waited + wait > {plan.max_wait} THEN 'WAITED_TOO_LONG'
+    winds = ", ".join(_between_sql(t, "wind") for t in ("depart", "((depart + arrive) // 2)", "arrive")) if weather else ""
+    return f"""e{name} AS (SELECT s.*, t."end", t.reserve, {"f.forecast, o.likes, " if weather else ""}o.option, o.x AS to_x, o.y AS to_y, worth, wait, dwell, {metres("s.x", "s.y", "o.x", "o.y")} AS leg, {metres("o.x", "o.y", "t.x", "t.y")} AS home
+  FROM {before} s JOIN trips t USING (trip) JOIN options o ON o.area = t.area {"LEFT JOIN forecasts f ON f.area = t.area" if weather else ""}, (SELECT unnest({list(plan.waits)}) AS wait) w, (SELECT unnest({list(plan.dwells)}) AS dwell) d),
+l{name} AS (SELECT *, time + wait AS depart, time + wait + leg // {plan.speed} AS arrive, time + wait + leg // {plan.speed} + dwell AS leave FROM e{name}),
+r{name} AS (SELECT *, CASE WHEN len(list_filter(stops, lambda s: s.option = option)) > 0 THEN 'VISITED' WHEN waited + wait > {plan.max_wait} THEN 'WAITED_TOO_LONG'
   WHEN len(list_filter(stops, lambda s: {metres("s.x", "s.y", "to_x", "to_y")} < {plan.spacing})) > 0 THEN 'SPACING' WHEN leg > {plan.max_leg} THEN 'LEG_TOO_LONG' WHEN leave > "end" THEN 'AFTER_END'
-  WHEN leave + home // {plan.speed} + reserve > "end" THEN 'RETURN_RESERVE' WHEN used + leg + home > {plan.max_range} THEN 'RANGE_EXCEEDED' END AS reason FROM l{i}),
-f{i} AS (SELECT trip, list_append(stops, {{'option': option, 'x': to_x, 'y': to_y}}) AS stops, path || CASE WHEN path = '' THEN '' ELSE '>' END || option || ':' || wait || ':' || dwell AS path, to_x AS x, to_y AS y, leave AS time,
-  used + leg AS used, waited + wait AS waited, value + worth * dwell // (dwell + {plan.half}) - leg * {plan.leg_cost} // 100 - wait * {plan.wait_cost} // 60 AS value, option AS last_option FROM r{i} WHERE reason IS NULL),
-k{i} AS (SELECT *, list_sort(list_transform(stops, lambda s: s.option)) AS among FROM f{i}),
-d{i} AS (SELECT b.* FROM k{i} b WHERE NOT EXISTS (SELECT 1 FROM k{i} a WHERE a.trip = b.trip AND a.among = b.among AND a.last_option = b.last_option AND a.time <= b.time AND a.used <= b.used AND a.value >= b.value AND (a.time < b.time OR a.used < b.used OR a.value > b.value))),
-s{i} AS (SELECT trip, stops, path, x, y, time, used, waited, value FROM d{i} QUALIFY row_number() OVER (PARTITION BY trip ORDER BY value DESC, time, used, path) <= {plan.width})"""
-        )
+  WHEN leave + home // {plan.speed} + reserve > "end" THEN 'RETURN_RESERVE' WHEN used + leg + home > {plan.max_range} THEN 'RANGE_EXCEEDED' {f"WHEN greatest({winds}) >= {weather.hard_wind} THEN 'WIND'" if weather else ""} END AS reason FROM l{name}),
+g{name} AS (SELECT trip, stops, option, path || CASE WHEN path = '' THEN '' ELSE '>' END || option || ':' || wait || ':' || dwell AS path, to_x AS x, to_y AS y, leave AS time, used + leg AS used, waited + wait AS waited,
+  value + {_had_sql(plan, weather)} - leg * {plan.leg_cost} // 100 - wait * {plan.wait_cost} // 60 AS value FROM r{name} WHERE reason IS NULL),
+f{name} AS (SELECT trip, list_append(stops, {{'option': option, 'x': x, 'y': y, 'path': path, 'time': time, 'used': used, 'waited': waited, 'value': value}}) AS stops, path, x, y, time, used, waited, value, option AS last_option FROM g{name}),
+k{name} AS (SELECT *, list_sort(list_transform(stops, lambda s: s.option)) AS among FROM f{name}),
+d{name} AS (SELECT b.* FROM k{name} b WHERE NOT EXISTS (SELECT 1 FROM k{name} a WHERE a.trip = b.trip AND a.among = b.among AND a.last_option = b.last_option AND a.time <= b.time AND a.used <= b.used AND a.value >= b.value AND (a.time < b.time OR a.used < b.used OR a.value > b.value))),
+s{name} AS (SELECT trip, stops, path, x, y, time, used, waited, value FROM d{name} {_BEST_SQL} <= {plan.width})"""
+
+
+def _layers_sql(plan, weather=None):
+    """The layers one after another."""
+    parts = [_TRIPS_SQL, *([_HOURS_SQL] if weather else []), _START_SQL]
+    return "WITH " + ",\n".join(parts + [_layer_sql(plan, i, f"s{i - 1}", weather) for i in range(1, plan.max_stops + 1)])
+
+
+def _rolling_sql(plan, ahead):
+    """Windows of ``ahead`` layers, each behind the first stop of the best of the last one."""
+    parts, settled = [_TRIPS_SQL, _START_SQL], "s0"
+    for i in range(plan.max_stops):
+        names = [f"{i}_{depth}" for depth in range(min(ahead, plan.max_stops - i))]
+        parts += [_layer_sql(plan, name, before) for name, before in zip(names, [settled, *(f"s{n}" for n in names)])]
+        window = " UNION ALL ".join(f"SELECT * FROM s{name}" for name in names)
+        parts.append(f"w{i} AS (SELECT trip, stops[:{i + 1}] AS stops, stops[{i + 1}] AS z FROM ({window}) {_BEST_SQL} = 1)")
+        parts.append(f"c{i} AS (SELECT trip, stops, z.path AS path, z.x AS x, z.y AS y, z.time AS time, z.used AS used, z.waited AS waited, z.value AS value FROM w{i})")
+        settled = f"c{i}"
     return "WITH " + ",\n".join(parts)
 
 
+def _routes_sql(states):
+    """The best of the states of each trip."""
+    return f"""best AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT * FROM {s}" for s in states)}) {_BEST_SQL} = 1)
+SELECT t.trip, path, CAST(coalesce(len(stops), 0) AS BIGINT) AS stops, CAST(time AS BIGINT) AS time, CAST(used AS BIGINT) AS used, CAST(value AS BIGINT) AS value FROM trips t LEFT JOIN best USING (trip)"""
+
+
 def _places(spark, d):
     """(id, area, kind, x, y, h) of every event, in metres."""
     h = F.conv(F.substr(F.md5(F.col("event_id").cast("string").cast("binary")), F.lit(1), F.lit(6)), 16, 10).cast("long")
@@ -141,20 +191,24 @@ def _places(spark, d):
     return p.select("id", "area", "kind", (F.col("h") % 100 * 25).alias("x"), (F.floor(F.col("h") / 100) % 100 * 25).alias("y"), "h")
 
 
+def _trips(p):
+    start = F.lit(21_600).cast("long")
+    return p.filter("kind = 'purchase'").select(F.col("id").alias("trip"), "area", "x", "y", start.alias("start"), (start + 3600 * (1 + F.col("h") % 4)).alias("end"), F.lit(300).alias("reserve"))
+
+
+def _options(p):
+    return p.filter("kind = 'view'").select(F.col("id").alias("option"), "area", "x", "y", (F.col("h") % 900 + 100).alias("worth"), (F.floor(F.col("h") / 900) % 3 - 1).alias("likes"))
+
+
 def _search(spark, d):
     p = _places(spark, d)
-    start = F.lit(21_600).cast("long")
-    trips = p.filter("kind = 'purchase'").select(F.col("id").alias("trip"), "area", "x", "y", start.alias("start"), (start + 3600 * (1 + F.col("h") % 4)).alias("end"), F.lit(300).alias("reserve"))
-    return beam.search(trips, p.filter("kind = 'view'").select(F.col("id").alias("option"), "area", "x", "y", (F.col("h") % 900 + 100).alias("worth")), PLAN)
+    return beam.search(_trips(p), _options(p), PLAN)
 
 
 _LAYERS = range(1, PLAN.max_stops + 1)
 
 
-@query(
-    f"""{_layers_sql(PLAN)}, best AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT * FROM s{i}" for i in _LAYERS)}) QUALIFY row_number() OVER (PARTITION BY trip ORDER BY value DESC, time, used, path) = 1)
-SELECT t.trip, path, CAST(coalesce(len(stops), 0) AS BIGINT) AS stops, CAST(time AS BIGINT) AS time, CAST(used AS BIGINT) AS used, CAST(value AS BIGINT) AS value FROM trips t LEFT JOIN best USING (trip)"""
-)
+@query(f"{_layers_sql(PLAN)}, {_routes_sql([f's{i}' for i in _LAYERS])}")
 def alg_beam_route(spark, d):
     """The best route of each trip out of all layers."""
     return _search(spark, d).routes
@@ -174,6 +228,25 @@ def alg_beam_expand(spark, d):
     return _search(spark, d).rejects
 
 
+@query(f"{_layers_sql(PLAN, WEATHER)}, {_routes_sql([f's{i}' for i in _LAYERS])}")
+def alg_beam_weather(spark, d):
+    """Routes under forecasts: worth by light and wind in each slot of a stop, and no way under hard wind."""
+    p = _places(spark, d)
+    at = (21_600 + 1800 * (F.col("h") % 10)).alias("at")
+    hours = p.filter("kind = 'click'").groupBy("area", at).agg(F.max(F.floor(F.col("h") / 10) % 450).alias("wind"), F.max(F.floor(F.col("h") / 5000) % 300).alias("light"))
+    return beam.search(_trips(p), _options(p), PLAN, hours, WEATHER).routes
+
+
+AHEAD = 2
+
+
+@query(f"{_rolling_sql(PLAN, AHEAD)}, {_routes_sql([f'c{i}' for i in range(PLAN.max_stops)])}")
+def alg_beam_rolling(spark, d):
+    """Routes settled a stop at a time, each by a look over a window of layers."""
+    p = _places(spark, d)
+    return beam.rolling(_trips(p), _options(p), PLAN, AHEAD)
+
+
 VISIT = subplans.Visit(pace=200)
 _HOP = "CAST(round(sqrt(({a}.x - {b}.x) * ({a}.x - {b}.x) + ({a}.y - {b}.y) * ({a}.y - {b}.y))) AS BIGINT)"
 

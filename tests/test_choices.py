@@ -3,51 +3,154 @@
 import math
 import random
 
+import pytest
+
 from driftline.operators import beam, candidates, overlay, subplans
 
 
-def plain_search(trips, options, plan):
+WEATHER = beam.Weather()
+
+
+def order(state):
+    return (-state[7], state[4], state[5], state[1])
+
+
+def plain_value(hours, time, field):
+    """A forecast's field (1: wind, 2: light) at a time; None without one."""
+    low = max((h for h in hours if h[0] <= time), default=None)
+    high = min((h for h in hours if h[0] > time), default=None)
+    low, high = low or high, high or low
+    if low is None or low[field] is None or high[field] is None:
+        return None
+    return low[field] + math.floor((high[field] - low[field]) * (time - low[0]) / max(1, high[0] - low[0]))
+
+
+def plain_had(worth, likes, arrive, dwell, plan, hours):
+    if hours is None:
+        return worth * dwell // (dwell + plan.half)
+    total = 0
+    for slot, share in enumerate((1000, 850, 722)[: -(-dwell // 900)]):
+        wind, light = (plain_value(hours, arrive + slot * 900, field) for field in (1, 2))
+        blown = 0 if wind is None else min(1000, max(0, math.floor((wind - 200) * 1000 / 200)))
+        total += min(1500, max(0, worth + likes * (light or 0) - blown)) * share // 1000
+    return total
+
+
+def plain_layer(states, trip, options, plan, hours):
+    """The beam behind a layer."""
+    _, area, hx, hy, _, end, reserve = trip
+    far = lambda a, b, c, d: round(math.hypot(a - c, b - d))
+    made = []
+    for stops, path, x, y, time, used, waited, value in states:
+        for place, option, ox, oy, worth, likes in options:
+            for wait in plan.waits:
+                for dwell in plan.dwells:
+                    leg, home = far(x, y, ox, oy), far(ox, oy, hx, hy)
+                    depart, arrive = time + wait, time + wait + leg // plan.speed
+                    leave = arrive + dwell
+                    if place != area or any(s[0] == option or far(s[2], s[3], ox, oy) < plan.spacing for s in stops) or waited + wait > plan.max_wait or leg > plan.max_leg:
+                        continue
+                    if leave + home // plan.speed + reserve > end or used + leg + home > plan.max_range:
+                        continue
+                    if any((plain_value(hours or [], t, 1) or 0) >= 400 for t in (depart, (depart + arrive) // 2, arrive)):
+                        continue
+                    gain = plain_had(worth, likes, arrive, dwell, plan, hours) - leg * plan.leg_cost // 100 - wait * plan.wait_cost // 60
+                    state = (f"{path}>{option}:{wait}:{dwell}" if path else f"{option}:{wait}:{dwell}", ox, oy, leave, used + leg, waited + wait, value + gain)
+                    made.append(((*stops, (option, *state)), *state))
+    alike = lambda a, b: a[2:4] == b[2:4] and sorted(s[0] for s in a[0]) == sorted(s[0] for s in b[0])
+    beaten = lambda b: any(alike(a, b) and a[4] <= b[4] and a[5] <= b[5] and a[7] >= b[7] and (a[4], a[5], a[7]) != (b[4], b[5], b[7]) for a in made)
+    return sorted((b for b in made if not beaten(b)), key=order)[: plan.width]
+
+
+def plain_start(trip):
+    return ((), "", trip[2], trip[3], trip[4], 0, 0, 0)
+
+
+def plain_route(done):
+    best = min(done, key=order, default=None)
+    return (best[1], len(best[0]), best[4], best[5], best[7]) if best else (None, 0, None, None, None)
+
+
+def plain_search(trips, options, plan, hours=None):
     routes = {}
-    for trip, area, hx, hy, start, end, reserve in trips:
-        far = lambda a, b, c, d: round(math.hypot(a - c, b - d))
-        states, done = [((), "", hx, hy, start, 0, 0, 0)], []
+    for trip in trips:
+        states, done = [plain_start(trip)], []
         for layer in range(1, plan.max_stops + 1):
-            made = []
-            for stops, path, x, y, time, used, waited, value in states:
-                for place, option, ox, oy, worth in options:
-                    for wait in plan.waits:
-                        for dwell in plan.dwells:
-                            leg, home = far(x, y, ox, oy), far(ox, oy, hx, hy)
-                            leave = time + wait + leg // plan.speed + dwell
-                            if place != area or any(s[0] == option or far(s[1], s[2], ox, oy) < plan.spacing for s in stops) or waited + wait > plan.max_wait or leg > plan.max_leg:
-                                continue
-                            if leave + home // plan.speed + reserve > end or used + leg + home > plan.max_range:
-                                continue
-                            gain = worth * dwell // (dwell + plan.half) - leg * plan.leg_cost // 100 - wait * plan.wait_cost // 60
-                            made.append(((*stops, (option, ox, oy)), f"{path}>{option}:{wait}:{dwell}" if path else f"{option}:{wait}:{dwell}", ox, oy, leave, used + leg, waited + wait, value + gain))
-            alike = lambda a, b: a[2:4] == b[2:4] and sorted(s[0] for s in a[0]) == sorted(s[0] for s in b[0])
-            beaten = lambda b: any(alike(a, b) and a[4] <= b[4] and a[5] <= b[5] and a[7] >= b[7] and (a[4], a[5], a[7]) != (b[4], b[5], b[7]) for a in made)  # noqa: B023, E731
-            order = lambda s: (-s[7], s[4], s[5], s[1])
-            states = sorted((b for b in made if not beaten(b)), key=order)[: plan.width]
+            states = plain_layer(states, trip, options, plan, None if hours is None else [h[1:] for h in hours if h[0] == trip[1]])
             done += states if layer >= plan.min_stops else []
-        best = min(done, key=order, default=None)
-        routes[trip] = (best[1], len(best[0]), best[4], best[5], best[7]) if best else (None, 0, None, None, None)
+        routes[trip[0]] = plain_route(done)
     return routes
 
 
-def test_routes_are_those_of_the_plain_search(spark):
+def plain_rolling(trips, options, plan, ahead, settle, hours=None):
+    routes = {}
+    for trip in trips:
+        settled, done = plain_start(trip), []
+        for before in range(0, plan.max_stops, settle):
+            states, window = [settled], []
+            for _ in range(min(ahead, plan.max_stops - before)):
+                states = plain_layer(states, trip, options, plan, None if hours is None else [h[1:] for h in hours if h[0] == trip[1]])
+                window += states
+            if not window:
+                break
+            stops = min(window, key=order)[0][: before + settle]
+            settled = (stops, *stops[-1][1:])
+            done += [settled] if len(stops) >= plan.min_stops else []
+        routes[trip[0]] = plain_route(done)
+    return routes
+
+
+def some_trips(spark):
+    """Trips, options and forecasts; area 3 has no options, area 2 no forecast, and area 1 hours without wind."""
     rng = random.Random(7)
     options = [(area, area * 100 + i, rng.randrange(0, 2500, 25), rng.randrange(0, 2500, 25), rng.randrange(100, 1000)) for area in range(3) for i in range(7)]
-    trips = [(t, t % 4, rng.randrange(0, 2500, 25), rng.randrange(0, 2500, 25), 0, rng.choice([600, 4000, 9000]), 300) for t in range(12)]  # area 3 has no options
+    trips = [(t, t % 4, rng.randrange(0, 2500, 25), rng.randrange(0, 2500, 25), 0, rng.choice([600, 4000, 9000]), 300) for t in range(12)]
+    options = [(*o, rng.choice([-1, 0, 1])) for o in options]
+    winds = [(0, at, rng.choice([50, 250, 380, 450]), rng.randrange(500)) for at in (-900, 300, 2000, 5000)] + [(1, 0, None, 100), (1, 4000, 390, None), (1, 6000, 300, 700), (3, 0, 900, 0), (None, 0, 900, 0), (0, None, 900, 0)]
+    frames = (
+        spark.createDataFrame(trips, "trip long, area long, x long, y long, start long, end long, reserve long"), spark.createDataFrame(options, "area long, option long, x long, y long, worth long, likes long"),
+        spark.createDataFrame(winds, "area long, at long, wind long, light long"),
+    )
+    return trips, options, [w for w in winds if w[1] is not None], frames
+
+
+def routes_of(found):
+    return {r["trip"]: (r["path"], r["stops"], r["time"], r["used"], r["value"]) for r in found.collect()}
+
+
+def test_routes_are_those_of_the_plain_search(spark):
+    trips, options, _, (trip_rows, option_rows, _) = some_trips(spark)
     plan = beam.Plan(min_stops=2, width=4)
-    found = beam.search(spark.createDataFrame(trips, "trip long, area long, x long, y long, start long, end long, reserve long"), spark.createDataFrame(options, "area long, option long, x long, y long, worth long"), plan)
-    got = {r["trip"]: (r["path"], r["stops"], r["time"], r["used"], r["value"]) for r in found.routes.collect()}
+    found = beam.search(trip_rows, option_rows.drop("likes"), plan)
+    got = routes_of(found.routes)
     assert got == plain_search(trips, options, plan) and sum(r[1] > 0 for r in got.values()) >= 4
     layers = found.layers.collect()
     assert all(r["kept"] <= min(r["left"], 4) and r["left"] <= r["reached"] for r in layers) and {r["layer"] for r in layers} == {1, 2, 3}
     assert {r["reason"] for r in found.rejects.collect()} <= set(beam.REASONS)
 
 
+def test_forecasts_change_routes_as_in_the_plain_search(spark):
+    trips, options, hours, (trip_rows, option_rows, hour_rows) = some_trips(spark)
+    plan = beam.Plan(width=4)
+    found = beam.search(trip_rows, option_rows, plan, hour_rows, WEATHER)
+    wanted = plain_search(trips, options, plan, hours)
+    assert routes_of(found.routes) == wanted != plain_search(trips, options, plan)
+    assert "WIND" in {r["reason"] for r in found.rejects.collect()}
+    calm = beam.search(trip_rows, option_rows, plan, hour_rows.limit(0), WEATHER)
+    assert routes_of(calm.routes) == plain_search(trips, options, plan, [])
+
+
+def test_rolling_windows_are_those_of_the_plain_walk(spark):
+    trips, options, hours, (trip_rows, option_rows, hour_rows) = some_trips(spark)
+    plan = beam.Plan(max_stops=4, width=3)
+    for ahead, settle, under in ((1, 1, None), (2, 1, hours), (3, 2, None)):
+        found = beam.rolling(trip_rows, option_rows, plan, ahead, settle, under and hour_rows, WEATHER)
+        assert routes_of(found) == plain_rolling(trips, options, plan, ahead, settle, under)
+    assert routes_of(beam.rolling(trip_rows.limit(0), option_rows, plan)) == {}
+    with pytest.raises(ValueError, match="far ahead"):
+        beam.rolling(trip_rows, option_rows, plan, 1, 2)
+
+
 def test_visits_are_those_of_the_plain_walk(spark):
     rng = random.Random(3)
     visit = subplans.Visit(budgets=(10, 30, 60), pace=100)
