@@ -201,7 +201,7 @@ def fn_circular(spark, d):
     """The turn between two bearings, and a quarter of it taken."""
     a, b = F.col("k") * 7.2, F.col("value") * 5
     delta = geo.signed_delta(a, b)
-    return points(spark, d).select("point_id", F.round(delta, 6).alias("delta"), F.round(F.pmod(a + delta * 0.25, F.lit(360.0)), 6).alias("quarter"))
+    return points(spark, d).select("point_id", F.round(delta, 6).alias("delta"), F.round(geo.full_circle(a + delta * 0.25), 6).alias("quarter"))
 
 
 _DECL = "radians(23.44 * sin(2 * pi() * (day - 81) / 365.0))"
