@@ -348,5 +348,6 @@ def stm_late_data(spark, d):
 def stm_session_window(spark, d):
     """Sessions by gap, which the reference does not have (an extension): Spark's own windows."""
     p = points(spark, d).withColumn("ts", F.timestamp_seconds("at"))
-    w = p.groupBy("session_id", F.session_window("ts", "12 hours").alias("w")).agg(F.count("*").alias("n"))
-    return w.select("session_id", F.unix_seconds("w.start").alias("started"), F.unix_seconds("w.end").alias("closed"), "n")
+    # Spark's windows merge where they only touch; times are whole seconds, so half a second less keeps a gap of just twelve hours apart.
+    w = p.groupBy("session_id", F.session_window("ts", "43199 seconds 500 milliseconds").alias("w")).agg(F.count("*").alias("n"))
+    return w.select("session_id", F.unix_seconds("w.start").alias("started"), (F.unix_seconds("w.end") + 1).alias("closed"), "n")
