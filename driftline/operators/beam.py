@@ -93,12 +93,15 @@ def with_forecasts(rows: DataFrame, forecast: str, times: dict[str, Column], fie
 def expanded(states: DataFrame, trips: DataFrame, options: DataFrame, plan: Plan, forecasts: DataFrame | None = None, weather: Weather = Weather()) -> DataFrame:
     """Each state with each option, wait and dwell: the state that it leads to, and ``reason`` if it is refused.
 
-    ``options`` join by trip and are few for each, as states are, so the rows
-    are bounded for each trip. With ``forecasts`` of :func:`by_area` the options
+    ``options`` join by area and are few for each, as states are of a trip, so
+    the rows are bounded for each trip. They stay dealt by area, which what is
+    counted and chosen of them keeps in its keys: no step moves again. With ``forecasts`` of :func:`by_area` the options
     say by ``likes`` (-1, 0 or 1) whether light adds to their worth; where there
     is no forecast, or no value in it, neither wind nor light counts.
     """
     rows = states.join(trips.select("trip", "area", "end", "reserve", F.col("x").alias("home_x"), F.col("y").alias("home_y")), "trip")
+    # A fixed number, for steps are many times the states that partitions are sized by.
+    rows = rows.repartition(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), "area")
     if forecasts is not None:
         rows = rows.join(forecasts, "area", "left")
     likes = ["likes"] if forecasts is not None else []
@@ -138,20 +141,20 @@ def expanded(states: DataFrame, trips: DataFrame, options: DataFrame, plan: Plan
     gain = had - F.floor(F.col("leg") * plan.leg_cost / 100) - F.floor(F.col("wait") * plan.wait_cost / 60)
     step = F.concat_ws(":", "option", "wait", "dwell")
     made = rows.select(
-        "trip", "stops", "option", F.concat_ws(">", "path", step).alias("path"), F.col("to_x").alias("x"), F.col("to_y").alias("y"),
+        "area", "trip", "stops", "option", F.concat_ws(">", "path", step).alias("path"), F.col("to_x").alias("x"), F.col("to_y").alias("y"),
         F.col("leave").alias("time"), (F.col("used") + F.col("leg")).alias("used"), (F.col("waited") + F.col("wait")).alias("waited"), (F.col("value") + gain).alias("value"), "reason",
     )
     return made.withColumn("stops", F.concat("stops", F.array(F.struct("option", *_AFTER)))).drop("option")
 
 
 def undominated(states: DataFrame) -> DataFrame:
-    """States that no other of their trip, stops and last stop is as early, as short and as good as, and better in one."""
+    """(area, trip, reached, best): of each set of a trip's stops and last stop, how many states there are, and those that no other is as early, as short and as good as, and better in one."""
     own = F.struct(*_STATE)
-    alike = states.groupBy("trip", F.array_sort(F.transform("stops", lambda s: s["option"])).alias("_among"), "x", "y").agg(F.collect_list(own).alias("_all"))
+    alike = states.groupBy("area", "trip", F.array_sort(F.transform("stops", lambda s: s["option"])).alias("_among"), "x", "y").agg(F.collect_list(own).alias("_all"))
     no_worse = lambda a, b: (a["time"] <= b["time"]) & (a["used"] <= b["used"]) & (a["value"] >= b["value"])
     better = lambda a, b: (a["time"] < b["time"]) | (a["used"] < b["used"]) | (a["value"] > b["value"])
     left = F.filter("_all", lambda b: ~F.exists("_all", lambda a: no_worse(a, b) & better(a, b)))
-    return alike.select(F.explode(left).alias("s")).select("s.*")
+    return alike.select("area", "trip", F.size("_all").alias("reached"), left.alias("best"))
 
 
 #: Best first; the path settles what is left.
@@ -182,6 +185,20 @@ def _first(states: DataFrame, n: int) -> DataFrame:
     return states.withColumn("_place", F.row_number().over(Window.partitionBy("trip").orderBy(*_by(*ORDER)))).filter(F.col("_place") <= n).select(*_STATE)
 
 
+def _beam(fine: DataFrame, width: int) -> DataFrame:
+    """(trip, reached, left, states): counts of a layer, and the states that the beam keeps, a row a trip."""
+    per_set = undominated(fine)
+    rank = F.struct((-F.col("s.value")).alias("value"), "s.time", "s.used", "s.path")
+    counts = Window.partitionBy("area", "trip")
+    ranked = per_set.withColumns({"reached": F.sum("reached").over(counts), "left": F.sum(F.size("best")).over(counts)}).select("area", "trip", "reached", "left", F.explode("best").alias("s"))
+    kept = ranked.withColumn("_place", F.row_number().over(counts.orderBy(rank))).filter(F.col("_place") <= width)
+    return kept.groupBy("area", "trip").agg(F.first("reached").alias("reached"), F.first("left").alias("left"), F.collect_list("s").alias("states")).drop("area")
+
+
+def _states(layer: DataFrame) -> DataFrame:
+    return layer.select(F.explode("states").alias("s")).select("s.*")
+
+
 def _union(them: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, them)
 
@@ -203,13 +220,13 @@ def search(trips: DataFrame, options: DataFrame, plan: Plan, hours: DataFrame |
     states = _start(trips)
     layers, rejects, done = [], [], []
     for layer in range(1, plan.max_stops + 1):
-        steps = written(expanded(states, trips, options, plan, forecasts, weather))
-        rejects.append(steps.filter("reason IS NOT NULL").groupBy("trip", "reason").agg(F.count("*").alias("n")).withColumn("layer", F.lit(layer)))
-        fine = steps.filter("reason IS NULL").drop("reason")
-        left = written(undominated(fine))
-        states = written(_first(left, plan.width))
-        count = lambda df, name: df.groupBy("trip").agg(F.count("*").alias(name))
-        layers.append(count(fine, "reached").join(count(left, "left"), "trip").join(count(states, "kept"), "trip").withColumn("layer", F.lit(layer)))
+        # Steps are many times the states that stay, so they are made again for their counts by reason, not stored.
+        steps = expanded(states, trips, options, plan, forecasts, weather)
+        refused = steps.filter("reason IS NOT NULL").groupBy("area", "trip", "reason").agg(F.count("*").alias("n"))
+        rejects.append(refused.withColumn("layer", F.lit(layer)))
+        found = written(_beam(steps.filter("reason IS NULL"), plan.width))
+        layers.append(found.select("trip", "reached", "left", F.size("states").cast("long").alias("kept"), F.lit(layer).alias("layer")))
+        states = _states(found)
         if layer >= plan.min_stops:
             done.append(states)
         if states.isEmpty():
@@ -232,8 +249,8 @@ def rolling(trips: DataFrame, options: DataFrame, plan: Plan, ahead: int = 2, se
     for before in range(0, plan.max_stops, settle):
         states, window = settled, []
         for _ in range(min(ahead, plan.max_stops - before)):
-            fine = expanded(states, trips, options, plan, forecasts, weather).filter("reason IS NULL").drop("reason")
-            states = written(_first(undominated(fine), plan.width))
+            fine = expanded(states, trips, options, plan, forecasts, weather).filter("reason IS NULL")
+            states = _states(written(_beam(fine, plan.width)))
             window.append(states)
         kept = F.slice("stops", 1, before + settle)
         best = _first(_union(window), 1).select("trip", kept.alias("stops")).withColumn("_end", F.element_at("stops", -1))
