@@ -32,3 +32,9 @@ def test_nearest_rows_by_spot(spark):
 def test_spots_ask_for_their_targets_once(spark):
     # rows meet by their spots; pairs of rows, which grow with the square of a spot's, don't appear
     assert plan_of(plans.queries()["join_intent_envelope"](spark, SF)).count("Window") == 0
+
+
+def test_pairs_of_windows_and_targets_do_not_move(spark):
+    plan = plan_of(plans.queries()["alg_snapshot_select"](spark, SF))
+    # what is above the join of windows and targets, the last of the plan's upper lines, is no window or sum
+    assert "Join" in plan and not {"Window", "Aggregate"} & set(plan[: plan.index("Join")].split())
