@@ -38,3 +38,8 @@ def test_pairs_of_windows_and_targets_do_not_move(spark):
     plan = plan_of(plans.queries()["alg_snapshot_select"](spark, SF))
     # what is above the join of windows and targets, the last of the plan's upper lines, is no window or sum
     assert "Join" in plan and not {"Window", "Aggregate"} & set(plan[: plan.index("Join")].split())
+
+
+def test_cells_of_pairs_are_dealt_over_tasks(spark):
+    plan = plan_of(plans.queries()["join_self_pairs"](spark, SF), "sparkPlan")
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
