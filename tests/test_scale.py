@@ -8,7 +8,7 @@ from test_queries import SF
 
 from driftline import plans
 from driftline.functions.geo import METRES_PER_DEGREE
-from driftline.operators import spatial
+from driftline.operators import overlay, spatial
 
 
 def plan_of(df, kind="optimizedPlan"):
@@ -43,3 +43,14 @@ def test_pairs_of_windows_and_targets_do_not_move(spark):
 def test_cells_of_pairs_are_dealt_over_tasks(spark):
     plan = plan_of(plans.queries()["join_self_pairs"](spark, SF), "sparkPlan")
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_hulls_move_corners_alone(spark):
+    points = spark.range(200_000).selectExpr("id % 2 AS key", "CAST(id % 1000 AS DOUBLE) AS x", "CAST(id DIV 1000 AS DOUBLE) AS y").repartition(4)
+    found = overlay.hulls(points)
+    assert plan_of(found).count("MapInArrow") == 2 and "FlatMapGroups" not in plan_of(found)
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    level = spark.createDataFrame([("k", i, [(x + i / 2, y) for x, y in square]) for i in range(3)], "key string, shape long, ring array<struct<x: double, y: double>>")
+    # level sides don't cross each other, so no pairs of them meet
+    met = plan_of(overlay._crossings(overlay.edges_of(level), 1.0))
+    assert "Aggregate" not in met and {(r["key"], r["n"]) for r in found.collect()} == {(0, 4), (1, 4)} and overlay._crossings(overlay.edges_of(level), 1.0).count() == 0
