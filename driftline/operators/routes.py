@@ -7,6 +7,9 @@ border. So the rounds are as many as tiles a way crosses, and no task holds
 more than a tile. Ways are counts of straight and diagonal steps, so lengths
 compare exactly however they were summed.
 
+If the cut-off is short, no way leaves the tiles around its start's own: then
+a task takes these together with the starts of one, and there are no rounds.
+
 As in a directed search, a way is dropped once its length and the straight
 distance to the goals of its start pass the cut-off, and a pair whose ends lie
 in different components is not searched.
@@ -33,6 +36,8 @@ _SELF = 1 << len(MOVES)
 #: Cells along a tile's side, and tiles that are settled together.
 SIDE, TOGETHER = 32, 64
 _FAR = 60_000
+#: Tiles to each side of a start's own that one task holds, and columns of a tile whose starts it takes.
+AROUND, COLUMNS = 2, 8
 
 
 def passable_moves(cells: DataFrame) -> DataFrame:
@@ -179,25 +184,78 @@ def _settled(limit: float, area_type: pa.DataType):
     return run
 
 
-def shortest_ways(cells: DataFrame, pairs: DataFrame, cell_m: float, max_m: float) -> DataFrame:
-    """``pairs`` (area, sx, sy, gx, gy, ...) with ``straight`` and ``diagonal`` steps and ``metres`` of the shortest way over ``cells`` (area, x, y).
+def _searched(grid: np.ndarray, spots: np.ndarray, goals: np.ndarray, of: np.ndarray, limit: float) -> np.ndarray:
+    """(goals, 2) steps from spots (n, 2) to goals (m, 2), the goals of spot ``of`` in its order, over moves with a free rim; ``_FAR`` where none.
 
-    They are null where an end can't be passed, no way joins the ends, or the
-    shortest is longer than ``max_m``; rows with a null among the five stay with
-    nulls. Repeated cells and pairs are no harm.
+    Cells that became nearer tell their neighbours, for all spots at once; a
+    cell that no goal can gain by is not gone on with.
     """
-    spark = cells.sparkSession
-    limit = max_m / cell_m + 1e-9
-    if limit >= _FAR:
-        raise ValueError("the cut-off spans too many cells")
-    kind = dict(cells.dtypes)["area"]
-    place = lambda x, y: [F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")]
-    moves = written(passable_moves(cells.select("area", *place("x", "y")).dropna().distinct()))
-    ends = pairs.select("area", *[F.col(c).cast("long").alias(c) for c in ("sx", "sy", "gx", "gy")]).dropna().distinct()
+    wide, n = grid.shape[1], len(spots)
+    moves, at = grid.ravel(), (lambda p: p[:, 0] * wide + p[:, 1])
+    first = np.searchsorted(of, np.arange(n))
+    low, high = np.minimum.reduceat(goals, first), np.maximum.reduceat(goals, first)
+    steps = np.full((2, n, moves.size), _FAR, np.int32)
+    length, waits = np.full((n, moves.size), np.inf), np.zeros((n, moves.size), bool)
+    bound, s, c = np.full(n, limit), np.arange(n), at(spots)
+    steps[:, s, c], length[s, c] = 0, 0.0
+    while s.size:
+        now, open_, told = steps[:, s, c], moves[c], []
+        for i, (dx, dy) in enumerate(MOVES):
+            ok = (open_ >> i) & 1 == 1
+            t, to = s[ok], c[ok] + dx * wide + dy
+            a, b = now[0, ok] + (i < 4), now[1, ok] + (i >= 4)
+            way = a + b * sqrt(2)
+            out = [np.maximum(0, np.maximum(low[t, k] - v, v - high[t, k])) for k, v in enumerate(np.divmod(to, wide))]
+            ahead = np.maximum(*out) + (sqrt(2) - 1) * np.minimum(*out)
+            nearer = (way < length[t, to]) & (way + ahead <= bound[t])
+            t, to = t[nearer], to[nearer]
+            steps[0, t, to], steps[1, t, to], length[t, to] = a[nearer], b[nearer], way[nearer]
+            new = ~waits[t, to]
+            waits[t, to] = True
+            told.append((t[new], to[new]))
+        s, c = (np.concatenate(v) for v in zip(*told))
+        waits[s, c] = False
+        bound = np.minimum(limit, np.maximum.reduceat(length[of, at(goals)], first) + 1e-9)
+    return steps[:, of, at(goals)].T
+
+
+def _near_ways(tiles: DataFrame, ends: DataFrame, limit: float, around: int, kind: str) -> DataFrame:
+    """``ends`` with the steps of ways that reach their goal, where no way leaves the ``around`` tiles on each side of its start's."""
+    side = range(-around, around + 1)
+    own = ["area", "tx", "ty"]
+    given = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in side for dy in side])).alias("d")
+    held = tiles.select("*", given).select("area", (F.col("tx") - F.col("d.dx")).alias("tx"), (F.col("ty") - F.col("d.dy")).alias("ty"), F.struct("d.dx", "d.dy", "moves").alias("tile")).groupBy(*own).agg(F.collect_list("tile").alias("tiles"))
+    asked = ends.withColumns({"tx": F.floor(F.col("sx") / SIDE), "ty": F.floor(F.col("sy") / SIDE), "part": F.floor(F.col("sx") / COLUMNS)})
+    asked = asked.groupBy(*own, "part").agg(F.sort_array(F.collect_list(F.struct("sx", "sy", "gx", "gy"))).alias("ends"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for area, tx, ty, tiles, pairs in zip(*(batch.column(c).to_pylist() for c in ("area", "tx", "ty", "tiles", "ends"))):
+                grid = np.zeros(((2 * around + 1) * SIDE + 2,) * 2, np.uint8)
+                for t in tiles:
+                    x, y = ((t[d] + around) * SIDE + 1 for d in ("dx", "dy"))
+                    grid[x : x + SIDE, y : y + SIDE] = np.frombuffer(t["moves"], np.uint8).reshape(SIDE, SIDE)
+                places = np.array([[p[c] for c in ("sx", "sy", "gx", "gy")] for p in pairs])
+                corner = np.array([tx - around, ty - around]) * SIDE - 1
+                spots, of = np.unique(places[:, :2], axis=0, return_inverse=True)
+                of, found = of.ravel(), []
+                for start in range(0, len(spots), TOGETHER):
+                    mine = (of >= start) & (of < start + TOGETHER)
+                    found.append(_searched(grid, spots[start : start + TOGETHER] - corner, places[mine, 2:] - corner, of[mine] - start, limit))
+                steps = np.concatenate(found).astype(np.int64)
+                there = steps[:, 0] < _FAR
+                out = np.column_stack([places, steps])[there]
+                yield pa.RecordBatch.from_arrays([pa.array([area] * len(out), batch.column("area").type), *(pa.array(v) for v in out.T)], names=["area", "sx", "sy", "gx", "gy", "straight", "diagonal"])
+
+    return asked.join(held, own).select(*own, "tiles", "ends").mapInArrow(run, f"area {kind}, sx long, sy long, gx long, gy long, straight long, diagonal long")
+
+
+def _far_ways(moves: DataFrame, ends: DataFrame, limit: float, kind: str) -> DataFrame:
+    """``ends`` with the steps of their ways, in rounds over tiles."""
+    spark = moves.sparkSession
     piece = components(moves.filter("moves <> 0"))
     at = lambda x, y: piece.select("area", F.col("x").alias(x), F.col("y").alias(y), F.col("component").alias(f"of_{x}"))
-    still = ends.filter("sx = gx AND sy = gy").join(moves.select("area", F.col("x").alias("sx"), F.col("y").alias("sy")), ["area", "sx", "sy"], "left_semi")
-    ends = written(ends.join(at("sx", "sy"), ["area", "sx", "sy"]).join(at("gx", "gy"), ["area", "gx", "gy"]).filter("of_sx = of_gx AND NOT (sx = gx AND sy = gy)").select("area", "sx", "sy", "gx", "gy"))
+    ends = written(ends.join(at("sx", "sy"), ["area", "sx", "sy"]).join(at("gx", "gy"), ["area", "gx", "gy"]).filter("of_sx = of_gx").select("area", "sx", "sy", "gx", "gy"))
     starts = written(ends.groupBy("area", "sx", "sy").agg(F.struct(F.min("gx").alias("x0"), F.max("gx").alias("x1"), F.min("gy").alias("y0"), F.max("gy").alias("y1")).alias("goals")))
     tiles = written(tiled(moves))
     own, of = ["area", "sx", "sy"], ["area", "sx", "sy", "tx", "ty"]
@@ -205,7 +263,7 @@ def shortest_ways(cells: DataFrame, pairs: DataFrame, cell_m: float, max_m: floa
     state, rounds = spark.createDataFrame([], f"area {kind}, sx long, sy long, tx long, ty long, state binary, round int"), 0
     last = lambda: state.groupBy(*of).agg(F.max_by("state", "round").alias("state"))
     schema = f"area {kind}, sx long, sy long, tx long, ty long, x long, y long, straight long, diagonal long, state binary"
-    area_type = to_arrow_type(cells.schema["area"].dataType)
+    area_type = to_arrow_type(moves.schema["area"].dataType)
     while not told.isEmpty():
         way = F.struct((F.col("straight") + F.col("diagonal") * sqrt(2)).alias("steps"), "straight", "diagonal")
         seeds = told.groupBy(*of, "x", "y").agg(F.min(way).alias("way")).groupBy(*of).agg(F.collect_list(F.struct("x", "y", "way")).alias("seeds"))  # cells of a tile's border at most
@@ -221,7 +279,29 @@ def shortest_ways(cells: DataFrame, pairs: DataFrame, cell_m: float, max_m: floa
             gone = found[:, 0] >= _FAR
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("area", "sx", "sy", "gx", "gy")), *(pa.array(found[:, k], mask=gone) for k in (0, 1))], names=["area", "sx", "sy", "gx", "gy", "straight", "diagonal"])
 
-    reached = ends.withColumns({"tx": F.floor(F.col("gx") / SIDE), "ty": F.floor(F.col("gy") / SIDE)}).join(last(), of).select(*own, "gx", "gy", "state").mapInArrow(read, f"area {kind}, sx long, sy long, gx long, gy long, straight long, diagonal long")
+    return ends.withColumns({"tx": F.floor(F.col("gx") / SIDE), "ty": F.floor(F.col("gy") / SIDE)}).join(last(), of).select(*own, "gx", "gy", "state").mapInArrow(read, f"area {kind}, sx long, sy long, gx long, gy long, straight long, diagonal long")
+
+
+def shortest_ways(cells: DataFrame, pairs: DataFrame, cell_m: float, max_m: float) -> DataFrame:
+    """``pairs`` (area, sx, sy, gx, gy, ...) with ``straight`` and ``diagonal`` steps and ``metres`` of the shortest way over ``cells`` (area, x, y).
+
+    They are null where an end can't be passed, no way joins the ends, or the
+    shortest is longer than ``max_m``; rows with a null among the five stay with
+    nulls. Repeated cells and pairs are no harm.
+    """
+    limit = max_m / cell_m + 1e-9
+    if limit >= _FAR:
+        raise ValueError("the cut-off spans too many cells")
+    kind = dict(cells.dtypes)["area"]
+    place = lambda x, y: [F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")]
+    moves = written(passable_moves(cells.select("area", *place("x", "y")).dropna().distinct()))
+    ends = pairs.select("area", *[F.col(c).cast("long").alias(c) for c in ("sx", "sy", "gx", "gy")]).dropna().distinct()
+    still = ends.filter("sx = gx AND sy = gy").join(moves.select("area", F.col("x").alias("sx"), F.col("y").alias("sy")), ["area", "sx", "sy"], "left_semi")
+    # no way is shorter than the one over open cells
+    dx, dy = F.abs(F.col("gx") - F.col("sx")), F.abs(F.col("gy") - F.col("sy"))
+    ends = ends.filter("NOT (sx = gx AND sy = gy)").filter(F.greatest(dx, dy) + (sqrt(2) - 1) * F.least(dx, dy) <= limit)
+    own, around = ["area", "sx", "sy"], -(-int(limit) // SIDE)
+    reached = _near_ways(tiled(moves), ends, limit, around, kind) if around <= AROUND else _far_ways(moves, ends, limit, kind)
     zero = F.lit(0).cast("long")
     known = reached.unionByName(still.select(*own, "gx", "gy", zero.alias("straight"), zero.alias("diagonal")))
     metres = ((F.col("straight") + F.col("diagonal") * sqrt(2)) * cell_m).alias("metres")

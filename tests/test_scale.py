@@ -5,10 +5,12 @@ import random
 
 import pytest
 from test_queries import SF
+from test_routing import plain_way
 
 from driftline import plans
 from driftline.functions.geo import METRES_PER_DEGREE
-from driftline.operators import overlay, spatial
+from driftline.operators import overlay, routes, spatial
+from driftline.sources import readers, sinks
 
 
 def plan_of(df, kind="optimizedPlan"):
@@ -54,3 +56,25 @@ def test_hulls_move_corners_alone(spark):
     # level sides don't cross each other, so no pairs of them meet
     met = plan_of(overlay._crossings(overlay.edges_of(level), 1.0))
     assert "Aggregate" not in met and {(r["key"], r["n"]) for r in found.collect()} == {(0, 4), (1, 4)} and overlay._crossings(overlay.edges_of(level), 1.0).count() == 0
+
+
+def test_short_ways_take_no_rounds(spark, monkeypatch):
+    rng = random.Random(9)
+    open_ = {(area, x, y) for area in (1, 2) for x in range(-45, 40) for y in range(70) if rng.random() < 0.75}
+    spots = sorted(open_)
+    pairs = [(i, *a, *rng.choice([b for b in spots if b[0] == a[0] and abs(b[1] - a[1]) < 30])[1:]) for i in range(80) for a in [rng.choice(spots)]]
+    pairs += [(80, *pairs[0][1:4], *pairs[1][4:]), (81, 1, 500, 0, 510, 0), (82, *spots[0], *spots[0][1:]), (83, 3, 0, 0, 1, 1)]
+    monkeypatch.setattr(routes, "_far_ways", None)
+    for limit in (20.0, 35.0):
+        got = routes.shortest_ways(spark.createDataFrame(spots, "area long, x long, y long"), spark.createDataFrame(pairs, "id int, area long, sx long, sy long, gx long, gy long"), 1.0, limit)
+        wanted = {i: plain_way({c[1:] for c in open_ if c[0] == area}, (sx, sy), (gx, gy), limit) for i, area, sx, sy, gx, gy in pairs}
+        found = {r["id"]: (r["straight"], r["diagonal"]) for r in got.collect()}
+        assert found == wanted and 5 < sum(w[0] is not None for w in wanted.values()) < 84
+
+
+def test_documents_lie_in_one_folder(spark, tmp_path):
+    rows = [("a\nb/", "one\ntwo\n"), ("ü", ""), ("c", None), ("d", "x" * 5000), ("d", "again")]
+    sinks.write_documents(spark.createDataFrame(rows, "k string, t string"), "k", "t", str(tmp_path / "docs"))
+    assert not [p for p in (tmp_path / "docs").iterdir() if p.is_dir()]
+    got = sorted((r["key"], bytes(r["content"]).decode(), r["length"]) for r in readers.stored_documents(spark, str(tmp_path / "docs")).collect())
+    assert got == sorted((k, t or "", len(t or "")) for k, t in rows)
