@@ -72,7 +72,7 @@ def unpack_rows(packed: DataFrame, row: list[str], col: str, flag: str) -> DataF
 
 def stored_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of :func:`driftline.sources.sinks.write_documents` as bytes: key, length, sha256 and content."""
-    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
-    # the line end that the writer adds is no part of a document
-    content = F.expr("substring(content, 1, length(content) - 1)")
-    return read.select(F.col("key").cast("string").alias("key"), (F.col("length") - 1).alias("length"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).filter("length > 0").withColumn("_line", F.expr("instr(CAST(content AS STRING), '\\n')"))
+    # the key's line and the line end that the writer adds are no part of a document
+    size, content = F.col("length") - F.col("_line") - 1, F.expr("substring(content, _line + 1, length(content) - _line - 1)")
+    return read.select(F.expr("nullif(url_decode(CAST(substring(content, 1, _line - 1) AS STRING)), '')").alias("key"), size.alias("length"), F.sha2(content, 256).alias("sha256"), content.alias("content"))
