@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftline.operators.lineage import written
 from driftline.operators.relational import first_per_key
 
 
@@ -124,18 +125,30 @@ def replayed(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(folder)
 
 
+#: Rows of a replayed file, about.
+FILE_ROWS = 250_000
+
+
 def replayed_in_order(df: DataFrame, folder: str, order: str, batches: int) -> DataFrame:
-    """A stream of the rows of ``df`` in ``batches`` files by ``order``, one file a micro-batch, so that state lives on between them."""
+    """A stream of the rows of ``df`` in ``batches`` micro-batches by ``order``, so that state lives on between them.
+
+    A micro-batch is a number of files, the same for all. A batch is dealt over
+    its files in turn, so with this many rows none of them is empty.
+    """
     place = F.ntile(batches).over(Window.orderBy("_bucket"))
     # ranges of the order's values by their buckets, which are few, so that no row is sorted in one task
     span = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
     width = max(1, ((span["high"] or 0) - (span["low"] or 0)) // (64 * batches) + 1)
     bucketed = df.withColumn("_bucket", F.floor((F.col(order) - (span["low"] or 0)) / width))
     files = bucketed.select("_bucket").distinct().withColumn("_file", place)
-    rows = bucketed.join(files, "_bucket")
+    rows = written(bucketed.join(F.broadcast(files), "_bucket"))
+    # as many as the smallest batch can fill
+    sizes = [r["n"] for r in rows.groupBy("_file").agg(F.count("*").alias("n")).collect()]
+    n = max(1, min([s // FILE_ROWS for s in sizes], default=1))
     for i in range(1, batches + 1):
-        rows.filter(F.col("_file") == i).select(*df.columns).coalesce(1).write.mode("append").parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        batch = rows.filter(F.col("_file") == i).select(*df.columns)
+        (batch.coalesce(1) if n == 1 else batch.repartition(n)).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", n).parquet(folder)
 
 
 def drained(stream: DataFrame, folder: str) -> DataFrame:

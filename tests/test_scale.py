@@ -11,6 +11,7 @@ from driftline import plans
 from driftline.functions.geo import METRES_PER_DEGREE
 from driftline.operators import overlay, routes, spatial
 from driftline.sources import readers, sinks
+from driftline.streaming import stateful
 
 
 def plan_of(df, kind="optimizedPlan"):
@@ -78,3 +79,14 @@ def test_documents_lie_in_one_folder(spark, tmp_path):
     assert not [p for p in (tmp_path / "docs").iterdir() if p.is_dir()]
     got = sorted((r["key"], bytes(r["content"]).decode(), r["length"]) for r in readers.stored_documents(spark, str(tmp_path / "docs")).collect())
     assert got == sorted((k, t or "", len(t or "")) for k, t in rows)
+
+
+def test_batches_are_dealt_over_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stateful, "FILE_ROWS", 40)
+    df = spark.range(1000).selectExpr("id * 10 AS at", "id % 7 AS k")
+    stream = stateful.replayed_in_order(df, str(tmp_path / "in"), "at", 4)
+    seen = []
+    see = lambda batch, i: seen.append(batch.selectExpr("min(at)", "max(at)", "count(*)").first())
+    stream.writeStream.foreachBatch(see).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and sum(r[2] for r in seen) == 1000 and all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) in (20, 24)
