@@ -54,19 +54,21 @@ class DueTimes(StatefulProcessor):
             due = due + self.wait_s if self.repeats else -1
         return out, due
 
-    def _keep(self, since: int, due: int, last: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+    def _keep(self, since: int, due: int, last: int, timer: int) -> None:
+        """Update the state, and the timer if it changes; ``timer`` is when the one that is there is due, -1: none."""
         self.state.update((since, due, last))
-        if due >= 0:
-            self.handle.registerTimer(due * 1000)
+        if due != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer * 1000)
+            if due >= 0:
+                self.handle.registerTimer(due * 1000)
 
     def _rows(self, key: tuple, found: list[tuple[int, int]]) -> pd.DataFrame:
         return pd.DataFrame({"session_id": [key[0]] * len(found), "since": [s for s, _ in found], "at": [t for _, t in found]}).astype("int64")
 
     def handleInputRows(self, key, rows, timerValues):
-        since, due, last = self.state.get() if self.state.exists() else (-1, -1, -1)
-        found = []
+        since, due, last = self.state.get() or (-1, -1, -1)
+        timer, found = due, []
         for at, _, says in sorted((int(a), int(o), s) for f in rows for a, o, s in zip(f["at"], f["place"], f["says"])):
             last = max(last, at)
             passed, due = self._passed(due, last)
@@ -75,13 +77,14 @@ class DueTimes(StatefulProcessor):
                 since, due = last, last + self.wait_s
             elif says == STOP:
                 since, due = -1, -1
-        self._keep(since, due, last)
+        self._keep(since, due, last, timer)
         yield self._rows(key, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         since, due, last = self.state.get()
+        timer = due
         passed, due = self._passed(due, timerValues.getCurrentWatermarkInMs() // 1000)
-        self._keep(since, due, last)
+        self._keep(since, due, last, timer)
         yield self._rows(key, [(since, t) for t in passed])
 
     def close(self) -> None:
@@ -131,20 +134,24 @@ class OpenTriggers(StatefulProcessor):
         return pd.DataFrame(rows, columns=["session_id", "opened", "trigger", "reasons", "n", "source"]).astype({"session_id": "int64", "opened": "int64", "n": "int64"})
 
     def handleInputRows(self, key, rows, timerValues):
-        now, closed = tuple(self.state.get()) if self.state.exists() else None, []
+        kept, closed = self.state.get(), []
+        now = tuple(kept) if kept else None
+        timer = now and now[0]
         for at, _, trigger, from_event in sorted((int(a), int(o), t, bool(e)) for f in rows for a, o, t, e in zip(f["at"], f["place"], f["trigger"], f["from_event"])):
             if now is not None and at >= now[0] + self.hold_s:
                 closed.append(now)
                 now = None
             now = self._merged(now, at, trigger, from_event)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         self.state.update(now)
-        self.handle.registerTimer((now[0] + self.hold_s) * 1000)
+        if now[0] != timer:
+            if timer is not None:
+                self.handle.deleteTimer((timer + self.hold_s) * 1000)
+            self.handle.registerTimer((now[0] + self.hold_s) * 1000)
         yield self._rows(key, closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        closed = [tuple(self.state.get())] if self.state.exists() else []
+        kept = self.state.get()
+        closed = [tuple(kept)] if kept else []
         self.state.clear()
         yield self._rows(key, closed)
 
