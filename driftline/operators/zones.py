@@ -112,6 +112,18 @@ def _walk_tasks(guard: Guard):
     return run
 
 
+def _whole_walks(guard: Guard):
+    """Zones of groups whose links and places are all there."""
+
+    def run(links: pa.Table, places: pa.Table) -> pa.Table:
+        zones = {p["id"]: {c: p[c] for c in _STATE[:-1]} | {"gap": 0.0, "ways": []} for p in places.to_pylist()}
+        there = {(x["metres"], x["i"], x["j"]) for x in links.to_pylist() if x["i"] in zones and x["j"] in zones}
+        _, into = walked([{"i": i, "j": j, "metres": m, "a": i, "b": j} for m, i, j in sorted(there)], zones, guard)
+        return pa.table({"id": pa.array(list(into), pa.int64()), "zone": pa.array(list(into.values()), pa.int64())})
+
+    return run
+
+
 def guarded_zones(places: DataFrame, links: DataFrame, guard: Guard = Guard(), by: str | None = None, most: int = MOST) -> DataFrame:
     """(id, zone) of every place: the least id of the zone that a walk over the links leaves it in.
 
@@ -129,7 +141,21 @@ def guarded_zones(places: DataFrame, links: DataFrame, guard: Guard = Guard(), b
     rounds. In a tile with more than ``most`` links only those that are the
     first of both their zones are settled, each in a task of its own. So the
     result is the walk's, and no task holds more than a tile or two zones.
+
+    If ``by`` is given and ``links`` have it too, no link may join places of
+    different ones. Groups of at most ``most`` links are then walked whole, in a
+    task each, and the others alone go in rounds.
     """
+    if by and by in links.columns:
+        fit = lambda df: df.select("id", F.col(by).alias("by"), *[F.col(c).cast("double").alias(c) for c in _STATE[:-1]])
+        known = written(links.select("i", "j", F.col("metres").cast("double").alias("metres"), F.col(by).alias("by")).filter("i <> j").dropna(subset=["i", "j", "metres"]).filter(F.col("metres") <= guard.max_gap_m))
+        crowded = written(known.groupBy("by").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("by"))
+        own = fit(places)
+        alone = own.join(crowded, "by", "left_anti")
+        whole = known.join(crowded, "by", "left_anti").groupBy("by").cogroup(alone.groupBy("by")).applyInArrow(_whole_walks(guard), "id long, zone long")
+        if crowded.isEmpty():
+            return whole
+        return whole.unionByName(guarded_zones(own.join(crowded, "by", "left_semi"), known.join(crowded, "by", "left_semi").drop("by"), guard, "by", most))
     side = 2 * (2 * guard.max_span_m + guard.max_gap_m)
     zones = written(places.select(F.col("id").alias("zone"), *[F.col(c).cast("double").alias(c) for c in _STATE[:-1]], F.lit(0.0).alias("gap"), F.expr("cast(array() as array<struct<i: bigint, j: bigint, m: bigint>>)").alias("ways")))
     member = places.select("id", F.col("id").alias("zone"))

@@ -100,8 +100,9 @@ SELECT id, ids[root[p]] AS zone FROM numbered JOIN ended USING (lake) JOIN lakes
 def alg_zone_cluster(spark, d):
     """Zones of near places: links by length, merges refused by span, gap, density and stretch."""
     places = lake_places(spark, d)
-    pairs = within_radius(places, places, 480.0, 45.0, ("lake",)).filter("l_id < r_id")
-    links = pairs.select(F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.round("metres", 3).alias("metres"))
+    spots = places.drop("area_m2")
+    pairs = within_radius(spots, spots, 480.0, 45.0, ("lake",)).filter("l_id < r_id")
+    links = pairs.select(F.col("l_lake").alias("lake"), F.col("l_id").alias("i"), F.col("r_id").alias("j"), F.round("metres", 3).alias("metres"))
     return zones.guarded_zones(places.select("id", "lake", F.lit(1.0).alias("weight"), "area_m2", F.col("lon").alias("west"), F.col("lat").alias("south"), F.col("lon").alias("east"), F.col("lat").alias("north")), links, by="lake")
 
 

@@ -5,11 +5,11 @@ import random
 
 import pytest
 from test_queries import SF
-from test_routing import plain_way
+from test_routing import plain_way, plain_zones
 
 from driftline import plans
 from driftline.functions.geo import METRES_PER_DEGREE
-from driftline.operators import overlay, routes, spatial
+from driftline.operators import overlay, routes, spatial, zones
 from driftline.sources import readers, sinks
 from driftline.streaming import stateful
 
@@ -90,3 +90,18 @@ def test_batches_are_dealt_over_files(spark, tmp_path, monkeypatch):
     stream.writeStream.foreachBatch(see).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 4 and sum(r[2] for r in seen) == 1000 and all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
     assert len(list((tmp_path / "in").glob("*.parquet"))) in (20, 24)
+
+
+@pytest.mark.parametrize("most", [zones.MOST, 40])
+def test_groups_are_walked_whole(spark, monkeypatch, most):
+    rng = random.Random(3)
+    places = [{"id": i, "lake": i % 3 // 2, "weight": 1.0, "area_m2": rng.choice([0.0, 900.0, 60_000.0]), "west": x, "south": y, "east": x, "north": y} for i in range(45) for x, y in [(-79 + rng.random() * 0.02, 44 + rng.random() * 0.02)]]
+    away = lambda a, b: round(math.hypot((a["west"] - b["west"]) * 80_000, (a["south"] - b["south"]) * 111_320), -1)
+    links = [(away(a, b), a["id"], b["id"], a["lake"]) for a in places for b in places if a["id"] < b["id"] and a["lake"] == b["lake"] and away(a, b) < 500]
+    wanted, _ = plain_zones(places, [x[:3] for x in links], zones.Guard())
+    if most == zones.MOST:
+        monkeypatch.setattr(zones, "grid_cell", None)  # no tiles
+    links += [links[0], (10.0, 0, 0, 0), (10.0, 0, 999, 0)]
+    rows = spark.createDataFrame([tuple(p.values()) for p in places], "id long, lake long, weight double, area_m2 double, west double, south double, east double, north double")
+    got = zones.guarded_zones(rows, spark.createDataFrame(links, "metres double, i long, j long, lake long"), by="lake", most=most)
+    assert {r["id"]: r["zone"] for r in got.collect()} == wanted and len(set(wanted.values())) < 40
