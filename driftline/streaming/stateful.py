@@ -29,13 +29,56 @@ def _timed(stream: DataFrame, delay: str) -> DataFrame:
     return stream.withColumn("_ts", F.timestamp_seconds("at")).withWatermark("_ts", delay)
 
 
-def _keep(state: GroupState, values: tuple, at: int, idle_s: int) -> None:
-    """Update a key's state, which lasts until the watermark is ``idle_s`` beyond its last row."""
-    state.update(values)
-    state.setTimeoutTimestamp(max(at * 1000, state.getCurrentWatermarkMs()) + idle_s * 1000)
+#: Groups that keys are dealt into by their hash; fixed for the life of a stream's checkpoint.
+BUCKETS = 1024
 
 
-def with_cooldown(stream: DataFrame, cooldown_s: int, idle_s: int, delay: str = "1 day") -> DataFrame:
+def _by_bucket(stream: DataFrame, keys: dict[str, str], values: list[str], step: Callable, fields: dict[str, str], result: dict[str, str], idle_s: int, delay: str, buckets: int) -> DataFrame:
+    """Rows (keys, time, ``result``) of what ``step`` finds in each key's rows, by order of ``values``, the time first.
+
+    ``step`` takes the key's state, None at first, and a row's values, and gives
+    the next state, whose last field is a time, and a list of found tuples.
+    A call of pandas costs far more than a key's few rows, so it is made for a
+    bucket of keys; the bucket's state holds its keys' states in columns. A
+    key's state lasts until the watermark is ``idle_s`` beyond its last time
+    and beyond the watermark at its last row.
+    """
+    names, time = list(keys), values[0]
+
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark, kept, until, touched, out = state.getCurrentWatermarkMs(), {}, {}, set(), []
+        if state.exists:
+            held = list(zip(*state.get))
+            kept = {row[: len(names)]: row[len(names) : -1] for row in held}
+            until = {row[: len(names)]: row[-1] for row in held}
+        if not state.hasTimedOut:
+            rows = pd.concat([f[[*names, *(f"_no_{k}" for k in names), *values]] for f in frames]).sort_values(values, kind="stable")
+            for row in rows.astype({time: "int64"}).itertuples(index=False, name=None):
+                key = tuple(None if no else k for k, no in zip(row, row[len(names) : 2 * len(names)]))
+                kept[key], found = step(kept.get(key), *row[2 * len(names) :])
+                touched.add(key)
+                out += [(*key, row[2 * len(names)], *f) for f in found]
+        for key in touched:
+            until[key] = max(kept[key][-1] * 1000, watermark) + idle_s * 1000
+        held = [(*key, *kept[key], until[key]) for key in kept if until[key] >= watermark]
+        if held:
+            state.update(tuple(list(column) for column in zip(*held)))
+            state.setTimeoutTimestamp(min(row[-1] for row in held))
+        else:
+            state.remove()
+        if out:
+            # nullable numbers, so that none goes through a double
+            kinds = {**keys, time: "long", **result}
+            yield pd.DataFrame({n: pd.array(c, dtype="Int64") if kinds[n] == "long" else pd.Series(c, dtype=object) for n, c in zip(kinds, map(list, zip(*out)))})
+
+    schema = lambda kinds, kind="{}": ", ".join(f"{n} {kind.format(k)}" for n, k in kinds.items())
+    known = [F.coalesce(k, F.lit("" if kind == "string" else 0).cast(kind)).alias(k) for k, kind in keys.items()]
+    rows = _timed(stream, delay).select(F.pmod(F.xxhash64(*names), F.lit(buckets)).alias("_bucket"), *known, *(F.isnull(k).alias(f"_no_{k}") for k in names), *values, "_ts")
+    held = schema({**keys, **{f"_{n}": k for n, k in fields.items()}, "_until": "long"}, "array<{}>")
+    return rows.groupBy("_bucket").applyInPandasWithState(run, schema({**keys, time: "long", **result}), held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def with_cooldown(stream: DataFrame, cooldown_s: int, idle_s: int, delay: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """Triggers (session_id, trigger, at) of which none follows an emitted one of its kind within the cooldown.
 
     The state of a session and trigger is the time of the last one emitted.
@@ -46,23 +89,10 @@ def with_cooldown(stream: DataFrame, cooldown_s: int, idle_s: int, delay: str =
     if idle_s < cooldown_s:
         raise ValueError("state that goes before its cooldown ends would emit too early")
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        times = sorted(int(t) for f in frames for t in f["at"])
-        out = []
-        for t in times:
-            if last is None or t - last >= cooldown_s:
-                last = t
-                out.append(last)
-        if last is not None:
-            _keep(state, (last,), last, idle_s)
-        yield pd.DataFrame({"session_id": [key[0]] * len(out), "trigger": [key[1]] * len(out), "at": out})
-
-    keyed = _timed(stream, delay).groupBy("session_id", "trigger")
-    return keyed.applyInPandasWithState(run, "session_id long, trigger string, at long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(now: tuple | None, at: int) -> tuple[tuple, list[tuple]]:
+        return ((at,), [()]) if now is None or at - now[0] >= cooldown_s else (now, [])
+
+    return _by_bucket(stream, {"session_id": "long", "trigger": "string"}, ["at"], step, {"last": "long"}, {}, idle_s, delay, buckets)
 
 
 # Metres at which a waypoint is approached, reached and left again, and what confirms an arrival.
@@ -93,7 +123,7 @@ def next_state(now: tuple, at: int, metres: float, skipped: bool, radii: tuple[f
     return (entered[-1] if entered else state, inside, first, at), entered
 
 
-def waypoint_states(stream: DataFrame, idle_s: int, delay: str = "1 day", **limits) -> DataFrame:
+def waypoint_states(stream: DataFrame, idle_s: int, delay: str = "1 day", buckets: int = BUCKETS, **limits) -> DataFrame:
     """State changes (session_id, waypoint_id, at, state) from rows (session_id, waypoint_id, at, metres, skipped).
 
     Rows of a batch are taken in order of time; one that is older than what a
@@ -101,22 +131,16 @@ def waypoint_states(stream: DataFrame, idle_s: int, delay: str = "1 day", **limi
     no row comes of for ``idle_s`` is forgotten, and would begin anew after it.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = tuple(state.get) if state.exists else ("UPCOMING", 0, 0, -(2**62))
-        rows = sorted((int(t), float(m), bool(s)) for f in frames for t, m, s in zip(f["at"], f["metres"], f["skipped"]))
-        out = []
-        for t, m, skipped in rows:
-            if t >= now[3]:
-                now, entered = next_state(now, t, m, skipped, **limits)
-                out += [(key[0], key[1], t, e) for e in entered]
-        _keep(state, now, max(now[3], 0), idle_s)
-        yield pd.DataFrame(out, columns=["session_id", "waypoint_id", "at", "state"])
-
-    keyed = _timed(stream, delay).groupBy("session_id", "waypoint_id")
-    return keyed.applyInPandasWithState(run, "session_id long, waypoint_id long, at long, state string", "state string, inside long, first long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def step(now: tuple | None, at: int, metres: float, skipped: bool) -> tuple[tuple, list[tuple]]:
+        now = now or ("UPCOMING", 0, 0, -(2**62))
+        if at < now[3]:
+            return now, []
+        now, entered = next_state(now, at, metres, skipped, **limits)
+        return now, [(e,) for e in entered]
+
+    known = stream.withColumn("skipped", F.coalesce("skipped", F.lit(False)))
+    fields = {"state": "string", "inside": "long", "first": "long", "last": "long"}
+    return _by_bucket(known, {"session_id": "long", "waypoint_id": "long"}, ["at", "metres", "skipped"], step, fields, {"state": "string"}, idle_s, delay, buckets)
 
 
 def replayed(df: DataFrame, folder: str) -> DataFrame:

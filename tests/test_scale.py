@@ -92,6 +92,45 @@ def test_batches_are_dealt_over_files(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "in").glob("*.parquet"))) in (20, 24)
 
 
+def batches_of(spark, folder, batches, schema):
+    """A stream of one micro-batch for each list of rows."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def memory(stream, name):
+    """What a stream gives, and the most rows of state that it kept."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    return stream.sparkSession.table(name), max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"])
+
+
+def test_python_is_called_for_buckets_of_keys(spark, tmp_path):
+    rng = random.Random(7)
+    keys = [(s, t) for s in (None, 0, 2**53, 2**53 + 1, *range(1, 9)) for t in (None, "", "a", "b")]
+    batches = [[(*rng.choice(keys), 10**6 + rng.randrange(200)) for _ in range(300)] for _ in range(3)]
+    wanted, last = [], {}
+    for rows in batches:
+        for s, t, at in sorted(rows, key=lambda r: r[2]):
+            if (s, t) not in last or at - last[s, t] >= 60:
+                last[s, t] = at
+                wanted.append((s, t, at))
+    stream = batches_of(spark, str(tmp_path / "in"), batches, "session_id long, trigger string, at long")
+    got, held = memory(stateful.with_cooldown(stream, 60, 10**6, buckets=3), "buckets")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
+    assert len(last) == 48 and held <= 3
+
+
+def test_keys_of_a_bucket_end_one_by_one(spark, tmp_path):
+    # the watermark passes the end of both; the one with a row in that batch goes on, the other one begins anew
+    batches = [[(1, 9, 100, 140.0, False), (2, 9, 100, 140.0, None)], [(3, 9, 1000, 500.0, False)], [(1, 9, 1001, 140.0, False)], [(2, 9, 1002, 140.0, False)]]
+    stream = batches_of(spark, str(tmp_path / "in"), batches, "session_id long, waypoint_id long, at long, metres double, skipped boolean")
+    got, held = memory(stateful.waypoint_states(stream, 50, "0 seconds", buckets=1), "ends")
+    assert sorted(map(tuple, got.collect())) == [(1, 9, 100, "NAVIGATING"), (2, 9, 100, "NAVIGATING"), (2, 9, 1002, "NAVIGATING")]
+    assert held == 1
+
+
 @pytest.mark.parametrize("most", [zones.MOST, 40])
 def test_groups_are_walked_whole(spark, monkeypatch, most):
     rng = random.Random(3)
