@@ -62,32 +62,34 @@ _STATE = "trip", "stops", *_AFTER
 
 
 def _metres(x: Column, y: Column, u: Column, v: Column) -> Column:
-    return F.round(F.hypot(x - u, y - v)).cast("long")
+    # Half a metre is rounded up; ``round`` would go through a decimal text for each length.
+    return F.floor(F.hypot(x - u, y - v) + 0.5)
 
 
 def by_area(hours: DataFrame) -> DataFrame:
-    """(area, forecast): the hours (area, at, wind, light) of each area in one row, which a forecast's length bounds."""
-    return hours.filter("at IS NOT NULL").groupBy("area").agg(F.array_sort(F.collect_list(F.struct("at", "wind", "light"))).alias("forecast"))
+    """(area, forecast): the spans (until, at, length, wind, wind_rise, light, light_rise) of each area's hours (area, at, wind, light) in one row, which a forecast's length bounds.
 
+    A span goes on from its hour until the next one; before the first hour and
+    after the last one the nearest counts. Of two rows of one hour the greater
+    one ends what is before, and starts what is behind it.
+    """
+    given = hours.filter("at IS NOT NULL").groupBy("area").agg(F.array_sort(F.collect_list(F.struct("at", "wind", "light"))).alias("given"))
 
-def with_forecasts(rows: DataFrame, forecast: str, times: dict[str, Column], fields: tuple[str, ...]) -> DataFrame:
-    """Adds ``field_name`` for each named time: a forecast's field on the line through the hours around it.
+    def span(i: Column) -> Column:
+        last = F.size("given")
+        low, high = F.get("given", F.greatest(i - 1, F.lit(0))), F.get("given", F.least(i, last - 1))
+        until = F.when(i < last, high["at"]).otherwise(F.lit(2**63 - 1))
+        fields = [c for f in ("wind", "light") for c in (low[f].alias(f), (high[f] - low[f]).alias(f"{f}_rise"))]
+        return F.struct(until.alias("until"), low["at"].alias("at"), F.greatest(high["at"] - low["at"], F.lit(1)).alias("length"), *fields)
 
-    Outside the hours the nearest one counts. The hours of a time are looked up once for all fields.
-    """
-    around = {}
-    for name, time in times.items():
-        before, after = F.array_max(F.filter(forecast, lambda h: h["at"] <= time)), F.array_min(F.filter(forecast, lambda h: h["at"] > time))  # noqa: B023
-        around[f"_{name}"] = F.struct(time.alias("time"), before.alias("before"), after.alias("after"))
-    rows = rows.withColumns(around)
-    ends = {f"_{name}": F.struct(F.col(f"_{name}.time").alias("time"), F.coalesce(f"_{name}.before", f"_{name}.after").alias("low"), F.coalesce(f"_{name}.after", f"_{name}.before").alias("high")) for name in times}
-    rows = rows.withColumns(ends)
+    return given.select("area", F.transform(F.sequence(F.lit(0), F.size("given")), span).alias("forecast"))
 
-    def between(name: str, field: str) -> Column:
-        time, low, high = (F.col(f"_{name}.{part}") for part in ("time", "low", "high"))
-        return low[field] + F.floor((high[field] - low[field]) * (time - low["at"]) / F.greatest(high["at"] - low["at"], F.lit(1)))
 
-    return rows.withColumns({f"{field}_{name}": between(name, field) for name in times for field in fields}).drop(*around)
+def forecast_at(forecast: Column, time: Column) -> Column:
+    """(wind, light) at a time, on the line through the hours around it, out of the spans of :func:`by_area`."""
+    on_line = lambda s, field: (s[field] + F.floor(s[f"{field}_rise"] * (time - s["at"]) / s["length"])).alias(field)
+    around = F.slice(F.filter(forecast, lambda s: s["until"] > time), 1, 1)
+    return F.get(F.transform(around, lambda s: F.struct(on_line(s, "wind"), on_line(s, "light"))), 0)
 
 
 def expanded(states: DataFrame, trips: DataFrame, options: DataFrame, plan: Plan, forecasts: DataFrame | None = None, weather: Weather = Weather()) -> DataFrame:
@@ -95,9 +97,11 @@ def expanded(states: DataFrame, trips: DataFrame, options: DataFrame, plan: Plan
 
     ``options`` join by area and are few for each, as states are of a trip, so
     the rows are bounded for each trip. They stay dealt by area, which what is
-    counted and chosen of them keeps in its keys: no step moves again. With ``forecasts`` of :func:`by_area` the options
-    say by ``likes`` (-1, 0 or 1) whether light adds to their worth; where there
-    is no forecast, or no value in it, neither wind nor light counts.
+    counted and chosen of them keeps in its keys: no step moves again. What a
+    wait or a dwell does not change is known before rows are made for them.
+    With ``forecasts`` of :func:`by_area` the options say by ``likes`` (-1, 0 or
+    1) whether light adds to their worth; where there is no forecast, or no
+    value in it, neither wind nor light counts.
     """
     rows = states.join(trips.select("trip", "area", "end", "reserve", F.col("x").alias("home_x"), F.col("y").alias("home_y")), "trip")
     # A fixed number, for steps are many times the states that partitions are sized by.
@@ -106,33 +110,47 @@ def expanded(states: DataFrame, trips: DataFrame, options: DataFrame, plan: Plan
         rows = rows.join(forecasts, "area", "left")
     likes = ["likes"] if forecasts is not None else []
     rows = rows.join(options.select("area", "option", F.col("x").alias("to_x"), F.col("y").alias("to_y"), "worth", *likes), "area")
-    rows = rows.withColumn("wait", F.explode(F.array(*map(F.lit, plan.waits)))).withColumn("dwell", F.explode(F.array(*map(F.lit, plan.dwells))))
     leg = _metres(F.col("x"), F.col("y"), F.col("to_x"), F.col("to_y"))
     home = _metres(F.col("to_x"), F.col("to_y"), F.col("home_x"), F.col("home_y"))
-    rows = rows.withColumns({"leg": leg, "home": home, "depart": F.col("time") + F.col("wait")})
-    rows = rows.withColumn("arrive", F.col("depart") + F.floor(F.col("leg") / plan.speed)).withColumn("leave", F.col("arrive") + F.col("dwell"))
+    been = F.exists("stops", lambda s: s["option"] == F.col("option"))
     near = F.exists("stops", lambda s: _metres(s["x"], s["y"], F.col("to_x"), F.col("to_y")) < plan.spacing)
-    tests = [
-        F.exists("stops", lambda s: s["option"] == F.col("option")), F.col("waited") + F.col("wait") > plan.max_wait, near, F.col("leg") > plan.max_leg, F.col("leave") > F.col("end"),
-        F.col("leave") + F.floor(F.col("home") / plan.speed) + F.col("reserve") > F.col("end"), F.col("used") + F.col("leg") + F.col("home") > plan.max_range,
-    ]
-    reason = reduce(lambda chain, t: chain.when(t[1], t[0]), list(zip(REASONS, tests))[1:], F.when(tests[0], REASONS[0]))
+    rows = rows.withColumns({"leg": leg, "home": home, "been": been, "near": near})
+    rows = rows.withColumns({"there": F.floor(F.col("leg") / plan.speed), "back": F.floor(F.col("home") / plan.speed)})
+
+    def tests(wait: Column, dwell: Column) -> list[Column]:
+        leave = F.col("time") + wait + F.col("there") + dwell
+        return [
+            F.col("been"), F.col("waited") + wait > plan.max_wait, F.col("near"), F.col("leg") > plan.max_leg, leave > F.col("end"),
+            leave + F.col("back") + F.col("reserve") > F.col("end"), F.col("used") + F.col("leg") + F.col("home") > plan.max_range,
+        ]
+
+    # Rows made by a generator hold what it looked up, which a projection would look up again for each of its uses.
+    if forecasts is None:
+        rows = rows.select("*", F.inline(F.array(*[F.struct(F.lit(w).alias("wait"), F.lit(d).alias("dwell")) for w in plan.waits for d in plan.dwells])))
+    else:
+        slots = list(enumerate(weather.shares(max(plan.dwells))))
+
+        def waited(wait: int) -> Column:
+            depart = F.col("time") + wait
+            arrive = depart + F.col("there")
+            # What is refused however short the stay is asks no forecast.
+            asked = F.when(~reduce(Column.__or__, [F.coalesce(t, F.lit(False)) for t in tests(F.lit(wait), F.lit(min(plan.dwells)))]), F.col("forecast"))
+            times = {"depart": depart, "midway": F.floor((depart + arrive) / 2)} | {f"slot_{i}": arrive + i * weather.slot for i, _ in slots}
+            return F.struct(F.lit(wait).alias("wait"), *[forecast_at(asked, time).alias(name) for name, time in times.items()])
+
+        rows = rows.select("*", F.inline(F.array(*map(waited, plan.waits)))).drop("forecast")
+        rows = rows.withColumn("dwell", F.explode(F.array(*map(F.lit, plan.dwells))))
+    reason = reduce(lambda chain, t: chain.when(t[1], t[0]), list(zip(REASONS, tests(F.col("wait"), F.col("dwell")))), F)
     rows = rows.withColumn("reason", reason)
     if forecasts is None:
         had = F.floor(F.col("worth") * F.col("dwell") / (F.col("dwell") + plan.half))
     else:
-        # What is refused already asks no forecast.
-        rows = rows.withColumn("forecast", F.when(F.col("reason").isNull(), F.col("forecast")))
-        slots = list(enumerate(weather.shares(max(plan.dwells))))
-        ways = {"depart": F.col("depart"), "midway": F.floor((F.col("depart") + F.col("arrive")) / 2), "arrive": F.col("arrive")}
-        rows = with_forecasts(rows, "forecast", ways, ("wind",))
-        rows = with_forecasts(rows, "forecast", {str(i): F.col("arrive") + i * weather.slot for i, _ in slots}, ("wind", "light"))
-        windy = F.greatest(*[F.col(f"wind_{name}") for name in ways]) >= weather.hard_wind
+        windy = F.greatest(F.col("depart.wind"), F.col("midway.wind"), F.col("slot_0.wind")) >= weather.hard_wind
         rows = rows.withColumn("reason", F.coalesce("reason", F.when(windy, "WIND")))
 
         def worth(slot: int, share: int) -> Column:
-            blown = F.floor((F.col(f"wind_{slot}") - weather.soft_wind) * 1000 / (weather.hard_wind - weather.soft_wind))
-            lit = F.coalesce("likes", F.lit(0)) * F.coalesce(f"light_{slot}", F.lit(0))
+            blown = F.floor((F.col(f"slot_{slot}.wind") - weather.soft_wind) * 1000 / (weather.hard_wind - weather.soft_wind))
+            lit = F.coalesce("likes", F.lit(0)) * F.coalesce(f"slot_{slot}.light", F.lit(0))
             own = F.col("worth") + lit - F.coalesce(F.least(F.lit(1000), F.greatest(F.lit(0), blown)), F.lit(0))
             own = F.floor(F.least(F.lit(weather.most), F.greatest(F.lit(0), own)) * share / 1000)
             return F.when(F.col("dwell") > slot * weather.slot, own).otherwise(F.lit(0))
@@ -142,7 +160,7 @@ def expanded(states: DataFrame, trips: DataFrame, options: DataFrame, plan: Plan
     step = F.concat_ws(":", "option", "wait", "dwell")
     made = rows.select(
         "area", "trip", "stops", "option", F.concat_ws(">", "path", step).alias("path"), F.col("to_x").alias("x"), F.col("to_y").alias("y"),
-        F.col("leave").alias("time"), (F.col("used") + F.col("leg")).alias("used"), (F.col("waited") + F.col("wait")).alias("waited"), (F.col("value") + gain).alias("value"), "reason",
+        (F.col("time") + F.col("wait") + F.col("there") + F.col("dwell")).alias("time"), (F.col("used") + F.col("leg")).alias("used"), (F.col("waited") + F.col("wait")).alias("waited"), (F.col("value") + gain).alias("value"), "reason",
     )
     return made.withColumn("stops", F.concat("stops", F.array(F.struct("option", *_AFTER)))).drop("option")
 
@@ -150,7 +168,7 @@ def expanded(states: DataFrame, trips: DataFrame, options: DataFrame, plan: Plan
 def undominated(states: DataFrame) -> DataFrame:
     """(area, trip, reached, best): of each set of a trip's stops and last stop, how many states there are, and those that no other is as early, as short and as good as, and better in one."""
     own = F.struct(*_STATE)
-    alike = states.groupBy("area", "trip", F.array_sort(F.transform("stops", lambda s: s["option"])).alias("_among"), "x", "y").agg(F.collect_list(own).alias("_all"))
+    alike = states.groupBy("area", "trip", F.sort_array(F.transform("stops", lambda s: s["option"])).alias("_among"), "x", "y").agg(F.collect_list(own).alias("_all"))
     no_worse = lambda a, b: (a["time"] <= b["time"]) & (a["used"] <= b["used"]) & (a["value"] >= b["value"])
     better = lambda a, b: (a["time"] < b["time"]) | (a["used"] < b["used"]) | (a["value"] > b["value"])
     left = F.filter("_all", lambda b: ~F.exists("_all", lambda a: no_worse(a, b) & better(a, b)))
