@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -199,7 +200,8 @@ def fn_rolling_date(spark, d):
 @query(f"WITH {POINTS}, q AS (SELECT point_id, k * 7.2 AS a, value * 5 AS b FROM points), t AS (SELECT *, fmod(fmod(b - a, 360) + 360, 360) AS turn FROM q) SELECT point_id, round(CASE WHEN turn > 180 THEN turn - 360 ELSE turn END, 6) AS delta, round(fmod(fmod(a + CASE WHEN turn > 180 THEN turn - 360 ELSE turn END * 0.25, 360) + 360, 360), 6) AS quarter FROM t")
 def fn_circular(spark, d):
     """The turn between two bearings, and a quarter of it taken."""
-    a, b = F.col("k") * 7.2, F.col("value") * 5
+    # 7.2 is a decimal in SQL: the product is exact, and rounded once when it meets a double.
+    a, b = (F.col("k") * F.lit(Decimal("7.2"))).cast("double"), F.col("value") * 5
     delta = geo.signed_delta(a, b)
     return points(spark, d).select("point_id", F.round(delta, 6).alias("delta"), F.round(geo.full_circle(a + delta * 0.25), 6).alias("quarter"))
 
