@@ -91,3 +91,15 @@ def test_hulls_merge(spark):
     for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
         assert ((bx - ax) * (pts[:, 1] - ay) - (by - ay) * (pts[:, 0] - ax) >= -1e-12).all()
     assert set(ring) <= {r[1:] for r in rows if r[0] == "round"}
+
+
+def test_sides_move_to_their_strips_alone(spark):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    level = spark.createDataFrame([("k", i, [(x + i / 2, y) for x, y in square]) for i in range(3)], "key string, shape long, ring array<struct<x: double, y: double>>")
+    tilted = spark.createDataFrame([("k", 9, [(0.0, 0.0), (2.0, 1.0), (0.0, 2.0)])], level.schema)
+    assert not overlay.has_slopes(level) and overlay.has_slopes(level.unionByName(tilted))
+    moves = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+    gaps = overlay.slabs(level, 1.0, False)
+    assert moves(gaps) == 1 and moves(overlay.outline_corners(gaps)) == 2
+    assert set(map(tuple, gaps.collect())) == set(map(tuple, overlay.slabs(level, 1.0).collect()))
+    assert overlay.areas(gaps).first()["union"] == 2.0 and overlay.outline_corners(gaps).count() == 4
